@@ -20,6 +20,8 @@ import regex
 _S = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNKS = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
 ENDS_WHITE = re.compile(f"[{_S}]$|^$").search
+#: Marks that are neither letters, numbers nor an apostrophe, which the pattern treats by itself.
+MARKS = ",.;:!?)]}|%&$#*\""
 #: The pre-tokenizer's pattern (a fixed value of the byte-level format).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
 
@@ -60,12 +62,23 @@ class ChunkEncoder:
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _merged(self, word: str) -> bytes:
+        mapped = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._latin)
+        return np.array([t.id for t in self.merge(mapped)], "<u4").tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a space and a part; letters with marks behind them are two words of the pattern."""
+        stem = part.rstrip(MARKS)
+        if not stem.isalpha():
+            return self._chunk(" " + part)
+        b = self.known.get(stem) or self._merged(" " + stem)
+        return b if stem is part or stem == part else b + self._chunk(part[len(stem) :])
+
     def _chunk(self, chunk: str) -> bytes:
         words, out = self.words, []
         for w in WORDS(chunk):
             if (b := words.get(w)) is None:
-                mapped = w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._latin)
-                b = np.array([t.id for t in self.merge(mapped)], "<u4").tobytes()
+                b = self._merged(w)
                 if len(w) <= self.longest:
                     if len(words) >= self.limit:
                         words.clear()
@@ -96,7 +109,7 @@ class ChunkEncoder:
                     self.white.add(p)
                 touched = True
             else:
-                known[p] = self._chunk(" " + p)
+                known[p] = self._part(p)
         if len(self.white) > self.limit:
             self.white = {""}
         if touched:
