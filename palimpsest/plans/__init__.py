@@ -1 +1 @@
-
+"""Plans that derive block logs from the benchmark tables."""

@@ -1,2 +1,315 @@
+"""Registered queries of the library's operators and their DuckDB SQL, over the benchmark tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from palimpsest.functions import labels as L
+from palimpsest.functions.checks import crc_valid
+from palimpsest.operators import changes, compact, image, intervals, liveness, overlay, replay
+from palimpsest.plans.derived import BLOCK_SIZE, DEVICE_BLOCKS, ENTRIES_SQL, RUNS_SQL, ZERO_RUN_SQL, entries, runs
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+#: Live extents in SQL, for entries named ``entries``.
+LIVE_SQL = """each AS (SELECT version, unnest(range(block, block + blocks)) AS blk FROM entries),
+top AS (SELECT blk, max(version) AS version FROM each GROUP BY blk),
+live AS (SELECT version, min(blk) AS start, CAST(count(*) AS BIGINT) AS blocks
+         FROM (SELECT version, blk, blk - row_number() OVER (PARTITION BY version ORDER BY blk) AS run FROM top) GROUP BY version, run),
+ext AS (SELECT l.start, l.blocks, l.version, e.segment, e.entry_index, e.op, e.block AS ref_block, e.length FROM live l JOIN entries e USING (version))"""
+STATS_SQL = f"""totals AS (SELECT segment, CAST(count(*) AS BIGINT) AS total_entries, CAST(coalesce(sum(length) FILTER (op = 'W'), 0) AS BIGINT) AS total_write_bytes FROM entries GROUP BY segment),
+alive AS (SELECT segment, CAST(coalesce(sum(blocks * {BLOCK_SIZE}) FILTER (op = 'W'), 0) AS BIGINT) AS live_write_bytes, CAST(count(*) AS BIGINT) AS live_entries FROM ext GROUP BY segment),
+stats AS (SELECT segment, total_entries, total_write_bytes, coalesce(live_write_bytes, 0) AS live_write_bytes, coalesce(live_entries, 0) AS live_entries,
+  CASE WHEN total_write_bytes = 0 THEN 1.0::DOUBLE ELSE coalesce(live_write_bytes, 0)::DOUBLE / total_write_bytes::DOUBLE END AS utilization
+  FROM totals LEFT JOIN alive USING (segment)),
+retired AS (SELECT * FROM stats WHERE utilization < 0.6 AND total_write_bytes > 0 AND (segment < (SELECT max(segment) FROM stats) OR (SELECT count(*) FROM stats) = 1))"""
+THRESHOLD = 60.0
+#: Islands in SQL, for intervals named ``iv`` (lo, hi).
+ISLANDS_SQL = """marked AS (SELECT lo, hi, CASE WHEN lo > max(hi) OVER (ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM iv),
+isl AS (SELECT min(lo) AS lo, max(hi) AS hi FROM (SELECT lo, hi, sum(fresh) OVER (ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM marked) GROUP BY g)"""
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _live(spark: SparkSession, sf_dir: str, plan: str = "explode") -> DataFrame:
+    return overlay.live_extents(entries(spark, sf_dir), plan)
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = entries(spark, sf_dir)
+    return liveness.segment_stats(liveness.segment_totals(log), overlay.live_extents(log), BLOCK_SIZE)
+
+
+EXTENT_COLUMNS = ["start", "blocks", "segment", "entry_index", "op", "ref_block", "length"]
+_EXT_SELECT = f"WITH {ENTRIES_SQL}, {LIVE_SQL} SELECT start, blocks, segment, entry_index, op, ref_block, length FROM ext"
+
+
+@query(_EXT_SELECT)
+def overlay_live_extents(spark, sf_dir):
+    return _live(spark, sf_dir).select(*EXTENT_COLUMNS)
+
+
+@query(_EXT_SELECT)
+def overlay_live_extents_bucketed(spark, sf_dir):
+    return _live(spark, sf_dir, "buckets").select(*EXTENT_COLUMNS)
+
+
+@query(_EXT_SELECT + " WHERE op = 'W'")
+def extent_map_writes_only(spark, sf_dir):
+    return overlay.write_extents(entries(spark, sf_dir)).select(*EXTENT_COLUMNS)
+
+
+@query(f"WITH {ENTRIES_SQL}, {LIVE_SQL} SELECT CAST(count(*) AS BIGINT) AS extents FROM ext WHERE op = 'W'")
+def extent_count(spark, sf_dir):
+    return overlay.write_extents(entries(spark, sf_dir)).agg(F.count(F.lit(1)).alias("extents"))
+
+
+@query(f"WITH {ENTRIES_SQL}, {LIVE_SQL}, {STATS_SQL} SELECT * FROM totals")
+def segment_totals(spark, sf_dir):
+    return liveness.segment_totals(entries(spark, sf_dir))
+
+
+@query(f"WITH {ENTRIES_SQL}, {LIVE_SQL}, {STATS_SQL} SELECT * FROM stats")
+def segment_utilization(spark, sf_dir):
+    return _stats(spark, sf_dir)
+
+
+@query(f"WITH {ENTRIES_SQL}, {LIVE_SQL}, {STATS_SQL} SELECT * FROM retired")
+def retire_candidates(spark, sf_dir):
+    return liveness.retire_candidates(_stats(spark, sf_dir), THRESHOLD)
+
+
+@query(f"WITH {ENTRIES_SQL}, {LIVE_SQL}, {STATS_SQL} SELECT CAST(count(*) AS BIGINT) AS segments, CAST(coalesce(sum(total_write_bytes - live_write_bytes), 0) AS BIGINT) AS reclaimable_bytes FROM retired")
+def reclaimable_bytes(spark, sf_dir):
+    return liveness.reclaimable(_stats(spark, sf_dir), THRESHOLD)
+
+
+@query(f"WITH {ENTRIES_SQL}, {LIVE_SQL} SELECT start, blocks, segment, op FROM ext WHERE segment <> 3")
+def removed_segment(spark, sf_dir):
+    return overlay.remove_segment(_live(spark, sf_dir), 3).select("start", "blocks", "segment", "op")
+
+
+@query(f"""WITH {ENTRIES_SQL}, {LIVE_SQL}, own AS (SELECT CASE WHEN segment = 3 THEN 4 ELSE segment END AS segment, op, start, blocks FROM ext),
+m AS (SELECT *, CASE WHEN start = lag(start + blocks) OVER (PARTITION BY segment, op ORDER BY start) THEN 0 ELSE 1 END AS fresh FROM own),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY segment, op ORDER BY start ROWS UNBOUNDED PRECEDING) AS g FROM m)
+SELECT CAST(segment AS BIGINT) AS segment, op, min(start) AS start, CAST(sum(blocks) AS BIGINT) AS blocks FROM r GROUP BY segment, op, g""")
+def reattributed_segment(spark, sf_dir):
+    return overlay.reattribute_segment(_live(spark, sf_dir), 3, 4).select(F.col("segment").cast("long").alias("segment"), "op", "start", "blocks")
+
+
+@query(f"WITH {ENTRIES_SQL}, {LIVE_SQL} SELECT start, blocks, segment, op FROM ext WHERE segment = 5")
+def segment_live_extents(spark, sf_dir):
+    return _live(spark, sf_dir).where("segment = 5").select("start", "blocks", "segment", "op")
+
+
+@query(_EXT_SELECT.replace("start, blocks, segment, entry_index, op, ref_block, length FROM ext", "start, blocks, segment, op FROM ext"))
+def incremental_live_extents(spark, sf_dir):
+    """The first ten days folded into a state, then the rest: equals one fold of all."""
+    log = entries(spark, sf_dir)
+    first = overlay.live_extents(log.where("segment <= 10")).select("version", "segment", "op", "start", "blocks")
+    return overlay.apply(first, replay.since(log, 10)).select("start", "blocks", "segment", "op")
+
+
+@query(f"WITH {ENTRIES_SQL}, {LIVE_SQL} SELECT DISTINCT segment FROM ext WHERE segment % 4 <> 0")
+def orphan_segments(spark, sf_dir):
+    log = entries(spark, sf_dir)
+    return liveness.orphans(_live(spark, sf_dir), log.where("segment % 4 = 0").select("segment").distinct())
+
+
+# ---- intervals
+
+_WRITES_IV = "iv AS (SELECT block AS lo, block + blocks AS hi FROM entries WHERE op = 'W')"
+
+
+def _writes(spark, sf_dir) -> DataFrame:
+    return entries(spark, sf_dir).where("op = 'W'").select(F.col("block").alias("lo"), (F.col("block") + F.col("blocks")).alias("hi"))
+
+
+@query(f"WITH {ENTRIES_SQL}, {_WRITES_IV}, {ISLANDS_SQL} SELECT lo, hi FROM isl")
+def coalesced_write_intervals(spark, sf_dir):
+    return intervals.coalesce(_writes(spark, sf_dir))
+
+
+@query(f"""WITH {ENTRIES_SQL}, {_WRITES_IV}, {ISLANDS_SQL}, e AS (SELECT lo, hi FROM isl UNION ALL SELECT {DEVICE_BLOCKS}, {DEVICE_BLOCKS}),
+g AS (SELECT coalesce(lag(hi) OVER (ORDER BY lo), 0) AS lo, lo AS hi FROM e) SELECT CAST(lo AS BIGINT) AS lo, CAST(least(hi, {DEVICE_BLOCKS}) AS BIGINT) AS hi FROM g WHERE lo < hi""")
+def uncovered_gaps(spark, sf_dir):
+    return intervals.gaps(_writes(spark, sf_dir), 0, DEVICE_BLOCKS)
+
+
+_ASK = "asked AS (SELECT CAST(doc_id AS BIGINT) AS q_id, CAST((doc_id * 37) % 19000 AS BIGINT) AS q_lo, CAST((doc_id * 37) % 19000 + 1 + doc_id % 40 AS BIGINT) AS q_hi FROM documents)"
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    lo = (F.col("doc_id") * 37) % 19000
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("q_id"), lo.alias("q_lo"), (lo + 1 + F.col("doc_id") % 40).alias("q_hi"))
+
+
+@query(f"WITH {ENTRIES_SQL}, {_WRITES_IV}, {ISLANDS_SQL}, {_ASK} SELECT q_id, q_lo, q_hi, EXISTS (SELECT 1 FROM isl WHERE lo <= q_lo AND hi >= q_hi) AS covered FROM asked")
+def covers_all(spark, sf_dir):
+    return intervals.covers(_writes(spark, sf_dir), _asked(spark, sf_dir))
+
+
+@query(f"""WITH {ENTRIES_SQL}, {LIVE_SQL}, {_ASK} SELECT q_id, greatest(start, q_lo) AS start, least(start + blocks, q_hi) - greatest(start, q_lo) AS blocks, segment, entry_index
+FROM asked JOIN (SELECT * FROM ext WHERE op = 'W') x ON start < q_hi AND start + blocks > q_lo""")
+def extent_lookup_clipped(spark, sf_dir):
+    return intervals.lookup(overlay.write_extents(entries(spark, sf_dir)), _asked(spark, sf_dir)).select("q_id", "start", "blocks", "segment", "entry_index")
+
+
+@query(f"""WITH {ENTRIES_SQL}, {LIVE_SQL}, missed AS (SELECT DISTINCT CAST(doc_id % 1250 AS BIGINT) AS cluster FROM documents)
+SELECT cluster, CAST(sum(least(start + blocks, cluster * 16 + 16) - greatest(start, cluster * 16)) AS BIGINT) AS blocks, CAST(count(*) AS BIGINT) AS parts
+FROM missed JOIN (SELECT * FROM ext WHERE op = 'W') x ON start < cluster * 16 + 16 AND start + blocks > cluster * 16 GROUP BY cluster""")
+def cluster_miss_resolution(spark, sf_dir):
+    """Blocks of the log that fill each missed 64 KiB cluster."""
+    missed = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") % 1250).alias("cluster")).distinct()
+    asked = missed.select("cluster", (F.col("cluster") * 16).alias("q_lo"), (F.col("cluster") * 16 + 16).alias("q_hi"))
+    met = intervals.lookup(overlay.write_extents(entries(spark, sf_dir)), asked)
+    return met.groupBy("cluster").agg(F.sum("blocks").alias("blocks"), F.count(F.lit(1)).alias("parts"))
+
+
+# ---- compaction and replay
+
+@query(f"WITH {ENTRIES_SQL}, {LIVE_SQL} SELECT segment, entry_index, op, start AS block, blocks * {BLOCK_SIZE} AS length FROM ext")
+def repacked_entries(spark, sf_dir):
+    return compact.repack(entries(spark, sf_dir), BLOCK_SIZE).select("segment", "entry_index", "op", F.col("start").alias("block"), "length")
+
+
+@query(f"WITH {ENTRIES_SQL}, {LIVE_SQL} SELECT segment, entry_index, op, start AS block, blocks * {BLOCK_SIZE} AS length FROM ext WHERE segment IN (2, 3, 5)")
+def retired_entries(spark, sf_dir):
+    log = entries(spark, sf_dir)
+    return compact.retire(log, overlay.live_extents(log), [2, 3, 5], BLOCK_SIZE).select("segment", "entry_index", "op", F.col("start").alias("block"), "length")
+
+
+@query(f"""WITH {ENTRIES_SQL}, each AS (SELECT segment, version, unnest(range(block, block + blocks)) AS blk FROM entries), top AS (SELECT segment, blk, max(version) AS version FROM each GROUP BY ALL)
+SELECT segment, CAST(count(*) AS BIGINT) AS own_blocks, CAST(count(DISTINCT version) AS BIGINT) AS own_entries FROM top GROUP BY segment""")
+def shadow_within_segment(spark, sf_dir):
+    own = compact.live_extents_per_segment(entries(spark, sf_dir))
+    return own.groupBy("segment").agg(F.sum("blocks").alias("own_blocks"), F.countDistinct("version").alias("own_entries"))
+
+
+@query(f"WITH {ENTRIES_SQL}, {LIVE_SQL} SELECT t.blk, e.segment, e.op, e.entry_index FROM top t JOIN entries e USING (version)")
+def replay_latest_block_owner(spark, sf_dir):
+    log = entries(spark, sf_dir)
+    return replay.block_owners(log).join(log.select("version", "entry_index"), "version").select("blk", "segment", "op", "entry_index")
+
+
+@query(f"""WITH {ENTRIES_SQL}, e AS (SELECT * FROM entries WHERE segment > 10) SELECT CAST(count(*) AS BIGINT) AS entries, CAST(count(*) FILTER (op = 'W') AS BIGINT) AS writes, CAST(count(*) FILTER (op = 'T') AS BIGINT) AS trims,
+CAST(coalesce(sum(length) FILTER (op = 'W'), 0) AS BIGINT) AS write_bytes, CAST(coalesce(sum(length) FILTER (op = 'T'), 0) AS BIGINT) AS trim_bytes, CAST(0 AS BIGINT) AS crc_errors FROM e""")
+def incremental_replay_counters(spark, sf_dir):
+    return liveness.replay_counters(replay.since(entries(spark, sf_dir), 10))
+
+
+@query(f"WITH {ENTRIES_SQL}, f AS (SELECT segment AS name, CAST(sum(length) AS BIGINT) AS bytes FROM entries GROUP BY segment), r AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS older, (SELECT sum(bytes) FROM f) AS total FROM f) SELECT name, bytes FROM r WHERE total - older > 50000000")
+def log_limit_victims(spark, sf_dir):
+    files = entries(spark, sf_dir).groupBy(F.col("segment").alias("name")).agg(F.sum("length").alias("bytes"))
+    return liveness.limit_victims(files, 50_000_000)
+
+
+@query("SELECT doc_id, sha256(substr(text, 17, 64)) AS part_sha256 FROM documents WHERE length(text) >= 80 AND length(text) = strlen(text)")
+def payload_slice(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text") >= 80).where(F.length("text") == F.octet_length("text"))
+    part = compact.slice_payload(F.encode("text", "UTF-8"), F.lit(3), F.lit(2), F.lit(4), 16)
+    return docs.select("doc_id", F.sha2(part, 256).alias("part_sha256"))
+
+
+@query()
+def payload_crc32(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    made = docs.withColumn("checksum", F.crc32("data"))
+    return made.select("doc_id", "checksum", crc_valid(F.lit("W"), F.col("data"), F.col("checksum")).alias("valid"))
+
+
+# ---- change detection
+
+_CLASSIFIED = f"{RUNS_SQL}, c AS (SELECT *, sha256 = {ZERO_RUN_SQL} AS is_zero, prev_sha256 IS NULL OR prev_sha256 <> sha256 AS changed FROM runs)"
+_TRIMS = """z AS (SELECT *, sum(CASE WHEN is_zero THEN 0 ELSE 1 END) OVER (ORDER BY run_index) AS g FROM c),
+s AS (SELECT g, min(run_index) FILTER (changed) AS start_run FROM z WHERE is_zero GROUP BY g),
+t AS (SELECT start_run, CAST(count(*) AS BIGINT) AS runs, CAST(sum(run_bytes) AS BIGINT) AS bytes FROM z JOIN s USING (g) WHERE is_zero AND run_index >= start_run GROUP BY start_run)"""
+
+
+def _classified(spark, sf_dir) -> DataFrame:
+    return changes.classify(runs(spark, sf_dir), F.sha2(F.lit("0" * 16).cast("binary"), 256))
+
+
+@query(f"WITH {_CLASSIFIED} SELECT run_index, block, run_bytes, sha256 FROM c WHERE changed AND NOT is_zero")
+def changed_runs_sha256(spark, sf_dir):
+    return changes.changed_writes(_classified(spark, sf_dir)).select("run_index", "block", "run_bytes", "sha256")
+
+
+@query(f"WITH {_CLASSIFIED}, {_TRIMS} SELECT * FROM t")
+def trim_islands(spark, sf_dir):
+    return changes.trim_islands(_classified(spark, sf_dir))
+
+
+@query(f"WITH {_CLASSIFIED}, {_TRIMS} SELECT CAST(count(*) AS BIGINT) AS total_runs, CAST(count(*) FILTER (changed AND NOT is_zero) AS BIGINT) AS writes, CAST(coalesce(sum(run_bytes) FILTER (changed AND NOT is_zero), 0) AS BIGINT) AS write_bytes, (SELECT count(*) FROM t) AS trims FROM c")
+def scan_counters(spark, sf_dir):
+    return changes.scan_counters(_classified(spark, sf_dir))
+
+
+# ---- images
+
+_CLUSTERS = "prim AS (SELECT doc_id AS cluster, CASE WHEN doc_id % 6 <> 0 THEN sha256(coalesce(text, '')) END AS data FROM documents WHERE doc_id % 2 = 0), base AS (SELECT doc_id AS cluster, sha256(coalesce(lang, '')) AS data FROM documents WHERE doc_id % 3 = 0)"
+
+
+@query(f"""WITH {_CLUSTERS} SELECT cluster, CASE WHEN p.cluster IS NOT NULL AND p.data IS NOT NULL THEN 'primary' WHEN p.cluster IS NOT NULL THEN 'trimmed' ELSE 'base' END AS source,
+sha256(CASE WHEN p.cluster IS NOT NULL THEN coalesce(p.data, repeat(chr(0), 4)) ELSE b.data END) AS data_sha256 FROM prim p FULL JOIN base b USING (cluster)""")
+def layered_cluster_source(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("cluster"), "text", "lang")
+    digest = lambda c: F.encode(F.sha2(F.coalesce(c, F.lit("")).cast("binary"), 256), "UTF-8")
+    primary = docs.where("cluster % 2 = 0").select("cluster", F.when(F.col("cluster") % 6 != 0, digest(F.col("text"))).alias("data"))
+    base = docs.where("cluster % 3 = 0").select("cluster", digest(F.col("lang")).alias("data"))
+    return image.layered(primary, base, 4).select("cluster", "source", F.sha2("data", 256).alias("data_sha256"))
+
+
+@query("SELECT doc_id AS cluster, CAST((doc_id * 977) // 8191 AS BIGINT) AS l1, CAST((doc_id * 977) % 8191 AS BIGINT) AS l2 FROM documents")
+def image_geometry(spark, sf_dir):
+    l1, l2 = image.geometry(F.col("cluster") * 977, 65536)
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("cluster")).select("cluster", l1.alias("l1"), l2.alias("l2"))
+
+
+# ---- rows as text
+
+@query("SELECT event_id, format('{:016x}{:08x}', epoch_us(ts) // 1000000 + 4611686018427387904, CAST(event_id % 1000000000 AS BIGINT)) AS label FROM events")
+def segment_label_tai64n(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    seconds = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")
+    return events.select("event_id", L.tai64n(seconds, F.col("event_id") % 1_000_000_000).alias("label"))
+
+
+@query(f"""WITH {ENTRIES_SQL} SELECT segment, entry_index, CASE op WHEN 'W' THEN 'WRITE' WHEN 'T' THEN 'TRIM' ELSE 'UNKNOWN(' || op || ')' END AS kind, block, block + length // {BLOCK_SIZE} - 1 AS block_end,
+length // {BLOCK_SIZE} AS n_blocks, block * {BLOCK_SIZE} AS offset_start, block * {BLOCK_SIZE} + length - 1 AS offset_end, printf('%.1f KiB', length / 1024.0) AS size FROM entries""")
+def show_entries(spark, sf_dir):
+    from palimpsest.operators.show import described
+
+    return described(entries(spark, sf_dir), BLOCK_SIZE).select("segment", "entry_index", "kind", "block", "block_end", "n_blocks", "offset_start", "offset_end", "size")
+
+
+@query("""SELECT o_orderkey, CASE WHEN n >= 1073741824 THEN printf('%.1f GiB', n / 1073741824.0) WHEN n >= 1048576 THEN printf('%.1f MiB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.1f KiB', n / 1024.0) ELSE n || ' B' END AS size
+FROM (SELECT o_orderkey, CAST(o_orderkey * o_orderkey AS BIGINT) AS n FROM orders)""")
+def formatted_sizes(spark, sf_dir):
+    n = (F.col("o_orderkey") * F.col("o_orderkey")).cast("long")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", L.format_size(n).alias("size"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey * CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 ELSE 1073741824 END AS BIGINT) AS bytes FROM orders")
+def parsed_sizes(spark, sf_dir):
+    suffix = F.element_at(F.array(F.lit(""), F.lit("k"), F.lit(" MB"), F.lit("G")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    text = F.concat(F.col("o_orderkey").cast("string"), suffix)
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", L.parse_size(text).alias("bytes"))
+
+
+@query("SELECT CAST(day(ts) AS BIGINT) AS segment, CAST(count(*) AS BIGINT) AS entries, CAST(sum(CASE WHEN event_type <> 'error' THEN (1 + event_id % 8) * 4096 ELSE 0 END) AS BIGINT) AS bytes, CAST(sum(CASE WHEN event_type <> 'error' THEN (1 + event_id % 8) * 4096 ELSE 0 END) // 67108864 AS BIGINT) AS full_segments FROM events GROUP BY 1")
+def rotation_by_size(spark, sf_dir):
+    """How many full 64 MiB segments each day's log makes."""
+    bytes_ = F.sum(F.when(F.col("op") == "W", F.col("length")).otherwise(0))
+    return entries(spark, sf_dir).groupBy("segment").agg(F.count(F.lit(1)).alias("entries"), bytes_.alias("bytes"), F.floor(bytes_ / F.lit(64 << 20)).cast("long").alias("full_segments"))
