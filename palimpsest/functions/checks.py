@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType, LongType
 
 #: Castagnoli polynomial, reflected.
 _POLYNOMIAL = 0x82F63B78
@@ -31,7 +32,7 @@ def crc32c(data: bytes) -> int:
     return c ^ 0xFFFFFFFF
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def crc32c_col(data: pd.Series) -> pd.Series:
     """CRC-32C of each value, all rows a byte at a time together."""
     table = np.array(_table(), np.uint32)
@@ -56,12 +57,12 @@ def lz4_unpack(data: bytes, length: int) -> bytes:
     return pa.Codec("lz4_raw").decompress(data, decompressed_size=length, asbytes=True)
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def lz4_compress(data: pd.Series) -> pd.Series:
     return data.map(lz4_pack, na_action="ignore")
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def lz4_decompress(data: pd.Series, length: pd.Series) -> pd.Series:
     return pd.Series([None if d is None else lz4_unpack(d, int(n)) for d, n in zip(data, length)])
 
