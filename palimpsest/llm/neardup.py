@@ -1,14 +1,15 @@
 """MinHash near-duplicates with sequential Bayesian verification (operator 6).
 
 Exact copies of a shingle set collapse to a class first, so no later step sees a copy twice. The
-classes' signatures are banded. Candidates come in three rounds, and none emits the pairs of a
+classes' signatures are banded. Candidates come in two rounds, and neither emits the pairs of a
 bucket: first each member against the bucket's smallest id; then, in buckets that still hold
-different components, each member's most alike member outside its component, block against block
-of bounded size; at last, whatever such pairs remain. Candidates are compared signature batch by
-signature batch, and dropped once the posterior chance that they reach the threshold falls under
-``MISS``; survivors are confirmed on their full shingle sets. Components of the links are found by
-minimum label propagation with pointer jumping. Every intermediate table is written to the shared
-folder; nothing of the corpus comes to the driver but counts.
+different components, block against block of bounded size, where only members of different
+components are compared, each pair in the first band it shares, and only new links leave the task.
+Candidates are compared signature batch by signature batch, and dropped once the posterior chance
+that they reach the threshold falls under ``MISS``; survivors are confirmed on their full shingle
+sets. Components of the links are found by minimum label propagation with pointer jumping. Every
+intermediate table is written to the shared folder; nothing of the corpus comes to the driver but
+counts.
 """
 
 from __future__ import annotations
@@ -29,9 +30,7 @@ ROWS = 6
 MISS = 1e-6
 BATCH = 24
 #: Members of a block; two blocks are compared in one task.
-BLOCK = 256
-#: Nearest members outside its component that the second round checks for each member and block.
-NEAREST = 3
+BLOCK = 1024
 
 
 def bands_for(similarity: int) -> int:
@@ -156,6 +155,16 @@ def _bayes(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _linked(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
+    """Whether two sorted sets reach the similarity (percent)."""
+    low, high = min(len(x), len(y)), max(len(x), len(y))
+    if 100 * low < similarity * high:
+        return False
+    at = np.searchsorted(x, y)
+    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+    return 100 * both >= similarity * (len(x) + len(y) - both)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs linked by their full sets."""
     one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
@@ -165,13 +174,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                low, high = min(len(x), len(y)), max(len(x), len(y))
-                if 100 * low < similarity * high:
-                    continue
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                if 100 * both >= similarity * (len(x) + len(y) - both):
+                if _linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), similarity):
                     keep.append(i)
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
@@ -207,8 +210,8 @@ def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(old.union(fresh), "labels")
 
 
-def _unresolved(entries: DataFrame, labels: DataFrame, reps: DataFrame, similarity: int, nearest: int | None) -> DataFrame:
-    """Candidates between components that share a bucket, its first member aside: block against block."""
+def _rest(entries: DataFrame, labels: DataFrame, full_sets: DataFrame, similarity: int) -> DataFrame:
+    """Links ``a, b`` between components that share a bucket, its first member aside: block against block."""
     named = labels.select(F.col("node").alias("rep"), "label")
     members = entries.join(named, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = members.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("band", "key", "center", "n")
@@ -232,21 +235,33 @@ def _unresolved(entries: DataFrame, labels: DataFrame, reps: DataFrame, similari
         )),
     )
     met = placed.select("band", "key", "rep", "label", F.explode("meets").alias("m")).select("band", "key", F.col("m.r").alias("r"), F.col("m.o").alias("o"), "rep", "label")
-    full = met.join(reps.select("rep", "sig"), "rep")
+    full = met.join(full_sets, "rep")
 
     def compare(table: pa.Table) -> pa.Table:
+        band = table.column("band")[0].as_py()
         rep, label = table.column("rep").to_numpy(), table.column("label").to_numpy()
         sig = np.stack([np.frombuffer(x.as_py(), "<u2") for x in table.column("sig")])
+        keys = np.stack([x.values.to_numpy() for x in table.column("keys")])
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+        names, owner = np.unique(label, return_inverse=True)  # components, merged as links are found
+        # the smaller components ask, so that a large one is compared with few
+        order = np.argsort(np.bincount(owner, minlength=len(names))[owner], kind="stable")
         out_a, out_b = [], []
-        for i in range(len(rep) - 1):
-            others = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        for at, i in enumerate(order[:-1]):
+            others = order[at + 1 :]
+            others = others[owner[others] != owner[i]]
             if not len(others):
                 continue
-            got = others[_survive(np.broadcast_to(sig[i], (len(others), sig.shape[1])), sig[others], similarity)]
-            if nearest is not None and len(got) > nearest:  # the next round handles the rest
-                got = got[np.argsort(-(sig[got] == sig[i]).sum(axis=1), kind="stable")[:nearest]]
-            out_a += [min(rep[i], rep[j]) for j in got]
-            out_b += [max(rep[i], rep[j]) for j in got]
+            shared = keys[others] == keys[i]
+            others = others[shared.argmax(axis=1) == band]
+            if not len(others):
+                continue
+            others = others[_survive(np.broadcast_to(sig[i], (len(others), sig.shape[1])), sig[others], similarity)]
+            for j in others[np.argsort(-(sig[others] == sig[i]).sum(axis=1), kind="stable")]:
+                if owner[j] != owner[i] and _linked(sets[i], sets[j], similarity):
+                    owner[owner == owner[j]] = owner[i]
+                    out_a.append(min(rep[i], rep[j]))
+                    out_b.append(max(rep[i], rep[j]))
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     return full.groupBy("band", "key", "r", "o").applyInArrow(compare, "a long, b long").distinct()
@@ -270,29 +285,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, similarity: int = 85, id_
     entries = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = entries.groupBy("band", "key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(entries.join(buckets.select("band", "key", "center"), ["band", "key"]), "entries")
-    ids = shared.select("rep").distinct()
-    texts = docs.select(docs[id_col].cast("long").alias("rep"), docs[text_col].alias("__body")).join(ids, "rep")
+    ids = reps.join(shared.select("rep").distinct(), "rep").select("rep", "sig", F.col("bands").alias("keys"))
+    texts = docs.select(docs[id_col].cast("long").alias("__id"), docs[text_col].alias("__body")).join(ids, F.col("__id") == F.col("rep"))
 
     def start():
         return lambda column: [pa.array([s.tobytes() for s in shingle_sets(column, shingle)], pa.binary())]
 
-    sets = append_columns(texts, "__body", start, [T.StructField("shingles", T.BinaryType())], keep=["rep"])
-    sets = stored(sets.groupBy("rep").agg(F.max("shingles").alias("shingles")), "sets")
-
-    def links(pairs: DataFrame, checked: bool = False) -> DataFrame:
-        kept = pairs if checked else _bayes(pairs, reps, similarity)
-        return stored(_confirm(kept, sets, similarity), "links")
+    sets = append_columns(texts, "__body", start, [T.StructField("shingles", T.BinaryType())], keep=["rep", "sig", "keys"])
+    sets = stored(sets.groupBy("rep").agg(F.max("shingles").alias("shingles"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "sets")
 
     star = shared.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    labels = _merge(None, links(star))
-    plain = shared.select("rep", "band", "key")
-    for nearest in (NEAREST, None):
-        pairs = stored(_unresolved(plain, labels, reps, similarity, nearest), "pairs")
-        if not pairs.limit(1).count():
-            break
-        found = links(pairs, checked=True)
-        if found.limit(1).count():
-            labels = _merge(labels, found)
+    labels = _merge(None, stored(_confirm(_bayes(star, reps, similarity), sets, similarity), "links"))
+    found = stored(_rest(shared.select("rep", "band", "key"), labels, sets, similarity), "rest")
+    if found.limit(1).count():
+        labels = _merge(labels, found)
     of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
     named = known.select("doc_id", "n_shingles", "digest").join(of_class, "digest").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     lone = sketches.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
