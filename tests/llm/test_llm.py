@@ -80,6 +80,18 @@ def test_lm_is_a_distribution():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+@pytest.mark.parametrize("n,distinct", [(1, 1), (5000, 3), (4000, 900), (700, 700), (4096, 1)])
+def test_run_sums(n, distinct):
+    rng = np.random.default_rng(n)
+    rows = np.sort(rng.zipf(1.3, n) % distinct)
+    values = rng.normal(size=(64, 5))
+    source = rng.integers(0, 64, n)
+    sums, first = lm._run_sums(values, source, np.concatenate([[True], rows[1:] != rows[:-1]]))
+    assert sorted(rows[first]) == sorted(set(rows))
+    for total, row in zip(sums, rows[first]):
+        assert np.allclose(total, values[source[rows == row]].sum(axis=0))
+
+
 def test_spots(spark, docs, empty, texts):
     rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["text"] or ""))
     got = spots.fingerprint_query(docs).collect()
