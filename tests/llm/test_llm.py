@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -177,6 +178,20 @@ def test_pii(docs, empty):
     assert cleaned.where("doc_id = 0").first()["text"] is None and pii.redact(empty, model).count() == 0
 
 
+def test_pii_takes_time_in_proportion():
+    """Long runs and half-written addresses once took quadratic time or more."""
+    model, n = pii.default_model(), 60_000
+    began = time.time()
+    for t in ("1" * n, "abc123" * (n // 6), "x at " + "b dot " * (n // 6), "0123456789abcdef" * (n // 16), "123" + " " * n, "(123) 555-1234 " * (n // 15), "a@" * (n // 2)):
+        pii.find(t, model)
+    assert time.time() - began < 30
+    rng = random.Random(5)
+    good = lambda m: all(int(p) <= 255 for p in m.group().split("."))
+    for _ in range(3000):
+        t = "".join(rng.choice("1234..  255") for _ in range(24))
+        assert [s[1:] for s in pii.base_spans(t) if s[0] == "ip"] == [m.span() for m in pii.IP.finditer(t) if good(m)]
+
+
 @pytest.mark.parametrize("k,percent", [(3, 85), (5, 80)])
 def test_near_duplicates(spark, docs, empty, k, percent):
     base = " ".join(f"w{i}" for i in range(150)).split()
