@@ -75,4 +75,21 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_lm_score, op2_spot_signatures, op3_chat_format, op4_sentencepiece, op5_personal_data, op6_near_duplicates, op7_quality_rules, op8_token_records, op9_language_id, op10_harmonic_packing)}
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL of the formatting query: turns and loss text as the contract words them, lengths by the template's escaping.
+_CHAT_SQL = rf"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{EXTRA}' UNION ALL SELECT -7, 1, 'assistant', '{EXTRA}'),
+e AS (SELECT *, length(regexp_replace(replace(role || chr(0) || text, '\', '\\'), '<(/?(?:turn|text)>)', '<\\\1', 'g')) - 1 AS escaped FROM r),
+g AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '') AS loss, sum(escaped + {len(chat.OPEN + chat.TEXT + chat.CLOSE) + 1}) AS chars FROM e GROUP BY conv_id)
+SELECT conv_id, CAST(n AS BIGINT) AS n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars, 'messages' AS layout FROM g"""
+#: DuckDB SQL of the near-duplicate query: full sets compared by shared shingles, and their closure.
+_NEAR_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS s FROM w),
+c AS MATERIALIZED (SELECT doc_id, s, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS rep FROM s),
+x AS (SELECT doc_id AS rep, n, unnest(s) AS shingle FROM c WHERE doc_id = rep),
+l AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.rep <> b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT DISTINCT rep AS node, rep AS far FROM c UNION SELECT r.node, l.b FROM r JOIN l ON r.far = l.a),
+m AS (SELECT node AS rep, min(far) AS component_id FROM r GROUP BY node)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM c JOIN m USING (rep)"""
+#: Trained models, hash functions and tokenizers of the other queries are beyond SQL; tests hold those against brute force and the libraries.
+ORACLES: dict[str, str] = {"op3_chat_format": _CHAT_SQL, "op6_near_duplicates": _NEAR_SQL}

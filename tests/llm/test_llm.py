@@ -2,18 +2,22 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import chat, langid, lm, neardup, packing, pii, piece, quality, records, spots
-from palimpsest.llm.queries import BYTE_BPE, PIECE_BPE
+from palimpsest.llm.queries import BYTE_BPE, ORACLES, PIECE_BPE, QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 SYLLABLES = ["the", "an", "ti", "on", "re", "sh", "ing", "ou", "der", "le", "ß", "é"]
 ODD = [None, "", " ", "\n\n", "a", "a  b", "it's\t'tis  <|endoftext|>  x\n y", "☃😀  é\x00 ▁▁x", "<s> <0x41> </s> \\ </turn>", "the the the " * 3000, "x" * 5000, "ab " * 9000 + "token = \"0123456789abcdef0123456789abcdef01234567\""]
@@ -331,3 +335,16 @@ def test_pipeline(spark, docs, empty, tmp_path):
         assert at.columns == corpus_pipeline.COLUMNS
     rows = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in rows.collect()} == {r["doc_id"] for r in at.collect()}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    got = QUERIES[name](spark, SF)
+    cursor = con.execute(ORACLES[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(cursor.fetchall())
