@@ -122,6 +122,23 @@ def test_spots(spark, docs, empty, texts):
     assert found == want and all((name[a] == name[b]) == (sets[a] == sets[b]) for a in sets for b in sets)
 
 
+@pytest.mark.parametrize("block", [3, 2048])
+def test_similar_sets_of_a_large_bucket(spark, monkeypatch, block):
+    """A group of near copies with different texts loses no pair, whole or dealt to a grid."""
+    monkeypatch.setattr(spots, "BLOCK", block)
+    rng = random.Random(8)
+    base = " ".join(f"the w{i} is v{i}" for i in range(60)).split()
+    group = [" ".join(w if rng.random() > 0.01 else f"q{rng.randrange(99)}" for w in base) for _ in range(50)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(group + group[:3])] + [(None, group[0]), (90, None)], "doc_id long, text string")
+    sets = {r["doc_id"]: frozenset(r["sigs"]) for r in spots.with_signatures(df.where("text is not null and doc_id is not null"), "text", "sigs").collect()}
+    classes, pairs = spots.similar(df, 0.8)
+    name = {r["doc_id"]: r["class_id"] for r in classes.collect()}
+    assert name == {d: min(x for x in sets if sets[x] == sets[d]) for d in sets}
+    reps = sorted(set(name.values()))
+    rows = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(a, b) for a in reps for b in reps if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])} != set()
+
+
 def test_chat(spark):
     layouts = ['{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"</turn>\\\\n"}]}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', '[{"role":"user","content":"x"}]', '{"prompt":"p","completion":"c"}', '{"instruction":"i","input":"","output":"o"}', '{"unknown":1}', "broken", None]
     rows = chat.canonical_turns(spark.createDataFrame([(i, x, "clash") for i, x in enumerate(layouts)], "i int, record string, layout string")).orderBy("i").collect()
