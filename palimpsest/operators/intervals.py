@@ -47,8 +47,8 @@ def gaps(df: DataFrame, lo: int, hi: int, width: int = BUCKET) -> DataFrame:
     """The parts of [lo, hi) that no interval covers."""
     spark = df.sparkSession
     covered = _islands(cut(df.select("lo", "hi"), "lo", "hi", width), ["bucket"])
-    whole = cut(spark.range(1).select(F.lit(lo).cast("long").alias("lo"), F.lit(hi).cast("long").alias("hi")), "lo", "hi", width)
-    frames = whole.select("bucket", F.col("lo").alias("a"), F.col("hi").alias("b"))
+    bucket = F.col("id")  # generated in parallel, however long the range
+    frames = spark.range(lo // width, -(-hi // width)).select(bucket.alias("bucket"), F.greatest(F.lit(lo), bucket * width).alias("a"), F.least(F.lit(hi), (bucket + 1) * width).alias("b"))
     inside = frames.join(covered, "bucket", "left")
     order = Window.partitionBy("bucket").orderBy("lo")
     start = F.greatest(F.col("a"), F.coalesce(F.lag("hi").over(order), F.col("a")))

@@ -1,6 +1,7 @@
 """Every registered query with SQL equals DuckDB on the smallest tables."""
 
 import os
+import zlib
 
 import duckdb
 import pytest
@@ -18,6 +19,14 @@ def con():
     return c
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_payload_crc32(spark):
+    """Checksums in SQL are too slow on whole texts; the library's are the measure here."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    rows = QUERIES["payload_crc32"](spark, SF).collect()
+    assert len(rows) == len(texts) and all(r["valid"] and r["checksum"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in rows)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
