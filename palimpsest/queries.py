@@ -222,6 +222,13 @@ def payload_slice(spark, sf_dir):
     return docs.select("doc_id", F.sha2(part, 256).alias("part_sha256"))
 
 
+@query("SELECT doc_id, sha256(unhex(substr(hex(encode(text)), 33, 128))) AS part_sha256 FROM documents")
+def payload_slice_bytes(spark, sf_dir):
+    """Two blocks of the UTF-8 bytes of every text: null stays null, a short text gives a shorter slice."""
+    part = compact.slice_payload(F.encode("text", "UTF-8"), F.lit(3), F.lit(2), F.lit(4), 16)
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2(part, 256).alias("part_sha256"))
+
+
 @query()
 def payload_crc32(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))

@@ -1,5 +1,6 @@
 """Every registered query with SQL equals DuckDB on the smallest tables."""
 
+import hashlib
 import os
 import zlib
 
@@ -27,6 +28,16 @@ def test_payload_crc32(spark):
     assert len(rows) == len(texts) and all(r["valid"] and r["checksum"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in rows)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_payload_slice_takes_every_document(spark, tmp_path):
+    """Bytes, not characters, of accented, short, empty and null texts too."""
+    made = [(-1, "é☃" * 40), (-2, "kurz"), (-3, ""), (-4, None), (-5, "x" * 16 + "é"), (-6, "a" * 15 + "é" * 60)]
+    spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(made, "doc_id long, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["part_sha256"] for r in QUERIES["payload_slice_bytes"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else hashlib.sha256(t.encode()[16:80]).hexdigest() for i, t in texts.items()}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
