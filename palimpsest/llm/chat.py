@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 TURNS = "array<struct<role string, text string>>"
+#: The parser's default refuses strings above 20,000,000 characters, and the whole record with them.
+JSON = {"maxStringLen": "2147483647"}
 
 
 @dataclass(frozen=True)
@@ -48,11 +50,11 @@ OPEN, TEXT, CLOSE = "<turn>", "<text>", "</turn>"
 
 def field_paths(record: Column) -> Column:
     """The sorted nested field paths of a JSON text: top fields, and the fields of objects in arrays and objects."""
-    top = F.from_json(record, "map<string,string>")
-    root = F.from_json(record, "array<map<string,string>>")
+    top = F.from_json(record, "map<string,string>", JSON)
+    root = F.from_json(record, "array<map<string,string>>", JSON)
 
     def below(name: Column, raw: Column) -> Column:
-        inside = F.when(F.ltrim(raw).startswith("["), F.flatten(F.transform(F.from_json(raw, "array<map<string,string>>"), lambda m: F.map_keys(m))))
+        inside = F.when(F.ltrim(raw).startswith("["), F.flatten(F.transform(F.from_json(raw, "array<map<string,string>>", JSON), lambda m: F.map_keys(m))))
         return F.transform(F.coalesce(F.filter(inside, lambda k: k.isNotNull()), F.array().cast("array<string>")), lambda k: F.concat(name, F.lit("[]."), k))
 
     nested = F.flatten(F.transform(F.map_entries(top), lambda e: F.concat(F.array(e["key"]), below(e["key"], e["value"]))))
@@ -69,12 +71,12 @@ def _mapped(layout: Layout, record: Column) -> Column:
     if layout.each:
         name, role, text = layout.each
         item = f"array<struct<`{role}` string, `{text}` string>>"
-        array = F.from_json(record, item) if name == "$" else F.from_json(record, f"`{name}` {item}")[name]
+        array = F.from_json(record, item, JSON) if name == "$" else F.from_json(record, f"`{name}` {item}", JSON)[name]
         known = F.create_map(*[F.lit(v) for kv in ROLES.items() for v in kv])
         role_of = (lambda m: F.coalesce(known[m[role]], m[role])) if role == "from" else (lambda m: m[role])
         return F.transform(array, lambda m: F.struct(F.coalesce(role_of(m), F.lit("")).alias("role"), F.coalesce(m[text], F.lit("")).alias("text")))
     names = sorted({f for _, fields in layout.parts for f in fields})
-    row = F.from_json(record, ", ".join(f"`{n}` string" for n in names))
+    row = F.from_json(record, ", ".join(f"`{n}` string" for n in names), JSON)
     parts = [F.struct(F.lit(role).alias("role"), F.array_join(F.filter(F.array(*[row[f] for f in fields]), lambda x: x != ""), "\n\n").alias("text")) for role, fields in layout.parts]
     return F.filter(F.array(*parts), lambda t: (t["role"] != "system") | (t["text"] != ""))
 

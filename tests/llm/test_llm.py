@@ -156,6 +156,20 @@ def test_chat(spark):
     assert chat.chat_digest(df.limit(0)).count() == 0
 
 
+def test_chat_keeps_very_long_turns(spark):
+    """A turn above the JSON parser's default of 20,000,000 characters, in rows and in a record of another layout."""
+    long = F.concat(F.lit("<turn> "), F.repeat(F.lit("y"), 21_000_000))
+    rows = spark.range(2).select(F.lit(5).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.when(F.col("id") == 0, F.lit("hi")).otherwise(long).alias("text"))
+    text = "<turn> " + "y" * 21_000_000
+    got = chat.chat_digest(rows).first()
+    assert got["layout"] == "messages" and got["n_turns"] == 2 and got["loss_chars"] == len(text)
+    assert got["turns_sha256"] == hashlib.sha256(f"user\nhi\nassistant\n{text}\n".encode()).hexdigest()
+    assert got["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    record = spark.range(1).select(F.to_json(F.struct(F.lit("hi").alias("prompt"), long.alias("completion"))).alias("record"))
+    turns = chat.canonical_turns(record).select("layout", F.transform("turns", lambda t: F.length(t["text"])).alias("n")).first()
+    assert turns["layout"] == "prompt" and turns["n"] == [2, len(text)]
+
+
 def test_pieces(docs, empty):
     import sentencepiece
 
