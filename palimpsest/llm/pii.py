@@ -1,8 +1,9 @@
 """Personal data by exact patterns and a semi-Markov conditional random field (operator 5).
 
-The exact patterns give the base spans, which always stay. Around cue characters and words, the
-field scores whole candidate spans of bounded length (spans of tokens) by features of the span as
-a unit: its shape, length class, digit counts, checks such as Luhn, and the words beside it.
+The exact patterns give the base spans, which always stay. Over the whole text, the field scores
+whole candidate spans (matches of the candidate patterns, and spans of tokens inside short ones) by
+features of the span as a unit: its shape, length class, digit counts, checks such as Luhn, and the
+words beside it.
 Dynamic programming over token boundaries picks the best labelling jointly; spans of the base are
 fixed segments in it. Weights are trained by the exact gradient of the log likelihood on sentences
 that a seeded generator writes, so there are no labels to collect and no model file to ship.
@@ -15,6 +16,7 @@ import random
 import re
 from bisect import bisect_left, bisect_right
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Tokens of a candidate at most.
+#: Tokens and end of a match at most for its sub-spans to be candidates too.
 MAX_TOKENS = 12
 
 
@@ -87,8 +89,6 @@ def _emails(text: str) -> list[tuple[str, int, int]]:
 # ---- the field
 
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\W\d_]+|[^\sA-Za-z0-9]|_")
-#: Where the field looks: digits in a row, an at sign, written-out addresses, long hexadecimal or mixed strings.
-_CUE = re.compile(r"[0-9]{3}|@|(?i:\bat\b[\s\S]{0,40}?\bdot\b)|(?i:\b(?:token|secret|password|passwd|api[_ -]?key|key)\b\s*[=:])")
 _SECRET_WORD = re.compile(r"(?i)(?:token|secret|password|passwd|api[_ -]?key|key)\s*[=:]\s*[\"']?$")
 _PHONE_WORD = re.compile(r"(?i)(?:phone|tel|telephone|call|mobile|fax|cell)\W{0,3}(?:me|us|at|no|number)?\W{0,3}$")
 _MAIL_WORD = re.compile(r"(?i)(?:mail|contact|write|reach)\W{0,3}(?:to|me|us|at)?\W{0,3}$")
@@ -100,6 +100,13 @@ _WRITTEN_MAIL = re.compile(rf"(?i)[a-z0-9._-]{{1,64}}{_SEP}\bat\b{_UNSEP}[a-z0-9
 _LOCAL_PHONE = re.compile(r"\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}")
 _HEX = re.compile(r"[0-9a-fA-F]{24,}|[A-Za-z0-9_/+-]{28,}={0,2}")
 _WRITTEN_IP = re.compile(r"(?:[0-9]{1,3}\s*(?:\[\.\]|\(dot\)|\[dot\])\s*){3}[0-9]{1,3}")
+# what each match of those patterns contains or lies in, and is quick to find
+_DOT = re.compile(r"[dD][oO][tT]\b")
+_AT = re.compile(rf"(?i)\bat\b(?={_UNSEP}[a-z0-9-]{{1,63}}{_SEP}\bdot\b)")
+_DIGITS = re.compile("[0-9]{3}")
+_RUN = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{24,}+")
+#: Longest part of a written mail before its "at", and of a local phone before or after three digits in a row.
+_MAIL_AHEAD, _PHONE_REACH = 64 + 9, 24
 
 
 def features(text: str, a: int, b: int, kind: str) -> list[str]:
@@ -125,62 +132,83 @@ def features(text: str, a: int, b: int, kind: str) -> list[str]:
     return out
 
 
-def candidates(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
-    """Spans from token boundary to token boundary in a window, ``MAX_TOKENS`` at most, that any kind could take."""
+def _written_mails(text: str):
+    """Matches of the written mail pattern; each is sought only from where its local part can start."""
+    if not _DOT.search(text):
+        return
+    done = 0
+    for at in _AT.finditer(text):
+        for a in range(max(done, at.start() - _MAIL_AHEAD), at.start()):
+            if m := _WRITTEN_MAIL.match(text, a):
+                done = m.end()
+                yield m
+                break
+
+
+def _local_phones(text: str):
+    """Matches of the local phone pattern; each has three digits in a row."""
+    near: list[list[int]] = []
+    for m in _DIGITS.finditer(text):
+        a, b = max(0, m.start() - _PHONE_REACH), m.end() + _PHONE_REACH
+        if near and a <= near[-1][1]:
+            near[-1][1] = b
+        else:
+            near.append([a, b])
+    for a, b in near:
+        yield from _LOCAL_PHONE.finditer(text, a, b)
+
+
+def _matches(text: str):
+    """All matches of the candidate patterns in a text."""
+    yield from _written_mails(text)
+    for m in _RUN.finditer(text):
+        yield from _HEX.finditer(text, m.start(), m.end() + 2)
+    if _DIGIT(text):
+        yield from _local_phones(text)
+        if "[.]" in text or "(dot)" in text or "[dot]" in text:
+            yield from _WRITTEN_IP.finditer(text)
+        yield from CARD.finditer(text)
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Spans that any kind could take: each match of a candidate pattern, whatever its length, and the spans from token boundary to token boundary in one of fewer than ``MAX_TOKENS`` tokens."""
     found = set()
-    for pattern in (_WRITTEN_MAIL, _LOCAL_PHONE, _WRITTEN_IP, _HEX, CARD):
-        for m in pattern.finditer(text, lo, hi):
-            if m.end() - m.start() < 7:
-                continue
-            found.add(m.span())
-            cuts = [t.start() for t in _TOKEN.finditer(text, *m.span())] + [m.end()]
-            if len(cuts) <= MAX_TOKENS:  # sub-spans compete, so that boundaries are chosen jointly with kinds
-                found.update((x, y) for i, x in enumerate(cuts) for y in cuts[i + 1 :] if y - x >= 7 and text[y - 1] not in " .-")
+    for m in _matches(text):
+        if m.end() - m.start() < 7:
+            continue
+        found.add(m.span())
+        cuts = [t.start() for t in islice(_TOKEN.finditer(text, *m.span()), MAX_TOKENS)] + [m.end()]
+        if len(cuts) <= MAX_TOKENS:  # sub-spans compete, so that boundaries are chosen jointly with kinds
+            found.update((x, y) for i, x in enumerate(cuts) for y in cuts[i + 1 :] if y - x >= 7 and text[y - 1] not in " .-")
     return sorted(found)
 
 
-def decode(text: str, weights: dict[str, float], fixed: list[tuple[str, int, int]], windows: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+def decode(text: str, weights: dict[str, float], fixed: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """The best set of disjoint spans that also avoid ``fixed``; the score of no span is 0."""
-    out = []
     starts, reach = [], [0]  # of the fixed spans: starts in order, and the furthest end of those before
     for _, a, b in sorted(fixed, key=lambda s: s[1]):
         starts.append(a), reach.append(max(reach[-1], b))
-    for lo, hi in windows:
-        scored = []
-        for a, b in candidates(text, lo, hi):
-            if reach[bisect_left(starts, b)] > a:
-                continue
-            best = max((sum(weights.get(f, 0.0) for f in features(text, a, b, k)), k) for k in KINDS)
-            if best[0] > 0:
-                scored.append((b, a, *best))
-        if not scored:
+    scored = []
+    for a, b in candidates(text):
+        if reach[bisect_left(starts, b)] > a:
             continue
-        scored.sort()
-        ends = [s[0] for s in scored]
-        value, back = [0.0], []
-        for i, (b, a, s, k) in enumerate(scored):
-            j = bisect_right(ends, a, 0, i)
-            if value[j] + s > value[i]:
-                value.append(value[j] + s), back.append((j, (k, a, b)))
-            else:
-                value.append(value[i]), back.append((i, None))
-        i = len(scored)
-        while i:
-            i, span = back[i - 1]
-            if span:
-                out.append(span)
-    return out
-
-
-def windows(text: str) -> list[tuple[int, int]]:
-    """Merged stretches around cues."""
-    out: list[tuple[int, int]] = []
-    for m in _CUE.finditer(text):
-        a, b = max(0, m.start() - 48), min(len(text), m.end() + 72)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        best = max((sum(weights.get(f, 0.0) for f in features(text, a, b, k)), k) for k in KINDS)
+        if best[0] > 0:
+            scored.append((b, a, *best))
+    scored.sort()
+    ends = [s[0] for s in scored]
+    value, back = [0.0], []
+    for i, (b, a, s, k) in enumerate(scored):
+        j = bisect_right(ends, a, 0, i)
+        if value[j] + s > value[i]:
+            value.append(value[j] + s), back.append((j, (k, a, b)))
         else:
-            out.append((a, b))
+            value.append(value[i]), back.append((i, None))
+    out, i = [], len(scored)
+    while i:
+        i, span = back[i - 1]
+        if span:
+            out.append(span)
     return out
 
 
@@ -234,7 +262,7 @@ def train(sentences: list[tuple[str, list[tuple[str, int, int]]]], epochs: int =
     data = []
     names: dict[str, int] = {}
     for text, spans in sentences:
-        cs = candidates(text, 0, len(text))
+        cs = candidates(text)
         items = [(b, a, k, [names.setdefault(f, len(names)) for f in features(text, a, b, k)]) for a, b in cs for k in KINDS]
         items.sort()
         gold = {(a, b, k) for k, a, b in spans}
@@ -281,8 +309,7 @@ def find(text: str | None, weights: dict[str, float]) -> tuple[list[tuple[str, i
     """Base spans, and all spans by kind as listed, then start. Null counts as empty."""
     text = text or ""
     base = base_spans(text)
-    where = windows(text)
-    added = decode(text, weights, base, where) if where else []
+    added = decode(text, weights, base)
     if not added:
         return base, base
     order = {k: i for i, k in enumerate(KINDS)}

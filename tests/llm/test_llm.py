@@ -213,6 +213,28 @@ def test_pii(docs, empty):
     assert cleaned.where("doc_id = 0").first()["text"] is None and pii.redact(empty, model).count() == 0
 
 
+def test_pii_looks_at_the_whole_text():
+    """Candidates without three digits in a row or a keyword, and ones longer than any window."""
+    model, mixed = pii.default_model(), "ABCDa1b2EFGHi3j4klmn5o6pABCDa7b8hij9"
+    assert pii.find("host 10[.]20[.]30[.]40 up", model)[1] == [("ip", 5, 22)]
+    assert pii.find("10(dot)0(dot)0(dot)7", model)[1] == [("ip", 0, 20)]
+    assert pii.find(f"see {mixed}k ok", model)[1] == [("secret", 4, 41)]
+    assert pii.find(f"key = {mixed * 4} end", model)[1] == [("secret", 6, 150)]
+    assert pii.find("write joe at " + "a" * 60 + " dot com", model)[1] == [("email", 6, 81)]
+    rng = random.Random(3)
+    parts = ["at", "dot", "(dot)", "[.]", "12", "345", "6789", " ", "-", ".", "(", ")", "abcdefabcdefabcdef0011ff", "x", "@", "[at]", "AT", "com", "0123456789abcdef", "=", "é"]
+    for _ in range(2000):
+        t = rng.choice(["", " "]).join(rng.choice(parts) for _ in range(rng.randint(1, 30)))
+        every = {m.span() for p in (pii._WRITTEN_MAIL, pii._LOCAL_PHONE, pii._WRITTEN_IP, pii._HEX, pii.CARD) for m in p.finditer(t) if m.end() - m.start() >= 7}
+        assert every <= set(pii.candidates(t))
+
+
+def test_redact_leaves_no_rest_of_a_long_key(spark):
+    key = "0a1b2c3d" * 30
+    df = spark.createDataFrame([(1, f'token = "{key}" end'), (2, "from 10[.]20[.]30[.]40 on")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in pii.redact(df, pii.default_model()).collect()} == {1: 'token = "[SECRET]" end', 2: "from [IP] on"}
+
+
 def test_pii_takes_time_in_proportion():
     """Long runs and half-written addresses once took quadratic time or more."""
     model, n = pii.default_model(), 60_000
