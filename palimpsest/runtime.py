@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 PACKAGE_DIR = os.path.dirname(os.path.abspath(__file__))
 REPO_DIR = os.path.dirname(PACKAGE_DIR)
 
-#: Rows of one Arrow batch sent to Python; keeps a batch of long texts small.
-ARROW_ROWS = 512
+#: Rows and bytes of one Arrow batch sent to Python at most (one row at least); keeps a batch of long texts small.
+ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,9 +53,29 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The tables of one job in the shared folder: ``drop`` deletes them once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(self.spark, label)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+        self.paths = []
+
+
 def prepare(spark: SparkSession) -> None:
     """Bound Arrow batches and make the package importable by Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_palimpsest_shipped", False):
         return
