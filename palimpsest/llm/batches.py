@@ -15,6 +15,9 @@ PIECE_BYTES = 1 << 20
 #: Bytes of text handled as one group of documents.
 GROUP_BYTES = 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
+_LANES = np.array([0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7], np.uint64)
+_PLACE, _LENGTH = np.uint64(0xD1342543DE82EF95), np.uint64(0xA0761D6478BD642F)
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 #: Word breaks: space and \t \n \v \f \r.
@@ -78,36 +81,41 @@ def spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray) -> tuple[np
     return starts, ends, docs
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span (spans ascending, disjoint), piece by piece."""
-    out = np.empty(len(starts), np.uint64)
-    a = 0
-    while a < len(starts):
-        b = int(np.searchsorted(ends, starts[a] + PIECE_BYTES, side="right"))
-        b = max(b, a + 1)
-        lo, hi = int(starts[a]), int(ends[b - 1])
-        s, e = starts[a:b] - lo, ends[a:b] - lo
-        length = e - s
-        run = np.repeat(s, length)  # start of each byte's own span
-        at = np.arange(len(run)) - np.repeat(np.cumsum(length) - length, length)
-        powers = _powers(int(length.max()))
-        terms = (data[lo:hi][run + at].astype(np.uint64) + np.uint64(1)) * powers[at]
-        sums = np.add.reduceat(terms, np.cumsum(length) - length)
-        out[a:b] = mix(sums ^ (length.astype(np.uint64) << np.uint64(48)))
-        a = b
-    return out
-
+def _words_at(words: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The ``count`` (1 to 8) bytes from each offset as little-endian numbers; ``words`` are the aligned ones, two spare at the end."""
+    cell, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+    low = words[cell] >> shift
+    low |= (words[cell + 1] << (np.uint64(63) - shift)) << np.uint64(1)  # no shift by 64
+    return low & _MASKS[count]
 
-_POWERS = np.ones(1, np.uint64)
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span. Two lanes make 128 bits.
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        steps = np.full(max(n, 256), _BASE, np.uint64)
-        steps[0] = 1
-        _POWERS = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS
+    Each eight bytes are mixed with their place in the span, and the mixed values are added up, so
+    no two ordinary texts collide by their structure, as they can in a polynomial modulo 2^64.
+    """
+    n = len(starts)
+    if not n:
+        return np.empty(0, np.uint64)
+    words = np.zeros(len(data) // 8 + 3, np.uint64)
+    words.view(np.uint8)[: len(data)] = data
+    key, length = _LANES[lane], ends - starts
+    out = mix(_words_at(words, starts, np.minimum(length, 8)) ^ key)
+    long = np.flatnonzero(length > 8)
+    if len(long):
+        more = (length[long] - 1) // 8  # words behind the first
+        after = np.cumsum(more)
+        for a in range(0, int(after[-1]), PIECE_BYTES // 8):  # bounds the temporary arrays
+            at = np.arange(a, min(a + PIECE_BYTES // 8, int(after[-1])))
+            owner = np.searchsorted(after, at, side="right")
+            place = at - (after - more)[owner] + 1
+            span = long[owner]
+            first = starts[span] + 8 * place
+            terms = mix(_words_at(words, first, np.minimum(ends[span] - first, 8)) ^ mix(key + place.astype(np.uint64) * _PLACE))
+            fresh = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            out[span[fresh]] += np.add.reduceat(terms, fresh)
+    return mix(out + length.astype(np.uint64) * _LENGTH)
 
 
 def shingle_hashes(words: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +130,14 @@ def shingle_hashes(words: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndar
     return h[whole], docs[:n][whole]
 
 
+def window_hashes(words: np.ndarray) -> np.ndarray:
+    """Hashes of windows, one row of word hashes each."""
+    h = np.full(len(words), np.uint64(words.shape[1]))
+    for j in range(words.shape[1]):
+        h = mix(h * np.uint64(_BASE) + words[:, j])
+    return h
+
+
 def append_columns(df: DataFrame, text_col: str, start: Callable[[], Callable], fields: list[T.StructField], keep: list[str] | None = None) -> DataFrame:
     """``df``'s columns (or ``keep``) plus ``fields``, computed batch by batch from the text column.
 

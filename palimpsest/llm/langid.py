@@ -2,8 +2,8 @@
 
 A linear classifier on hashed byte n-grams first picks the language family; within the family,
 one-versus-one linear support vector machines vote, ties going to the larger margin. Training
-takes at most ``per_language`` documents of each language (a parameter), chosen by a hash of the
-id; scoring reads whole texts.
+takes at most ``per_language`` documents of each language (a parameter), chosen by a hash of id
+and text; scoring reads whole texts.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from palimpsest.llm.batches import LOWER_TABLE, append_columns, field, flat, groups
 
 BINS = 4096
-PER_LANGUAGE = 1000
+#: Training rows of a language, and languages learned, at most.
+PER_LANGUAGE, LANGUAGES = 1000, 200
 #: Families of common languages; a language not listed is a family of its own.
 FAMILIES = {
     "en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic",
@@ -128,15 +129,16 @@ def train(x: np.ndarray, lang: np.ndarray) -> Model:
     return Model(languages, families, pairs)
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Train on at most about ``per_language`` labelled texts of each language. Rows with null text or language teach nothing."""
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: int = LANGUAGES) -> Model:
+    """Train on at most about ``per_language`` labelled texts of each of the ``languages`` most frequent languages.
+
+    Rows with null text or language teach nothing; equal rows teach once. The sample is drawn by a hash of id and text.
+    """
     rows = docs.where(docs[text_col].isNotNull() & docs[lang_col].isNotNull()).select(docs[id_col].alias("__id"), docs[lang_col].alias("__lang"), docs[text_col].alias("__body"))
-    counts = {r["__lang"]: r["n"] for r in rows.groupBy("__lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return Model([], [], {})
-    share = F.create_map(*[v for l, n in counts.items() for v in (F.lit(l), F.lit(min(1.0, per_language / n)))])
-    draw = F.pmod(F.xxhash64(F.lit(17), "__id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = rows.where(draw < share[F.col("__lang")])
+    counts = rows.groupBy("__lang").agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), "__lang").limit(languages)
+    keyed = rows.withColumn("__key", F.xxhash64(F.lit(17), "__id", "__body"))
+    draw = F.pmod(F.col("__key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = keyed.join(F.broadcast(counts), "__lang").where(draw < per_language / F.col("__n"))  # one row a language
 
     def start():
         def step(column):
@@ -144,10 +146,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id
             return [pa.array([np.flatnonzero(r).astype(np.int16) for r in h], pa.list_(pa.int16())), pa.array([r[r != 0] for r in h], pa.list_(pa.float32()))]
         return step
 
-    from pyspark.sql import types as T
-
     fields = [T.StructField("__at", T.ArrayType(T.ShortType())), T.StructField("__x", T.ArrayType(T.FloatType()))]
-    got = append_columns(chosen, "__body", start, fields, keep=["__id", "__lang"]).orderBy("__id").toArrow()
+    made = append_columns(chosen, "__body", start, fields, keep=["__lang", "__key"])
+    got = made.groupBy("__lang", "__key").agg(F.min(F.struct("__at", "__x")).alias("v")).select("__lang", "__key", "v.*").toArrow()
+    if not got.num_rows:
+        return Model([], [], {})
+    got = got.sort_by([("__lang", "ascending"), ("__key", "ascending")]).combine_chunks()
     x = np.zeros((got.num_rows, BINS), np.float32)
     for i, (at, v) in enumerate(zip(got.column("__at"), got.column("__x"))):
         x[i, at.values.to_numpy()] = v.values.to_numpy()

@@ -7,9 +7,10 @@ different components, block against block of bounded size, where only members of
 components are compared, each pair in the first band it shares, and only new links leave the task.
 Candidates are compared signature batch by signature batch, and dropped once the posterior chance
 that they reach the threshold falls under ``MISS``; survivors are confirmed on their full shingle
-sets. Components of the links are found by minimum label propagation with pointer jumping. Every
-intermediate table is written to the shared folder; nothing of the corpus comes to the driver but
-counts.
+sets. Components of the links are found by minimum label propagation with pointer jumping. Shingles
+are hashed to 128 bits for the confirmation; the first half alone makes the signatures. Every
+intermediate table is written to the shared folder and deleted at the end; nothing of the corpus
+comes to the driver but counts.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from palimpsest.llm.batches import LOWER_TABLE, SPACE_TABLE, append_columns, flat, groups, mix, shingle_hashes, span_hashes, spans
-from palimpsest.runtime import prepare, stored
+from palimpsest.runtime import Scratch, prepare, stored
 
 #: 24 bands of 6: two sets of similarity 0.85 share no band with chance 1.2e-5, of 0.8 with 7e-4 at 24 and 2e-5 at 36.
 ROWS = 6
@@ -46,28 +47,46 @@ def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text: ``k`` words, or all where there are fewer; none without words."""
+    """The distinct shingles of each text as 128-bit hashes, two rows of 64 bits, sorted: ``k`` words, or all where there are fewer; none without words."""
     data, offsets = flat(column)
     out: list[np.ndarray] = []
     for a, b in groups(offsets, 1 << 20):
         part, offs = LOWER_TABLE[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
         starts, ends, docs = spans(part, offs, SPACE_TABLE)
-        words = span_hashes(part, starts, ends)
-        hashes, owner = shingle_hashes(words, docs, k)
+        words = [span_hashes(part, starts, ends, lane) for lane in (0, 1)]
+        (one, owner), (two, _) = (shingle_hashes(w, docs, k) for w in words)
         cuts = np.searchsorted(owner, np.arange(b - a + 1))
         wcuts = np.searchsorted(docs, np.arange(b - a + 1))
         for i in range(b - a):
-            own = hashes[cuts[i] : cuts[i + 1]]
-            if not len(own) and wcuts[i + 1] > wcuts[i]:
-                own = words[wcuts[i] : wcuts[i + 1]]
-                h = np.full(1, np.uint64(len(own) + 1000))
-                for w in own:
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + w)
-                own = h
-            out.append(np.unique(own))
+            own = one[cuts[i] : cuts[i + 1]], two[cuts[i] : cuts[i + 1]]
+            if not len(own[0]) and wcuts[i + 1] > wcuts[i]:
+                own = tuple(_whole(w[wcuts[i] : wcuts[i + 1]]) for w in words)
+            out.append(_distinct(*own))
     return out
 
 
+def _whole(words: np.ndarray) -> np.ndarray:
+    h = np.full(1, np.uint64(len(words) + 1000))
+    for w in words:
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + w)
+    return h
+
+
+def _distinct(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The distinct pairs, sorted."""
+    order = np.argsort(one)
+    one, two = one[order], two[order]
+    same = one[1:] == one[:-1]
+    if same.any():
+        if (two[1:] != two[:-1])[same].any():  # the first lane collides
+            order = np.lexsort((two, one))
+            one, two = one[order], two[order]
+        keep = np.ones(len(one), bool)
+        keep[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        one, two = one[keep], two[keep]
+    return np.stack([one, two])
+
+
 def _sketches(sets: list[np.ndarray], bands: int) -> tuple[np.ndarray, np.ndarray]:
     """16-bit signature values and 64-bit band keys of non-empty sets (zeros for empty ones)."""
     p = bands * ROWS
@@ -76,13 +95,13 @@ def _sketches(sets: list[np.ndarray], bands: int) -> tuple[np.ndarray, np.ndarra
     i = 0
     while i < len(sets):  # blocks that stay in the processor's cache
         j, size = i, 0
-        while j < len(sets) and (j == i or size + len(sets[j]) < 16_384):
-            size += len(sets[j])
+        while j < len(sets) and (j == i or size + sets[j].shape[1] < 16_384):
+            size += sets[j].shape[1]
             j += 1
-        full = [s for s in range(i, j) if len(sets[s])]
+        full = [s for s in range(i, j) if sets[s].shape[1]]
         if full:
-            x = np.concatenate([sets[s] for s in full])
-            starts = np.cumsum([0, *(len(sets[s]) for s in full[:-1])])
+            x = np.concatenate([sets[s][0] for s in full])
+            starts = np.cumsum([0, *(sets[s].shape[1] for s in full[:-1])])
             for q in range(p):
                 low[full, q] = np.minimum.reduceat(x * a[q] + b[q], starts)
         i = j
@@ -92,24 +111,30 @@ def _sketches(sets: list[np.ndarray], bands: int) -> tuple[np.ndarray, np.ndarra
     return (low >> np.uint64(48)).astype("<u2"), keys.astype(np.int64)
 
 
-def sketch(docs: DataFrame, k: int, bands: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, digest, sig, bands`` per document."""
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, body, text``: a row is known by its id and a digest of its text, as an id may stand beside several texts."""
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(F.unhex(F.md5(docs[text_col].cast("binary"))), F.lit(b"")).alias("body"), docs[text_col].alias("text"))
+
+
+def sketch(rows: DataFrame, k: int, bands: int) -> DataFrame:
+    """``doc_id, body, n_shingles, digest, sig, bands`` per row of ``keyed``; the digest is null where there are no shingles."""
 
     def start():
         def step(column):
             sets = shingle_sets(column, k)
             sig, keys = _sketches(sets, bands)
             return [
-                pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets], pa.binary()),
+                pa.array([s.shape[1] for s in sets], pa.int64()), pa.array([_digest(s) if s.size else None for s in sets], pa.binary()),
                 pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(list(keys), pa.list_(pa.int64())),
             ]
         return step
 
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    made = append_columns(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("__body")), "__body", start, fields, keep=["doc_id"])
-    # a document without words is a class of its own; its key is spread over all tasks
-    own = F.concat(F.lit("none "), F.coalesce(F.col("doc_id").cast("string"), F.uuid())).cast("binary")
-    return made.withColumn("digest", F.coalesce("digest", own))
+    return append_columns(rows, "text", start, fields, keep=["doc_id", "body"])
+
+
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.md5(shingles.tobytes()).digest()
 
 
 @lru_cache
@@ -155,14 +180,21 @@ def _bayes(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _set(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64).reshape(2, -1)
+
+
 def _linked(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
-    """Whether two sorted sets reach the similarity (percent)."""
-    low, high = min(len(x), len(y)), max(len(x), len(y))
-    if 100 * low < similarity * high:
+    """Whether two sets of 128-bit shingles reach the similarity (percent)."""
+    n, m = x.shape[1], y.shape[1]
+    if 100 * min(n, m) < similarity * max(n, m):
         return False
-    at = np.searchsorted(x, y)
-    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-    return 100 * both >= similarity * (len(x) + len(y) - both)
+    if (x[0, 1:] == x[0, :-1]).any() or (y[0, 1:] == y[0, :-1]).any():  # the first lane collides in a set
+        both = len(set(zip(*x.tolist())) & set(zip(*y.tolist())))
+    else:
+        at = np.minimum(np.searchsorted(x[0], y[0]), n - 1)
+        both = int(((x[0, at] == y[0]) & (x[1, at] == y[1])).sum())
+    return 100 * both >= similarity * (n + m - both)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -174,7 +206,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
         for batch in batches:
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                if _linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), similarity):
+                if _linked(_set(x.as_py()), _set(y.as_py()), similarity):
                     keep.append(i)
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
@@ -182,8 +214,9 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``node, label``: the smallest node reachable from each node of the edges ``a, b``."""
+    stored = (scratch or Scratch(edges.sparkSession)).stored
     both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
@@ -197,17 +230,17 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("node", "label")
 
 
-def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def _merge(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
     """Labels after more links, which are contracted to the components so far."""
     if labels is None:
-        return components(links)
+        return components(links, scratch)
     name = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
     lifted = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b")
-    joined = components(lifted)
+    joined = components(lifted, scratch)
     step = joined.select(F.col("node").alias("label"), F.col("label").alias("new"))
     old = labels.join(step, "label", "left").select("node", F.coalesce("new", "label").alias("label"))
     fresh = joined.join(labels.select("node"), "node", "left_anti").select("node", "label")
-    return stored(old.union(fresh), "labels")
+    return scratch.stored(old.union(fresh), "labels")
 
 
 def _rest(entries: DataFrame, labels: DataFrame, full_sets: DataFrame, similarity: int) -> DataFrame:
@@ -242,7 +275,7 @@ def _rest(entries: DataFrame, labels: DataFrame, full_sets: DataFrame, similarit
         rep, label = table.column("rep").to_numpy(), table.column("label").to_numpy()
         sig = np.stack([np.frombuffer(x.as_py(), "<u2") for x in table.column("sig")])
         keys = np.stack([x.values.to_numpy() for x in table.column("keys")])
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+        sets = [_set(x.as_py()) for x in table.column("shingles")]
         names, owner = np.unique(label, return_inverse=True)  # components, merged as links are found
         # the smaller components ask, so that a large one is compared with few
         order = np.argsort(np.bincount(owner, minlength=len(names))[owner], kind="stable")
@@ -267,47 +300,76 @@ def _rest(entries: DataFrame, labels: DataFrame, full_sets: DataFrame, similarit
     return full.groupBy("band", "key", "r", "o").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, similarity: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` per document.
+def _resolved(sketches: DataFrame, rows: DataFrame, shingle: int, similarity: int, scratch: Scratch) -> DataFrame:
+    """``digest, label, component_id`` of the classes (rows of equal shingle sets): their component and its least id.
 
-    Words are lower-cased in ASCII. A text without words (or null) has no shingles and is linked
-    with nothing. Rows of a null id are components of their own: their ``component_id`` is null and
-    they are kept. Rows of equal id and text are copies; the smallest id of a component is kept. An
-    empty table gives no rows. Other columns are ignored.
+    Classes are numbered, and ids are compared only where a component gets its least one, so an id
+    may stand in several classes.
     """
-    prepare(docs.sparkSession)
-    bands = bands_for(similarity)
-    sketches = stored(sketch(docs, shingle, bands, id_col, text_col), "sketch")
-    known = sketches.where("doc_id is not null")
-    classes = stored(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    firsts = classes.select("digest", F.col("rep").alias("doc_id"))
-    reps = stored(known.where("n_shingles > 0").join(firsts, ["digest", "doc_id"]).groupBy(F.col("doc_id").alias("rep")).agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")), "reps")
+    stored = scratch.stored
+    grouped = sketches.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "body")).alias("least"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))  # equal sets have equal signatures
+    classes = stored(grouped.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    reps = classes.select("rep", "sig", "bands")
     entries = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = entries.groupBy("band", "key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(entries.join(buckets.select("band", "key", "center"), ["band", "key"]), "entries")
-    ids = reps.join(shared.select("rep").distinct(), "rep").select("rep", "sig", F.col("bands").alias("keys"))
-    texts = docs.select(docs[id_col].cast("long").alias("__id"), docs[text_col].alias("__body")).join(ids, F.col("__id") == F.col("rep"))
+    asked = classes.join(shared.select("rep").distinct(), "rep").select("rep", "digest", F.col("least.doc_id").alias("doc_id"), F.col("least.body").alias("body"), "sig", F.col("bands").alias("keys"))
 
     def start():
-        return lambda column: [pa.array([s.tobytes() for s in shingle_sets(column, shingle)], pa.binary())]
+        def step(column):
+            sets = shingle_sets(column, shingle)
+            return [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_digest(s) for s in sets], pa.binary())]
+        return step
 
-    sets = append_columns(texts, "__body", start, [T.StructField("shingles", T.BinaryType())], keep=["rep", "sig", "keys"])
-    sets = stored(sets.groupBy("rep").agg(F.max("shingles").alias("shingles"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "sets")
+    fields = [T.StructField("shingles", T.BinaryType()), T.StructField("own", T.BinaryType())]
+    sets = append_columns(rows.join(asked, ["doc_id", "body"]), "text", start, fields, keep=["rep", "digest", "sig", "keys"]).where("own = digest")
+    sets = stored(sets.groupBy("rep").agg(F.first("shingles").alias("shingles"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "sets")
 
     star = shared.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    labels = _merge(None, stored(_confirm(_bayes(star, reps, similarity), sets, similarity), "links"))
+    labels = _merge(None, stored(_confirm(_bayes(star, reps, similarity), sets, similarity), "links"), scratch)
     found = stored(_rest(shared.select("rep", "band", "key"), labels, sets, similarity), "rest")
     if found.limit(1).count():
-        labels = _merge(labels, found)
-    of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
-    named = known.select("doc_id", "n_shingles", "digest").join(of_class, "digest").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
-    lone = sketches.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    return named.union(lone)
+        labels = _merge(labels, found, scratch)
+    labelled = classes.select("rep", "digest", "least.doc_id").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    return stored(labelled.join(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("digest", "label", "component_id"), "named")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, similarity: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` per row; ids are integers (others must be mapped to such first).
+
+    Words are lower-cased in ASCII. A text without words (or null) has no shingles and is linked
+    with nothing. Rows of a null id are components of their own: their ``component_id`` is null and
+    they are kept. A component's id is the smallest one in it; ``kept`` tells the rows of that id. Rows
+    of equal id and text are copies; rows of equal id and other texts are documents of their own
+    that share the name, so each may be kept. Very long texts are sketched whole, one at a time. An
+    empty table gives no rows. Other columns are ignored.
+    """
+    prepare(docs.sparkSession)
+    scratch, rows = Scratch(docs.sparkSession), keyed(docs, id_col, text_col)
+    sketches = scratch.stored(sketch(rows, shingle, bands_for(similarity)), "sketch")
+    known = sketches.where("doc_id is not null")
+    of_class = _resolved(known, rows, shingle, similarity, scratch)
+    kept = F.col("doc_id") == F.col("component_id")
+    named = known.where("n_shingles > 0").join(of_class, "digest").select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+    lone = sketches.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    result = stored(named.union(lone), "near")
+    scratch.drop()
+    return result
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept: one of each component, and all without an id. Repeated rows of a kept id and text become one."""
-    found = near_duplicates(docs, shingle, similarity, id_col, text_col)
-    ids = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    with_id = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return with_id.join(ids, with_id[id_col].cast("long") == F.col("__kept"), "left_semi").union(docs.where(F.col(id_col).isNull()))
+    """The rows of ``docs`` that are kept: one of each component (its smallest id, then digest of the text), and all without an id.
+
+    Only rows that are equal in id and text become one; an id beside several unlike texts keeps them all.
+    """
+    prepare(docs.sparkSession)
+    scratch, rows = Scratch(docs.sparkSession), keyed(docs, id_col, text_col)
+    sketches = scratch.stored(sketch(rows, shingle, bands_for(similarity)), "sketch")
+    known = sketches.where("doc_id is not null")
+    of_class = _resolved(known, rows, shingle, similarity, scratch)
+    chosen = known.where("n_shingles > 0").join(of_class, "digest").groupBy("label").agg(F.min(F.struct("doc_id", "body")).alias("one")).select("one.*")
+    keys = stored(chosen.union(known.where("n_shingles = 0").select("doc_id", "body")).select(F.col("doc_id").alias("__id"), F.col("body").alias("__body")), "kept")
+    scratch.drop()
+    own = docs.withColumn("__own", F.coalesce(F.unhex(F.md5(docs[text_col].cast("binary"))), F.lit(b"")))
+    left = own.join(keys, (own[id_col].cast("long") == keys["__id"]) & (own["__own"] == keys["__body"]), "left_semi").dropDuplicates([id_col, "__own"])
+    return left.union(own.where(F.col(id_col).isNull())).drop("__own")

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.llm.batches import LINE_TABLE, SPACE_TABLE, append_columns, field, flat, groups, shingle_hashes, span_hashes, spans
+from palimpsest.llm.batches import LINE_TABLE, SPACE_TABLE, append_columns, field, flat, groups, shingle_hashes, span_hashes, spans, window_hashes
 
 #: Fixed values of the rules.
 SYMBOLS = b"#*$%&|<>"
@@ -57,6 +57,29 @@ def statistics(column: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     return {n: np.concatenate([c[n] for c in counts]) for n in names}, np.concatenate(features)
 
 
+def _twice(docs: np.ndarray, hashes: np.ndarray, second) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the items that their document holds twice or more, and of all but the first of each.
+
+    Items of equal hash are told apart by a second one (``second(indices)``): 128 bits in all.
+    """
+    order = np.lexsort((hashes, docs))
+    same = (hashes[order][1:] == hashes[order][:-1]) & (docs[order][1:] == docs[order][:-1])
+    maybe = np.zeros(len(order), bool)
+    maybe[1:] |= same
+    maybe[:-1] |= same
+    maybe = np.sort(order[maybe])
+    if not len(maybe):
+        return maybe, maybe
+    other = second(maybe)
+    order = np.lexsort((other, hashes[maybe], docs[maybe]))
+    of = maybe[order]
+    same = (hashes[of][1:] == hashes[of][:-1]) & (docs[of][1:] == docs[of][:-1]) & (other[order][1:] == other[order][:-1])
+    twice = np.zeros(len(of), bool)
+    twice[1:] |= same
+    twice[:-1] |= same
+    return of[twice], of[1:][same]
+
+
 def _group(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
     n = len(offsets) - 1
     starts, ends, docs = spans(data, offsets, SPACE_TABLE)
@@ -71,11 +94,9 @@ def _group(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray]
     seen = np.concatenate([[0], np.cumsum(~SPACE_TABLE[data], dtype=np.int64)])
     full = seen[le] > seen[ls]
     ls, le, ld = ls[full], le[full], ld[full]
-    lines = span_hashes(data, ls, le)
     n_lines = np.bincount(ld, minlength=n)
-    pairs = np.stack([ld.astype(np.uint64), lines])
-    distinct = np.unique(pairs, axis=1)[0].astype(np.int64) if len(ld) else np.empty(0, np.int64)
-    n_dup = n_lines - np.bincount(distinct, minlength=n)
+    _, again = _twice(ld, span_hashes(data, ls, le), lambda i: span_hashes(data, ls[i], le[i], 1))
+    n_dup = np.bincount(ld[again], minlength=n)
     short = np.bincount(ld[(le - ls) < 30], minlength=n)
 
     # words inside a window of eight that the text holds twice or more
@@ -83,11 +104,13 @@ def _group(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray]
     windows, wdocs = shingle_hashes(words, docs, WINDOW)
     if len(windows):
         whole = np.flatnonzero(docs[: len(words) - WINDOW + 1] == docs[WINDOW - 1 :])
-        order = np.lexsort((windows, wdocs))
-        same = (windows[order][1:] == windows[order][:-1]) & (wdocs[order][1:] == wdocs[order][:-1])
-        twice = np.zeros(len(order), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
+
+        def second(i):
+            at = whole[i][:, None] + np.arange(WINDOW)
+            used, place = np.unique(at, return_inverse=True)
+            return window_hashes(span_hashes(data, starts[used], ends[used], 1)[place.reshape(at.shape)])
+
+        twice = _twice(wdocs, windows, second)[0]
         change = np.zeros(len(words) + 1, np.int64)
         np.add.at(change, whole[twice], 1)
         np.add.at(change, whole[twice] + WINDOW, -1)
@@ -186,9 +209,13 @@ def train(x: np.ndarray, y: np.ndarray, monotone: np.ndarray = MONOTONE, rounds:
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``max_labels`` labelled rows, chosen by a hash of the id."""
+    """Features and labels of at most ``max_labels`` labelled rows, chosen by a hash of the id.
+
+    The chosen labels go to the texts (their number is bounded), so no text is shuffled. An id with
+    several texts gives one row a label, the least features.
+    """
     chosen = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("__label_id"), F.col("quality").cast("int").alias("__quality")).orderBy(F.xxhash64("__label_id"), "__quality").limit(max_labels)
-    texts = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__body")).join(chosen, F.col("__id") == F.col("__label_id"))
+    texts = docs.select(docs[id_col].alias("__id"), docs[text_col].alias("__body")).join(F.broadcast(chosen.distinct()), F.col("__id") == F.col("__label_id"))
 
     def start():
         def step(column):
@@ -196,9 +223,10 @@ def labelled_features(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_
             return [pa.array(list(x), pa.list_(pa.float64()))]
         return step
 
-    rows = append_columns(texts, "__body", start, [field("__x", "array<double>")], keep=["__id", "__quality"]).orderBy("__id", "__quality").toArrow()
+    rows = append_columns(texts, "__body", start, [field("__x", "array<double>")], keep=["__id", "__quality"]).groupBy("__id", "__quality").agg(F.min("__x").alias("__x")).toArrow()
     if not rows.num_rows:
         return np.empty((0, len(FEATURES))), np.empty(0)
+    rows = rows.sort_by([("__id", "ascending"), ("__quality", "ascending")])
     return np.array(rows.column("__x").to_pylist()), rows.column("__quality").to_numpy().astype(float)
 
 

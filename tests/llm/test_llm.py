@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, langid, lm, neardup, packing, pii, piece, quality, records, spots
+from palimpsest.llm import batches, chat, langid, lm, neardup, packing, pii, piece, quality, records, spots
 from palimpsest.llm.queries import BYTE_BPE, ORACLES, PIECE_BPE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -50,6 +50,47 @@ def library(path):
     return Tokenizer.from_file(path)
 
 
+def parity_pair(n: int) -> tuple[str, str]:
+    """Two texts over a and b that any polynomial in an odd base modulo 2^64 takes for one (from 1,024 letters on)."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_span_hashes_tell_texts_apart():
+    rng = random.Random(1)
+    made = {"".join(rng.choice("ab") for _ in range(rng.choice([1, 3, 7, 8, 9, 15, 16, 17, 40, 1024, 5000]))) for _ in range(4000)}
+    made |= {t for n in (1024, 2048, 4096) for t in parity_pair(n)} | {"a" * n for n in range(1, 300)} | {"\0" * n + "a" for n in range(40)}
+    words = sorted(made)
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    for lane in (0, 1):
+        h = batches.span_hashes(data, ends - [len(w) for w in words], ends, lane)
+        assert len(set(h.tolist())) == len(words)
+        for i in range(0, len(words), 37):  # the same at any offset
+            raw = np.frombuffer(("x" * (i % 11) + words[i]).encode(), np.uint8)
+            assert batches.span_hashes(raw, np.array([i % 11]), np.array([len(raw)]), lane)[0] == h[i]
+
+
+def test_span_hashes_of_one_long_span(monkeypatch):
+    data = np.random.default_rng(0).integers(0, 256, 100_003).astype(np.uint8)
+    whole = batches.span_hashes(data, np.array([5]), np.array([100_001]))
+    monkeypatch.setattr(batches, "PIECE_BYTES", 1000)
+    assert (batches.span_hashes(data, np.array([5]), np.array([100_001])) == whole).all()
+
+
+def test_texts_that_a_polynomial_confuses(spark):
+    """As words, lines and shingles: counted, found and linked as the different texts they are."""
+    for n in (1024, 2048):
+        a, b = parity_pair(n)
+        docs = spark.createDataFrame([(0, a), (1, b), (2, f"{a}\n{b}"), (3, f"{a}\n{b}\n{a}")], "doc_id long, text string")
+        near = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
+        assert near == {0: 0, 1: 1, 2: 2, 3: 3}
+        got = {r["doc_id"]: r for r in quality.quality_rules(docs, quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))).collect()}
+        assert [got[i]["n_dup_lines"] for i in range(4)] == [0, 0, 0, 1]
+        model, counts = lm.fit(docs)
+        assert counts.count() == 3 and sorted(r["n"] for r in counts.collect()) == [3, 4, 4]
+
+
 def test_lm(spark, docs, empty):
     held = F.coalesce(F.col("doc_id"), F.lit(0)) % 3 == 0
     known = [r for r in docs.collect()]
@@ -280,6 +321,16 @@ def test_near_duplicates(spark, docs, empty, k, percent):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([d for d in sets if find(d) == d] + [None])
 
 
+def test_ids_that_repeat_with_other_texts(spark):
+    text = lambda s: " ".join(f"{s}{i}" for i in range(40))
+    rows = [(1, text("a")), (1, text("b")), (2, text("c")), (2, text("c")), (3, text("a") + " x"), (4, text("b") + " y"), (5, None), (5, ""), (5, None), (None, text("a")), (None, text("a"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect())
+    assert got == Counter([(1, 38, 1, True)] * 2 + [(2, 38, 2, True)] * 2 + [(3, 39, 1, False), (4, 39, 1, False)] + [(5, 0, 5, True)] * 3 + [(None, 38, None, True)] * 2)
+    kept = Counter((r["doc_id"], r["text"]) for r in neardup.keep_one(df, 3, 85).collect())
+    assert kept == Counter({(1, text("a")): 1, (1, text("b")): 1, (2, text("c")): 1, (5, None): 1, (5, ""): 1, (None, text("a")): 2})
+
+
 def test_large_buckets_meet_in_blocks(spark, monkeypatch):
     """The later rounds alone, with tiny blocks, still find chains of near copies."""
     monkeypatch.setattr(neardup, "BLOCK", 8)
