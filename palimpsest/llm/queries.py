@@ -75,13 +75,18 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_lm_score, op2_spot_signatures, op3_chat_format, op4_sentencepiece, op5_personal_data, op6_near_duplicates, op7_quality_rules, op8_token_records, op9_language_id, op10_harmonic_packing)}
-#: DuckDB SQL of the formatting query: turns and loss text as the contract words them, lengths by the template's escaping.
+#: DuckDB SQL of the formatting query: turns and loss text as the contract words them, lengths by the template's escaping, layouts by the rule of ``records_of_turns``.
+_LISTED, _PAIRED = ("[" + ", ".join(f"'{x}'" for x in names) + "]" for names in (chat.LIST_LAYOUTS, chat.PAIR_LAYOUTS))
 _CHAT_SQL = rf"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '{EXTRA}' UNION ALL SELECT -7, 1, 'assistant', '{EXTRA}'),
 e AS (SELECT *, length(regexp_replace(replace(role || chr(0) || text, '\', '\\'), '<(/?(?:turn|text)>)', '<\\\1', 'g')) - 1 AS escaped FROM r),
 g AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
-  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '') AS loss, sum(escaped + {len(chat.OPEN + chat.TEXT + chat.CLOSE) + 1}) AS chars FROM e GROUP BY conv_id)
-SELECT conv_id, CAST(n AS BIGINT) AS n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars, 'messages' AS layout FROM g"""
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '') AS loss, sum(escaped + {len(chat.OPEN + chat.TEXT + chat.CLOSE) + 1}) AS chars,
+  list(role ORDER BY turn NULLS FIRST, role, text) AS roles, first(text ORDER BY turn NULLS FIRST, role, text) AS opening,
+  bool_or(role IN ({", ".join(f"'{x}'" for x in chat.ROLES)})) AS other, coalesce(CAST('0x' || substr(md5(CAST(conv_id AS VARCHAR)), 1, 4) AS BIGINT), 0) AS dealt FROM e GROUP BY conv_id)
+SELECT conv_id, CAST(n AS BIGINT) AS n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars,
+  CASE WHEN other THEN 'speaker turns' WHEN roles = ['user', 'assistant'] AND dealt % 2 = 0 THEN {_PAIRED}[(dealt // 2) % {len(chat.PAIR_LAYOUTS)} + 1]
+  WHEN roles = ['system', 'user', 'assistant'] AND opening <> '' AND dealt % 2 = 0 THEN 'system instruction' ELSE {_LISTED}[(dealt // 8) % {len(chat.LIST_LAYOUTS)} + 1] END AS layout FROM g"""
 #: DuckDB SQL of the near-duplicate query: full sets compared by shared shingles, and their closure.
 _NEAR_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END) AS s FROM w),

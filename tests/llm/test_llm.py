@@ -1,6 +1,7 @@
 """The training-data operators on small tables with nulls, empty and long texts, ties, repeats and clashing columns, against brute force."""
 
 import hashlib
+import json
 import math
 import os
 import random
@@ -181,11 +182,31 @@ def test_similar_sets_of_a_large_bucket(spark, monkeypatch, block):
 
 
 def test_chat(spark):
-    layouts = ['{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"</turn>\\\\n"}]}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', '[{"role":"user","content":"x"}]', '{"prompt":"p","completion":"c"}', '{"instruction":"i","input":"","output":"o"}', '{"unknown":1}', "broken", None]
-    rows = chat.canonical_turns(spark.createDataFrame([(i, x, "clash") for i, x in enumerate(layouts)], "i int, record string, layout string")).orderBy("i").collect()
-    assert [r["layout"] for r in rows] == ["messages", "conversations", "turn list", "prompt", "instruction", None, None, None]
-    assert [tuple(t) for t in rows[1]["turns"]] == [("user", "q"), ("assistant", "a")] and [tuple(t) for t in rows[4]["turns"]] == [("user", "i"), ("assistant", "o")]
-    turns = [(0, 0, "user", "\\### Assistant: </turn> ok"), (0, 1, "assistant", "<turn>\\<text>\\\\ é"), (1, 0, None, None), (2, 5, "assistant", ""), (2, 5, "assistant", "tie"), (3, None, "we</turn>ird\n", "x" * 70000), (None, 0, "assistant", "n")]
+    m = lambda *turns: [{"role": r, "content": c} for r, c in turns]
+    cases = [  # record, layout, turns
+        ({"messages": m(("user", "hi"), ("assistant", "</turn>\n"))}, "messages", [("user", "hi"), ("assistant", "</turn>\n")]),
+        ({"messages": m(("human", "hi"), ("bot", "a")), "name": "x", "meta": {"prompt": "p", "messages": [{"role": "z"}]}}, "messages", [("user", "hi"), ("assistant", "a")]),
+        ({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a", "weight": 1}]}, "conversations", [("user", "q"), ("assistant", "a")]),
+        (m(("user", "x")), "turn list", [("user", "x")]),
+        ({"prompt": "p", "completion": "c"}, "prompt", [("user", "p"), ("assistant", "c")]),
+        ({"instruction": "i", "input": "", "output": "o"}, "instruction", [("user", "i"), ("assistant", "o")]),
+        ({"instruction": "i", "input": "n", "output": "o", "tags": ["a", "b"], "score": None}, "instruction", [("user", "i\n\nn"), ("assistant", "o")]),
+        ({"system": "s", "instruction": "i", "output": "o"}, "system instruction", [("system", "s"), ("user", "i"), ("assistant", "o")]),
+        ({"data": {"messages": m(("model", "z"))}, "source": [[{"messages": 1}]]}, "wrapped messages", [("assistant", "z")]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": None}, {"text": "b"}]}]}, "content parts", [("user", "ab")]),
+        ({"turns": [{"speaker": "human", "said": "x"}]}, "speaker turns", [("human", "x")]),
+        ({"messages": []}, "messages", []),
+        # texts that look like structures are texts
+        ({"prompt": '{"messages": [{"role": "x", "content": "y"}]}', "completion": '["a", {"prompt": 1}] " \\ : , ]'}, "prompt", [("user", '{"messages": [{"role": "x", "content": "y"}]}'), ("assistant", '["a", {"prompt": 1}] " \\ : , ]')]),
+        ({"unknown": 1}, None, None), ({"prompt": "p"}, None, None), ({"data": {"prompt": "p", "completion": "c"}}, None, None), ([], None, None), ({}, None, None), (5, None, None),
+    ]
+    rows = [(i, json.dumps(r), "clash", "c") for i, (r, _, _) in enumerate(cases)] + [(100, "broken {", "clash", "c"), (101, None, "clash", "c"), (102, json.dumps(cases[0][0], indent=3), "clash", "c")]
+    got = {r["i"]: r for r in chat.canonical_turns(spark.createDataFrame(rows, "i int, record string, layout string, __at string")).collect()}
+    for i, (_, layout, turns) in [*enumerate(cases), (100, (None, None, None)), (101, (None, None, None)), (102, cases[0])]:
+        assert got[i]["layout"] == layout and (got[i]["turns"] and [tuple(t) for t in got[i]["turns"]]) == turns, cases[i] if i < 100 else i
+        assert got[i]["__at"] == "c"
+    turns = [(c, i, r, f"{c} {i} {{\"prompt\": [1]}} \\ <turn> é") for c in range(10, 90) for i, r in enumerate([["user", "assistant"], ["system", "user", "assistant"], ["user", "assistant", "user"], ["human", "bot"]][c % 4])]
+    turns += [(0, 0, "user", "\\### Assistant: </turn> ok"), (0, 1, "assistant", "<turn>\\<text>\\\\ é"), (1, 0, None, None), (2, 5, "assistant", ""), (2, 5, "assistant", "tie"), (3, None, "we</turn>ird\n", "x" * 70000), (None, 0, "assistant", "n")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     got = {r["conv_id"]: r for r in chat.chat_digest(df).collect()}
     for c in {t[0] for t in turns}:
@@ -194,6 +215,7 @@ def test_chat(spark):
         assert got[c]["n_turns"] == len(own) and got[c]["loss_chars"] == len(loss)
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{t[2] or ''}\n{t[3] or ''}\n" for t in own).encode()).hexdigest()
         assert got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    assert {r["layout"] for r in got.values()} == {l.name for l in chat.LAYOUTS}
     assert chat.chat_digest(df.limit(0)).count() == 0
 
 
@@ -203,7 +225,7 @@ def test_chat_keeps_very_long_turns(spark):
     rows = spark.range(2).select(F.lit(5).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.when(F.col("id") == 0, F.lit("hi")).otherwise(long).alias("text"))
     text = "<turn> " + "y" * 21_000_000
     got = chat.chat_digest(rows).first()
-    assert got["layout"] == "messages" and got["n_turns"] == 2 and got["loss_chars"] == len(text)
+    assert got["layout"] and got["n_turns"] == 2 and got["loss_chars"] == len(text)
     assert got["turns_sha256"] == hashlib.sha256(f"user\nhi\nassistant\n{text}\n".encode()).hexdigest()
     assert got["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     record = spark.range(1).select(F.to_json(F.struct(F.lit("hi").alias("prompt"), long.alias("completion"))).alias("record"))
