@@ -138,6 +138,14 @@ def window_hashes(words: np.ndarray) -> np.ndarray:
     return h
 
 
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that the input lacks."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def append_columns(df: DataFrame, text_col: str, start: Callable[[], Callable], fields: list[T.StructField], keep: list[str] | None = None) -> DataFrame:
     """``df``'s columns (or ``keep``) plus ``fields``, computed batch by batch from the text column.
 

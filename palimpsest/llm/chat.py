@@ -16,6 +16,8 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from palimpsest.llm.batches import fresh
+
 TURNS = "array<struct<role string, text string>>"
 #: The parser's default refuses strings above 20,000,000 characters, and the whole record with them.
 JSON = {"maxStringLen": "2147483647"}
@@ -77,14 +79,6 @@ def _name(steps: list[str]) -> str:
     return "".join(x if x == "[]" or not i else f".{x}" for i, x in enumerate(steps))
 
 
-def _fresh(df: DataFrame, base: str) -> str:
-    """A column name that the input lacks."""
-    taken = {c.lower() for c in df.columns}
-    while base.lower() in taken:
-        base += "_"
-    return base
-
-
 def skeleton(record: Column) -> Column:
     """A JSON text with all string values empty, so that no text can be taken for a structure."""
     plain = F.regexp_replace(record, r"\\(?s:.)", "_")  # no escaped quote is left
@@ -99,7 +93,7 @@ def with_paths(df: DataFrame, record_col: str, name: str, layouts: list[Layout]
     """
     known = {p for l in layouts for ps in l.path_sets() for p in ps}
     prefixes = {_name(_steps(p)[: i + 1]) for p in known for i in range(len(_steps(p)))}
-    at, seen = _fresh(df, "__at"), _fresh(df, "__seen")
+    at, seen = fresh(df, "__at"), fresh(df, "__seen")
     node = "array<struct<path string, raw string>>"
     allowed = F.array(*[F.lit(p) for p in sorted(prefixes)])
 
@@ -156,8 +150,8 @@ def canonical_turns(records: DataFrame, record_col: str = "record", layouts: lis
     The added columns replace input columns of those names. Repeated rows are mapped alike.
     """
     rest = [c for c in records.columns if c not in ("fingerprint", "layout", "turns")]
-    record = _fresh(records, "__record")
-    paths = _fresh(records, "__paths")
+    record = fresh(records, "__record")
+    paths = fresh(records, "__paths")
     base = with_paths(records.withColumn(record, F.col(record_col)), record, paths, layouts).select(*rest, record, fingerprint(F.col(paths)).alias("fingerprint"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for l in reversed(layouts):

@@ -13,6 +13,8 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from palimpsest.llm import batches, chat, langid, lm, neardup, packing, pii, piece, quality, records, spots
@@ -139,22 +141,57 @@ def test_run_sums(n, distinct):
         assert np.allclose(total, values[source[rows == row]].sum(axis=0))
 
 
-def test_spots(spark, docs, empty, texts):
-    rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["text"] or ""))
-    got = spots.fingerprint_query(docs).collect()
-    assert len(got) == len(rows) and spots.fingerprint_query(empty).count() == 0
-    by = {r["doc_id"]: r for r in got}
-    for r, after in zip(rows, rows[1:] + rows[:1]):
-        t, nx = r["text"] or "", after["text"] or ""
+def spark_hash(*values) -> int:
+    """Spark's xxhash64 of strings and longs, from the published algorithm."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else (v & (1 << 64) - 1).to_bytes(8, "little"), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_signatures(text: str) -> list[int]:
+    """Spot signatures as a plain walk over the words."""
+    words = regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()).split(" ")
+    words = [w for w in words if w]
+    common = set(spots.COMMON)
+    content = [w for w in words if w not in common]
+    out, behind = set(), 0
+    for w in words:
+        if w in common:
+            if behind + spots.CHAIN <= len(content):
+                out.add(spark_hash(w, spark_hash(*content[behind : behind + spots.CHAIN])))
+        else:
+            behind += 1
+    if not out and text:
+        out = {spark_hash(*words[i : i + 3]) for i in range(len(words) - 2)} or {spark_hash(text)}
+    return sorted(out)
+
+
+def test_spots(spark, docs, empty, texts, monkeypatch):
+    monkeypatch.setattr(spots, "BUCKET_ROWS", 9)
+    long_runs = [" ".join(["the of and"] * 40 + ["big house"] + ["in der"] * 30 + ["one tree two"]), "the of", "big the of", "the big", "El Niño y la niña, más!"]
+    more = spark.createDataFrame([(200 + 100 * i, t) for i, t in enumerate(long_runs)] + [(900, texts[40]), (1000, texts[40] + " end"), (7, None), (7, ""), (7, "seven"), *[(77, f"hot {i} the a b") for i in range(60)], *[(None, f"no id {i} of c d") for i in range(40)]], "doc_id long, text string")
+    every = docs.select("doc_id", "text", F.lit("clash").alias("__plain"), F.lit("c").alias("class_id")).unionByName(more, allowMissingColumns=True)
+    rows = [(r["doc_id"], r["text"] or "") for r in every.collect()]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, spark_hash(r[1]), r[1].encode()), reverse=True)
+    sigs = {t: brute_signatures(t) for _, t in rows}
+    like = lambda a, b: 1.0 if not a and not b else len(set(a) & set(b)) / len(set(a) | set(b))
+    shown = lambda s: "".join(f"{x & (1 << 64) - 1:016x}" for x in s)
+    in_class = [(i, t) for i, t in rows if i is not None and t]
+    want = Counter()
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
         k = len(t) // 3
-        assert by[r["doc_id"]]["n_chars"] == len(t)
-        if r["doc_id"] != 20 and after["doc_id"] != 20:
-            assert by[r["doc_id"]]["edited_sha256"] == hashlib.sha256((t[: len(t) - k] + nx[:k]).encode()).hexdigest()
-    prints = {}
-    for r in got:
-        text = next(x["text"] or "" for x in rows if x["doc_id"] == r["doc_id"])
-        assert prints.setdefault(text, r["fingerprint"]) == r["fingerprint"] and 0 <= r["near_edited"] <= 1
-    # the join finds what brute force finds
+        edited = t[: len(t) - k] + after[:k]
+        near = [j for j, u in in_class if j % 100 == 0 and like(sigs[t], sigs[u]) >= 0.8] if i is not None and t else []
+        own = min(j for j, u in in_class if sigs[u] == sigs[t]) if i is not None and t else None
+        e = brute_signatures(edited)
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), shown(sigs[t]), shown(e), round(like(sigs[t], e), 9), round(like(sigs[t], sigs[after]), 9), own, len(near) - bool(near and i % 100 == 0)] += 1
+    got = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9), r["class_id"], r["n_similar"]) for r in spots.fingerprint_query(every).collect())
+    assert got == want and sum(n for (*_, s), n in got.items() if s) >= 2
+    assert spots.fingerprint_query(empty).count() == 0
+
+
+def test_similar_equals_brute_force(spark, docs):
     made = spots.with_signatures(docs.where("text <> '' and doc_id is not null").dropDuplicates(["doc_id"]), "text", "sigs").collect()
     sets = {r["doc_id"]: set(r["sigs"]) for r in made}
     classes, pairs = spots.similar(docs, 0.7)
