@@ -124,7 +124,7 @@ def sketch(rows: DataFrame, k: int, bands: int) -> DataFrame:
             sets = shingle_sets(column, k)
             sig, keys = _sketches(sets, bands)
             return [
-                pa.array([s.shape[1] for s in sets], pa.int64()), pa.array([_digest(s) if s.size else None for s in sets], pa.binary()),
+                pa.array([s.shape[1] for s in sets], pa.int64()), pa.array([hashlib.md5(s.tobytes()).digest() if s.size else None for s in sets], pa.binary()),
                 pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(list(keys), pa.list_(pa.int64())),
             ]
         return step
@@ -133,10 +133,6 @@ def sketch(rows: DataFrame, k: int, bands: int) -> DataFrame:
     return append_columns(rows, "text", start, fields, keep=["doc_id", "body"])
 
 
-def _digest(shingles: np.ndarray) -> bytes:
-    return hashlib.md5(shingles.tobytes()).digest()
-
-
 @lru_cache
 def least_matches(hashes: int, similarity: int) -> tuple[tuple[int, int], ...]:
     """(hashes compared, matches below which the posterior chance of the threshold is under ``MISS``), batch by batch; uniform prior."""
@@ -180,38 +176,38 @@ def _bayes(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _set(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint64).reshape(2, -1)
+def _linked(x: list[np.ndarray], y: list[np.ndarray], similarity: int) -> bool:
+    """Whether two sets reach the similarity (percent). A set is its sorted first lane, with or without the second beside it.
 
-
-def _linked(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
-    """Whether two sets of 128-bit shingles reach the similarity (percent)."""
-    n, m = x.shape[1], y.shape[1]
+    First lanes alone can only overrate a pair, by a collision of 64 bits.
+    """
+    n, m = len(x[0]), len(y[0])
     if 100 * min(n, m) < similarity * max(n, m):
         return False
-    if (x[0, 1:] == x[0, :-1]).any() or (y[0, 1:] == y[0, :-1]).any():  # the first lane collides in a set
-        both = len(set(zip(*x.tolist())) & set(zip(*y.tolist())))
+    if len(x) > 1 and ((x[0][1:] == x[0][:-1]).any() or (y[0][1:] == y[0][:-1]).any()):  # a first lane collides within its set
+        both = len(set(zip(*(lane.tolist() for lane in x))) & set(zip(*(lane.tolist() for lane in y))))
     else:
         at = np.minimum(np.searchsorted(x[0], y[0]), n - 1)
-        both = int(((x[0, at] == y[0]) & (x[1, at] == y[1])).sum())
+        both = int(np.logical_and.reduce([a[at] == b for a, b in zip(x, y)]).sum())
     return 100 * both >= similarity * (n + m - both)
 
 
+def _lanes(*raw: bytes) -> list[np.ndarray]:
+    return [np.frombuffer(r, np.uint64) for r in raw]
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs linked by their full sets."""
-    one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+    """The pairs linked by their full sets of 128-bit shingles."""
+    one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"), F.col("second").alias("ta"))
+    two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"), F.col("second").alias("tb"))
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                if _linked(_set(x.as_py()), _set(y.as_py()), similarity):
-                    keep.append(i)
+            keep = [i for i, (x, xx, y, yy) in enumerate(zip(*batch.columns[2:])) if _linked(_lanes(x.as_py(), xx.as_py()), _lanes(y.as_py(), yy.as_py()), similarity)]
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "ta", "sb", "tb").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -243,8 +239,8 @@ def _merge(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> Data
     return scratch.stored(old.union(fresh), "labels")
 
 
-def _rest(entries: DataFrame, labels: DataFrame, full_sets: DataFrame, similarity: int) -> DataFrame:
-    """Links ``a, b`` between components that share a bucket, its first member aside: block against block."""
+def _rest(entries: DataFrame, labels: DataFrame, full_sets: DataFrame, similarity: int, lanes: tuple[str, ...]) -> DataFrame:
+    """Links ``a, b`` between components that share a bucket, its first member aside: block against block, by the given lanes."""
     named = labels.select(F.col("node").alias("rep"), "label")
     members = entries.join(named, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = members.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("band", "key", "center", "n")
@@ -268,14 +264,14 @@ def _rest(entries: DataFrame, labels: DataFrame, full_sets: DataFrame, similarit
         )),
     )
     met = placed.select("band", "key", "rep", "label", F.explode("meets").alias("m")).select("band", "key", F.col("m.r").alias("r"), F.col("m.o").alias("o"), "rep", "label")
-    full = met.join(full_sets, "rep")
+    full = met.join(full_sets.select("rep", "sig", "keys", *lanes), "rep")
 
     def compare(table: pa.Table) -> pa.Table:
         band = table.column("band")[0].as_py()
         rep, label = table.column("rep").to_numpy(), table.column("label").to_numpy()
         sig = np.stack([np.frombuffer(x.as_py(), "<u2") for x in table.column("sig")])
         keys = np.stack([x.values.to_numpy() for x in table.column("keys")])
-        sets = [_set(x.as_py()) for x in table.column("shingles")]
+        sets = [_lanes(*(x.as_py() for x in row)) for row in zip(*(table.column(lane) for lane in lanes))]
         names, owner = np.unique(label, return_inverse=True)  # components, merged as links are found
         # the smaller components ask, so that a large one is compared with few
         order = np.argsort(np.bincount(owner, minlength=len(names))[owner], kind="stable")
@@ -313,22 +309,26 @@ def _resolved(sketches: DataFrame, rows: DataFrame, shingle: int, similarity: in
     entries = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     buckets = entries.groupBy("band", "key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(entries.join(buckets.select("band", "key", "center"), ["band", "key"]), "entries")
-    asked = classes.join(shared.select("rep").distinct(), "rep").select("rep", "digest", F.col("least.doc_id").alias("doc_id"), F.col("least.body").alias("body"), "sig", F.col("bands").alias("keys"))
+    asked = classes.join(shared.select("rep").distinct(), "rep").select("rep", F.col("least.doc_id").alias("doc_id"), F.col("least.body").alias("body"), "sig", F.col("bands").alias("keys"))
 
     def start():
         def step(column):
             sets = shingle_sets(column, shingle)
-            return [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_digest(s) for s in sets], pa.binary())]
+            return [pa.array([s[0].tobytes() for s in sets], pa.binary()), pa.array([s[1].tobytes() for s in sets], pa.binary())]
         return step
 
-    fields = [T.StructField("shingles", T.BinaryType()), T.StructField("own", T.BinaryType())]
-    sets = append_columns(rows.join(asked, ["doc_id", "body"]), "text", start, fields, keep=["rep", "digest", "sig", "keys"]).where("own = digest")
-    sets = stored(sets.groupBy("rep").agg(F.first("shingles").alias("shingles"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), "sets")
+    fields = [T.StructField("shingles", T.BinaryType()), T.StructField("second", T.BinaryType())]
+    texts = rows.join(asked, ["doc_id", "body"]).dropDuplicates(["doc_id", "body"])  # repeated rows; the join's partitions serve
+    sets = stored(append_columns(texts, "text", start, fields, keep=["rep", "sig", "keys"]), "sets")
 
     star = shared.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     labels = _merge(None, stored(_confirm(_bayes(star, reps, similarity), sets, similarity), "links"), scratch)
-    found = stored(_rest(shared.select("rep", "band", "key"), labels, sets, similarity), "rest")
-    if found.limit(1).count():
+    members = shared.select("rep", "band", "key")
+    found = stored(_rest(members, labels, sets, similarity, ("shingles",)), "rest")
+    if n := found.count():
+        sure = stored(_confirm(found, sets, similarity), "sure")
+        # a link by a collision of 64 bits may have hidden others: then once more with both lanes
+        found = sure if sure.count() == n else stored(_rest(members, labels, sets, similarity, ("shingles", "second")), "rest")
         labels = _merge(labels, found, scratch)
     labelled = classes.select("rep", "digest", "least.doc_id").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     return stored(labelled.join(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("digest", "label", "component_id"), "named")
