@@ -7,10 +7,11 @@ mask rotates a CRC-32 right by 15 bits and adds a constant, so that checksums of
 checksums stay sound. The line feed is what Spark's line writer puts after each row: the files are
 written by its text sink, in any file system that Spark knows and under its commit protocol.
 
-``write_records`` range-partitions by id, so files in name order hold ascending ids, and bounds
-the records of a file. ``build_index`` scans the files once, verifies each checksum and keeps
-(file, id, byte offset, length, tokens) as Parquet; ``read_records`` reads any subset of records,
-in any order, through that index.
+``write_records`` encodes first, so only framed ids are shuffled; it range-partitions them by id, so
+files in order hold ascending ids, and bounds the bytes of a file. ``build_index`` scans the files
+once, verifies each checksum and keeps (file, id, byte offset, length, tokens) as Parquet;
+``read_records`` reads any subset of records, in any order, through that index: it seeks to each
+record where the file system can be opened from Python, and else reads the files that hold one.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from palimpsest.llm.bytebpe import ChunkEncoder
-from palimpsest.runtime import prepare, scratch_path
+from palimpsest.runtime import Scratch, prepare, scratch_path
 
 MASK = 0xA282EAD8
-#: Documents a file at most.
-ROWS_PER_FILE = 2048
+#: Bytes of a file about: one record more at most.
+FILE_BYTES = 32 << 20
 HEAD, FOOT = 12, 5
 
 
@@ -37,8 +39,14 @@ def masked_crc(data: bytes) -> int:
 
 
 def frame(doc_id: int | None, ids: bytes, width: int) -> bytes:
-    """A record without its line feed; ``ids`` are little-endian unsigned 32-bit integers."""
-    body = ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+    """A record without its line feed; ``ids`` are little-endian unsigned 32-bit integers. ValueError for an id that the width cannot hold."""
+    if width == 4:
+        body = ids
+    else:
+        numbers = np.frombuffer(ids, "<u4")
+        if len(numbers) and int(numbers.max()) > 0xFFFF:
+            raise ValueError(f"id {int(numbers.max())} needs more than {width} bytes")
+        body = numbers.astype("<u2").tobytes()
     payload = struct.pack("<BBq", doc_id is not None, width, doc_id or 0) + body
     head = struct.pack("<Q", len(payload))
     return b"".join((head, struct.pack("<I", masked_crc(head)), payload, struct.pack("<I", masked_crc(payload))))
@@ -58,35 +66,55 @@ def parse(data: bytes, offset: int = 0) -> tuple[int | None, np.ndarray, int]:
     return (doc_id if has_id else None), np.frombuffer(payload, f"<u{width}", offset=10), end + FOOT
 
 
-def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", rows_per_file: int = ROWS_PER_FILE, id_width: int = 2) -> None:
+def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES, id_width: int = 2) -> None:
     """Encode each text (null: empty), append ``end_id`` and write record files in ascending id order.
 
-    Null ids come first; rows of equal id are all kept, ordered by text. ``id_width`` is 2 for
-    vocabularies below 65,536 and 4 beyond.
+    Null ids come first; rows of equal id, repeated ones too, are all kept, in the order of a hash of
+    the text. ``id_width`` is 2 for vocabularies up to 65,536 and 4 beyond; an id that does not fit is
+    an error. Ids of documents are integers. A very long text is one record, whatever its size. An
+    empty table gives no files; columns not named are ignored.
     """
     spark = docs.sparkSession
     prepare(spark)
-    source = docs.select(docs[id_col].cast("long").alias("__id"), docs[text_col].cast("string").alias("__text"))
-    parts = max(1, -(-source.select("__id").count() // rows_per_file))
-    ordered = source.repartitionByRange(parts, "__id", F.xxhash64("__text")).sortWithinPartitions("__id", "__text")
+    scratch = Scratch(spark)
+    source = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("tie"), docs[text_col].cast("string").alias("text"))
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches):
+    def encode(batches):
         encoder = ChunkEncoder.load(tokenizer_path)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            frames = []
+            ids, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for a in range(0, len(texts), 128):
-                frames += [frame(i, b + end, id_width) for i, b in zip(ids[a : a + 128], encoder.encode(texts[a : a + 128]))]
-            if frames:
-                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["value"])
+                frames = [frame(i, b + end, id_width) for i, b in zip(ids[a : a + 128], encoder.encode(texts[a : a + 128]))]
+                part = batch.slice(a, len(frames))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(frames, pa.binary()), pa.array(list(map(len, frames)), pa.int64())], names=["id", "tie", "value", "size"])
+
+    framed = source.mapInArrow(encode, "id long, tie long, value binary, size long").withColumn("row", F.monotonically_increasing_id())
+    framed = scratch.stored(framed, "framed")
+    total = framed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    parts = max(1, -(-total["bytes"] // file_bytes), min(spark.sparkContext.defaultParallelism, total["n"] // 1024))
+
+    def cut(batches):
+        """A part beyond the bytes of a file (it holds long records) goes to several."""
+        size = 0
+        for batch in batches:
+            pieces = []
+            for n in batch.column(4).to_pylist():
+                pieces.append(size // file_bytes)
+                size += n
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(pieces, pa.int64())], names=["id", "tie", "row", "value", "piece"])
 
-    framed = ordered.mapInArrow(run, T.StructType([T.StructField("value", T.BinaryType())]))
-    framed.select(F.col("value").cast("string").alias("value")).write.option("compression", "none").option("maxRecordsPerFile", rows_per_file).text(path)
+    order = ["id", "tie", "row"]
+    ranged = framed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*order, "value", "size")
+    placed = ranged.mapInArrow(cut, "id long, tie long, row long, value binary, piece long").sortWithinPartitions("piece", *order)
+    placed.select(F.col("value").cast("string").alias("value"), "piece").write.option("compression", "none").partitionBy("piece").text(path)
+    scratch.drop()
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    """``file`` (its folder and name) and ``content`` of the record files."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
+    return found.select(F.array_join(F.slice(F.split("path", "/"), -2, 2), "/").alias("file"), "content")
 
 
 def build_index(spark: SparkSession, path: str, index_path: str) -> None:
@@ -112,29 +140,50 @@ def build_index(spark: SparkSession, path: str, index_path: str) -> None:
     _files(spark, path).mapInArrow(run, schema).write.parquet(index_path)
 
 
+def _opener(path: str):
+    """A Python file system for a path and the path in it, or nothing where there is none for its scheme."""
+    try:
+        return pa_fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError, ValueError):
+        return None
+
+
 def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
     """``doc_id`` and ``ids`` (array of long) of the records in ``index`` (any rows of the offset index)."""
     prepare(spark)
-    wanted = index.groupBy("file").agg(F.collect_list("record_offset").alias("at"))
-    joined = _files(spark, path).join(wanted, "file").select("content", "at")
+    wanted = index.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("record_offset", "record_bytes"))).alias("at"))  # a file's records at most
 
-    def run(batches):
+    def out(got):
+        return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1].astype(np.int64) for g in got], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    def seek(batches):
+        system, root = _opener(path)
+        for batch in batches:
+            for name, at in zip(batch.column(0), batch.column(1)):
+                with system.open_input_file(f"{root.rstrip('/')}/{name.as_py()}") as f:
+                    for some in at.as_py():
+                        f.seek(some["record_offset"])
+                        yield out([parse(f.read(some["record_bytes"]))[:2]])
+
+    def scan(batches):
         for batch in batches:
             for content, at in zip(batch.column(0), batch.column(1)):
                 data = content.as_py()
-                got = [parse(data, a)[:2] for a in at.as_py()]
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1].astype(np.int64) for g in got], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+                for some in at.as_py():
+                    yield out([parse(data, some["record_offset"])[:2]])
 
-    return joined.mapInArrow(run, "doc_id long, ids array<long>")
+    if _opener(path):
+        return wanted.select("file", "at").mapInArrow(seek, "doc_id long, ids array<long>")
+    return _files(spark, path).join(wanted, "file").select("content", "at").mapInArrow(scan, "doc_id long, ids array<long>")
 
 
 def starts(index: DataFrame) -> DataFrame:
-    """The index with ``start``: ids of all records before it, in file order.
+    """The index with ``start``: ids of all records before it, in file order (part, then piece).
 
     File totals are summed in two levels (groups of a thousand parts), so no task sees all files.
     """
     part = F.regexp_extract("file", r"part-(\d+)-", 1).cast("long")
-    piece = F.regexp_extract("file", r"-c(\d+)", 1).cast("long")
+    piece = F.regexp_extract("file", r"piece=(\d+)", 1).cast("long")
     totals = index.groupBy("file").agg(F.sum("n_tokens").alias("t")).select("file", "t", part.alias("p"), piece.alias("c"), F.expr("0L").alias("z")).withColumn("g", F.expr("p div 1000"))
     inner = Window.partitionBy("g").orderBy("p", "c").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy("z").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
@@ -144,7 +193,10 @@ def starts(index: DataFrame) -> DataFrame:
 
 
 def token_records(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
-    """Write, index and read back: ``doc_id, start, n_tokens, ids_crc32`` per document."""
+    """Write, index and read back: ``doc_id, start, n_tokens, ids_crc32`` per document, from the files.
+
+    See ``write_records`` for nulls, ties, repeated rows, very long texts and empty tables.
+    """
     spark = docs.sparkSession
     root = scratch_path(spark, "records")
     write_records(docs, f"{root}/data", tokenizer_path, **options)

@@ -534,10 +534,13 @@ def test_trees_are_monotone():
 
 def test_records(spark, docs, empty, tmp_path):
     tk = library(BYTE_BPE)
-    records.write_records(docs, f"file://{tmp_path}/d", BYTE_BPE, end_id=2, rows_per_file=16)
+    records.write_records(docs, f"file://{tmp_path}/d", BYTE_BPE, end_id=2, file_bytes=5000)
     records.build_index(spark, f"file://{tmp_path}/d", f"file://{tmp_path}/i")
     index = records.starts(spark.read.parquet(f"file://{tmp_path}/i"))
     rows = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"file://{tmp_path}/d")
+    longest = index.agg(F.max("record_bytes")).first()[0]
+    assert files.count() > 10 and files.agg(F.max("length")).first()[0] < 5000 + longest
     at = 0
     for r, g in zip(rows, index.orderBy("start").collect(), strict=True):
         ids = tk.encode(r["text"] or "", add_special_tokens=False).ids + [2]
@@ -545,12 +548,20 @@ def test_records(spark, docs, empty, tmp_path):
         at += len(ids)
     some = {r["doc_id"]: r["ids"] for r in records.read_records(spark, f"file://{tmp_path}/d", index.where("doc_id in (3, 6, 40)")).collect()}
     assert some == {i: tk.encode(next(r["text"] for r in rows if r["doc_id"] == i), add_special_tokens=False).ids + [2] for i in (3, 6, 40)}
+    # the same where no Python file system knows the path
+    opener, records._opener = records._opener, lambda path: None
+    assert {r["doc_id"]: r["ids"] for r in records.read_records(spark, f"file://{tmp_path}/d", index.where("doc_id in (3, 6, 40)")).collect()} == some
+    records._opener = opener
+    with pytest.raises(ValueError, match="70000"):
+        records.frame(1, np.array([3, 70000], "<u4").tobytes(), 2)
+    assert records.parse(records.frame(1, np.array([3, 70000], "<u4").tobytes(), 4) + b"\n")[1].tolist() == [3, 70000]
     raw = bytearray(records.frame(5, np.array([1, 2, 3], "<u4").tobytes(), 2) + b"\n")
     assert records.parse(bytes(raw))[0] == 5
     raw[25] ^= 1
     with pytest.raises(ValueError):
         records.parse(bytes(raw))
     assert records.token_records(docs.where("doc_id = 1"), BYTE_BPE).first()["n_tokens"] == 1
+    assert records.token_records(empty, BYTE_BPE).count() == 0
 
 
 def test_language(spark, docs, empty):
