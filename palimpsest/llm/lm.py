@@ -1,18 +1,21 @@
 """Hashed maximum-entropy language model with class-factored softmax (operator 1).
 
-Words are counted over the whole training corpus. The most frequent ones are modelled: a word's
-class given its context, then the word given class and context, both softmaxes over hashed n-gram
-and skip features (previous word, two skips, previous pair). All other words and the unknown word
-form one further class, inside which a word has its add-one share, so the model is a distribution
-over the training words and one unknown. Each task runs AdaGrad over the documents it reads from
-the common start; the tasks' updates are averaged by their tokens, in two shuffles of fixed-size
-blocks. Scoring is numpy over sparse feature rows. The counts of the ``known`` most frequent words
-travel with the code (a bound, not a cap): rarer words get theirs by a join.
+Words are counted over the whole training corpus. The whole vocabulary is factored into classes
+within classes of ``WAYS`` each: the frequent words by equal shares of their mass, so a word of
+share p lies about log16(1/p) classes deep; all rarer words behind one class, by the digits of their
+hash, as deep as their number asks for. Each choice of a class is a softmax over hashed n-gram and
+skip features (the word before, the one before that, the last very frequent word, the pair before),
+started at the counts' shares. At the end of the digits a rare word has its add-one share, as does
+one unknown word, so the model is a distribution. The hashed tables grow with the corpus. Each task
+runs AdaGrad over the documents it reads from the common start; each table row is averaged over the
+tasks that moved it, by how often they did. Scoring is numpy over sparse feature rows. The counts of
+the ``known`` most frequent words travel with the code (a bound, not a cap): rarer words get theirs
+by a join.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field as made
 
 import numpy as np
 import pyarrow as pa
@@ -22,52 +25,69 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palimpsest.llm.batches import LOWER_TABLE, SPACE_TABLE, append_columns, field, flat, groups, mix, span_hashes, spans
 from palimpsest.runtime import prepare, stored
 
-#: Classes of modelled words (one more holds the rest), words of a class, rows of the two hashed tables.
-CLASSES, WORDS, HASH_CLASS, HASH_WORD = 31, 64, 1 << 13, 1 << 14
+#: Classes that a softmax chooses from.
+WAYS = 16
 #: Frequent words whose counts are sent to every task.
 KNOWN = 1 << 17
+#: Words that contexts tell apart (others: 256 groups), and very frequent ones that a skip may look back to.
+CONTEXT, ANCHORS = 4096, 128
+#: Tokens that a skip looks back at most, and tokens handled at a time.
+LOOK, PIECE = 32, 1 << 15
+#: Bits of a feature's table: least, most.
+BITS = 10, 18
 #: The end token's stand-in among word hashes.
 END = np.uint64(0x5EED0FE11D)
-FEATURES, MINIBATCH, RATE = 4, 4096, 0.15
-#: Blocks of the parameters, and groups of tasks whose updates are added first.
-BLOCKS, SALTS = 32, 1024
+FEATURES, MINIBATCH, RATE = 4, 4096, 0.2
+#: Blocks of the parameters, and tasks whose updates are added at a time.
+BLOCKS, FAN = 32, 64
+#: Levels of hash digits of rare words at most.
+DIGITS = 4
 
 
 def tokens(column: pa.Array):
-    """Per group of texts: first row, rows, token hashes (each text's words, then the end), token rows."""
+    """Per group of texts: first row, rows, token hashes (each text's words, then the end), token rows, and the second hash lane of chosen tokens."""
     data, offsets = flat(column)
     for a, b in groups(offsets):
         part, offs = LOWER_TABLE[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
         starts, ends, docs = spans(part, offs, SPACE_TABLE)
         hashes = span_hashes(part, starts, ends)
         n = np.bincount(docs, minlength=b - a)
+        place = np.arange(len(hashes)) + docs
         out = np.full(len(hashes) + b - a, END)
-        out[np.arange(len(hashes)) + docs] = hashes
-        yield a, b - a, out, np.repeat(np.arange(b - a), n + 1)
+        out[place] = hashes
+
+        def second(at: np.ndarray, part=part, starts=starts, ends=ends, place=place, size=len(out)) -> np.ndarray:
+            word = np.full(size, -1)
+            word[place] = np.arange(len(place))
+            chosen, lane = word[at], np.full(len(at), END)
+            lane[chosen >= 0] = span_hashes(part, starts[chosen[chosen >= 0]], ends[chosen[chosen >= 0]], 1)
+            return lane
+
+        yield a, b - a, out, np.repeat(np.arange(b - a), n + 1), second
 
 
 def count_words(docs: DataFrame, text_col: str) -> DataFrame:
-    """``word`` (hash) and ``n`` over all texts; each task adds up its own first."""
+    """``word, check`` (128 bits of hash) and ``n`` over all texts; each task adds up its own first, by the first 64 bits."""
     prepare(docs.sparkSession)
 
     def run(batches):
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def merged():
-            words = np.concatenate([k[0] for k in kept])
+            words, checks, counts = (np.concatenate(c) for c in zip(*kept))
             order = np.argsort(words, kind="stable")
             words = words[order]
             first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-            return words[first], np.add.reduceat(np.concatenate([k[1] for k in kept])[order], first)
+            return words[first], checks[order][first], np.add.reduceat(counts[order], first)
 
         def row(k):
-            return pa.RecordBatch.from_arrays([pa.array(k[0].view(np.int64)), pa.array(k[1])], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(k[0].view(np.int64)), pa.array(k[1].view(np.int64)), pa.array(k[2])], names=["word", "check", "n"])
 
         for batch in batches:
-            for *_, hashes, _ in tokens(batch.column(0)):
-                words, n = np.unique(hashes, return_counts=True)
-                kept.append((words, n.astype(np.int64)))
+            for *_, hashes, _, second in tokens(batch.column(0)):
+                words, first, n = np.unique(hashes, return_index=True, return_counts=True)
+                kept.append((words, second(first), n.astype(np.int64)))
                 size += len(words)
                 if size > 1_500_000:  # bounds the task's memory
                     kept = [merged()]
@@ -78,7 +98,7 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
         if kept:
             yield row(merged())
 
-    return docs.select(docs[text_col].cast("string")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(docs[text_col].cast("string")).mapInArrow(run, "word long, check long, n long").groupBy("word", "check").agg(F.sum("n").alias("n"))
 
 
 class Lookup:
@@ -111,105 +131,148 @@ class Lookup:
         return out
 
 
+def factored(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes within classes of words by equal shares of ``mass`` (descending): each word's nodes and digits (-1 behind its last), each node's log shares."""
+    n = len(mass)
+    node, alive = np.zeros(n, np.int64), np.arange(n)
+    nodes, digits, shares, count = [], [], [], 1
+    while len(alive):
+        # words of a node are neighbours: their place in its mass gives the digit
+        at = node[alive]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        sizes = np.diff(first, append=len(alive))
+        weight = mass[alive]
+        total = np.repeat(np.add.reduceat(weight, first), sizes)
+        before = np.cumsum(weight) - weight
+        before -= np.repeat(before[first], sizes)
+        digit = np.minimum((WAYS * (before + weight / 2) / total).astype(np.int64), WAYS - 1)
+        level_nodes, level_digits = np.full(n, -1, np.int32), np.zeros(n, np.int8)
+        level_nodes[alive], level_digits[alive] = at, digit
+        nodes.append(level_nodes), digits.append(level_digits)
+        table = np.zeros((len(first), WAYS))
+        np.add.at(table, (np.repeat(np.arange(len(first)), sizes), digit), weight)
+        shares.append(table)
+        child = at * WAYS + digit
+        fresh = np.concatenate([[True], child[1:] != child[:-1]])
+        size = np.diff(np.flatnonzero(fresh), append=len(alive))
+        lone = np.repeat(size == 1, size)
+        group = np.cumsum(fresh & ~lone) - 1  # nodes of the next level, in order
+        alive = alive[~lone]
+        node[alive] = count + group[~lone]
+        count += int((size > 1).sum())
+    with np.errstate(divide="ignore"):
+        logs = np.log(np.concatenate(shares)) if shares else np.zeros((1, WAYS))
+    return np.array(nodes, np.int32).reshape(-1, n).T, np.array(digits, np.int8).reshape(-1, n).T, np.maximum(logs, -1e9).astype(np.float32)
+
+
 @dataclass
 class Model:
-    """``words``: frequent hashes, the modelled ones first; ``counts``: theirs. Tables start at the counts' distribution."""
+    """``words``: frequent hashes, most frequent first; ``counts``: theirs; ``rare``: the mass (counts, one each, and one for the unknown) of rare words by hash digits."""
 
     words: np.ndarray
     counts: np.ndarray
     total: int
     distinct: int
-    modelled: int
-    class_table: np.ndarray
-    word_table: np.ndarray
+    rare: np.ndarray
+    bits: int
+    tables: list[np.ndarray] = made(default_factory=list)
 
     @classmethod
-    def start(cls, words: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> "Model":
-        modelled = min(len(words), CLASSES * WORDS)
-        return cls(words, counts, total, distinct, modelled, np.zeros((HASH_CLASS, CLASSES + 1), np.float32), np.zeros((HASH_WORD, WORDS), np.float32))
+    def start(cls, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, rare: np.ndarray, bits: int) -> "Model":
+        return cls(words, counts, total, distinct, rare, bits, [np.zeros((1 << bits, WAYS), np.float32) for _ in range(FEATURES)])
 
     def ready(self) -> "Model":
         self.lookup = Lookup(self.words)
-        mass = np.zeros(CLASSES * WORDS)
-        mass[: self.modelled] = self.counts[: self.modelled] + 1
-        mass = mass.reshape(CLASSES, WORDS)
-        #: Mass of the class that holds all other words and the unknown one.
-        self.rest = float(self.total + self.distinct + 1 - mass.sum())
-        with np.errstate(divide="ignore"):
-            self.class_bias = np.log(np.append(mass.sum(axis=1), self.rest)).astype(np.float32)
-            self.word_bias = np.log(mass).astype(np.float32)
-        self.class_bias -= np.log(self.total + self.distinct + 1)
-        self.class_bias[np.isneginf(self.class_bias)] = -1e9
-        self.word_bias[np.isneginf(self.word_bias)] = -1e9
+        self.levels = int(round(np.log(len(self.rare)) / np.log(WAYS)))
+        # rare words are the last of the frequent ones' classes, as one word
+        self.nodes, self.digits, self.bias = factored(np.append(self.counts + 1.0, self.rare.sum()))
+        self.depth = (self.nodes >= 0).sum(axis=1)
+        base, mass = [len(self.bias)], self.rare
+        tables = []
+        for _ in range(self.levels):
+            tables.append(mass.reshape(-1, WAYS))
+            mass = tables[-1].sum(axis=1)
+        self.first = []
+        for table in tables[::-1]:  # from the coarsest digits on
+            self.first.append(base[-1])
+            base.append(base[-1] + len(table))
+            self.bias = np.concatenate([self.bias, np.log(table).astype(np.float32)])
         return self
 
-    def context(self, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ranks, classes and hashed features (tokens by ``FEATURES``) of token rows."""
+    def choices(self, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Ranks (-1: rare), and of each choice of a class: its token, node, digit and hashed features (one column a feature)."""
         rank = self.lookup(hashes)
-        kind = np.where((rank >= 0) & (rank < self.modelled), rank // WORDS, CLASSES)
-        # a rare word counts as one of 256 groups in contexts
-        seen = np.where(kind < CLASSES, rank, (CLASSES * WORDS + (hashes >> np.uint64(56)).astype(np.int64)).astype(np.int32)).astype(np.uint64) + np.uint64(1)
+        word = np.where(rank >= 0, rank, len(self.words))
+        depth = self.depth[word] + np.where(rank < 0, self.levels, 0)
+        token = np.repeat(np.arange(len(hashes)), depth)
+        level = np.arange(len(token)) - np.repeat(np.cumsum(depth) - depth, depth)
+        own = word[token]
+        inner = level - self.depth[own]  # of hash digits
+        at = np.minimum(level, self.nodes.shape[1] - 1)
+        node, digit = self.nodes[own, at], self.digits[own, at].astype(np.int64)
+        for l in range(self.levels):
+            deep = np.flatnonzero(inner == l)
+            head = (hashes[token[deep]] >> np.uint64(64 - 4 * (l + 1))).astype(np.int64)
+            node[deep], digit[deep] = self.first[l] + head // WAYS, head % WAYS
+        # contexts: a rare word counts as one of 256 groups
+        seen = np.where((rank >= 0) & (rank < CONTEXT), rank, (CONTEXT + (hashes >> np.uint64(56)).astype(np.int64))).astype(np.uint64) + np.uint64(1)
         back = []
-        for d in (1, 2, 3):
+        for d in (1, 2):
             before = np.zeros(len(seen), np.uint64)  # 0: before the text
             before[d:] = np.where(rows[d:] == rows[:-d], seen[:-d], 0) if len(seen) > d else before[d:]
             back.append(before)
+        place = np.arange(len(seen))
+        last = np.maximum.accumulate(np.where((rank >= 0) & (rank < ANCHORS), place, -1))
+        last = np.concatenate([[-1], last[:-1]])
+        anchor = np.where((last >= 0) & (place - last <= LOOK) & (rows[last] == rows), seen[last], 0).astype(np.uint64)
         pair = back[0] * np.uint64(1 << 20) + back[1]
-        cells = [mix(v * np.uint64(8) + np.uint64(i)) for i, v in enumerate((*back, pair))]
-        return rank, kind, np.stack(cells, axis=1)
-
-    def forward(self, cells: np.ndarray, kind: np.ndarray, rank: np.ndarray):
-        """Natural log probability of each token's class and word, and what the gradients need."""
-        ci = (cells & np.uint64(HASH_CLASS - 1)).astype(np.uint16)
-        z = _summed(self.class_table, ci)
-        z += self.class_bias
+        here = mix(node.astype(np.uint64) + np.uint64(0x51))
+        shift = np.uint64(64 - self.bits)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        cells = [(mix((v * np.uint64(8) + np.uint64(f))[token] ^ here) >> shift).astype(kind) for f, v in enumerate((*back, anchor, pair))]
+        return rank, token, node, digit, np.stack(cells, axis=1)
+
+    def forward(self, node: np.ndarray, digit: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log probability of each choice, and the probabilities of all classes there."""
+        z = self.bias.take(node, axis=0)
+        for f in range(FEATURES):
+            z += self.tables[f].take(cells[:, f], axis=0)
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
         s = p.sum(axis=1, keepdims=True)
         p /= s
-        at = np.arange(len(kind))
-        score = z[at, kind] - np.log(s[:, 0])
-        inner = np.flatnonzero(kind < CLASSES)
-        k = kind[inner]
-        wi = (mix(cells[inner] + (k.astype(np.uint64) << np.uint64(40))[:, None]) & np.uint64(HASH_WORD - 1)).astype(np.uint16)
-        y = _summed(self.word_table, wi)
-        y += self.word_bias.take(k, axis=0)
-        y -= y.max(axis=1, keepdims=True)
-        q = np.exp(y)
-        t = q.sum(axis=1, keepdims=True)
-        q /= t
-        slot = rank[inner] % WORDS
-        score[inner] += y[np.arange(len(inner)), slot] - np.log(t[:, 0])
-        return score, (ci, p), (inner, wi, q, slot)
-
-    def learn(self, cells: np.ndarray, kind: np.ndarray, rank: np.ndarray, squares: tuple[np.ndarray, np.ndarray]) -> None:
-        """One AdaGrad step."""
-        _, (ci, p), (inner, wi, q, slot) = self.forward(cells, kind, rank)
-        p[np.arange(len(kind)), kind] -= 1
-        _update(self.class_table, squares[0], ci, p)
-        if len(inner):
-            q[np.arange(len(inner)), slot] -= 1
-            _update(self.word_table, squares[1], wi, q)
-
-
-def _summed(table: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Each token's feature rows added up, one feature at a time: no array of tokens by features by columns."""
-    out = table.take(index[:, 0], axis=0)
-    for j in range(1, index.shape[1]):
-        out += table.take(index[:, j], axis=0)
-    return out
-
-
-def _update(table: np.ndarray, square: np.ndarray, index: np.ndarray, grad: np.ndarray) -> None:
-    """Adds each token's gradient to its feature rows: sort by row (radix), sum runs, scale by row."""
-    every = index.ravel()
-    order = np.argsort(every, kind="stable")
-    rows = every[order]
-    sums, first = _run_sums(grad, order // index.shape[1], np.concatenate([[True], rows[1:] != rows[:-1]]))
+        return z[np.arange(len(digit)), digit] - np.log(s[:, 0]), p
+
+    def log_probabilities(self, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks and natural log probabilities of tokens (a rare one's: of its digits), piece by piece, contexts whole."""
+        ranks, values = np.empty(len(hashes), np.int64), np.empty(len(hashes))
+        for a in range(0, len(hashes), PIECE):
+            lo, hi = max(0, a - LOOK), min(a + PIECE, len(hashes))
+            rank, token, node, digit, cells = self.choices(hashes[lo:hi], rows[lo:hi])
+            value = np.concatenate([self.forward(node[b : b + 4 * MINIBATCH], digit[b : b + 4 * MINIBATCH], cells[b : b + 4 * MINIBATCH])[0] for b in range(0, len(node), 4 * MINIBATCH)])
+            ranks[a:hi], values[a:hi] = rank[a - lo :], np.bincount(token, value, hi - lo)[a - lo :]
+        return ranks, values
+
+    def learn(self, node: np.ndarray, digit: np.ndarray, cells: np.ndarray, squares: list[np.ndarray], moved: list[np.ndarray]) -> None:
+        """One AdaGrad step; ``moved`` counts the choices of each row."""
+        _, p = self.forward(node, digit, cells)
+        p[np.arange(len(digit)), digit] -= 1
+        for f in range(FEATURES):
+            _update(self.tables[f], squares[f], moved[f], cells[:, f], p)
+
+
+def _update(table: np.ndarray, square: np.ndarray, moved: np.ndarray, index: np.ndarray, grad: np.ndarray) -> None:
+    """Adds each choice's gradient to its feature row: sort by row (radix), sum runs, scale by row."""
+    order = np.argsort(index, kind="stable")
+    rows = index[order]
+    fresh = np.concatenate([[True], rows[1:] != rows[:-1]])
+    sums, first = _run_sums(grad, order, fresh)
     at = rows[first]
     square[at] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
     sums *= (RATE / np.sqrt(square[at]))[:, None]
     table[at] = table.take(at, axis=0) - sums
+    starts = np.flatnonzero(fresh)
+    moved[rows[starts]] += np.diff(starts, append=len(rows))
 
 
 def _run_sums(values: np.ndarray, source: np.ndarray, fresh: np.ndarray, piece: int = 16) -> tuple[np.ndarray, np.ndarray]:
@@ -239,46 +302,56 @@ def _run_sums(values: np.ndarray, source: np.ndarray, fresh: np.ndarray, piece:
 
 
 def train(docs: DataFrame, model: Model, text_col: str) -> Model:
-    """One distributed round over all texts: local steps, then averages weighted by tokens."""
+    """One distributed round over all texts: local steps, then each row's average over the tasks that moved it, by how often."""
     spark = docs.sparkSession
     prepare(spark)
     sent = spark.sparkContext.broadcast(model)
-    size = HASH_CLASS * (CLASSES + 1) + HASH_WORD * WORDS
-    step = size // BLOCKS
+    size = 1 << model.bits
+    step = FEATURES * size // BLOCKS
 
     def run(batches):
         base = sent.value
-        own = Model(base.words, base.counts, base.total, base.distinct, base.modelled, base.class_table.copy(), base.word_table.copy()).ready()
-        squares = np.full(HASH_CLASS, 1.0, np.float32), np.full(HASH_WORD, 1.0, np.float32)
-        seen = 0
+        own = Model.start(base.words, base.counts, base.total, base.distinct, base.rare, base.bits).ready()
+        own.tables = [t.copy() for t in base.tables]
+        squares, moved = [np.full(size, 1.0, np.float32) for _ in range(FEATURES)], [np.zeros(size, np.int64) for _ in range(FEATURES)]
         for batch in batches:
-            for *_, hashes, rows in tokens(batch.column(0)):
-                for a in range(0, len(hashes), 1 << 16):
-                    rank, kind, cells = own.context(hashes[a : a + (1 << 16)], rows[a : a + (1 << 16)])
-                    for b in range(0, len(rank), MINIBATCH):
-                        own.learn(cells[b : b + MINIBATCH], kind[b : b + MINIBATCH], rank[b : b + MINIBATCH], squares)
-                seen += len(hashes)
-        if seen:
-            moved = np.concatenate([(own.class_table - base.class_table).ravel(), (own.word_table - base.word_table).ravel()])
+            for *_, hashes, rows, _ in tokens(batch.column(0)):
+                for a in range(0, len(hashes), PIECE):
+                    _, token, node, digit, cells = own.choices(hashes[a : a + PIECE], rows[a : a + PIECE])
+                    cuts = np.searchsorted(token, np.arange(0, PIECE + MINIBATCH, MINIBATCH))
+                    for b, c in zip(cuts, cuts[1:]):
+                        if c > b:
+                            own.learn(node[b:c], digit[b:c], cells[b:c], squares, moved)
+        if any(m.any() for m in moved):
+            weight = np.concatenate(moved).astype(np.float32).reshape(BLOCKS, step)
+            change = np.concatenate([t - z for t, z in zip(own.tables, base.tables)]).astype(np.float16).reshape(BLOCKS, -1)
             context = TaskContext.get()
-            salt = (context.partitionId() if context else 0) % SALTS
-            blocks = [moved[i * step : (i + 1) * step].astype(np.float16).tobytes() for i in range(BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([salt] * BLOCKS, pa.int32()), pa.array([float(seen)] * BLOCKS), pa.array(blocks, pa.binary())], names=["block", "salt", "weight", "moved"])
+            task = context.partitionId() if context else 0
+            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([task] * BLOCKS, pa.int64()), pa.array([w.tobytes() for w in weight], pa.binary()), pa.array([c.tobytes() for c in change], pa.binary())], names=["block", "task", "weight", "moved"])
 
     def average(table: pa.Table) -> pa.Table:
-        weight = table.column("weight").to_numpy()
-        total = sum(w * np.frombuffer(m.as_py(), np.float16).astype(np.float64) for w, m in zip(weight, table.column("moved"))) / weight.sum()
-        return pa.table({"block": table.column("block")[:1], "salt": pa.array([0], pa.int32()), "weight": pa.array([weight.sum()]), "moved": pa.array([total.astype(np.float16).tobytes()], pa.binary())})
-
-    schema = "block int, salt int, weight double, moved binary"
-    rows = docs.select(docs[text_col].cast("string")).mapInArrow(run, schema)
-    rows = rows.groupBy("block", "salt").applyInArrow(average, schema).groupBy("block").applyInArrow(average, schema).orderBy("block").collect()
+        weight, total = np.zeros(step), np.zeros((step, WAYS))
+        for w, m in zip(table.column("weight"), table.column("moved")):
+            w = np.frombuffer(w.as_py(), np.float32).astype(np.float64)
+            total += w[:, None] * np.frombuffer(m.as_py(), np.float16).reshape(step, WAYS)
+            weight += w
+        total /= np.maximum(weight, 1)[:, None]
+        return pa.table({"block": table.column("block")[:1], "task": table.column("task")[:1], "weight": pa.array([weight.astype(np.float32).tobytes()], pa.binary()), "moved": pa.array([total.astype(np.float16).tobytes()], pa.binary())})
+
+    schema = "block int, task long, weight binary, moved binary"
+    source = docs.select(docs[text_col].cast("string"))
+    rows, left = source.mapInArrow(run, schema), source.rdd.getNumPartitions()
+    while True:  # a tree of sums: no task meets more than ``FAN`` updates of a block
+        left = -(-left // FAN)
+        rows = rows.withColumn("task", F.floor(F.col("task") / FAN).cast("long")).groupBy("block", "task").applyInArrow(average, schema)
+        if left <= 1:
+            break
+    rows = sorted(rows.collect(), key=lambda r: r["block"])
     sent.unpersist()
     if not rows:
         return model
-    moved = np.concatenate([np.frombuffer(r["moved"], np.float16) for r in rows]).astype(np.float32)
-    cut = HASH_CLASS * (CLASSES + 1)
-    return Model(model.words, model.counts, model.total, model.distinct, model.modelled, model.class_table + moved[:cut].reshape(model.class_table.shape), model.word_table + moved[cut:].reshape(model.word_table.shape))
+    moved = np.concatenate([np.frombuffer(r["moved"], np.float16) for r in rows]).astype(np.float32).reshape(FEATURES, size, WAYS)
+    return Model(model.words, model.counts, model.total, model.distinct, model.rare, model.bits, [t + m for t, m in zip(model.tables, moved)])
 
 
 def fit(docs: DataFrame, text_col: str = "text", known: int = KNOWN) -> tuple[Model, DataFrame]:
@@ -288,16 +361,30 @@ def fit(docs: DataFrame, text_col: str = "text", known: int = KNOWN) -> tuple[Mo
     # the end token first, then by frequency
     end = int(END.view(np.int64))
     top = counts.orderBy((F.col("word") != end), F.desc("n"), "word").limit(known).toArrow()
-    words = top.column("word").to_numpy().view(np.uint64)
-    model = Model.start(words, top.column("n").to_numpy(), int(total["n"]), int(total["v"]))
-    return train(docs, model, text_col), counts
+    words, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(-n, kind="stable")
+    words, n = words[order], n[order]
+    # the mass of rare words by hash digits: all words' less the frequent ones'
+    levels = int(np.clip(np.ceil(np.log(max(1, int(total["v"]) - len(words)) / 256) / np.log(WAYS)), 0, DIGITS))
+    rare = np.ones(WAYS**levels)
+    lead = np.uint64(64 - 4 * levels)
+    if levels:
+        head = F.shiftrightunsigned("word", int(lead))
+        for r in counts.groupBy(head.alias("head")).agg(F.sum(F.col("n") + 1).alias("m")).collect():  # 16 ** DIGITS rows at most
+            rare[r["head"]] += r["m"]
+        np.subtract.at(rare, (words >> lead).astype(np.int64), n + 1)
+    else:
+        rare[0] += int(total["n"]) + int(total["v"]) - int((n + 1).sum())
+    bits = int(np.clip(np.ceil(np.log2(max(2, int(total["n"]))) / 2) + 1, *BITS))
+    return train(docs, Model.start(words, n, int(total["n"]), int(total["v"]), rare, bits), text_col), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each row.
 
     Null and empty texts have the end token alone. Repeated rows are scored alike, each in a row of
-    its own; an empty table gives no rows. Scores are base-10 log probabilities.
+    its own; very long texts are scored whole, piece by piece; an empty table gives no rows. Scores
+    are base-10 log probabilities; other columns are ignored.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -306,45 +393,48 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, held_out: Column, id
     def start():
         own = sent.value.ready()
         log_counts = np.log10(own.counts + 1.0)
-        inside = np.log10(own.rest)
+        log_rare = np.log10(own.rare)
 
         def step(column):
             n_rows = len(column)
             n_tokens, n_known = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64)
             base, model_score = np.zeros(n_rows), np.zeros(n_rows)
             rare: list[np.ndarray] = [np.empty(0, np.int64)] * n_rows
+            check: list[np.ndarray] = [np.empty(0, np.int64)] * n_rows
             times: list[np.ndarray] = [np.empty(0, np.int64)] * n_rows
-            for first, n, hashes, rows in tokens(column):
+            for first, n, hashes, rows, second in tokens(column):
                 for a in range(0, n, 64):  # whole texts, some at a time
                     lo, hi = np.searchsorted(rows, [a, min(n, a + 64)])
                     h, r = hashes[lo:hi], rows[lo:hi]
-                    rank, kind, cells = own.context(h, r)
-                    value = np.concatenate([own.forward(cells[b : b + MINIBATCH], kind[b : b + MINIBATCH], rank[b : b + MINIBATCH])[0] for b in range(0, len(h), MINIBATCH)]) / np.log(10)
+                    rank, value = own.log_probabilities(h, r)
+                    value /= np.log(10)
                     frequent = rank >= 0
                     logs = np.where(frequent, log_counts[np.maximum(rank, 0)] if len(log_counts) else 0.0, 0.0)
-                    value = value + np.where(kind == CLASSES, logs - inside, 0.0)
+                    odd = np.flatnonzero(~frequent)
+                    value[odd] -= log_rare[(h[odd] >> np.uint64(64 - 4 * own.levels)).astype(np.int64) if own.levels else 0]
                     m = min(n, a + 64) - a
                     out = slice(first + a, first + a + m)
                     n_tokens[out] = np.bincount(r - a, minlength=m)
                     n_known[out] = np.bincount(r - a, frequent, m)
                     base[out] = np.bincount(r - a, logs, m)
                     model_score[out] = np.bincount(r - a, value, m)
-                    odd, odd_rows = h[~frequent], r[~frequent]
-                    cuts = np.searchsorted(odd_rows, np.arange(a, a + m + 1))
+                    cuts = np.searchsorted(r[odd], np.arange(a, a + m + 1))
+                    lanes = second(lo + odd)
                     for i in np.flatnonzero(np.diff(cuts)):
-                        w, c = np.unique(odd[cuts[i] : cuts[i + 1]], return_counts=True)
-                        rare[first + a + i], times[first + a + i] = w.view(np.int64), c
+                        part = slice(cuts[i], cuts[i + 1])
+                        w, at, c = np.unique(h[odd[part]], return_index=True, return_counts=True)
+                        rare[first + a + i], check[first + a + i], times[first + a + i] = w.view(np.int64), lanes[part][at].view(np.int64), c
             long_list = pa.list_(pa.int64())
-            return [pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(model_score), pa.array(rare, long_list), pa.array(times, long_list)]
+            return [pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(model_score), pa.array(rare, long_list), pa.array(check, long_list), pa.array(times, long_list)]
 
         return step
 
-    fields = [field("n_tokens", "long"), field("__known", "long"), field("__base", "double"), field("__score", "double"), field("__rare", "array<bigint>"), field("__times", "array<bigint>")]
+    fields = [field("n_tokens", "long"), field("__known", "long"), field("__base", "double"), field("__score", "double"), field("__rare", "array<bigint>"), field("__check", "array<bigint>"), field("__times", "array<bigint>")]
     rows = docs.select(docs[id_col].alias("doc_id"), held_out.alias("held_out"), docs[text_col].alias("__body"))
     scored = stored(append_columns(rows, "__body", start, fields, keep=["doc_id", "held_out"]).withColumn("__row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("__row", F.explode(F.arrays_zip("__rare", "__times")).alias("w")).select("__row", F.col("w.__rare").alias("word"), F.col("w.__times").alias("times"))
-    found = rare.join(counts, "word").groupBy("__row").agg(F.sum("times").alias("__k"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("__l"))
-    every = scored.drop("__rare", "__times").join(found, "__row", "left")
+    rare = scored.select("__row", F.explode(F.arrays_zip("__rare", "__check", "__times")).alias("w")).select("__row", F.col("w.__rare").alias("word"), F.col("w.__check").alias("check"), F.col("w.__times").alias("times"))
+    found = rare.join(counts, ["word", "check"]).groupBy("__row").agg(F.sum("times").alias("__k"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("__l"))
+    every = scored.drop("__rare", "__check", "__times").join(found, "__row", "left")
     extra = F.coalesce("__l", F.lit(0.0))
     return every.select(
         "doc_id", "held_out", "n_tokens", (F.col("__known") + F.coalesce("__k", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
