@@ -26,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     model = langid.fit(docs)
     if not model.languages:
-        return docs.where(F.col("text").rlike(r"\\p{L}")).select(*COLUMNS)
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     found = langid.identify(docs, model, keep=COLUMNS)
     return found.where("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 

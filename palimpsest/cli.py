@@ -1,14 +1,15 @@
-"""Command line: show, replay, repack, scan, gc, sum, convert, extract, compact."""
+"""Command line: show, replay, repack, scan, gc, sum, create, convert, extract, compact, upload, limit, up."""
 
 from __future__ import annotations
 
 import argparse
+import os
 import time
 import tomllib
 
 from pyspark.sql import SparkSession, functions as F
 
-from palimpsest.functions.labels import label_of
+from palimpsest.functions.labels import label_of, parse_size
 from palimpsest.operators import image, jobs, replay
 from palimpsest.operators.show import as_json, described
 from palimpsest.sources import blocklog, imagefile
@@ -53,9 +54,31 @@ def parser() -> argparse.ArgumentParser:
         c = sub.add_parser(name)
         c.add_argument("source")
         c.add_argument("out")
+    c = sub.add_parser("create", help="make an empty image")
+    c.add_argument("out")
+    c.add_argument("size")
+    c = sub.add_parser("upload", help="copy a folder's segments to a store")
+    c.add_argument("folder")
+    c.add_argument("store")
+    c.add_argument("--prefix", default="")
+    c.add_argument("--volume", default="disk")
+    c = sub.add_parser("limit", help="delete the oldest segments beyond a size")
+    c.add_argument("folder")
+    c.add_argument("size")
+    c.add_argument("--dry-run", action="store_true")
+    c = sub.add_parser("up", help="scan the device of a disk file's options again and again")
+    c.add_argument("config")
+    c.add_argument("--rounds", type=int)
     return p
 
 
+def bytes_of(spark: SparkSession, text: str) -> int:
+    n = spark.range(1).select(parse_size(F.lit(text)).alias("n")).first()["n"]
+    if n is None:
+        raise ValueError(f"not a size: {text}")
+    return n
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("palimpsest").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -67,11 +90,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(f"Total entries: {log.count()}")
     elif a.command == "replay":
         if a.image:
-            header = blocklog.read_headers(spark, a.folder, True).orderBy("segment").first()
-            log = blocklog.versioned(blocklog.read_log(spark, a.folder, include_tmp=True, strict=False))
-            empty = spark.createDataFrame([], "cluster long, data binary")
-            rows = image.sparse(image.from_pieces(replay.pieces(log, header["block_size"]), empty, 1 << image.CLUSTER_BITS))
-            print(imagefile.write_image(a.out, ((r["cluster"], r["data"]) for r in rows.orderBy("cluster").toLocalIterator()), header["device_size"]))
+            print(jobs.replay_image(spark, a.folder, a.out))
         else:
             print(jobs.replay_flat(spark, a.folder, a.out, a.incremental))
     elif a.command == "repack":
@@ -81,22 +100,30 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for r in result.stats:
             print(f"{r['segment']} {r['live_write_bytes']}/{r['total_write_bytes']} {100 * r['utilization']:.1f}%{' retired' if r['segment'] in result.retired else ''}")
         print(f"copied {result.copied_entries} entries, {result.copied_bytes} bytes; deleted {result.deleted}")
+    elif a.command == "create":
+        imagefile.create_image(a.out, bytes_of(spark, a.size))
+    elif a.command == "upload":
+        print(jobs.upload(spark, a.folder, a.store, a.prefix, a.volume))
+    elif a.command == "limit":
+        print(jobs.enforce_limit(spark, a.folder, bytes_of(spark, a.size), not a.dry_run))
+    elif a.command == "up":
+        disk = config(a.config)
+        for counters in jobs.scan_every(spark, disk["device"], disk["base_dir"], disk.get("interval", 60), a.rounds):
+            print(counters)
+        if disk.get("log_limit"):
+            print(jobs.enforce_limit(spark, disk["base_dir"], bytes_of(spark, str(disk["log_limit"]))))
+        if disk.get("store"):
+            print(jobs.upload(spark, disk["base_dir"], disk["store"], disk.get("prefix", ""), disk["name"]))
     elif a.command == "scan":
-        import os
-
         runs = imagefile.read_runs(spark, os.path.abspath(a.device))
         print(jobs.scan_runs(spark, runs, f"{a.folder}/.hashes", a.folder, now_label(), os.path.getsize(a.device), time.time_ns()))
     elif a.command == "sum":
-        import os
-
         if os.path.isdir(a.path):
             print(jobs.log_checksum(spark, a.path))
         else:
             h = imagefile.header_of(spark, a.path)
             print(replay.checksum(image.to_pieces(imagefile.read_image(spark, a.path), h.cluster), h.virtual_size))
     elif a.command == "convert":
-        import os
-
         print(imagefile.write_image(a.out, imagefile.flat_clusters(a.source, 1 << image.CLUSTER_BITS), os.path.getsize(a.source)))
     else:
         h = imagefile.header_of(spark, a.source)

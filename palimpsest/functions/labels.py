@@ -77,3 +77,8 @@ def block_count(length: Column, block_size: Column | int) -> Column:
 def log_key(prefix: str, volume: str, label: Column) -> Column:
     """The object key of a segment."""
     return F.concat(F.lit(f"{prefix.strip('/')}/" if prefix.strip("/") else ""), F.lit(f"{volume}/disk."), label, F.lit(".log"))
+
+
+def log_key_of(prefix: str, volume: str, label: str) -> str:
+    """The same of plain values."""
+    return "/".join(x for x in (prefix.strip("/"), volume, f"disk.{label}.log") if x)

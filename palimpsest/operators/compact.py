@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from palimpsest.operators.intervals import lookup
-from palimpsest.operators.overlay import live_extents
+from palimpsest.operators.overlay import live_extents, newest_runs, owners
 
 
 def slice_payload(data, start, ref_block, blocks, block_size: int):
@@ -21,7 +21,7 @@ def _rewritten(live: DataFrame, block_size: int) -> DataFrame:
     return rows
 
 
-def repack(entries: DataFrame, block_size: int, plan: str = "explode") -> DataFrame:
+def repack(entries: DataFrame, block_size: int, plan: str = "buckets") -> DataFrame:
     """Live ranges of all entries, trims and timestamps kept, payloads cut and checksums recomputed.
 
     Rows keep ``version`` and ``start`` as their order; ``numbered`` gives sequences where a file is written.
@@ -29,11 +29,13 @@ def repack(entries: DataFrame, block_size: int, plan: str = "explode") -> DataFr
     return _rewritten(live_extents(entries, plan), block_size)
 
 
-def retire(entries: DataFrame, state: DataFrame, segments: list, block_size: int, timestamp_ns: int | None = None) -> DataFrame:
-    """Live ranges of the chosen segments: what their own newest entries still cover, within the state's extents of the same segment."""
-    chosen = entries.where(F.col("segment").isin(*segments))
+def retire(entries: DataFrame, state: DataFrame, segments: list | DataFrame, block_size: int, timestamp_ns: int | None = None) -> DataFrame:
+    """Live ranges of the chosen segments (a list, or a DataFrame of ``segment``): what their own newest entries still cover, within the state's extents of the same segment."""
+    if not isinstance(segments, DataFrame):
+        segments = entries.sparkSession.createDataFrame([(x,) for x in segments], entries.select("segment").schema)
+    chosen = entries.join(segments, "segment", "left_semi")
     own = live_extents_per_segment(chosen)
-    held = state.where(F.col("segment").isin(*segments)).select(F.col("segment").alias("q_segment"), F.col("start").alias("q_lo"), (F.col("start") + F.col("blocks")).alias("q_hi"))
+    held = state.join(segments, "segment", "left_semi").select(F.col("segment").alias("q_segment"), F.col("start").alias("q_lo"), (F.col("start") + F.col("blocks")).alias("q_hi"))
     live = lookup(own, held).where("segment = q_segment").drop("q_segment", "q_lo", "q_hi")
     rows = _rewritten(live, block_size)
     return rows if timestamp_ns is None else rows.withColumn("timestamp_ns", F.lit(timestamp_ns))
@@ -41,12 +43,7 @@ def retire(entries: DataFrame, state: DataFrame, segments: list, block_size: int
 
 def live_extents_per_segment(entries: DataFrame) -> DataFrame:
     """Shadow analysis within each segment on its own."""
-    each = entries.select("segment", "version", F.explode(F.sequence(F.col("block"), F.col("block") + F.col("blocks") - 1)).alias("blk"))
-    top = each.groupBy("segment", "blk").agg(F.max("version").alias("version"))
-    order = Window.partitionBy("version").orderBy("blk")
-    runs = top.withColumn("__run", F.col("blk") - F.row_number().over(order)).groupBy("version", "__run").agg(F.min("blk").alias("start"), F.count(F.lit(1)).alias("blocks")).drop("__run")
-    owner = entries.select("version", *[F.col(c).alias({"block": "ref_block", "blocks": "ref_blocks"}.get(c, c)) for c in entries.columns if c != "version"])
-    return runs.join(owner, "version")
+    return newest_runs(entries, ["segment"]).drop("segment").join(owners(entries), "version")
 
 
 def numbered(rows: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def layered(primary: DataFrame, base: DataFrame, cluster_size: int) -> DataFrame
 
 def is_zero(data):
     """Whether all bytes are zero."""
-    return F.length(F.regexp_replace(F.hex(data), "0+", "")) == 0
+    return data == F.unhex(F.repeat(F.lit("00"), F.length(data)))
 
 
 def sparse(clusters: DataFrame) -> DataFrame:

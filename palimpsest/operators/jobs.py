@@ -1,24 +1,31 @@
-"""Whole jobs over log folders: garbage collection, repack, scan, replay, checksum."""
+"""Whole jobs over log folders: garbage collection, repack, scans, replay, checksum, upload, size limit."""
 
 from __future__ import annotations
 
+import os
 import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palimpsest.operators import changes, compact, liveness, overlay, replay
+from palimpsest.functions.labels import label_of, log_key_of
+from palimpsest.operators import changes, compact, image, liveness, overlay, replay
 from palimpsest.runtime import stored
-from palimpsest.sources import blocklog, state
+from palimpsest.sources import blocklog, imagefile, state
 
 STATE_COLUMNS = "version struct<segment:string,entry_index:bigint>, segment string, op string, start bigint, blocks bigint"
 
 
+#: Fixed value: bytes of a segment before the next one begins.
+SEGMENT_BYTES = 64 << 20
+
+
 @dataclass
 class GcResult:
     stats: list = field(default_factory=list)
     retired: list[str] = field(default_factory=list)
     new_segment: str = ""
+    new_segments: list[str] = field(default_factory=list)
     copied_entries: int = 0
     copied_bytes: int = 0
     deleted: int = 0
@@ -36,14 +43,14 @@ def live_map(spark: SparkSession, folder: str, full: bool = False) -> DataFrame:
     log = blocklog.versioned(blocklog.read_log(spark, folder, payload=False, after=mark if saved is not None else None))
     rows = overlay.apply(saved if saved is not None else spark.createDataFrame([], STATE_COLUMNS), log)
     listed = spark.createDataFrame([(s,) for s in blocklog.list_segments(spark, folder)], "segment string")
-    return rows.join(F.broadcast(listed), "segment", "left_semi").select("version", "segment", "op", "start", "blocks")  # a folder's listing
+    return rows.join(listed, "segment", "left_semi").select("version", "segment", "op", "start", "blocks")
 
 
-def gc(spark: SparkSession, folder: str, threshold: float = 50.0, dry_run: bool = False, timestamp_ns: int | None = None) -> GcResult:
-    """Retire segments below the threshold: copy what is live of them to one new segment, then delete them.
+def gc(spark: SparkSession, folder: str, threshold: float = 50.0, dry_run: bool = False, timestamp_ns: int | None = None, segment_bytes: int = SEGMENT_BYTES) -> GcResult:
+    """Retire segments below the threshold: copy what is live of them to new segments of about ``segment_bytes`` at most, then delete them.
 
     Totals are recomputed from the segments (so a run twice over changes nothing), and the new
-    label is a nanosecond after the newest processed one, so that replay applies it in its place.
+    labels follow the newest processed one by nanoseconds, so that replay applies them in its place.
     The state is saved in dry runs too.
     """
     labels = blocklog.list_segments(spark, folder)
@@ -58,17 +65,20 @@ def gc(spark: SparkSession, folder: str, threshold: float = 50.0, dry_run: bool
     if result.retired and not dry_run:
         log = blocklog.versioned(blocklog.read_log(spark, folder))
         now = time.time_ns() if timestamp_ns is None else timestamp_ns
-        moved = stored(compact.numbered(compact.retire(log, rows, result.retired, header["block_size"], now)), "retired")
+        gone = spark.createDataFrame([(x,) for x in result.retired], "segment string")
+        moved = stored(compact.retire(log, rows, gone, header["block_size"], now), "retired")
         sums = moved.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("op") == "W", F.col("length"))), F.lit(0)).alias("b")).first()
         result.copied_entries, result.copied_bytes = sums["n"], sums["b"]
+        rows = rows.join(gone, "segment", "left_anti").select(*rows.columns)
         if result.copied_entries:
-            result.new_segment = _label_after(labels[-1])
-            blocklog.write_segment(spark, moved.select("op", "timestamp_ns", "sequence", F.col("start").alias("block"), "length", "data", "checksum"), folder, result.new_segment, header["block_size"], header["device_size"], header["backing_path"])
-            owner = F.struct(F.lit(result.new_segment).alias("segment"), F.col("sequence").alias("entry_index"))
-            renamed = moved.select(owner.alias("version"), F.lit(result.new_segment).alias("segment"), "op", "start", "blocks")
-            rows = rows.where(~F.col("segment").isin(*result.retired)).unionByName(renamed)
-        else:
-            rows = rows.where(~F.col("segment").isin(*result.retired))
+            label, result.new_segments = labels[-1], []
+            for _ in range(-(-result.copied_bytes // (segment_bytes // 2)) or 1):  # dealt by hash: half full on the average
+                label = _label_after(label)
+                result.new_segments.append(label)
+            result.new_segment = result.new_segments[-1]
+            # live ranges touch no block twice, so their order over segments does not matter
+            placed = stored(blocklog.write_segments(spark, moved.withColumn("block", F.col("start")), folder, result.new_segments, header["block_size"], header["device_size"], header["backing_path"]), "placed")
+            rows = rows.unionByName(placed.select(F.struct("segment", "entry_index").alias("version"), "segment", "op", "start", "blocks"))
         blocklog.delete_segments(spark, folder, result.retired)
         result.deleted = len(result.retired)
     state.save(rows, f"{folder}/.livemap")
@@ -133,3 +143,71 @@ def scan_runs(spark: SparkSession, runs: DataFrame, state_path: str, folder: str
     kept = before.join(runs.select("run_index"), "run_index", "left_anti")
     state.save(kept.unionByName(runs.select("run_index", "sha256")), state_path)
     return counters
+
+
+def folder_bytes(spark: SparkSession, folder: str) -> int:
+    """Bytes of a folder's segments."""
+    return sum(size for _, _, size in blocklog.segment_files(spark, folder))
+
+
+def enforce_limit(spark: SparkSession, folder: str, limit: int, delete: bool = True) -> list[str]:
+    """Delete the oldest segments until the folder is within ``limit`` bytes, live or not; their labels. Without ``delete``, a report."""
+    files = [(label, size) for label, _, size in blocklog.segment_files(spark, folder)]
+    if not files:
+        return []
+    found = liveness.limit_victims(spark.createDataFrame(files, "name string, bytes long"), limit)
+    victims = sorted(r["name"] for r in found.collect())
+    if delete:
+        blocklog.delete_segments(spark, folder, victims)
+    return victims
+
+
+def upload(spark: SparkSession, folder: str, store: str, prefix: str, volume: str, labels: list[str] | None = None) -> list[str]:
+    """Copy segments (all, or those of ``labels``) to ``store`` under their keys; what is there already stays. The keys written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(store).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for label, source, size in blocklog.segment_files(spark, folder):
+        key = log_key_of(prefix, volume, label)
+        target = path(f"{store}/{key}")
+        if (labels is None or label in labels) and not (fs.exists(target) and fs.getFileStatus(target).getLen() == size):
+            blocklog.copy_segment(spark, source, f"{store}/{key}")
+            out.append(key)
+    return out
+
+
+def scan_every(spark: SparkSession, device: str, folder: str, seconds: float, rounds: int | None = None) -> list[dict]:
+    """Scan a device file at once and then every ``seconds``; ``rounds`` ends it. The counters of the rounds."""
+    out: list[dict] = []
+    while rounds is None or len(out) < rounds:
+        began = time.time()
+        ns = time.time_ns()
+        size = os.path.getsize(device)
+        out.append(scan_runs(spark, imagefile.read_runs(spark, device), f"{folder}/.hashes", folder, label_of(ns // 1_000_000_000, ns % 1_000_000_000), size, ns))
+        if rounds is None or len(out) < rounds:
+            time.sleep(max(0.0, seconds - (time.time() - began)))
+    return out
+
+
+def apply_to_image(spark: SparkSession, pieces: DataFrame, path: str, virtual_size: int | None = None, cluster_bits: int = 16) -> tuple[int, int]:
+    """Write and trim pieces (``offset, length, data``; null data: zeros) in an image file, new or there already, which is replaced whole by a rename.
+
+    Clusters are rebuilt in parallel; one writer lays them out in the file, in order.
+    """
+    if os.path.exists(path):
+        header = imagefile.header_of(spark, path)
+        virtual_size, cluster_bits = header.virtual_size, header.cluster_bits
+        base = imagefile.read_image(spark, path).select("cluster", "data")
+    else:
+        base = spark.createDataFrame([], "cluster long, data binary")
+    rows = image.sparse(image.from_pieces(pieces, base, 1 << cluster_bits)).orderBy("cluster")
+    made = imagefile.write_image(f"{path}.tmp", ((r["cluster"], r["data"]) for r in rows.toLocalIterator(prefetchPartitions=True)), virtual_size, cluster_bits)
+    os.replace(f"{path}.tmp", path)
+    return made
+
+
+def replay_image(spark: SparkSession, folder: str, path: str, include_tmp: bool = True) -> tuple[int, int]:
+    """Replay a folder into an image file, new or there already."""
+    header = blocklog.read_headers(spark, folder, include_tmp).orderBy("segment").first()
+    log = blocklog.versioned(blocklog.read_log(spark, folder, include_tmp=include_tmp, strict=False))
+    return apply_to_image(spark, replay.pieces(log, header["block_size"]), path, header["device_size"])

@@ -1,8 +1,10 @@
 """Last-writer-wins overlay of log entries into live extents.
 
-Entries have ``version`` (a total order), ``op``, ``block`` and ``blocks``. Two plans give the same
-rows: ``explode`` works block by block (narrow entries), ``buckets`` sweeps elementary segments
-inside buckets (wide entries, large trims). Extents stay one per entry and contiguous run.
+Entries have ``version`` (a total order), ``op``, ``block`` and ``blocks``. Blocks are cut into
+buckets. In a bucket, the newest entry that covers it whole hides all older ones, and equal ranges
+keep their newest entry alone; only what is left is opened into blocks. So a trim of gigabytes
+costs a row a bucket, and a block written a million times costs one. Extents stay one per entry and
+contiguous run.
 """
 
 from __future__ import annotations
@@ -20,36 +22,56 @@ def newest_blocks(entries: DataFrame) -> DataFrame:
     return each.groupBy("blk").agg(F.max("version").alias("version"))
 
 
-def _runs(parts: DataFrame) -> DataFrame:
+def _runs(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Merge touching ``lo, hi`` parts of each version."""
-    order = Window.partitionBy("version").orderBy("lo")
+    order = Window.partitionBy(*keys, "version").orderBy("lo")
     fresh = parts.withColumn("__new", F.when(F.col("lo") == F.lag("hi").over(order), 0).otherwise(1))
     run = fresh.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return run.groupBy("version", "__run").agg(F.min("lo").alias("start"), (F.max("hi") - F.min("lo")).alias("blocks")).drop("__run")
+    return run.groupBy(*keys, "version", "__run").agg(F.min("lo").alias("start"), (F.max("hi") - F.min("lo")).alias("blocks")).drop("__run")
+
+
+def newest_runs(entries: DataFrame, keys: list[str] = [], width: int = BUCKET) -> DataFrame:
+    """``version, start, blocks``: what the newest entry of each block covers, as maximal runs; per key where keys are given."""
+    pieces = cut(entries.select(*keys, "version", F.col("block").alias("lo"), (F.col("block") + F.col("blocks")).alias("hi")), "lo", "hi", width)
+    place = [*keys, "bucket"]
+    newest = pieces.groupBy(*place, "lo", "hi").agg(F.max("version").alias("version"))
+    whole = F.col("hi") - F.col("lo") == width
+    floored = newest.withColumn("floor", F.max(F.when(whole, F.col("version"))).over(Window.partitionBy(*place))).where("floor is null or version >= floor")
+    # the floor itself stands for one row behind the bucket's last block
+    end = (F.col("bucket") + 1) * width
+    opened = floored.select(*place, "floor", F.when(~whole, F.col("version")).alias("version"), F.explode(F.when(whole, F.array(end)).otherwise(F.sequence("lo", F.col("hi") - 1))).alias("blk"))
+    top = opened.groupBy(*place, "blk").agg(F.max("version").alias("version"), F.max("floor").alias("floor"))
+    order = Window.partitionBy(*place).orderBy("blk")
+    fresh = F.when((F.col("blk") == F.lag("blk").over(order) + 1) & F.col("version").eqNullSafe(F.lag("version").over(order)), 0).otherwise(1)
+    marked = top.withColumn("fresh", fresh).withColumn("behind", F.coalesce(F.lag("blk").over(order) + 1, F.col("bucket") * width))
+    marked = marked.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    own = F.struct(F.col("blk").alias("lo"), (F.col("blk") + 1).alias("hi"), F.col("version").alias("version"), F.col("run").alias("run"))
+    under = F.struct(F.col("behind").alias("lo"), F.col("blk").alias("hi"), F.col("floor").alias("version"), (-F.col("blk") - 1).alias("run"))
+    parts = marked.select(*place, F.explode(F.array(own, under)).alias("p")).select(*place, "p.*").where("version is not null and lo < hi")
+    merged = parts.groupBy(*place, "version", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return _runs(merged.select(*keys, "version", "lo", "hi"), keys)
 
 
 def _by_block(entries: DataFrame) -> DataFrame:
-    return _runs(newest_blocks(entries).select("version", F.col("blk").alias("lo"), (F.col("blk") + 1).alias("hi")))
+    return _runs(newest_blocks(entries).select("version", F.col("blk").alias("lo"), (F.col("blk") + 1).alias("hi")), [])
 
 
-def _by_bucket(entries: DataFrame, width: int) -> DataFrame:
-    pieces = cut(entries.select("version", F.col("block").alias("lo"), (F.col("block") + F.col("blocks")).alias("hi")), "lo", "hi", width)
-    points = pieces.select("bucket", F.explode(F.array("lo", "hi")).alias("at")).distinct()
-    segments = points.withColumn("to", F.lead("at").over(Window.partitionBy("bucket").orderBy("at"))).where("to is not null")
-    on = (segments.bucket == pieces.bucket) & (pieces.lo <= segments["at"]) & (pieces.hi >= segments["to"])
-    top = segments.join(pieces, on).groupBy(segments.bucket, "at", "to").agg(F.max("version").alias("version"))
-    return _runs(top.select("version", F.col("at").alias("lo"), F.col("to").alias("hi")))
+def live_extents(entries: DataFrame, plan: str = "buckets", width: int = BUCKET) -> DataFrame:
+    """The live extents, trims included: ``start, blocks`` and the owning entry's columns (its block as ``ref_block``).
 
-
-def live_extents(entries: DataFrame, plan: str = "explode", width: int = BUCKET) -> DataFrame:
-    """The live extents, trims included: ``start, blocks`` and the owning entry's columns (its block as ``ref_block``)."""
+    ``plan="explode"`` opens every entry into blocks, for logs of narrow entries alone.
+    """
     known = entries.where(F.col("op").isin("W", "T"))  # other operations change nothing
-    live = _by_block(known) if plan == "explode" else _by_bucket(known, width)
-    owner = known.select("version", *[F.col(c).alias({"block": "ref_block", "blocks": "ref_blocks"}.get(c, c)) for c in known.columns if c != "version"])
-    return live.join(owner, "version")
+    live = _by_block(known) if plan == "explode" else newest_runs(known, width=width)
+    return live.join(owners(known), "version")
+
+
+def owners(entries: DataFrame) -> DataFrame:
+    """The entries, their own block and length in blocks as ``ref_block`` and ``ref_blocks``."""
+    return entries.select("version", *[F.col(c).alias({"block": "ref_block", "blocks": "ref_blocks"}.get(c, c)) for c in entries.columns if c != "version"])
 
 
-def write_extents(entries: DataFrame, plan: str = "explode") -> DataFrame:
+def write_extents(entries: DataFrame, plan: str = "buckets") -> DataFrame:
     """The extent map: trims remove coverage."""
     return live_extents(entries, plan).where("op = 'W'")
 
@@ -72,14 +94,18 @@ def reattribute_segment(extents: DataFrame, old, new) -> DataFrame:
     return merge_adjacent(extents.withColumn("segment", F.when(F.col("segment") == old, F.lit(new)).otherwise(F.col("segment"))))
 
 
-def apply(state: DataFrame, entries: DataFrame) -> DataFrame:
+def apply(state: DataFrame, entries: DataFrame, width: int = BUCKET) -> DataFrame:
     """Fold new entries into a state of ``version, segment, op, start, blocks``: an overlay of both, newest first.
 
+    Only extents that meet a bucket of the new entries are folded; the rest of the state passes by.
     Commutative and idempotent, so redelivered or late segments do no harm.
     """
-    old = state.select("version", "segment", "op", F.col("start").alias("block"), "blocks")
-    new = entries.select("version", "segment", "op", "block", "blocks")
-    rows = old.unionByName(new)
-    live = _by_block(rows)
+    new = entries.where(F.col("op").isin("W", "T")).select("version", "segment", "op", "block", "blocks")
+    buckets = lambda lo, n: F.explode(F.sequence(F.floor(lo / width).cast("long"), F.floor((lo + n - 1) / width).cast("long")))
+    touched = new.where("blocks > 0").select(buckets(F.col("block"), F.col("blocks")).alias("bucket")).distinct().withColumn("hit", F.lit(True))
+    spread = state.select("*", buckets(F.col("start"), F.col("blocks")).alias("bucket")).join(touched, "bucket", "left")
+    old = spread.groupBy("version", "segment", "op", "start", "blocks").agg(F.coalesce(F.max("hit"), F.lit(False)).alias("hit"))
+    rows = old.where("hit").select("version", "segment", "op", F.col("start").alias("block"), "blocks").unionByName(new)
     owner = rows.groupBy("version").agg(F.first("segment").alias("segment"), F.first("op").alias("op"))
-    return live.join(owner, "version").select("version", "segment", "op", "start", "blocks")
+    folded = newest_runs(rows, width=width).join(owner, "version").select("version", "segment", "op", "start", "blocks")
+    return old.where("not hit").select("version", "segment", "op", "start", "blocks").unionByName(folded)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from palimpsest.operators.compact import slice_payload
 from palimpsest.operators.overlay import live_extents, newest_blocks
+from palimpsest.runtime import prepare
 
 
 def block_owners(entries: DataFrame) -> DataFrame:
@@ -29,15 +31,30 @@ def pieces(entries: DataFrame, block_size: int) -> DataFrame:
 
 
 def write_flat(pieces_: DataFrame, path: str, size: int, incremental: bool = False) -> int:
-    """Write a flat image on the driver's file system, piece by piece (the result is one local file). Returns the pieces."""
-    n = 0
+    """Write a flat image to a file that the tasks can open: each writes its pieces in place, in parallel. Returns the pieces.
+
+    Pieces overlap nowhere, so a task that runs twice does no harm. Zeros go in bounded parts, and
+    not at all into a new file, which is sparse.
+    """
     with open(path, "r+b" if incremental else "wb") as f:
         f.truncate(size)
-        for row in pieces_.toLocalIterator(prefetchPartitions=True):
-            f.seek(row["offset"])
-            f.write(row["data"] if row["data"] is not None else bytes(row["length"]))
-            n += 1
-    return n
+
+    def run(batches):
+        n, zeros = 0, bytes(1 << 20)
+        with open(path, "r+b") as f:
+            for batch in batches:
+                for offset, length, data in zip(*(c.to_pylist() for c in batch.columns)):
+                    n += 1
+                    f.seek(offset)
+                    if data is not None:
+                        f.write(data)
+                    elif incremental:
+                        for at in range(0, length, len(zeros)):
+                            f.write(zeros[: min(len(zeros), length - at)])
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    prepare(pieces_.sparkSession)
+    return pieces_.select("offset", "length", "data").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
 
 
 def checksum(pieces_: DataFrame, size: int) -> str:

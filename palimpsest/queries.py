@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palimpsest.functions import labels as L
+from palimpsest.functions import checks, labels as L
 from palimpsest.functions.checks import crc_valid
 from palimpsest.operators import changes, compact, image, intervals, liveness, overlay, replay
 from palimpsest.plans.derived import BLOCK_SIZE, DEVICE_BLOCKS, ENTRIES_SQL, RUNS_SQL, ZERO_RUN_SQL, entries, runs
+from palimpsest.streaming import plane
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -42,8 +43,8 @@ def query(sql: str | None = None):
     return add
 
 
-def _live(spark: SparkSession, sf_dir: str, plan: str = "explode") -> DataFrame:
-    return overlay.live_extents(entries(spark, sf_dir), plan)
+def _live(spark: SparkSession, sf_dir: str, width: int = overlay.BUCKET) -> DataFrame:
+    return overlay.live_extents(entries(spark, sf_dir), width=width)
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +63,14 @@ def overlay_live_extents(spark, sf_dir):
 
 @query(_EXT_SELECT)
 def overlay_live_extents_bucketed(spark, sf_dir):
-    return _live(spark, sf_dir, "buckets").select(*EXTENT_COLUMNS)
+    """With buckets of two blocks, so that most entries cover some bucket whole."""
+    return _live(spark, sf_dir, width=2).select(*EXTENT_COLUMNS)
+
+
+@query(_EXT_SELECT)
+def overlay_live_extents_exploded(spark, sf_dir):
+    """By single blocks, the plan for narrow entries alone."""
+    return overlay.live_extents(entries(spark, sf_dir), "explode").select(*EXTENT_COLUMNS)
 
 
 @query(_EXT_SELECT + " WHERE op = 'W'")
@@ -215,11 +223,11 @@ def log_limit_victims(spark, sf_dir):
     return liveness.limit_victims(files, 50_000_000)
 
 
-@query("SELECT doc_id, sha256(substr(text, 17, 64)) AS part_sha256 FROM documents WHERE length(text) >= 80 AND length(text) = strlen(text)")
+@query("SELECT doc_id, sha256(unhex(substr(hex(encode(text)), CAST(32 * (1 + doc_id % 7) + 1 AS BIGINT), CAST(32 * (1 + doc_id % 5) AS BIGINT)))) AS part_sha256 FROM documents")
 def payload_slice(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text") >= 80).where(F.length("text") == F.octet_length("text"))
-    part = compact.slice_payload(F.encode("text", "UTF-8"), F.lit(3), F.lit(2), F.lit(4), 16)
-    return docs.select("doc_id", F.sha2(part, 256).alias("part_sha256"))
+    """Some blocks of the UTF-8 bytes of every text, from a place of its own."""
+    part = compact.slice_payload(F.encode("text", "UTF-8"), 3 + F.col("doc_id") % 7, F.lit(2), 1 + F.col("doc_id") % 5, 16)
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2(part, 256).alias("part_sha256"))
 
 
 @query("SELECT doc_id, sha256(unhex(substr(hex(encode(text)), 33, 128))) AS part_sha256 FROM documents")
@@ -265,16 +273,17 @@ def scan_counters(spark, sf_dir):
 
 # ---- images
 
-_CLUSTERS = "prim AS (SELECT doc_id AS cluster, CASE WHEN doc_id % 6 <> 0 THEN sha256(coalesce(text, '')) END AS data FROM documents WHERE doc_id % 2 = 0), base AS (SELECT doc_id AS cluster, sha256(coalesce(lang, '')) AS data FROM documents WHERE doc_id % 3 = 0)"
+_CLUSTERS = "prim AS (SELECT doc_id AS cluster, CASE WHEN doc_id % 6 <> 0 THEN sha256(coalesce(text, '')) END AS data FROM documents WHERE doc_id % 2 = 0), base AS (SELECT doc_id AS cluster, sha256(coalesce(lang, '')) AS data FROM documents)"
 
 
 @query(f"""WITH {_CLUSTERS} SELECT cluster, CASE WHEN p.cluster IS NOT NULL AND p.data IS NOT NULL THEN 'primary' WHEN p.cluster IS NOT NULL THEN 'trimmed' ELSE 'base' END AS source,
 sha256(CASE WHEN p.cluster IS NOT NULL THEN coalesce(p.data, repeat(chr(0), 4)) ELSE b.data END) AS data_sha256 FROM prim p FULL JOIN base b USING (cluster)""")
 def layered_cluster_source(spark, sf_dir):
+    """A base of all documents under an overlay of some, a few of them trimmed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("cluster"), "text", "lang")
     digest = lambda c: F.encode(F.sha2(F.coalesce(c, F.lit("")).cast("binary"), 256), "UTF-8")
     primary = docs.where("cluster % 2 = 0").select("cluster", F.when(F.col("cluster") % 6 != 0, digest(F.col("text"))).alias("data"))
-    base = docs.where("cluster % 3 = 0").select("cluster", digest(F.col("lang")).alias("data"))
+    base = docs.select("cluster", digest(F.col("lang")).alias("data"))
     return image.layered(primary, base, 4).select("cluster", "source", F.sha2("data", 256).alias("data_sha256"))
 
 
@@ -320,3 +329,97 @@ def rotation_by_size(spark, sf_dir):
     """How many full 64 MiB segments each day's log makes."""
     bytes_ = F.sum(F.when(F.col("op") == "W", F.col("length")).otherwise(0))
     return entries(spark, sf_dir).groupBy("segment").agg(F.count(F.lit(1)).alias("entries"), bytes_.alias("bytes"), F.floor(bytes_ / F.lit(64 << 20)).cast("long").alias("full_segments"))
+
+
+# ---- codecs, checksums, jobs: round trips and probes over whole tables
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS data_sha256, TRUE AS same FROM documents")
+def lz4_round_trip(spark, sf_dir):
+    """Every text packed and unpacked again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    back = docs.withColumn("back", checks.lz4_decompress(checks.lz4_compress("data"), F.octet_length("data")))
+    return back.select("doc_id", F.sha2("back", 256).alias("data_sha256"), (F.col("back") == F.col("data")).alias("same"))
+
+
+@query()
+def payload_crc32c(spark, sf_dir):
+    """CRC-32C of every text; held against a plain computation in the tests."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    return docs.select("doc_id", checks.crc32c_col("data").alias("checksum"))
+
+
+@query(f"""WITH {RUNS_SQL}, saved AS (SELECT run_index, CASE WHEN run_index % 3 = 0 THEN sha256 ELSE 'stale' END AS old FROM runs WHERE run_index % 3 = 0 OR run_index % 7 = 0)
+SELECT run_index, sha256 = {ZERO_RUN_SQL} AS is_zero, old IS NULL OR old <> sha256 AS changed FROM runs LEFT JOIN saved USING (run_index)""")
+def run_hash_probe(spark, sf_dir):
+    """Runs against a saved state of hashes, by a join."""
+    now = runs(spark, sf_dir).drop("prev_sha256")
+    at = F.col("run_index")
+    saved = now.where((at % 3 == 0) | (at % 7 == 0)).select(at, F.when(at % 3 == 0, F.col("sha256")).otherwise("stale").alias("sha256"))
+    return changes.probe(now, saved, F.sha2(F.lit("0" * 16).cast("binary"), 256)).select("run_index", "is_zero", "changed")
+
+
+@query(f"""WITH {ENTRIES_SQL}, {LIVE_SQL}, {STATS_SQL} SELECT s.segment, s.segment IN (SELECT segment FROM retired) AS retired,
+  CASE WHEN s.segment IN (SELECT segment FROM retired) THEN live_entries ELSE 0 END AS copied_entries, CASE WHEN s.segment IN (SELECT segment FROM retired) THEN live_write_bytes ELSE 0 END AS copied_bytes FROM stats s""")
+def gc_outcome(spark, sf_dir):
+    """What a collection of the log does with each segment."""
+    log = entries(spark, sf_dir)
+    live = overlay.live_extents(log)
+    stats = liveness.segment_stats(liveness.segment_totals(log), live, BLOCK_SIZE)
+    gone = liveness.retire_candidates(stats, THRESHOLD).select("segment")
+    copied = compact.retire(log, live, gone, BLOCK_SIZE).groupBy("segment").agg(F.count(F.lit(1)).alias("copied_entries"), F.sum(F.when(F.col("op") == "W", F.col("length"))).alias("copied_bytes"))
+    rows = stats.select("segment").join(gone.withColumn("retired", F.lit(True)), "segment", "left").join(copied, "segment", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.select("segment", F.coalesce("retired", F.lit(False)).alias("retired"), zero("copied_entries"), zero("copied_bytes"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey * CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 WHEN 3 THEN 1 ELSE 1024 END AS BIGINT) AS bytes FROM orders")
+def parsed_sizes_of_the_tool(spark, sf_dir):
+    """The command tool's sizes: decimal and hexadecimal, a suffix it knows or passes over."""
+    n, kind = F.col("o_orderkey"), F.col("o_orderkey") % 5
+    text = F.when(kind == 0, n.cast("string")).when(kind == 1, F.concat(n.cast("string"), F.lit("k"))).when(kind == 2, F.concat(F.lit("0x"), F.hex(n), F.lit("M"))).when(kind == 3, F.concat(n.cast("string"), F.lit("junk"))).otherwise(F.concat(n.cast("string"), F.lit("Kib")))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", L.parse_size_c(text).alias("bytes"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || '.' || lpad(CAST((epoch_us(ts) % 1000000) * 1000 + event_id % 1000 AS VARCHAR), 9, '0') AS time FROM events")
+def utc_times(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000
+    return events.select("event_id", L.utc_nanos(ns).alias("time"))
+
+
+@query("SELECT doc_id, sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || coalesce(lang, '') || '\",\"source\":\"' || coalesce(source, '') || '\"}') AS json_sha256 FROM documents")
+def entries_as_json(spark, sf_dir):
+    from palimpsest.operators.show import as_json
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
+    rows = as_json(docs)
+    return rows.select(F.get_json_object("json", "$.doc_id").cast("long").alias("doc_id"), F.sha2(F.col("json").cast("binary"), 256).alias("json_sha256"))
+
+
+@query("""WITH p AS (SELECT CAST(doc_id * 40 AS BIGINT) AS lo, CAST(doc_id * 40 + 1 + octet_length(encode(coalesce(text, ''))) % 40 AS BIGINT) AS hi FROM documents)
+SELECT lo // 1000 AS cluster, CAST(count(*) AS BIGINT) AS pieces, CAST(sum(hi - lo) AS BIGINT) AS bytes FROM (SELECT greatest(lo, c * 1000) AS lo, least(hi, (c + 1) * 1000) AS hi FROM (SELECT *, unnest(range(lo // 1000, (hi - 1) // 1000 + 1)) AS c FROM p)) GROUP BY 1""")
+def pieces_by_cluster(spark, sf_dir):
+    """Pieces of an image cut at the clusters that they go to."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    lo = (F.col("doc_id") * 40).alias("lo")
+    pieces = docs.select(lo, (F.col("doc_id") * 40 + 1 + F.octet_length(F.coalesce("text", F.lit(""))) % 40).cast("long").alias("hi"))
+    return intervals.cut(pieces, "lo", "hi", 1000).groupBy(F.col("bucket").alias("cluster")).agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.col("hi") - F.col("lo")).alias("bytes"))
+
+
+@query()
+def image_writes(spark, sf_dir):
+    """Every text laid over a base image of 256-byte clusters; held against a plain fold in the tests."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    pieces = docs.select((F.col("doc_id") * 40_000).alias("offset"), F.least(F.octet_length("data"), F.lit(40_000)).cast("long").alias("length"), "data").where("length > 0")
+    base = spark.range(0, 4000).select(F.col("id").alias("cluster"), F.unhex(F.repeat(F.lit("61"), 256)).alias("data"))
+    return image.from_pieces(pieces, base, 256).select("cluster", F.sha2("data", 256).alias("data_sha256"))
+
+
+@query("SELECT user_id % 50 AS dev_index, CAST(count(*) AS BIGINT) AS entries, CAST(sum(1 + event_id % 8) * 4096 AS BIGINT) AS bytes FROM events GROUP BY 1")
+def rotated_segments(spark, sf_dir):
+    """The log of each of fifty devices dealt to segments: what they hold together; the rule is held against a fold in the tests."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    size = ((1 + F.col("event_id") % 8) * BLOCK_SIZE).alias("bytes")
+    log = events.select((F.col("user_id") % 50).alias("dev_index"), F.col("event_id").alias("sequence"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("timestamp_ns"), size)
+    parts = plane.rotate(log, 1 << 20, 3600).groupBy("dev_index", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
+    return parts.groupBy("dev_index").agg(F.sum("n").alias("entries"), F.sum("b").alias("bytes"))

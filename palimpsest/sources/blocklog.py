@@ -10,6 +10,7 @@ from __future__ import annotations
 import zlib
 
 import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from palimpsest.functions.checks import lz4_pack, lz4_unpack
@@ -63,9 +64,20 @@ def decode(content: bytes, payload: bool = True, strict: bool = True) -> tuple[d
 
 
 def _files(spark: SparkSession, path: str, include_tmp: bool, after: str | None) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log{,.tmp}" if include_tmp else "*.log").load(path)
-    files = files.select(label_from_path(F.regexp_replace("path", r"\.tmp$", "")).alias("segment"), "content")
-    return files if after is None else files.where(F.col("segment") > after)
+    """``segment`` and ``content`` of the segment files; with ``after``, files at or before that label are not opened at all."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.log{,.tmp}" if include_tmp else "*.log")
+    label = label_from_path(F.regexp_replace("path", r"\.tmp$", "")).alias("segment")
+    if after is None:
+        return reader.load(path).select(label, "content")
+    newer = [p for name, p, _ in segment_files(spark, path, include_tmp) if name > after]
+    if not newer:
+        return spark.createDataFrame([], "segment string, content binary")
+    return reader.load(newer).select(label, "content")
+
+
+def _empty(spark: SparkSession, path: str, include_tmp: bool, after: str | None) -> list[str]:
+    """Labels of segments without a byte, which Spark's reader passes over."""
+    return [name for name, _, size in segment_files(spark, path, include_tmp) if not size and (after is None or name > after)]
 
 
 def read_headers(spark: SparkSession, path: str, include_tmp: bool = False, after: str | None = None) -> DataFrame:
@@ -89,6 +101,8 @@ def read_log(spark: SparkSession, path: str, payload: bool = True, include_tmp:
     error when strict.
     """
     prepare(spark)
+    if strict and (none := _empty(spark, path, include_tmp, after)):
+        raise ValueError(f"empty segments: {', '.join(none[:5])}")
     kinds = {_S: pa.string(), _L: pa.int64()}
     schema = pa.schema([(f.name, kinds.get(f.dataType, pa.binary())) for f in ENTRY_SCHEMA])
 
@@ -108,6 +122,26 @@ def read_log(spark: SparkSession, path: str, payload: bool = True, include_tmp:
     return _files(spark, path, include_tmp, after).mapInArrow(run, ENTRY_SCHEMA)
 
 
+def read_partly(spark: SparkSession, path: str, include_tmp: bool = False) -> DataFrame:
+    """One row a segment: ``entries`` that can be read, and the ``error`` that ends them (null: none)."""
+    prepare(spark)
+
+    def run(batches):
+        for batch in batches:
+            for segment, content in zip(*batch.columns):
+                n, error = 0, None
+                try:
+                    n = len(decode(content.as_py(), payload=True, strict=False)[1])
+                    decode(content.as_py(), payload=True, strict=True)
+                except (ValueError, OSError) as e:
+                    error = str(e) or type(e).__name__
+                yield pa.RecordBatch.from_arrays([pa.array([segment.as_py()]), pa.array([n], pa.int64()), pa.array([error], pa.string())], names=["segment", "entries", "error"])
+
+    found = _files(spark, path, include_tmp, None).mapInArrow(run, "segment string, entries long, error string")
+    none = _empty(spark, path, include_tmp, None)
+    return found.unionByName(spark.createDataFrame([(x, 0, "no header") for x in none], found.schema)) if none else found
+
+
 def versioned(entries: DataFrame) -> DataFrame:
     """Entries with ``version`` (segment, position) and ``blocks`` for the overlay operators."""
     blocks = F.greatest(F.floor(F.col("length") / F.col("block_size")).cast("long"), F.lit(1))
@@ -144,6 +178,34 @@ def write_segment(spark: SparkSession, rows: DataFrame, folder: str, label: str,
     return n
 
 
+def write_segments(spark: SparkSession, rows: DataFrame, folder: str, labels: list[str], block_size: int, device_size: int, backing_path: str = "") -> DataFrame:
+    """Deal rows of ``op, timestamp_ns, block, blocks, length, data, checksum`` that touch no block twice over one segment a label.
+
+    Segments are written by tasks side by side, each published by a rename, so the folder must be one
+    that they can open (``pyarrow.fs``). Returns where each row went: ``segment, entry_index, op, start, blocks``.
+    """
+    prepare(spark)
+    names = labels
+
+    def write(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        table = table.sort_by([("block", "ascending")])
+        system, root = pa_fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        target = f"{root.rstrip('/')}/disk.{names[part]}.log"
+        with system.open_output_stream(f"{target}.{part}.tmp") as out:
+            out.write(encode_header(names[part], block_size, device_size, backing_path))
+            for i, r in enumerate(table.select(["op", "timestamp_ns", "block", "length", "data", "checksum"]).to_batches(max_chunksize=64)):
+                for j, e in enumerate(r.to_pylist()):
+                    out.write(encode_entry(e["op"], e["timestamp_ns"], i * 64 + j, e["block"], e["length"], e["data"], e["checksum"]))
+        system.move(f"{target}.{part}.tmp", target)
+        n = table.num_rows
+        return pa.table({"segment": pa.array([names[part]] * n), "entry_index": pa.array(range(n), pa.int64()), "op": table.column("op"), "start": table.column("block"), "blocks": table.column("blocks")})
+
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(len(labels))).cast("int"))
+    # entries are numbered by position: batches of 64 in block order
+    return dealt.select("part", "op", "timestamp_ns", "block", "blocks", "length", "data", "checksum").groupBy("part").applyInArrow(write, "segment string, entry_index long, op string, start long, blocks long")
+
+
 def _paths(spark: SparkSession, folder: str, label: str):
     path = spark._jvm.org.apache.hadoop.fs.Path
     target, temporary = path(folder, f"disk.{label}.log"), path(folder, f"disk.{label}.log.tmp")
@@ -156,10 +218,27 @@ def delete_segments(spark: SparkSession, folder: str, labels: list[str]) -> None
         fs.delete(target, False)
 
 
-def list_segments(spark: SparkSession, folder: str, include_tmp: bool = False) -> list[str]:
-    """Segment labels in name order."""
+def segment_files(spark: SparkSession, folder: str, include_tmp: bool = False) -> list[tuple[str, str, int]]:
+    """Label, path and bytes of each segment file, in label order."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-    kept = [n for n in names if n.endswith(".log") or include_tmp and n.endswith(".log.tmp")]
-    return sorted(n.removesuffix(".tmp").removesuffix(".log").removeprefix("disk.") for n in kept)
+    found = [(s.getPath().getName(), s.getPath().toString(), s.getLen()) for s in fs.listStatus(path)] if fs.exists(path) else []
+    kept = [f for f in found if f[0].endswith(".log") or include_tmp and f[0].endswith(".log.tmp")]
+    return sorted((n.removesuffix(".tmp").removesuffix(".log").removeprefix("disk."), p, size) for n, p, size in kept)
+
+
+def list_segments(spark: SparkSession, folder: str, include_tmp: bool = False) -> list[str]:
+    """Segment labels in name order."""
+    return [label for label, _, _ in segment_files(spark, folder, include_tmp)]
+
+
+def copy_segment(spark: SparkSession, source: str, target: str) -> None:
+    """Copy one file between any two file systems that Spark knows; the target appears whole, by a rename."""
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    a, b, part = path(source), path(target), path(target + ".part")
+    fs = b.getFileSystem(conf)
+    if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, fs, part, False, True, conf):
+        raise OSError(f"cannot copy {source}")
+    fs.delete(b, False)
+    if not fs.rename(part, b):
+        raise OSError(f"cannot publish {target}")

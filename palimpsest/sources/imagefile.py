@@ -6,12 +6,16 @@ here, so the format's free list stays empty). Tables carry a CRC-32C that readin
 
 from __future__ import annotations
 
+import errno
+import hashlib
+import os
 import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs as pa_fs
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palimpsest.functions.checks import crc32c, lz4_pack, lz4_unpack
 from palimpsest.runtime import prepare
@@ -95,45 +99,74 @@ def write_image(path: str, clusters: Iterable[tuple[int, bytes]], virtual_size:
     return written, zero
 
 
+def _clusters(h: Header, i: int, raw: bytes, first: int, last: int, read) -> Iterator[tuple[int, int, bool, bytes]]:
+    """``cluster, offset, packed, data`` of the allocated clusters of table ``i`` from ``first`` to ``last``."""
+    if struct.unpack_from(">I", raw, h.cluster - 4)[0] != crc32c(raw[:-4]):
+        raise ValueError(f"CRC32C mismatch in table {i}")
+    for j in range(first, last):
+        entry = struct.unpack_from(">Q", raw, 8 * j)[0]
+        if entry:
+            where = entry & OFFSET
+            if entry & PACKED:
+                n = struct.unpack(">I", read(where, 4))[0]
+                body = lz4_unpack(read(where + 4, n), h.cluster)
+                if len(body) != h.cluster:
+                    raise ValueError(f"cluster {i * h.entries + j} has {len(body)} bytes")
+            else:
+                body = read(where, h.cluster)
+            yield i * h.entries + j, where, bool(entry & PACKED), body
+
+
 def clusters_of(data: bytes) -> Iterator[tuple[int, int, bool, bytes]]:
-    """``cluster, offset, packed, data`` of the allocated clusters."""
+    """``cluster, offset, packed, data`` of the allocated clusters of an image in memory."""
     h = Header.decode(data)
     for i, at in enumerate(struct.unpack_from(f">{h.l1_size}Q", data, h.l1_offset)):
-        if not at:
-            continue
-        raw = data[at : at + h.cluster]
-        if struct.unpack_from(">I", raw, h.cluster - 4)[0] != crc32c(raw[:-4]):
-            raise ValueError(f"CRC32C mismatch in table {i}")
-        for j, entry in enumerate(struct.unpack_from(f">{h.entries}Q", raw)):
-            if entry:
-                where = entry & OFFSET
-                if entry & PACKED:
-                    n = struct.unpack_from(">I", data, where)[0]
-                    body = lz4_unpack(data[where + 4 : where + 4 + n], h.cluster)
-                    if len(body) != h.cluster:
-                        raise ValueError(f"cluster {i * h.entries + j} has {len(body)} bytes")
-                else:
-                    body = data[where : where + h.cluster]
-                yield i * h.entries + j, where, bool(entry & PACKED), body
+        if at:
+            yield from _clusters(h, i, data[at : at + h.cluster], 0, h.entries, lambda where, n: data[where : where + n])
+
+
+#: Clusters that one task reads at a time.
+CHUNK = 512
 
 
 def read_image(spark: SparkSession, path: str) -> DataFrame:
-    """``cluster, phys_offset, packed, data`` of an image file, read through Spark."""
+    """``cluster, phys_offset, packed, data`` of an image file of any size.
+
+    The header and the level-one table are read by the driver; ranges of clusters are dealt over
+    tasks, which seek to their table, verify it and read their clusters. The tasks must be able to
+    open the path (``pyarrow.fs``).
+    """
     prepare(spark)
+    h = header_of(spark, path)
+    system, root = _opened(path)
+    with system.open_input_file(root) as f:
+        f.seek(h.l1_offset)
+        l1 = struct.unpack(f">{h.l1_size}Q", f.read(8 * h.l1_size))
+    chunks = -(-h.entries // CHUNK)
+    ranges = spark.createDataFrame([(i, at) for i, at in enumerate(l1) if at], "i long, at long")
+    ranges = ranges.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(max(1, min(8 * spark.sparkContext.defaultParallelism, chunks * sum(map(bool, l1)))))
 
     def run(batches):
-        for batch in batches:
-            for content in batch.column(0):
-                rows: list = []
-                for row in clusters_of(content.as_py()):
-                    rows.append(row)
-                    if len(rows) == 64:
+        files, inner = _opened(path)
+        with files.open_input_file(inner) as f:
+            for batch in batches:
+                for i, at, chunk in zip(*(c.to_pylist() for c in batch.columns)):
+                    f.seek(at)
+                    raw = f.read(h.cluster)
+                    rows = []
+                    for row in _clusters(h, i, raw, chunk * CHUNK, min(h.entries, (chunk + 1) * CHUNK), lambda where, n: (f.seek(where), f.read(n))[1]):
+                        rows.append(row)
+                        if len(rows) == 64:
+                            yield _batch(rows)
+                            rows = []
+                    if rows:
                         yield _batch(rows)
-                        rows = []
-                if rows:
-                    yield _batch(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "cluster long, phys_offset long, packed boolean, data binary")
+    return ranges.select("i", "at", "chunk").mapInArrow(run, "cluster long, phys_offset long, packed boolean, data binary")
+
+
+def _opened(path: str):
+    return pa_fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
 
 
 def _batch(rows: list) -> pa.RecordBatch:
@@ -159,25 +192,64 @@ def flat_clusters(path: str, cluster_size: int, start: int = 0) -> Iterator[tupl
             index += 1
 
 
+def create_image(path: str, virtual_size: int, cluster_bits: int = 16) -> None:
+    """An image file without clusters."""
+    write_image(path, [], virtual_size, cluster_bits)
+
+
+def holes(path: str) -> Iterator[tuple[int, int]]:
+    """Byte ranges of a local file without data, in order; none where the file system cannot tell."""
+    size, at = os.path.getsize(path), 0
+    with open(path, "rb") as f:
+        while at < size:
+            try:
+                lo = os.lseek(f.fileno(), at, os.SEEK_HOLE)
+                if lo >= size:
+                    return
+                try:
+                    at = os.lseek(f.fileno(), lo, os.SEEK_DATA)
+                except OSError as e:
+                    if e.errno != errno.ENXIO:
+                        raise
+                    at = size
+            except OSError:
+                return
+            yield lo, at
+
+
+def read_holes(spark: SparkSession, path: str) -> DataFrame:
+    """``lo, hi`` of the holes of a device file (its map, not its data)."""
+    return spark.createDataFrame(list(holes(path)), "lo long, hi long")
+
+
 def read_runs(spark: SparkSession, path: str, run_bytes: int = 61_440, files_bytes: int | None = None) -> DataFrame:
     """``run_index, run_bytes, sha256, is_zero, data`` of fixed-size runs of a flat device file; the last may be short.
 
-    The file is split at run edges over tasks, each of which reads its own range.
+    The file is split at run edges over tasks, each of which reads its own range; a run inside a
+    hole is zeros without being read.
     """
-    import hashlib
-    import os
-
     prepare(spark)
     size = os.path.getsize(path) if files_bytes is None else files_bytes
     total = -(-size // run_bytes)
     names = ["run_index", "run_bytes", "sha256", "is_zero", "data"]
 
     def run(batches):
+        zeros, data_at = bytes(run_bytes), -1
+        zero_hash = hashlib.sha256(zeros).hexdigest()
         with open(path, "rb") as f:
             for batch in batches:
                 rows = []
                 for i in batch.column(0).to_pylist():
-                    f.seek(i * run_bytes)
+                    start, n = i * run_bytes, min(run_bytes, size - i * run_bytes)
+                    if data_at < start:  # the next data from here on; asked once a hole
+                        try:
+                            data_at = os.lseek(f.fileno(), start, os.SEEK_DATA)
+                        except OSError as e:
+                            data_at = size if e.errno == errno.ENXIO else start
+                    if data_at >= start + n and n == run_bytes:
+                        rows.append((i, n, zero_hash, True, zeros))
+                        continue
+                    f.seek(start)
                     data = f.read(run_bytes)
                     rows.append((i, len(data), hashlib.sha256(data).hexdigest(), not any(data), data))
                 if rows:

@@ -8,11 +8,15 @@ write would come back.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from palimpsest.functions.labels import label_from_path
-from palimpsest.operators.overlay import apply
-from palimpsest.runtime import prepare
+from palimpsest.operators import image
+from palimpsest.operators.compact import slice_payload
+from palimpsest.operators.intervals import lookup
+from palimpsest.operators.jobs import upload
+from palimpsest.operators.overlay import apply, write_extents
+from palimpsest.runtime import prepare, stored
 from palimpsest.sources import blocklog, state
 from palimpsest.sources.cbor import dumps, loads
 
@@ -72,24 +76,95 @@ def rotations(events: DataFrame, dev: int | None = None) -> DataFrame:
 
 
 def rotate(entries: DataFrame, size_limit: int, seconds: int = 60) -> DataFrame:
-    """Which segment each entry of a device's log goes to: a new one after ``size_limit`` bytes, or with each interval."""
-    from pyspark.sql import Window
+    """``entries`` with ``part``: the segment of its device's log that each goes to.
 
-    slot = F.floor(F.col("timestamp_ns") / F.lit(seconds * 1_000_000_000)).cast("long")
-    order = Window.partitionBy("dev_index", "slot").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("length").over(order), F.lit(0))
-    return entries.withColumn("slot", slot).withColumn("part", F.floor(before / size_limit).cast("long"))
+    An entry that brings the open segment to ``size_limit`` bytes (``bytes``) ends it, and an entry
+    that comes ``seconds`` after the open segment began starts the next. A segment begins where the
+    one before ends, or with its first entry. The rule follows a device's entries in order, as the
+    writer of its log does; a task streams through them and holds one device's state.
+    """
+    prepare(entries.sparkSession)
+    names = [c for c in entries.columns if c != "part"]
+    ordered = entries.select(*names).repartition("dev_index").sortWithinPartitions("dev_index", "sequence")
+
+    def run(batches):
+        dev, part, held, began = None, 0, 0, None
+        for batch in batches:
+            columns = [batch.column(names.index(c)).to_pylist() for c in ("dev_index", "timestamp_ns", "bytes")]
+            parts = []
+            for d, at, size in zip(*columns):
+                if d != dev:
+                    dev, part, held, began = d, 0, 0, None
+                if began is not None and held and at - began >= seconds * 1_000_000_000:
+                    part, held, began = part + 1, 0, at
+                began = at if began is None else began
+                parts.append(part)
+                held += size
+                if held >= size_limit:
+                    part, held, began = part + 1, 0, at
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.int64())], names=[*names, "part"])
+
+    return ordered.mapInArrow(run, T.StructType([*(entries.schema[c] for c in names), T.StructField("part", T.LongType())]))
 
 
 def resolve_misses(misses: DataFrame, extents: DataFrame, cluster_blocks: int) -> DataFrame:
     """The log extents that fill each missed cluster (``dev_index, cluster_index``); clusters without any get null."""
-    from palimpsest.operators.intervals import lookup
-
     asked = misses.select("cluster_index").distinct().withColumn("q_lo", F.col("cluster_index") * cluster_blocks).withColumn("q_hi", (F.col("cluster_index") + 1) * cluster_blocks)
     found = lookup(extents, asked, width=cluster_blocks)
     return misses.join(found.drop("q_lo", "q_hi"), "cluster_index", "left")
 
 
+def filled_clusters(misses: DataFrame, entries: DataFrame, base: DataFrame, cluster_blocks: int, block_size: int) -> DataFrame:
+    """``cluster, data`` of the missed clusters that the log has blocks of: the base's cluster (or zeros) with those blocks in place."""
+    asked = misses.select("cluster_index").distinct().select(F.col("cluster_index").alias("cluster"), (F.col("cluster_index") * cluster_blocks).alias("q_lo"), ((F.col("cluster_index") + 1) * cluster_blocks).alias("q_hi"))
+    met = lookup(write_extents(entries), asked, width=cluster_blocks)
+    part = slice_payload(F.col("data"), F.col("start"), F.col("ref_block"), F.col("blocks"), block_size)
+    pieces = met.select((F.col("start") * block_size).alias("offset"), (F.col("blocks") * block_size).alias("length"), part.alias("data"))
+    under = base.join(met.select("cluster").distinct(), "cluster", "left_semi").select("cluster", "data")
+    return image.from_pieces(pieces, under, cluster_blocks * block_size)
+
+
+def fill_misses(spark: SparkSession, misses: DataFrame, folder: str, base_path: str, cluster_blocks: int = 16) -> DataFrame:
+    """Fill the base (a saved table of ``cluster, data``) from the log for missed clusters; ``dev_index, cluster_index, answer`` for each miss.
+
+    The base is published before the answers, so a retry finds its data. A cluster that the log knows
+    nothing of is answered with ``continue``: it reads zeros.
+    """
+    log = blocklog.versioned(blocklog.read_log(spark, folder))
+    header = blocklog.read_headers(spark, folder).orderBy("segment").first()
+    empty = spark.createDataFrame([], "cluster long, data binary")
+    saved = state.load(spark, base_path)
+    base = empty if saved is None else saved
+    made = stored(filled_clusters(misses, log, base, cluster_blocks, header["block_size"]), "filled")
+    state.save(base.join(made.select("cluster"), "cluster", "left_anti").select("cluster", "data").unionByName(made), base_path)
+    found = made.select(F.col("cluster").alias("cluster_index"), F.lit("retry").alias("answer"))
+    return misses.join(found, "cluster_index", "left").select("dev_index", "cluster_index", F.coalesce("answer", F.lit("continue")).alias("answer"))
+
+
+def serve_misses(spark: SparkSession, events: DataFrame, folder: str, base_path: str, answers: str, checkpoint: str, cluster_blocks: int = 16, **trigger):
+    """Answer a stream of miss events (``dev_index, cluster_index``) batch by batch, into Parquet at ``answers``. Returns the running query."""
+
+    def serve(batch: DataFrame, n: int) -> None:
+        fill_misses(spark, batch, folder, base_path, cluster_blocks).withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{answers}/batch={n}")
+
+    return events.writeStream.foreachBatch(serve).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def swap_base(clusters: DataFrame, base_path: str) -> None:
+    """Put a new base (``cluster, data``) in the old one's place: readers that load it from now on see the new one, whole."""
+    state.save(clusters.select("cluster", "data"), base_path)
+
+
+def upload_stream(spark: SparkSession, folder: str, store: str, prefix: str, volume: str, checkpoint: str, **trigger):
+    """Copy each new segment of a folder to a store once; a failed batch is tried again. Returns the running query."""
+
+    def send(batch: DataFrame, _: int) -> None:
+        upload(spark, folder, store, prefix, volume, [r["segment"] for r in batch.select("segment").distinct().collect()])  # a batch's files
+
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.log").option("maxFilesPerTrigger", 64).load(folder)
+    return files.select(label_from_path(F.col("path")).alias("segment")).writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def answer(resolved: int, tries: int) -> str:
     """Retry a miss that data was found for, three times at most; else let it read zeros."""
     return "retry" if resolved and tries < MAX_RETRIES else "continue"

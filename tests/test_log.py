@@ -199,3 +199,192 @@ def test_labels(spark, tmp_path):
     state.set_label(spark, str(tmp_path / "l"), "k", "1")
     state.set_label(spark, str(tmp_path / "l"), "k", "2")
     assert state.get_label(spark, str(tmp_path / "l"), "k") == "2"
+
+
+# ---- scale paths and the daemon's jobs
+
+def test_after_opens_no_older_file(spark, tmp_path):
+    for label in ("a", "b", "c"):
+        write(tmp_path, label, [w(0, 1, "A")])
+    (tmp_path / "disk.a.log").chmod(0)
+    (tmp_path / "disk.b.log").write_bytes(b"\xff")  # would fail if it were read
+    assert [r["segment"] for r in blocklog.read_log(spark, str(tmp_path), after="b").collect()] == ["c"]
+    assert blocklog.read_log(spark, str(tmp_path), after="c").count() == 0
+
+
+def test_read_partly(spark, tmp_path):
+    write(tmp_path, "a", [w(0, 1, "A"), w(1, 1, "B")])
+    raw = (tmp_path / "disk.a.log").read_bytes()
+    (tmp_path / "disk.b.log").write_bytes(raw[:-7])
+    (tmp_path / "disk.c.log").write_bytes(b"")
+    got = {r["segment"]: (r["entries"], r["error"]) for r in blocklog.read_partly(spark, str(tmp_path)).collect()}
+    assert got["a"] == (2, None) and got["b"][0] == 1 and got["b"][1] and got["c"] == (0, "no header")
+    with pytest.raises(ValueError, match="empty"):
+        blocklog.read_log(spark, str(tmp_path))
+
+
+def test_gc_writes_several_bounded_segments(spark, tmp_path):
+    rng = random.Random(8)
+    write(tmp_path, "a1", [w(b * 4, 1, rng.choice("ABC")) for b in range(60)])
+    write(tmp_path, "a2", [w(b * 4, 1, "Z") for b in range(0, 60, 2)])
+    before = image_of(tmp_path)
+    result = jobs.gc(spark, str(tmp_path), 90, timestamp_ns=7, segment_bytes=16 * B)
+    assert result.retired == ["a1"] and result.copied_entries == 30 and len(result.new_segments) == 4
+    assert image_of(tmp_path) == before and result.new_segments == sorted(result.new_segments)
+    sizes = [len(blocklog.decode((tmp_path / f"disk.{x}.log").read_bytes())[1]) for x in result.new_segments if (tmp_path / f"disk.{x}.log").exists()]
+    assert sum(sizes) == 30 and max(sizes) <= 16
+    again = jobs.live_map(spark, str(tmp_path))
+    whole = jobs.live_map(spark, str(tmp_path), full=True)
+    key = lambda df: sorted((r["start"], r["blocks"], r["segment"], r["version"]["entry_index"]) for r in df.collect())
+    assert key(again) == key(whole)
+
+
+def test_holes_are_not_read(spark, tmp_path):
+    run = 61440
+    path = tmp_path / "dev"
+    with open(path, "wb") as f:
+        f.truncate(run * 40 + 5)
+        f.seek(run * 20)
+        f.write(b"x" * 10)
+    content = path.read_bytes()
+    off = [(a, b) for a, b in imagefile.holes(str(path))]
+    assert all(not any(content[a:b]) for a, b in off)
+    if off:
+        from palimpsest.operators.changes import in_hole
+
+        asked = spark.createDataFrame([(i * run, min((i + 1) * run, len(content))) for i in range(41)], "lo long, hi long")
+        inside = {r["lo"] // run for r in in_hole(asked, imagefile.read_holes(spark, str(path))).collect()}
+        assert inside == {i for i in range(41) if any(a <= i * run and min((i + 1) * run, len(content)) <= b for a, b in off)} and 20 not in inside
+    for r in imagefile.read_runs(spark, str(path)).collect():
+        want = content[r["run_index"] * run : (r["run_index"] + 1) * run]
+        assert (bytes(r["data"]), r["sha256"], r["is_zero"]) == (want, hashlib.sha256(want).hexdigest(), not any(want))
+
+
+def test_rotation_restarts_with_each_segment(spark):
+    from palimpsest.streaming.plane import rotate
+
+    s = 1_000_000_000
+    rows = [(1, 0, 0, 150), (1, 1, 1, 50), (1, 2, 2, 10), (1, 3, 3, 40), (1, 4, 4, 1), (1, 5, 70 * s, 1), (1, 6, 71 * s, 1), (2, 0, 5, 100), (2, 1, 6, 1)]
+    df = spark.createDataFrame(rows, "dev_index int, sequence long, timestamp_ns long, bytes long").repartition(4)
+    got = {(r["dev_index"], r["sequence"]): r["part"] for r in rotate(df, 100, 60).collect()}
+    assert got == {(1, 0): 0, (1, 1): 1, (1, 2): 1, (1, 3): 1, (1, 4): 2, (1, 5): 3, (1, 6): 3, (2, 0): 0, (2, 1): 1}
+
+
+def test_misses_fill_the_base(spark, tmp_path):
+    from palimpsest.streaming import plane
+
+    logs, base, c = tmp_path / "logs", str(tmp_path / "base"), 16 * B
+    logs.mkdir()
+    write(logs, "a", [w(3, 2, "AB"), w(20, 1, "C"), t(4, 1), w(15, 2, "XY")])
+    plane.swap_base(spark.createDataFrame([(0, bytes([7]) * c), (5, b"kept")], "cluster long, data binary"), base)
+    events = spark.createDataFrame([(0, 0), (0, 1), (1, 9)], "dev_index int, cluster_index long")
+    got = {(r["dev_index"], r["cluster_index"]): r["answer"] for r in plane.fill_misses(spark, events, str(logs), base).collect()}
+    assert got == {(0, 0): "retry", (0, 1): "retry", (1, 9): "continue"}
+    rows = {r["cluster"]: bytes(r["data"]) for r in state.load(spark, base).collect()}
+    first = bytearray(bytes([7]) * c)
+    first[3 * B : 4 * B], first[15 * B :] = b"A" * B, b"X" * B
+    second = bytearray(c)
+    second[:B], second[4 * B : 5 * B] = b"Y" * B, b"C" * B
+    assert rows == {0: bytes(first), 1: bytes(second), 5: b"kept"}
+    found = plane.resolve_misses(events, __import__("palimpsest.operators.overlay", fromlist=["x"]).write_extents(blocklog.versioned(blocklog.read_log(spark, str(logs)))), 16)
+    assert {(r["cluster_index"], r["start"]) for r in found.collect()} == {(0, 3), (0, 15), (1, 16), (1, 20), (9, None)}
+    # the same from a stream of events
+    plane.swap_base(spark.createDataFrame([], "cluster long, data binary"), base)
+    events.write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
+    plane.serve_misses(spark, stream, str(logs), base, str(tmp_path / "answers"), str(tmp_path / "cp")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "answers")).where("answer = 'retry'").count() == 2
+    assert {r["cluster"] for r in state.load(spark, base).collect()} == {0, 1}
+
+
+def test_upload_and_limit(spark, tmp_path):
+    from palimpsest.streaming import plane
+
+    logs, store = tmp_path / "logs", tmp_path / "store"
+    logs.mkdir()
+    for label in ("0002", "0001"):
+        write(logs, label, [w(0, 1, "A")])
+    (logs / "disk.0003.log.tmp").write_bytes(b"x")
+    assert jobs.upload(spark, str(logs), str(store), "p/", "v") == ["p/v/disk.0001.log", "p/v/disk.0002.log"]
+    assert jobs.upload(spark, str(logs), str(store), "p/", "v") == []
+    assert (store / "p/v/disk.0001.log").read_bytes() == (logs / "disk.0001.log").read_bytes()
+    assert blocklog.list_segments(spark, str(store / "p/v")) == ["0001", "0002"]
+    write(logs, "0004", [w(1, 1, "B")])
+    for _ in range(2):
+        plane.upload_stream(spark, str(logs), str(store), "", "w", str(tmp_path / "cp")).awaitTermination(120)
+    assert blocklog.list_segments(spark, str(store / "w")) == ["0001", "0002", "0004"]
+    size = jobs.folder_bytes(spark, str(logs))
+    assert jobs.enforce_limit(spark, str(logs), size - 1, delete=False) == ["0001"] and jobs.enforce_limit(spark, str(logs), size) == []
+    assert jobs.enforce_limit(spark, str(logs), size - 1) == ["0001"] and blocklog.list_segments(spark, str(logs)) == ["0002", "0004"]
+
+
+def test_image_file_takes_writes_and_trims(spark, tmp_path):
+    """Pieces into a new image, then into the same file; clusters of zeros go; the rest stays."""
+    path, c = str(tmp_path / "a.img"), 65536
+    rng = random.Random(4)
+    want = bytearray(8 * c)
+    for _ in range(2):
+        rows = []
+        at = 0
+        while at < len(want) - c:
+            n = rng.randint(1, 2 * c)
+            data = rng.choice([None, rng.randbytes(n)])
+            rows.append((at, n, data))
+            want[at : at + n] = data or bytes(n)
+            at += n + rng.randint(0, c)
+        del want[8 * c :]
+        rows = [(a, min(n, 8 * c - a), d and d[: 8 * c - a]) for a, n, d in rows if a < 8 * c]
+        jobs.apply_to_image(spark, spark.createDataFrame(rows, "offset long, length long, data binary"), path, len(want))
+        got = bytearray(8 * c)
+        for r in imagefile.read_image(spark, path).collect():
+            got[r["cluster"] * c : (r["cluster"] + 1) * c] = r["data"]
+        assert got == want
+
+
+def test_large_image_is_read_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(imagefile, "CHUNK", 3)
+    path = str(tmp_path / "a.img")
+    parts = {i: bytes([i % 251 + 1]) * 4096 for i in (0, 1, 2, 3, 7, 508, 509, 510, 511, 1030)}
+    imagefile.write_image(path, sorted(parts.items()), 1100 * 4096, 12)
+    assert {r["cluster"]: bytes(r["data"]) for r in imagefile.read_image(spark, path).collect()} == parts
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from palimpsest import cli
+
+    logs, dev, flat, img, out = (tmp_path / x for x in ("logs", "dev", "flat", "a.img", "out"))
+    logs.mkdir()
+    content = bytearray(61440 * 3)
+    content[61440:61445] = b"hello"
+    dev.write_bytes(content)
+    run = lambda *args: cli.main([str(a) for a in args], spark)
+    run("scan", dev, logs)
+    run("show", logs)
+    run("show", logs, "--json", "--data")
+    shown = capsys.readouterr().out
+    assert "[WRITE]" in shown and '"op":"W"' in shown and b"hello".hex() in shown
+    run("replay", logs, flat)
+    run("replay", logs, img, "--image")
+    run("extract", img, out)
+    assert flat.read_bytes() == out.read_bytes() == bytes(content)
+    run("sum", logs)
+    run("sum", img)
+    assert capsys.readouterr().out.count(hashlib.sha256(content).hexdigest()) == 2
+    run("convert", flat, tmp_path / "b.img")
+    run("compact", tmp_path / "b.img", tmp_path / "c.img")
+    run("sum", tmp_path / "c.img")
+    assert hashlib.sha256(content).hexdigest() in capsys.readouterr().out
+    run("create", tmp_path / "d.img", "1.5M")
+    assert imagefile.header_of(spark, str(tmp_path / "d.img")).virtual_size == 3 << 19
+    packed = tmp_path / "packed"
+    packed.mkdir()
+    run("repack", logs, packed)
+    assert len(blocklog.list_segments(spark, str(packed))) == 1
+    run("gc", logs, "--dry-run")
+    run("upload", logs, tmp_path / "store", "--volume", "v")
+    run("limit", logs, "1G", "--dry-run")
+    (tmp_path / "disk.toml").write_text(f'name = "v"\ndevice = "{dev}"\nbase_dir = "{logs}"\ninterval = 0\nlog_limit = "1"\n')
+    content[0:1] = b"!"
+    dev.write_bytes(content)
+    run("up", tmp_path / "disk.toml", "--rounds", "2")
+    assert "'writes': 1" in capsys.readouterr().out and blocklog.list_segments(spark, str(logs)) == []

@@ -34,6 +34,34 @@ def test_overlay_plans_equal_a_fold(spark, seed):
         assert got == fold(ops)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_folds_in_any_order_equal_one_fold(spark, seed):
+    """Only buckets of the new entries are folded; the rest of the state passes by."""
+    rng = random.Random(seed)
+    ops = [(v, rng.choice("WWT"), rng.randrange(4000), rng.randint(1, 900 if v % 9 == 0 else 12)) for v in range(90)]
+    df = spark.createDataFrame([(v, op, b, n, v % 5) for v, op, b, n in ops], "version long, op string, block long, blocks long, segment int")
+    state = spark.createDataFrame([], "version long, segment int, op string, start long, blocks long")
+    for part in rng.sample(range(5), 5) + [1]:
+        state = spark.createDataFrame(overlay.apply(state, df.where(F.col("segment") == part)).collect(), state.schema)
+    assert sorted((r["start"], r["blocks"], r["version"], r["op"]) for r in state.collect()) == fold(ops)
+
+
+def test_a_wide_trim_and_a_hot_block(spark):
+    """A 4 GiB trim costs rows a bucket, not blocks; a block written a million times, one row."""
+    wide = 1 << 20
+    hot = spark.range(1_000_000).select((F.col("id") + 10).alias("version"), F.lit("W").alias("op"), (F.lit(70_000) + F.col("id") % 3).alias("block"), (F.lit(1) + F.col("id") % 2).alias("blocks"))
+    rest = spark.createDataFrame([(1, "W", 5, 300), (2, "T", 0, wide), (3, "W", 100, 1), (4, "T", 512, 256)], "version long, op string, block long, blocks long")
+    log = rest.union(hot)
+    got = sorted((r["start"], r["blocks"], r["version"], r["op"]) for r in overlay.live_extents(log).collect())
+    newest = {}
+    for i in range(999_990, 1_000_000):
+        for x in range(1 + i % 2):
+            newest[70_000 + i % 3 + x] = i + 10
+    want = [(0, 100, 2, "T"), (100, 1, 3, "W"), (101, 411, 2, "T"), (512, 256, 4, "T"), (768, 70_000 - 768, 2, "T"), (70_004, wide - 70_004, 2, "T")]
+    want += [(a, n, v, "W") for a, n, v, _ in fold([(v, "W", b, 1) for b, v in sorted(newest.items(), key=lambda x: x[1])])]
+    assert got == sorted(want)
+
+
 def test_reattribution_merges(spark):
     ext = spark.createDataFrame([(0, 2, "a", "W"), (2, 3, "b", "W"), (5, 1, "b", "T"), (6, 1, "a", "W")], "start long, blocks long, segment string, op string")
     got = sorted((r["start"], r["blocks"], r["segment"], r["op"]) for r in overlay.reattribute_segment(ext, "a", "b").collect())
@@ -92,6 +120,13 @@ def test_trim_islands_equal_a_fold(spark, seed):
     assert sorted((r["start_run"], r["runs"]) for r in got.collect()) == want
 
 
+def test_trim_of_one_stretch_across_buckets(spark):
+    """A device of zeros with one changed run is one trim from there on, joined over buckets and levels."""
+    n, width = 9000, 4
+    df = spark.range(n).select(F.col("id").alias("run_index"), F.lit(10).cast("long").alias("run_bytes"), F.lit("z").alias("sha256"), F.when(~F.col("id").isin(4999, 5003), F.lit("z")).alias("prev_sha256"))
+    assert [tuple(r) for r in changes.trim_islands(changes.classify(df, F.lit("z")), width=width).collect()] == [(4999, n - 4999, 10 * (n - 4999))]
+
+
 def test_trim_chunks_stay_aligned(spark):
     df = spark.createDataFrame([(1, 3, 10 << 32)], "start_run long, runs long, bytes long")
     rows = sorted(map(tuple, changes.trim_chunks(df).collect()))

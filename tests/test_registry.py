@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import pytest
 
+from palimpsest.functions.checks import crc32c
 from palimpsest.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -28,6 +29,21 @@ def test_payload_crc32(spark):
     assert len(rows) == len(texts) and all(r["valid"] and r["checksum"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in rows)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_payload_crc32c_and_image_writes(spark):
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r["checksum"] for r in QUERIES["payload_crc32c"](spark, SF).collect()}
+    assert got == {i: crc32c(t) for i, t in texts.items()}
+    content = bytearray(b"a" * (4000 * 256)) + bytes(max(texts) * 40_000 + 80_000)
+    for i, t in texts.items():
+        t = t[:40_000]
+        content[i * 40_000 : i * 40_000 + len(t)] = t
+    rows = {r["cluster"]: r["data_sha256"] for r in QUERIES["image_writes"](spark, SF).collect()}
+    for c in range(len(content) // 256):
+        part = bytes(content[c * 256 : (c + 1) * 256])
+        assert rows.get(c) == (hashlib.sha256(part).hexdigest() if any(part) else None), c
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_payload_slice_takes_every_document(spark, tmp_path):
     """Bytes, not characters, of accented, short, empty and null texts too."""
