@@ -12,6 +12,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
@@ -615,41 +616,142 @@ def test_language(spark, docs, empty):
     assert {r["lang_pred"] for r in langid.identify(docs, langid.fit(empty)).collect()} == {"und"} and langid.identify(empty, model).count() == 0
 
 
-def test_packing(docs, empty):
-    tk = library(BYTE_BPE)
-    want = Counter()
-    for r in docs.collect():
-        ids = tk.encode(r["text"] or "", add_special_tokens=False).ids + [0]
-        want[r["doc_id"], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
-    rows = packing.harmonic_pack(docs, BYTE_BPE).collect()
-    bins: dict = {}
+def check_packing(rows, table):
+    """Each id of each document in exactly one piece, pieces gapless in sequences of 1024 at most, little padding."""
+    tk, want = library(BYTE_BPE), Counter()
+    for i, t in table:
+        ids = tk.encode(t or "", add_special_tokens=False).ids + [0]
+        want[i, zlib.crc32(np.array(ids, "<u4").tobytes()), len(ids)] += 1
+    bins, documents = {}, {}
     for r in rows:
         bins.setdefault(r["sequence_id"], []).append(r)
+        documents.setdefault(r["doc_id"], []).append(r)
     for b in bins.values():
         b.sort(key=lambda r: r["offset"])
         assert [r["offset"] for r in b] == [sum(x["length"] for x in b[:i]) for i in range(len(b))] and sum(r["length"] for r in b) <= 1024
-    lengths = Counter()
-    for r in rows:
-        lengths[r["doc_id"]] += r["length"]
-    assert lengths == Counter({d: sum(n * c for (x, n, _), c in want.items() if x == d) for d in {k[0] for k in want}})
-    whole = {r["doc_id"]: r["ids_crc32"] for r in rows if r["length"] == r["doc_tokens"]}
-    assert all(want[d, n, whole[d]] for d, n, _ in want if d in whole)
+    ids_of: dict = {}
+    for i, t in table:
+        ids_of.setdefault(i, []).append(np.array(tk.encode(t or "", add_special_tokens=False).ids + [0], "<u4"))
+    assert set(documents) == set(ids_of)
+    for i, pieces in documents.items():
+        # the pieces of each of the documents of an id chain from 0 to its end
+        left = list(ids_of[i])
+        for ids in left:
+            at = 0
+            while at < len(ids):
+                n = next(k for k, r in enumerate(pieces) if r["start"] == at and r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes()))
+                at += pieces.pop(n)["length"]
+        assert not pieces
+    total = sum(n * c for (_, _, n), c in want.items())
+    return total, len(bins)
+
+
+def test_packing(docs, empty, spark):
+    table = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    total, bins = check_packing(packing.harmonic_pack(docs, BYTE_BPE).collect(), table)
+    assert bins <= total / 1024 * 1.1 + 8 * docs.rdd.getNumPartitions()
     assert packing.harmonic_pack(empty, BYTE_BPE).count() == 0
     assert all(sum(packing.cut(n, 1024)) == n for n in range(1, 5000))
+    rng = random.Random(5)
+    many = [(i, " ".join(rng.choice(SYLLABLES) for _ in range(int(rng.paretovariate(0.8) * 20) % 6000))) for i in range(1500)]
+    total, bins = check_packing(packing.harmonic_pack(spark.createDataFrame(many, "doc_id long, text string").coalesce(1), BYTE_BPE).collect(), many)
+    assert total / 1024 / bins > 0.97  # of all places
+
+
+def near_roots(table, k, percent):
+    """Smallest reachable id of each id, by all pairs; rows are (id, text), ids unique."""
+    sets = {}
+    for i, t in table:
+        w = (t or "").encode().lower().split()
+        sets[i] = frozenset(tuple(w[x : x + k]) for x in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) > 0:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
 
 
-def test_pipeline(spark, docs, empty, tmp_path):
+def test_pipeline(spark, docs, empty, texts, tmp_path):
+    """Each stage against a plain computation of its rows from its own input."""
     import corpus_pipeline
 
-    spark.createDataFrame([(i, 1, 0) for i in range(12, 90)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    table = docs.drop("kept", "score").withColumn("n_chars", F.length("text").cast("long"))
-    table.write.parquet(f"{tmp_path}/documents.parquet")
-    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        at = stage(spark, at, str(tmp_path))
-        assert at.columns == corpus_pipeline.COLUMNS
-    rows = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r["doc_id"] for r in rows.collect()} == {r["doc_id"] for r in at.collect()}
+    spark.createDataFrame([(i, i % 3 and 1, 0) for i in range(12, 90)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    base = " ".join(f"w{i} of" for i in range(100)).split()
+    rng = random.Random(6)
+    near = [(500 + i, " ".join(w if rng.random() > 0.004 else f"q{rng.randrange(99)}" for w in base)) for i in range(12)] + [(600, "call (974) 555-3436 or write a@b.cc and " + " ".join(f"z{i} the" for i in range(30)))]
+    table = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame([(i, t, "en", "s") for i, t in near], "doc_id long, text string, lang string, source string"))
+    table.withColumn("n_chars", F.length("text").cast("long")).withColumn("extra", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    at, dir_ = spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)
+    rows = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    stages = dict(corpus_pipeline.STAGES)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_rules", "near_dedup", "pii", "packing"]
+
+    found = stages["language_id"](spark, at, dir_)
+    assert found.columns == corpus_pipeline.COLUMNS and {r["lang"] for r in found.collect()} <= {"en", "fr"}
+    assert rows(found) == Counter({(i, t): n for (i, t), n in rows(at).items() if t and any(c.isalpha() for c in t)})
+
+    good = stages["quality_rules"](spark, found, dir_)
+    trees, cut = quality.fit(found, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+
+    def verdict(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        c = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        covered = {j for i in range(len(w) - 7) if c[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        x, total = quality.statistics(pa.array([t]))[1][0], trees.base
+        for node in trees.roots:  # one tree after the other, node by node
+            while trees.left[node] != node:
+                node = trees.left[node] + (x[trees.feature[node]] > trees.threshold[node])
+            total += trees.value[node]
+        return len(w) >= 20 and 100 * len(covered) <= 30 * len(w) and 1 / (1 + math.exp(-total)) >= cut
+
+    assert rows(good) == Counter({(i, t): n for (i, t), n in rows(found).items() if verdict(t)}) and 0 < len(rows(good)) < len(rows(found))
+
+    one = stages["near_dedup"](spark, good, dir_)
+    root = near_roots([x for x in rows(good) if x[0] is not None], 5, 80)
+    assert rows(one) == Counter({(i, t): 1 if i is not None else n for (i, t), n in rows(good).items() if i is None or root[i] == i}) and any(root[i] == 500 for i in range(501, 512) if i in root)
+
+    clean = stages["pii"](spark, one, dir_)
+    model = pii.default_model()
+
+    def redacted(t):
+        out, at_ = "", 0
+        for k, a, b in sorted(pii.find(t, model)[1], key=lambda s: (s[1], -s[2])):
+            if a >= at_:
+                out += t[at_:a] + f"[{k.upper()}]"
+            at_ = max(at_, b)
+        return out + t[at_:]
+
+    assert rows(clean) == Counter({(i, redacted(t)): n for (i, t), n in rows(one).items()}) and clean.columns == corpus_pipeline.COLUMNS
+    assert "call [PHONE] or write [EMAIL] and" in next(t for i, t in rows(clean) if i == 600)
+
+    packed = stages["packing"](spark, clean, dir_)
+    check_packing(packed.collect(), list(rows(clean).elements()))
+    piece_ = lambda df: Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in df.collect())
+    assert piece_(corpus_pipeline.run(spark, dir_)) == piece_(packed)
+
+
+def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    empty.drop("kept", "score").withColumn("n_chars", F.lit(0).cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_at_the_pipelines_setting(spark):
+    """Recall of links at five words and 80 percent on a whole table: components equal those of all pairs."""
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    root = near_roots([tuple(r) for r in table.collect()], 5, 80)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(table, 5, 80).collect()}
+    assert got == root and len(set(root.values())) < len(root)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
