@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from palimpsest.operators.intervals import levels_of
+
 RUN_BLOCKS, BLOCK_SIZE = 15, 4096
 RUN_BYTES = RUN_BLOCKS * BLOCK_SIZE
 #: A trim's length at most: the largest block multiple in 32 bits.
@@ -24,13 +26,13 @@ def changed_writes(classified: DataFrame) -> DataFrame:
     return classified.where("changed and not is_zero")
 
 
-def trim_islands(classified: DataFrame, width: int = 4096) -> DataFrame:
+def trim_islands(classified: DataFrame, width: int = 4096, span: int | None = None) -> DataFrame:
     """Each stretch of zero runs that holds a changed one, from its first changed run to its end: ``start_run, runs, bytes``.
 
     Zero runs are first added up within buckets of the device, as pieces of stretches: each with its
     first changed run and the sums from there and of all. Pieces that touch across bucket edges are
     then joined level by level, so a stretch as long as the device is a few thousand rows at each
-    level, and no run is read twice.
+    level, and no run is read twice. ``span``: the device's runs where known, which saves levels.
     """
     order = Window.partitionBy("bucket").orderBy("run_index")
     zeros = classified.where("is_zero").select("run_index", "run_bytes", "changed", F.floor(F.col("run_index") / width).cast("long").alias("bucket"))
@@ -42,12 +44,12 @@ def trim_islands(classified: DataFrame, width: int = 4096) -> DataFrame:
         F.min("run_index").alias("lo"), (F.max("run_index") + 1).alias("hi"), F.min(F.when(F.col("changed"), F.col("run_index"))).alias("start_run"),
         F.count(F.when(F.col("open"), 1)).alias("runs"), F.coalesce(F.sum(F.when(F.col("open"), F.col("run_bytes"))), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("all_runs"), F.sum("run_bytes").alias("all_bytes"),
     ).drop("bucket", "piece")
-    done = None
-    for level in (width, width << 10, width << 20):  # the last level's edges are few on any device
+    done, levels = None, levels_of(width, span)
+    for level in levels:  # the last level's edges are few on any device
         edge = (F.col("lo") % level == 0) | (F.col("hi") % level == 0)
         inner = rows.where(~edge)
         done = inner if done is None else done.unionByName(inner)
-        upper = F.floor(F.col("lo") / (level << 10)).cast("long") if level != width << 20 else F.lit(0).cast("long")
+        upper = F.floor(F.col("lo") / (level << 10)).cast("long") if level != levels[-1] else F.lit(0).cast("long")
         rows = _joined(rows.where(edge).withColumn("upper", upper)).drop("upper")
     return done.unionByName(rows).where("start_run is not null").select("start_run", "runs", F.col("bytes").cast("long").alias("bytes"))
 
@@ -72,9 +74,9 @@ def trim_chunks(islands: DataFrame, most: int = MAX_TRIM) -> DataFrame:
     return parts.select((F.col("start_run") * RUN_BLOCKS + F.col("i") * F.lit(most // BLOCK_SIZE)).alias("block"), F.least(F.lit(most), F.col("bytes") - F.col("i") * most).cast("long").alias("length"))
 
 
-def scan_counters(classified: DataFrame) -> DataFrame:
+def scan_counters(classified: DataFrame, span: int | None = None) -> DataFrame:
     """Runs, writes, trims (stretches) and written bytes of a scan."""
-    trims = trim_islands(classified).agg(F.count(F.lit(1)).alias("trims"))
+    trims = trim_islands(classified, span=span).agg(F.count(F.lit(1)).alias("trims"))
     write = F.col("changed") & ~F.col("is_zero")
     runs = classified.agg(F.count(F.lit(1)).alias("total_runs"), F.count(F.when(write, 1)).alias("writes"), F.coalesce(F.sum(F.when(write, F.col("run_bytes"))), F.lit(0)).cast("long").alias("write_bytes"))
     return runs.crossJoin(F.broadcast(trims))  # one row each

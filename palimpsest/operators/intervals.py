@@ -29,16 +29,24 @@ def _islands(df: DataFrame, keys: list[str]) -> DataFrame:
     return fresh.withColumn("__island", island).groupBy(*keys, "__island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("__island")
 
 
-def coalesce(df: DataFrame, keys: list[str] = [], width: int = BUCKET) -> DataFrame:
-    """The union of intervals ``lo, hi`` per key; overlapping and adjacent ones become one. Columns: keys, lo, hi."""
+def levels_of(width: int, span: int | None) -> list[int]:
+    """The bucket widths whose edges are merged in turn: three where the line's length is not known, fewer on a shorter one."""
+    return [level for level in (width, width << 10, width << 20) if span is None or level < span] or [width]
+
+
+def coalesce(df: DataFrame, keys: list[str] = [], width: int = BUCKET, span: int | None = None) -> DataFrame:
+    """The union of intervals ``lo, hi`` per key; overlapping and adjacent ones become one. Columns: keys, lo, hi.
+
+    ``span``, the length of the line where it is known, saves the levels that only a longer one needs.
+    """
     rows = cut(df.select(*keys, "lo", "hi"), "lo", "hi", width)
     rows = _islands(rows, [*keys, "bucket"]).select(*keys, "lo", "hi")
-    done = None
-    for level in (width, width << 10, width << 20):  # the last level's edges are few on any device
+    done, levels = None, levels_of(width, span)
+    for level in levels:  # the last level's edges are few on any device
         edge = ((F.col("lo") % level == 0) | (F.col("hi") % level == 0))
         inner = rows.where(~edge)
         done = inner if done is None else done.unionByName(inner)
-        upper = F.floor(F.col("lo") / (level << 10)).cast("long") if level != width << 20 else F.lit(0).cast("long")
+        upper = F.floor(F.col("lo") / (level << 10)).cast("long") if level != levels[-1] else F.lit(0).cast("long")
         rows = _islands(rows.where(edge).withColumn("__upper", upper), [*keys, "__upper"]).select(*keys, "lo", "hi")
     return done.unionByName(rows)
 
@@ -56,12 +64,12 @@ def gaps(df: DataFrame, lo: int, hi: int, width: int = BUCKET) -> DataFrame:
     before = inside.select("bucket", "a", "b", "hi", start.alias("glo"), stop.alias("ghi"), F.lead("lo").over(order).isNull().alias("last"))
     parts = before.select(F.col("glo").alias("lo"), F.col("ghi").alias("hi")).where("lo < hi")
     tails = before.where("last and hi is not null").select(F.greatest("hi", "a").alias("lo"), F.col("b").alias("hi")).where("lo < hi")
-    return coalesce(parts.union(tails), width=width)
+    return coalesce(parts.union(tails), width=width, span=hi - lo)
 
 
-def covers(intervals: DataFrame, queries: DataFrame, width: int = BUCKET) -> DataFrame:
+def covers(intervals: DataFrame, queries: DataFrame, width: int = BUCKET, span: int | None = None) -> DataFrame:
     """``queries`` (with ``q_lo, q_hi``) and ``covered``: whether one interval of the union holds the whole query."""
-    sets = coalesce(intervals, width=width)
+    sets = coalesce(intervals, width=width, span=span)
     spread = sets.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / width).cast("long"), F.floor((F.col("hi") - 1) / width).cast("long"))))
     keyed = queries.withColumn("bucket", F.floor(F.col("q_lo") / width).cast("long"))
     hits = keyed.join(spread, "bucket", "left").withColumn("__in", (F.col("lo") <= F.col("q_lo")) & (F.col("hi") >= F.col("q_hi")))

@@ -132,11 +132,12 @@ def scan_runs(spark: SparkSession, runs: DataFrame, state_path: str, folder: str
     before = saved if saved is not None else spark.createDataFrame([], "run_index long, sha256 string")
     classified = runs.join(before.withColumnRenamed("sha256", "prev_sha256"), "run_index", "left").withColumn("changed", F.col("prev_sha256").isNull() | (F.col("prev_sha256") != F.col("sha256")))
     writes = changes.changed_writes(classified)
-    trims = changes.trim_chunks(changes.trim_islands(classified))
+    span = -(-device_size // changes.RUN_BYTES)
+    trims = changes.trim_chunks(changes.trim_islands(classified, span=span))
     rows = writes.select(F.lit("W").alias("op"), (F.col("run_index") * changes.RUN_BLOCKS).alias("block"), F.col("run_bytes").alias("length"), "data", F.crc32("data").alias("checksum"))
     rows = rows.unionByName(trims.select(F.lit("T").alias("op"), "block", "length"), allowMissingColumns=True)
     rows = stored(rows, "scan")
-    counters = changes.scan_counters(classified).first().asDict()
+    counters = changes.scan_counters(classified, span).first().asDict()
     if rows.limit(1).count():
         ordered = compact.numbered(rows.withColumn("version", F.col("block")).withColumn("start", F.col("block"))).withColumn("timestamp_ns", F.lit(timestamp_ns))
         blocklog.write_segment(spark, ordered, folder, label, changes.BLOCK_SIZE, device_size)

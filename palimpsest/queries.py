@@ -146,7 +146,7 @@ def _writes(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {ENTRIES_SQL}, {_WRITES_IV}, {ISLANDS_SQL} SELECT lo, hi FROM isl")
 def coalesced_write_intervals(spark, sf_dir):
-    return intervals.coalesce(_writes(spark, sf_dir))
+    return intervals.coalesce(_writes(spark, sf_dir), span=DEVICE_BLOCKS)
 
 
 @query(f"""WITH {ENTRIES_SQL}, {_WRITES_IV}, {ISLANDS_SQL}, e AS (SELECT lo, hi FROM isl UNION ALL SELECT {DEVICE_BLOCKS}, {DEVICE_BLOCKS}),
@@ -165,7 +165,7 @@ def _asked(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {ENTRIES_SQL}, {_WRITES_IV}, {ISLANDS_SQL}, {_ASK} SELECT q_id, q_lo, q_hi, EXISTS (SELECT 1 FROM isl WHERE lo <= q_lo AND hi >= q_hi) AS covered FROM asked")
 def covers_all(spark, sf_dir):
-    return intervals.covers(_writes(spark, sf_dir), _asked(spark, sf_dir))
+    return intervals.covers(_writes(spark, sf_dir), _asked(spark, sf_dir), span=DEVICE_BLOCKS)
 
 
 @query(f"""WITH {ENTRIES_SQL}, {LIVE_SQL}, {_ASK} SELECT q_id, greatest(start, q_lo) AS start, least(start + blocks, q_hi) - greatest(start, q_lo) AS blocks, segment, entry_index

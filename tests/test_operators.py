@@ -72,6 +72,8 @@ def test_reattribution_merges(spark):
 def test_coalesce(spark, pairs, want):
     df = spark.createDataFrame(pairs, "lo long, hi long")
     assert sorted(map(tuple, intervals.coalesce(df).collect())) == want
+    assert sorted(map(tuple, intervals.coalesce(df, span=9000).collect())) == want
+    assert sorted(map(tuple, intervals.coalesce(df, width=2, span=9000).collect())) == want
 
 
 @pytest.mark.parametrize("seed", range(3))
