@@ -217,6 +217,41 @@ def incremental_replay_counters(spark, sf_dir):
     return liveness.replay_counters(replay.since(entries(spark, sf_dir), 10))
 
 
+@query("""WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents) SELECT CAST(count(*) AS BIGINT) AS entries, CAST(count(*) FILTER (doc_id % 11 <> 0) AS BIGINT) AS writes, CAST(count(*) FILTER (doc_id % 11 = 0) AS BIGINT) AS trims,
+CAST(coalesce(sum(n) FILTER (doc_id % 11 <> 0), 0) AS BIGINT) AS write_bytes, CAST(coalesce(sum(n) FILTER (doc_id % 11 = 0), 0) AS BIGINT) AS trim_bytes, CAST(count(*) FILTER (doc_id % 11 <> 0 AND doc_id % 9 = 0) AS BIGINT) AS crc_errors FROM d""")
+def checked_replay_counters(spark, sf_dir):
+    """A log of all texts, a ninth of them with a wrong checksum: counted, still applied."""
+    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", data.alias("data"))
+    op = F.when(F.col("doc_id") % 11 == 0, "T").otherwise("W")
+    log = docs.select(op.alias("op"), "data", F.octet_length("data").cast("long").alias("length"), (F.crc32("data") + F.when(F.col("doc_id") % 9 == 0, 1).otherwise(0)).alias("checksum"))
+    return liveness.replay_counters(log.withColumn("ok", crc_valid(F.col("op"), F.col("data"), F.col("checksum"))), "ok")
+
+
+@query("SELECT event_id, CAST((event_id * 37 + 4095) // 4096 * 4096 AS BIGINT) AS aligned, CAST(greatest(event_id * 37 // 4096, 1) AS BIGINT) AS blocks, CAST((event_id * 37) % 4096 <> 0 AS BOOLEAN) AS odd FROM events")
+def aligned_lengths(spark, sf_dir):
+    n = F.col("event_id") * 37
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", L.align_up(n).alias("aligned"), L.block_count(n, BLOCK_SIZE).alias("blocks"), (n % BLOCK_SIZE != 0).alias("odd"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN TRUE ELSE FALSE END AS image FROM documents")
+def magic_sniff(spark, sf_dir):
+    """Which contents begin as an image file does; the text follows the first bytes."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    head = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("4C42444351573200"))).otherwise(F.unhex(F.lit("4C42444351573201")))
+    return docs.select("doc_id", checks.is_magic(F.concat(head, F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("image"))
+
+
+@query(f"""WITH {ENTRIES_SQL}, w AS (SELECT block * {BLOCK_SIZE} AS lo, (block + blocks) * {BLOCK_SIZE} AS hi FROM entries WHERE op = 'W'), iv AS (SELECT * FROM w), {ISLANDS_SQL},
+r AS (SELECT DISTINCT CAST(doc_id * 61440 AS BIGINT) AS lo, CAST(doc_id * 61440 + 61440 AS BIGINT) AS hi FROM documents) SELECT r.lo, r.hi FROM r WHERE EXISTS (SELECT 1 FROM isl WHERE isl.lo <= r.lo AND isl.hi >= r.hi)""")
+def runs_in_holes(spark, sf_dir):
+    """Runs of a device that one range of a map contains whole (here: the ranges that were ever written)."""
+    log = entries(spark, sf_dir).where("op = 'W'")
+    ranges = log.select((F.col("block") * BLOCK_SIZE).alias("lo"), ((F.col("block") + F.col("blocks")) * BLOCK_SIZE).alias("hi"))
+    asked = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") * 61440).alias("lo"), (F.col("doc_id") * 61440 + 61440).alias("hi")).distinct()
+    return changes.in_hole(asked, ranges)
+
+
 @query(f"WITH {ENTRIES_SQL}, f AS (SELECT segment AS name, CAST(sum(length) AS BIGINT) AS bytes FROM entries GROUP BY segment), r AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS older, (SELECT sum(bytes) FROM f) AS total FROM f) SELECT name, bytes FROM r WHERE total - older > 50000000")
 def log_limit_victims(spark, sf_dir):
     files = entries(spark, sf_dir).groupBy(F.col("segment").alias("name")).agg(F.sum("length").alias("bytes"))
