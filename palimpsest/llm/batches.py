@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from palimpsest.runtime import prepare
 
@@ -14,6 +17,8 @@ from palimpsest.runtime import prepare
 PIECE_BYTES = 1 << 20
 #: Bytes of text handled as one group of documents.
 GROUP_BYTES = 4 << 20
+#: Buckets of ordered rows: cuts by quantiles at most, and parts of what lies between two cuts at most.
+MAX_CUTS, MAX_PARTS = 10_000, 100
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LANES = np.array([0x2545F4914F6CDD1D, 0x8CB92BA72F3D8DD7], np.uint64)
 _PLACE, _LENGTH = np.uint64(0xD1342543DE82EF95), np.uint64(0xA0761D6478BD642F)
@@ -146,6 +151,50 @@ def fresh(df: DataFrame, base: str) -> str:
     return base
 
 
+class Buckets:
+    """Consecutive numbers for ranges of (key, hash), ascending, from quantiles of the keys.
+
+    What lies between two quantiles is cut further in even steps of the key; a key that holds
+    several quantiles alone is cut by the hash. At most ``MAX_CUTS * MAX_PARTS`` buckets in all.
+    """
+
+    def __init__(self, quantiles: list[int], n: int, rows: int):
+        least = -(1 << 63)
+        cuts = sorted({*quantiles, *(a - 1 for a, b in zip(quantiles, quantiles[1:]) if a == b and a > least)})
+        share = n / (len(quantiles) + 1)
+        held = Counter(quantiles)
+        self.cuts = cuts
+        self.parts = [min(MAX_PARTS * max(1, held[c]), max(1, math.ceil(share * max(1, held[c]) / rows))) for c in cuts] + [min(MAX_PARTS, max(1, math.ceil(share / rows)))]
+        self.first = list(accumulate([0, *self.parts]))[:-1]
+
+    def __call__(self, key: Column, hash_: Column) -> Column:
+        """The bucket of a row."""
+        if not self.cuts:
+            return F.lit(0)
+        listed = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")  # noqa: E731  one literal, folded
+        step = max(1, math.isqrt(len(self.cuts)))
+        coarse = F.size(F.filter(listed(self.cuts[step - 1 :: step]), lambda c: c < key)) * step
+        at = coarse + F.size(F.filter(F.slice(listed(self.cuts), coarse + 1, F.lit(step)), lambda c: c < key))
+        parts, low, high = F.get(listed(self.parts), at), F.get(listed(self.cuts), at - 1), F.get(listed(self.cuts), at)
+        alone = (F.shiftright(hash_, 40) + (1 << 23)) / F.lit(float(1 << 24))
+        share = F.when(high == low + 1, alone).otherwise((key.cast("double") - low) / (high.cast("double") - low + 1))
+        inner = F.least(F.greatest(F.floor(F.coalesce(share, F.lit(0.0)) * parts), F.lit(0)), parts - 1)
+        return (F.get(listed(self.first), at) + inner).cast("int")
+
+    @classmethod
+    def of(cls, df: DataFrame, key: str, rows: int) -> "Buckets":
+        """Buckets of about ``rows`` rows of a table by a column of 64-bit integers."""
+        n = df.count()
+        cuts = min(MAX_CUTS, -(-n // rows))
+        shares = [i / cuts for i in range(1, cuts)]
+        return cls(list(df.select(F.percentile_approx(key, shares, 10 * cuts).alias("s")).first()["s"]) if shares else [], n, rows)
+
+    @property
+    def count(self) -> int:
+        """Numbers in all."""
+        return sum(self.parts)
+
+
 def append_columns(df: DataFrame, text_col: str, start: Callable[[], Callable], fields: list[T.StructField], keep: list[str] | None = None) -> DataFrame:
     """``df``'s columns (or ``keep``) plus ``fields``, computed batch by batch from the text column.
 

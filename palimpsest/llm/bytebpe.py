@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 import regex
@@ -19,7 +20,7 @@ import regex
 #: Unicode White_Space, as the pre-tokenizer's \s sees it.
 _S = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNKS = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
-ENDS_WHITE = re.compile(f"[{_S}]$|^$").search
+_WHITE = frozenset(re.compile(f"[{_S}]").findall("".join(map(chr, range(0x3001)))))
 #: Marks that are neither letters, numbers nor an apostrophe, which the pattern treats by itself.
 MARKS = ",.;:!?)]}|%&$#*\""
 #: The pre-tokenizer's pattern (a fixed value of the byte-level format).
@@ -33,6 +34,8 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: Packers of a few ids.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 _LOADED: dict[str, "ChunkEncoder"] = {}
 
 
@@ -49,6 +52,7 @@ class ChunkEncoder:
         self.words: dict[str, bytes] = {}  # ids of a word
         self.white: set[str] = {""}  # parts that a longer run of white space may touch
         self.merge = self.tokenizer.model.tokenize
+        self._space = byte_alphabet()[0x20]
         self._latin = {b: c for b, c in byte_alphabet().items()}
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = added
@@ -63,16 +67,30 @@ class ChunkEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _merged(self, word: str) -> bytes:
-        mapped = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._latin)
-        return np.array([t.id for t in self.merge(mapped)], "<u4").tobytes()
+        return self._ids(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._latin))
+
+    def _ids(self, mapped: str) -> bytes:
+        ids = [t.id for t in self.merge(mapped)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+
+    def _spaced(self, stem: str) -> bytes:
+        """Ids of a space and letters; those of ASCII stand for themselves."""
+        return self._ids(self._space + stem) if stem.isascii() else self._merged(" " + stem)
 
     def _part(self, part: str) -> bytes:
         """Ids of a space and a part; letters with marks behind them are two words of the pattern."""
         stem = part.rstrip(MARKS)
         if not stem.isalpha():
             return self._chunk(" " + part)
-        b = self.known.get(stem) or self._merged(" " + stem)
-        return b if stem is part or stem == part else b + self._chunk(part[len(stem) :])
+        if len(stem) == len(part):
+            return self._spaced(stem)
+        b = self.known.get(stem)
+        if b is None:
+            b = self._spaced(stem)
+            if len(stem) <= self.longest:
+                self.known[stem] = b
+        tail = part[len(stem) :]
+        return b + (self.words.get(tail) or self._chunk(tail))
 
     def _chunk(self, chunk: str) -> bytes:
         words, out = self.words, []
@@ -102,22 +120,25 @@ class ChunkEncoder:
         if len(known) + len(new) > self.limit:  # start over
             known.clear()
             new = set(rest)
-        touched = bool(ENDS_WHITE(first))
+        touched, long = not first or first[-1] in _WHITE, []
         for p in new:
-            if ENDS_WHITE(p):
+            if not p or p[-1] in _WHITE:
                 if len(p) <= self.longest:
                     self.white.add(p)
                 touched = True
             else:
                 known[p] = self._part(p)
+                if len(p) > self.longest:
+                    long.append(p)
         if len(self.white) > self.limit:
             self.white = {""}
         if touched:
+            for p in long:
+                del known[p]
             return b"".join(map(self._chunk, CHUNKS(text)))
         out = self._chunk(first) + b"".join(map(known.__getitem__, rest))
-        for p in new:
-            if len(p) > self.longest:
-                known.pop(p, None)
+        for p in long:
+            del known[p]
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

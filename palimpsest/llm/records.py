@@ -7,8 +7,8 @@ mask rotates a CRC-32 right by 15 bits and adds a constant, so that checksums of
 checksums stay sound. The line feed is what Spark's line writer puts after each row: the files are
 written by its text sink, in any file system that Spark knows and under its commit protocol.
 
-``write_records`` encodes first, so only framed ids are shuffled; it range-partitions them by id, so
-files in order hold ascending ids, and bounds the bytes of a file. ``build_index`` scans the files
+``write_records`` encodes first, so only framed ids are shuffled, once, to parts by ranges of ids; so
+files in order hold ascending ids. It bounds the bytes of a file. ``build_index`` scans the files
 once, verifies each checksum and keeps (file, id, byte offset, length, tokens) as Parquet;
 ``read_records`` reads any subset of records, in any order, through that index: it seeks to each
 record where the file system can be opened from Python, and else reads the files that hold one.
@@ -21,11 +21,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from palimpsest.llm.batches import Buckets
 from palimpsest.llm.bytebpe import ChunkEncoder
-from palimpsest.runtime import Scratch, prepare, scratch_path
+from palimpsest.runtime import prepare, scratch_path
 
 MASK = 0xA282EAD8
 #: Bytes of a file about: one record more at most.
@@ -76,8 +78,12 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """
     spark = docs.sparkSession
     prepare(spark)
-    scratch = Scratch(spark)
-    source = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("tie"), docs[text_col].cast("string").alias("text"))
+    key = F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63)).cast("long"))
+    source = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("tie"), docs[text_col].cast("string").alias("text"), key.alias("key"))
+    total = source.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = max(1, -(-total["bytes"] // (2 * file_bytes)), min(4 * spark.sparkContext.defaultParallelism, total["n"] // 1024))  # ids take about half the bytes of a text
+    buckets = Buckets.of(source.select("key"), "key", max(1, -(-total["n"] // parts)))
+    source = source.select("id", "tie", "text", buckets(F.col("key"), F.col("tie")).alias("part"))
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches):
@@ -87,28 +93,23 @@ def write_records(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
             for a in range(0, len(texts), 128):
                 frames = [frame(i, b + end, id_width) for i, b in zip(ids[a : a + 128], encoder.encode(texts[a : a + 128]))]
                 part = batch.slice(a, len(frames))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(frames, pa.binary()), pa.array(list(map(len, frames)), pa.int64())], names=["id", "tie", "value", "size"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(frames, pa.binary())], names=["id", "tie", "part", "value"])
 
-    framed = source.mapInArrow(encode, "id long, tie long, value binary, size long").withColumn("row", F.monotonically_increasing_id())
-    framed = scratch.stored(framed, "framed")
-    total = framed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
-    parts = max(1, -(-total["bytes"] // file_bytes), min(spark.sparkContext.defaultParallelism, total["n"] // 1024))
+    framed = source.mapInArrow(encode, "id long, tie long, part int, value binary")
 
     def cut(batches):
         """A part beyond the bytes of a file (it holds long records) goes to several."""
         size = 0
         for batch in batches:
             pieces = []
-            for n in batch.column(4).to_pylist():
+            for n in pc.binary_length(batch.column(2)).to_pylist():
                 pieces.append(size // file_bytes)
                 size += n
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(pieces, pa.int64())], names=["id", "tie", "row", "value", "piece"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pieces, pa.int64())], names=["id", "tie", "value", "piece"])
 
-    order = ["id", "tie", "row"]
-    ranged = framed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*order, "value", "size")
-    placed = ranged.mapInArrow(cut, "id long, tie long, row long, value binary, piece long").sortWithinPartitions("piece", *order)
+    dealt = framed.repartitionById(buckets.count, F.col("part")).sortWithinPartitions("id", "tie").select("id", "tie", "value")
+    placed = dealt.mapInArrow(cut, "id long, tie long, value binary, piece long").sortWithinPartitions("piece", "id", "tie")
     placed.select(F.col("value").cast("string").alias("value"), "piece").write.option("compression", "none").partitionBy("piece").text(path)
-    scratch.drop()
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
