@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from palimpsest.runtime import prepare
 
-#: Bytes hashed at a time; bounds the temporary arrays.
-PIECE_BYTES = 1 << 20
+#: Bytes and spans hashed at a time; bounds the temporary arrays.
+PIECE_BYTES, SPANS = 1 << 20, 1 << 17
 #: Bytes of text handled as one group of documents.
 GROUP_BYTES = 4 << 20
 #: Buckets of ordered rows: cuts by quantiles at most, and parts of what lies between two cuts at most.
@@ -105,8 +105,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: in
         return np.empty(0, np.uint64)
     words = np.zeros(len(data) // 8 + 3, np.uint64)
     words.view(np.uint8)[: len(data)] = data
-    key, length = _LANES[lane], ends - starts
-    out = mix(_words_at(words, starts, np.minimum(length, 8)) ^ key)
+    key, length, out = _LANES[lane], ends - starts, np.empty(n, np.uint64)
+    for a in range(0, n, SPANS):  # bounds the temporary arrays
+        part = slice(a, a + SPANS)
+        out[part] = mix(_words_at(words, starts[part], np.minimum(length[part], 8)) ^ key)
     long = np.flatnonzero(length > 8)
     if len(long):
         more = (length[long] - 1) // 8  # words behind the first
@@ -120,7 +122,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: in
             terms = mix(_words_at(words, first, np.minimum(ends[span] - first, 8)) ^ mix(key + place.astype(np.uint64) * _PLACE))
             fresh = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             out[span[fresh]] += np.add.reduceat(terms, fresh)
-    return mix(out + length.astype(np.uint64) * _LENGTH)
+    for a in range(0, n, SPANS):
+        part = slice(a, a + SPANS)
+        out[part] = mix(out[part] + length[part].astype(np.uint64) * _LENGTH)
+    return out
 
 
 def shingle_hashes(words: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,8 +134,11 @@ def shingle_hashes(words: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndar
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, docs.dtype)
     h = np.full(n, np.uint64(k))
-    for j in range(k):
-        h = mix(h * np.uint64(_BASE) + words[j : j + n])
+    for a in range(0, n, SPANS):  # bounds the temporary arrays
+        part = h[a : a + SPANS]
+        for j in range(k):
+            part = mix(part * np.uint64(_BASE) + words[a + j : a + j + len(part)])
+        h[a : a + SPANS] = part
     whole = docs[:n] == docs[k - 1 :]
     return h[whole], docs[:n][whole]
 
