@@ -2,9 +2,10 @@
 
 Words are counted over the whole training corpus. The whole vocabulary is factored into classes
 within classes of ``WAYS`` each: the frequent words by equal shares of their mass, so a word of
-share p lies about log16(1/p) classes deep; all rarer words behind one class, by the digits of their
-hash, as deep as their number asks for. Each choice of a class is a softmax over hashed n-gram and
-skip features (the word before, the one before that, the last very frequent word, the pair before),
+share p lies about log16(1/p) classes deep; all rarer words (and those met fewer than ``LEAST`` times,
+which tell how the unknown come) behind one class, by the digits of their hash, as deep as their
+number asks for. Each choice of a class is a softmax over hashed n-gram and
+skip features (the word before, the pair before, the last very frequent word within a reach),
 started at the counts' shares. At the end of the digits a rare word has its add-one share, as does
 one unknown word, so the model is a distribution. The hashed tables grow with the corpus. Each task
 runs AdaGrad over the documents it reads from the common start; each table row is averaged over the
@@ -29,15 +30,17 @@ from palimpsest.runtime import prepare, stored
 WAYS = 16
 #: Frequent words whose counts are sent to every task.
 KNOWN = 1 << 17
+#: Occurrences of a word with classes of its own, at least.
+LEAST = 4
 #: Words that contexts tell apart (others: 256 groups), and very frequent ones that a skip may look back to.
 CONTEXT, ANCHORS = 4096, 128
-#: Tokens that a skip looks back at most, and tokens handled at a time.
+#: Tokens that a skip looks back at most, and tokens whose choices are laid out at a time.
 LOOK, PIECE = 32, 1 << 15
 #: Bits of a feature's table: least, most.
-BITS = 10, 18
+BITS = 10, 17
 #: The end token's stand-in among word hashes.
 END = np.uint64(0x5EED0FE11D)
-FEATURES, MINIBATCH, RATE = 4, 4096, 0.2
+FEATURES, FIRST_BATCH, MINIBATCH, RATE = 3, 512, 1 << 14, 0.2
 #: Blocks of the parameters, and tasks whose updates are added at a time.
 BLOCKS, FAN = 32, 64
 #: Levels of hash digits of rare words at most.
@@ -167,10 +170,11 @@ def factored(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """``words``: frequent hashes, most frequent first; ``counts``: theirs; ``rare``: the mass (counts, one each, and one for the unknown) of rare words by hash digits."""
+    """``words``: frequent hashes, most frequent first; ``counts``: theirs; the first ``own`` have classes of their own. ``rare``: the mass (counts, one each, and one for the unknown) of all others by hash digits."""
 
     words: np.ndarray
     counts: np.ndarray
+    own: int
     total: int
     distinct: int
     rare: np.ndarray
@@ -178,14 +182,14 @@ class Model:
     tables: list[np.ndarray] = made(default_factory=list)
 
     @classmethod
-    def start(cls, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, rare: np.ndarray, bits: int) -> "Model":
-        return cls(words, counts, total, distinct, rare, bits, [np.zeros((1 << bits, WAYS), np.float32) for _ in range(FEATURES)])
+    def start(cls, words: np.ndarray, counts: np.ndarray, own: int, total: int, distinct: int, rare: np.ndarray, bits: int) -> "Model":
+        return cls(words, counts, own, total, distinct, rare, bits, [np.zeros((1 << bits, WAYS), np.float32) for _ in range(FEATURES)])
 
     def ready(self) -> "Model":
         self.lookup = Lookup(self.words)
         self.levels = int(round(np.log(len(self.rare)) / np.log(WAYS)))
         # rare words are the last of the frequent ones' classes, as one word
-        self.nodes, self.digits, self.bias = factored(np.append(self.counts + 1.0, self.rare.sum()))
+        self.nodes, self.digits, self.bias = factored(np.append(self.counts[: self.own] + 1.0, self.rare.sum()))
         self.depth = (self.nodes >= 0).sum(axis=1)
         base, mass = [len(self.bias)], self.rare
         tables = []
@@ -202,14 +206,14 @@ class Model:
     def choices(self, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
         """Ranks (-1: rare), and of each choice of a class: its token, node, digit and hashed features (one column a feature)."""
         rank = self.lookup(hashes)
-        word = np.where(rank >= 0, rank, len(self.words))
-        depth = self.depth[word] + np.where(rank < 0, self.levels, 0)
+        word = np.where((rank >= 0) & (rank < self.own), rank, self.own)
+        depth = self.depth[word] + np.where(word == self.own, self.levels, 0)
         token = np.repeat(np.arange(len(hashes)), depth)
         level = np.arange(len(token)) - np.repeat(np.cumsum(depth) - depth, depth)
-        own = word[token]
-        inner = level - self.depth[own]  # of hash digits
+        word = word[token]
+        inner = level - self.depth[word]  # of hash digits
         at = np.minimum(level, self.nodes.shape[1] - 1)
-        node, digit = self.nodes[own, at], self.digits[own, at].astype(np.int64)
+        node, digit = self.nodes[word, at], self.digits[word, at].astype(np.int64)
         for l in range(self.levels):
             deep = np.flatnonzero(inner == l)
             head = (hashes[token[deep]] >> np.uint64(64 - 4 * (l + 1))).astype(np.int64)
@@ -229,7 +233,7 @@ class Model:
         here = mix(node.astype(np.uint64) + np.uint64(0x51))
         shift = np.uint64(64 - self.bits)
         kind = np.uint16 if self.bits <= 16 else np.uint32
-        cells = [(mix((v * np.uint64(8) + np.uint64(f))[token] ^ here) >> shift).astype(kind) for f, v in enumerate((*back, anchor, pair))]
+        cells = [(mix((v * np.uint64(8) + np.uint64(f))[token] ^ here) >> shift).astype(kind) for f, v in enumerate((back[0], anchor, pair))]
         return rank, token, node, digit, np.stack(cells, axis=1)
 
     def forward(self, node: np.ndarray, digit: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +253,7 @@ class Model:
         for a in range(0, len(hashes), PIECE):
             lo, hi = max(0, a - LOOK), min(a + PIECE, len(hashes))
             rank, token, node, digit, cells = self.choices(hashes[lo:hi], rows[lo:hi])
-            value = np.concatenate([self.forward(node[b : b + 4 * MINIBATCH], digit[b : b + 4 * MINIBATCH], cells[b : b + 4 * MINIBATCH])[0] for b in range(0, len(node), 4 * MINIBATCH)])
+            value = np.concatenate([self.forward(node[b : b + MINIBATCH], digit[b : b + MINIBATCH], cells[b : b + MINIBATCH])[0] for b in range(0, len(node), MINIBATCH)])
             ranks[a:hi], values[a:hi] = rank[a - lo :], np.bincount(token, value, hi - lo)[a - lo :]
         return ranks, values
 
@@ -311,17 +315,20 @@ def train(docs: DataFrame, model: Model, text_col: str) -> Model:
 
     def run(batches):
         base = sent.value
-        own = Model.start(base.words, base.counts, base.total, base.distinct, base.rare, base.bits).ready()
+        own = Model.start(base.words, base.counts, base.own, base.total, base.distinct, base.rare, base.bits).ready()
         own.tables = [t.copy() for t in base.tables]
         squares, moved = [np.full(size, 1.0, np.float32) for _ in range(FEATURES)], [np.zeros(size, np.int64) for _ in range(FEATURES)]
+        seen = 0
         for batch in batches:
             for *_, hashes, rows, _ in tokens(batch.column(0)):
                 for a in range(0, len(hashes), PIECE):
                     _, token, node, digit, cells = own.choices(hashes[a : a + PIECE], rows[a : a + PIECE])
-                    cuts = np.searchsorted(token, np.arange(0, PIECE + MINIBATCH, MINIBATCH))
-                    for b, c in zip(cuts, cuts[1:]):
-                        if c > b:
-                            own.learn(node[b:c], digit[b:c], cells[b:c], squares, moved)
+                    at, here = 0, len(hashes[a : a + PIECE])
+                    while at < here:
+                        n = min(MINIBATCH, FIRST_BATCH + seen // 8)  # short steps first, or few texts would make few
+                        b, c = np.searchsorted(token, [at, at + n])
+                        own.learn(node[b:c], digit[b:c], cells[b:c], squares, moved)
+                        at, seen = at + n, seen + n
         if any(m.any() for m in moved):
             weight = np.concatenate(moved).astype(np.float32).reshape(BLOCKS, step)
             change = np.concatenate([t - z for t, z in zip(own.tables, base.tables)]).astype(np.float16).reshape(BLOCKS, -1)
@@ -351,7 +358,7 @@ def train(docs: DataFrame, model: Model, text_col: str) -> Model:
     if not rows:
         return model
     moved = np.concatenate([np.frombuffer(r["moved"], np.float16) for r in rows]).astype(np.float32).reshape(FEATURES, size, WAYS)
-    return Model(model.words, model.counts, model.total, model.distinct, model.rare, model.bits, [t + m for t, m in zip(model.tables, moved)])
+    return Model(model.words, model.counts, model.own, model.total, model.distinct, model.rare, model.bits, [t + m for t, m in zip(model.tables, moved)])
 
 
 def fit(docs: DataFrame, text_col: str = "text", known: int = KNOWN) -> tuple[Model, DataFrame]:
@@ -364,19 +371,21 @@ def fit(docs: DataFrame, text_col: str = "text", known: int = KNOWN) -> tuple[Mo
     words, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(-n, kind="stable")
     words, n = words[order], n[order]
-    # the mass of rare words by hash digits: all words' less the frequent ones'
-    levels = int(np.clip(np.ceil(np.log(max(1, int(total["v"]) - len(words)) / 256) / np.log(WAYS)), 0, DIGITS))
+    # words met a few times are like those never met: they share digits with the unknown one
+    own = int((n >= LEAST).sum())
+    # the mass of rare words by hash digits: all words' less those of their own classes
+    levels = int(np.clip(np.ceil(np.log(max(1, int(total["v"]) - own) / 256) / np.log(WAYS)), 0, DIGITS))
     rare = np.ones(WAYS**levels)
     lead = np.uint64(64 - 4 * levels)
     if levels:
         head = F.shiftrightunsigned("word", int(lead))
         for r in counts.groupBy(head.alias("head")).agg(F.sum(F.col("n") + 1).alias("m")).collect():  # 16 ** DIGITS rows at most
             rare[r["head"]] += r["m"]
-        np.subtract.at(rare, (words >> lead).astype(np.int64), n + 1)
+        np.subtract.at(rare, (words[:own] >> lead).astype(np.int64), n[:own] + 1)
     else:
-        rare[0] += int(total["n"]) + int(total["v"]) - int((n + 1).sum())
+        rare[0] += int(total["n"]) + int(total["v"]) - int((n[:own] + 1).sum())
     bits = int(np.clip(np.ceil(np.log2(max(2, int(total["n"]))) / 2) + 1, *BITS))
-    return train(docs, Model.start(words, n, int(total["n"]), int(total["v"]), rare, bits), text_col), counts
+    return train(docs, Model.start(words, n, own, int(total["n"]), int(total["v"]), rare, bits), text_col), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -410,8 +419,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, held_out: Column, id
                     value /= np.log(10)
                     frequent = rank >= 0
                     logs = np.where(frequent, log_counts[np.maximum(rank, 0)] if len(log_counts) else 0.0, 0.0)
+                    few = np.flatnonzero(~frequent | (rank >= own.own))
+                    value[few] += logs[few] - log_rare[(h[few] >> np.uint64(64 - 4 * own.levels)).astype(np.int64) if own.levels else 0]
                     odd = np.flatnonzero(~frequent)
-                    value[odd] -= log_rare[(h[odd] >> np.uint64(64 - 4 * own.levels)).astype(np.int64) if own.levels else 0]
                     m = min(n, a + 64) - a
                     out = slice(first + a, first + a + m)
                     n_tokens[out] = np.bincount(r - a, minlength=m)

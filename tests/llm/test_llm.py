@@ -114,30 +114,30 @@ def test_lm(spark, docs, empty):
     assert {r["n_known"] for r in lm.score(docs, none, counts, F.lit(True)).collect()} == {0}
 
 
-@pytest.mark.parametrize("known,levels", [(300, 0), (300, 1), (7, 2), (1, 1)])
-def test_lm_is_a_distribution(known, levels):
+@pytest.mark.parametrize("known,own,levels", [(300, 300, 0), (300, 300, 1), (300, 40, 1), (7, 7, 2), (330, 0, 1), (1, 1, 1)])
+def test_lm_is_a_distribution(known, own, levels):
     """Over all words and one unknown at the end of each row of hash digits, whatever the weights."""
     rng = np.random.default_rng(known + levels)
     words = rng.integers(0, 1 << 63, 330).astype(np.uint64) * np.uint64(2)
     counts = np.sort(rng.integers(1, 50, 330))[::-1]
     rare = np.ones(lm.WAYS**levels)
     head = lambda w: (w >> np.uint64(64 - 4 * levels)).astype(int) if levels else np.zeros(len(w), int)
-    np.add.at(rare, head(words[known:]), counts[known:] + 1)
-    model = lm.Model.start(words[:known], counts[:known], int(counts.sum()), 330, rare, 10)
+    np.add.at(rare, head(words[own:]), counts[own:] + 1)
+    model = lm.Model.start(words[:known], counts[:known], own, int(counts.sum()), 330, rare, 10)
     model.tables = [rng.normal(size=t.shape).astype(np.float32) / 3 for t in model.tables]
     model.ready()
     unknown = (np.arange(len(rare)).astype(np.uint64) << np.uint64(64 - 4 * levels) if levels else np.zeros(1, np.uint64)) + np.uint64(1)
     total = 0.0
     for w, c in zip([*words, *unknown], [*counts, *[0] * len(unknown)]):
         rank, value = model.log_probabilities(np.array([words[3], words[9], w]), np.zeros(3, int))
-        total += np.exp(value[2]) * (1 if rank[2] >= 0 else (c + 1) / rare[head(np.array([w]))[0]])
+        total += np.exp(value[2]) * (1 if 0 <= rank[2] < own else (c + 1) / rare[head(np.array([w]))[0]])
     assert total == pytest.approx(1, abs=1e-4)
 
 
 def test_lm_scores_long_texts_piece_by_piece(monkeypatch):
     rng = np.random.default_rng(2)
     words = rng.integers(0, 1 << 63, 200).astype(np.uint64)
-    model = lm.Model.start(words, np.arange(200, 0, -1), 20100, 200, np.ones(16), 10)
+    model = lm.Model.start(words, np.arange(200, 0, -1), 150, 20100, 200, np.ones(16), 10)
     model.tables = [rng.normal(size=t.shape).astype(np.float32) for t in model.tables]
     model.ready()
     hashes, rows = np.append(words, 5 + words[:40])[rng.zipf(1.4, 5000) % 240], np.repeat([0, 1, 2], [10, 4900, 90])
@@ -149,7 +149,7 @@ def test_lm_scores_long_texts_piece_by_piece(monkeypatch):
 def test_lm_learns_by_the_gradient():
     """One step moves the tables against the derivative of the loss, row by row."""
     rng = np.random.default_rng(3)
-    model = lm.Model.start(rng.integers(0, 1 << 63, 50).astype(np.uint64), np.arange(50, 0, -1), 1275, 50, np.ones(1), 10).ready()
+    model = lm.Model.start(rng.integers(0, 1 << 63, 50).astype(np.uint64), np.arange(50, 0, -1), 50, 1275, 50, np.ones(1), 10).ready()
     _, token, node, digit, cells = model.choices(model.words[rng.integers(0, 50, 30)], np.zeros(30, int))
     loss = lambda: -model.forward(node, digit, cells)[0].astype(float).sum()
     before = [t.copy() for t in model.tables]
