@@ -59,9 +59,12 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
+    def path(self, label: str) -> str:
+        self.paths.append(scratch_path(self.spark, label))
+        return self.paths[-1]
+
     def stored(self, df: DataFrame, label: str) -> DataFrame:
-        path = scratch_path(self.spark, label)
-        self.paths.append(path)
+        path = self.path(label)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
