@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from palimpsest.llm import chat, langid, lm, neardup, packing, pii, piece, quality, records, spots
+from palimpsest.llm import chat, langid, lexical, lm, neardup, packing, pii, piece, quality, records, resample, slots, spots
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -74,7 +74,19 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.harmonic_pack(_docs(spark, sf_dir), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op2_spot_signatures, op3_chat_format, op4_sentencepiece, op5_personal_data, op6_near_duplicates, op7_quality_rules, op8_token_records, op9_language_id, op10_harmonic_packing)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slots.shard(_docs(spark, sf_dir))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_spot_signatures, op3_chat_format, op4_sentencepiece, op5_personal_data, op6_near_duplicates, op7_quality_rules, op8_token_records, op9_language_id, op10_harmonic_packing, op11_ranked_search, op12_slot_sharding, op13_importance_resampling)}
 #: DuckDB SQL of the formatting query: turns and loss text as the contract words them, lengths by the template's escaping, layouts by the rule of ``records_of_turns``.
 _LISTED, _PAIRED = ("[" + ", ".join(f"'{x}'" for x in names) + "]" for names in (chat.LIST_LAYOUTS, chat.PAIR_LAYOUTS))
 _CHAT_SQL = rf"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -96,5 +108,43 @@ l AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.shingle = b.shingle A
 r AS (SELECT DISTINCT rep AS node, rep AS far FROM c UNION SELECT r.node, l.b FROM r JOIN l ON r.far = l.a),
 m AS (SELECT node AS rep, min(far) AS component_id FROM r GROUP BY node)
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM c JOIN m USING (rep)"""
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: DuckDB SQL of the search query: every posting scored, then ranked.
+_SEARCH_SQL = f"""WITH p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY ALL),
+d AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY doc_id), a AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, a GROUP BY term, docs),
+s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms)))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN d USING (doc_id), a GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0) SELECT * FROM r WHERE rank <= 10"""
+#: CRC-32 in SQL, from the list of a value's bytes.
+_CRC_SQL = """bits AS (SELECT i, i AS c, 0 AS step FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, step + 1 FROM bits WHERE step < 8),
+crc_table AS (SELECT list(CAST(c AS BIGINT) ORDER BY i) AS t FROM bits WHERE step = 8),
+hexes AS (SELECT list(lpad(upper(to_hex(i)), 2, '0') ORDER BY i) AS h FROM range(256) r(i))"""
+_crc_sql = lambda bytes_: f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform({bytes_}, lambda b: CAST(b AS BIGINT))), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), CAST(4294967295 AS BIGINT))"
+_bytes_sql = lambda text: f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS INTEGER))"
+#: DuckDB SQL of the resampling query.
+_RESAMPLE_SQL = f"""WITH RECURSIVE {_CRC_SQL}, d AS (SELECT doc_id, unnest({_WORDS}) AS word FROM documents), b AS (SELECT unnest({_WORDS}) AS word FROM benchmark),
+k AS (SELECT word, CAST({_crc_sql(_bytes_sql('word'))} % 10000 AS BIGINT) AS bucket FROM (SELECT DISTINCT word FROM (SELECT word FROM d UNION ALL SELECT word FROM b)), crc_table),
+s AS (SELECT bucket, count(*) AS s FROM d JOIN k USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM b JOIN k USING (word) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM d) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+f AS (SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM d JOIN k USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+w AS (SELECT doc_id, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END AS weight FROM documents LEFT JOIN f USING (doc_id)),
+x AS (SELECT *, CAST(weight + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS able FROM x)
+SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, score, CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank FROM r"""
+#: DuckDB SQL of the sharding query: slots dealt out in turn, then one edit of the map, slot by slot, for maps without a heavy slot.
+_SHARD_SQL = f"""WITH RECURSIVE {_CRC_SQL}, d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE {_crc_sql(_bytes_sql('text'))} END AS BIGINT) AS text_crc32 FROM documents, crc_table),
+v AS MATERIALIZED (SELECT *, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32), 1, 4) AS INTEGER) % {slots.SLOTS} AS INTEGER) AS virtual_slot FROM d),
+sums AS (SELECT i AS slot, coalesce(sum(size), 0) AS bytes, i % {slots.SHARDS} AS shard FROM range({slots.SLOTS}) r(i) LEFT JOIN v ON i = virtual_slot GROUP BY i),
+run AS (SELECT *, sum(bytes) OVER (PARTITION BY shard ORDER BY bytes DESC, slot) * {slots.SHARDS} <= sum(bytes) OVER () AS within FROM sums),
+cut AS (SELECT *, NOT bool_and(within) OVER (PARTITION BY shard ORDER BY bytes DESC, slot) AS free FROM run),
+moved AS MATERIALIZED (SELECT slot, bytes, row_number() OVER (ORDER BY bytes DESC, slot) AS i FROM cut WHERE free),
+loads AS (SELECT list(b ORDER BY shard) AS l FROM (SELECT shard, CAST(coalesce(sum(bytes) FILTER (NOT free), 0) AS BIGINT) AS b FROM cut GROUP BY shard)),
+lpt AS (SELECT CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS slot, CAST(-1 AS BIGINT) AS shard, l FROM loads
+  UNION ALL SELECT m.i, m.slot, CAST(list_position(l, list_min(l)) - 1 AS BIGINT), list_transform(l, lambda x, j: CASE WHEN j = list_position(l, list_min(l)) THEN CAST(x + m.bytes AS BIGINT) ELSE x END) FROM lpt JOIN moved m ON m.i = lpt.i + 1),
+map AS (SELECT slot, shard FROM cut WHERE NOT free UNION ALL SELECT slot, shard FROM lpt WHERE i > 0)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY virtual_slot, doc_id NULLS LAST, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard, virtual_slot, CAST(1 AS INTEGER) AS map_version
+FROM v JOIN map ON virtual_slot = map.slot"""
 #: Trained models, hash functions and tokenizers of the other queries are beyond SQL; tests hold those against brute force and the libraries.
-ORACLES: dict[str, str] = {"op3_chat_format": _CHAT_SQL, "op6_near_duplicates": _NEAR_SQL}
+ORACLES: dict[str, str] = {"op3_chat_format": _CHAT_SQL, "op6_near_duplicates": _NEAR_SQL, "op11_ranked_search": _SEARCH_SQL, "op12_slot_sharding": _SHARD_SQL, "op13_importance_resampling": _RESAMPLE_SQL}
