@@ -122,7 +122,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(jobs.log_checksum(spark, a.path))
         else:
             h = imagefile.header_of(spark, a.path)
-            print(replay.checksum(image.to_pieces(imagefile.read_image(spark, a.path), h.cluster), h.virtual_size))
+            print(replay.checksum(image.to_pieces(imagefile.read_image(spark, a.path), h.cluster).withColumnRenamed("offset", "start").repartition(1).sortWithinPartitions("start"), 1, h.virtual_size))
     elif a.command == "convert":
         print(imagefile.write_image(a.out, imagefile.flat_clusters(a.source, 1 << image.CLUSTER_BITS), os.path.getsize(a.source)))
     else:

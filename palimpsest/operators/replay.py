@@ -57,20 +57,31 @@ def write_flat(pieces_: DataFrame, path: str, size: int, incremental: bool = Fal
     return pieces_.select("offset", "length", "data").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
 
 
-def checksum(pieces_: DataFrame, size: int) -> str:
-    """SHA-256 of the virtual content: pieces stream in order, gaps are zeros. The hash is sequential by nature."""
-    h, at, zeros = hashlib.sha256(), 0, bytes(1 << 20)
-
-    def fill(n: int) -> None:
-        while n > 0:
-            h.update(zeros[: min(n, len(zeros))])
-            n -= len(zeros)
-
-    for row in pieces_.orderBy("offset").toLocalIterator(prefetchPartitions=True):
-        fill(row["offset"] - at)
-        h.update(row["data"] if row["data"] is not None else b"")
-        if row["data"] is None:
-            fill(row["length"])
-        at = row["offset"] + row["length"]
-    fill(size - at)
-    return h.hexdigest()
+def checksum(ranges: DataFrame, block_size: int, size: int) -> str:
+    """SHA-256 of the virtual content, from ranges (``start, length, data``; null data: zeros) in one partition and in order; gaps are zeros.
+
+    The hash is sequential by nature: one task streams through the rows, and only the digest comes to the driver.
+    """
+
+    def run(batches):
+        h, at, zeros = hashlib.sha256(), 0, bytes(1 << 20)
+
+        def fill(n: int) -> None:
+            while n > 0:
+                h.update(zeros[: min(n, len(zeros))])
+                n -= len(zeros)
+
+        for batch in batches:
+            for start, length, data in zip(*(c.to_pylist() for c in batch.columns)):
+                fill(start * block_size - at)
+                h.update(data or b"")
+                fill(length - len(data or b""))
+                at = start * block_size + length
+        fill(size - at)
+        yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()])], names=["sha256"])
+
+    prepare(ranges.sparkSession)
+    rows = ranges.select("start", "length", "data").mapInArrow(run, "sha256 string").collect()
+    if len(rows) > 1:
+        raise ValueError("ranges must be in one partition")
+    return rows[0]["sha256"]

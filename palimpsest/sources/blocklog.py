@@ -10,7 +10,6 @@ from __future__ import annotations
 import zlib
 
 import pyarrow as pa
-from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from palimpsest.functions.checks import lz4_pack, lz4_unpack
@@ -153,59 +152,6 @@ def unaligned(entries: DataFrame) -> DataFrame:
     return entries.where(F.col("length") % F.col("block_size") != 0)
 
 
-def write_segment(spark: SparkSession, rows: DataFrame, folder: str, label: str, block_size: int, device_size: int, backing_path: str = "") -> int:
-    """Write one segment from rows of ``op, timestamp_ns, sequence, block, length, data, checksum`` by sequence; published by a rename.
-
-    A segment is bounded by the log's segment limit, so one writer streams it. Goes through the
-    Hadoop file system, so any store works.
-    """
-    fs, target, temporary = _paths(spark, folder, label)
-    out = fs.create(temporary, True)
-    n = 0
-    try:
-        out.write(bytearray(encode_header(label, block_size, device_size, backing_path)))
-        for r in rows.orderBy("sequence").toLocalIterator(prefetchPartitions=True):
-            data = bytes(r["data"]) if r["data"] is not None else None
-            out.write(bytearray(encode_entry(r["op"], r["timestamp_ns"], r["sequence"], r["block"], r["length"], data, r["checksum"])))
-            n += 1
-    except Exception:
-        out.close()
-        fs.delete(temporary, False)
-        raise
-    out.close()
-    if not fs.rename(temporary, target):
-        raise OSError(f"cannot publish {target}")
-    return n
-
-
-def write_segments(spark: SparkSession, rows: DataFrame, folder: str, labels: list[str], block_size: int, device_size: int, backing_path: str = "") -> DataFrame:
-    """Deal rows of ``op, timestamp_ns, block, blocks, length, data, checksum`` that touch no block twice over one segment a label.
-
-    Segments are written by tasks side by side, each published by a rename, so the folder must be one
-    that they can open (``pyarrow.fs``). Returns where each row went: ``segment, entry_index, op, start, blocks``.
-    """
-    prepare(spark)
-    names = labels
-
-    def write(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        table = table.sort_by([("block", "ascending")])
-        system, root = pa_fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-        target = f"{root.rstrip('/')}/disk.{names[part]}.log"
-        with system.open_output_stream(f"{target}.{part}.tmp") as out:
-            out.write(encode_header(names[part], block_size, device_size, backing_path))
-            for i, r in enumerate(table.select(["op", "timestamp_ns", "block", "length", "data", "checksum"]).to_batches(max_chunksize=64)):
-                for j, e in enumerate(r.to_pylist()):
-                    out.write(encode_entry(e["op"], e["timestamp_ns"], i * 64 + j, e["block"], e["length"], e["data"], e["checksum"]))
-        system.move(f"{target}.{part}.tmp", target)
-        n = table.num_rows
-        return pa.table({"segment": pa.array([names[part]] * n), "entry_index": pa.array(range(n), pa.int64()), "op": table.column("op"), "start": table.column("block"), "blocks": table.column("blocks")})
-
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(len(labels))).cast("int"))
-    # entries are numbered by position: batches of 64 in block order
-    return dealt.select("part", "op", "timestamp_ns", "block", "blocks", "length", "data", "checksum").groupBy("part").applyInArrow(write, "segment string, entry_index long, op string, start long, blocks long")
-
-
 def _paths(spark: SparkSession, folder: str, label: str):
     path = spark._jvm.org.apache.hadoop.fs.Path
     target, temporary = path(folder, f"disk.{label}.log"), path(folder, f"disk.{label}.log.tmp")

@@ -11,13 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from palimpsest.functions.labels import label_from_path
-from palimpsest.operators import image
-from palimpsest.operators.compact import slice_payload
+from palimpsest.operators import image, jobs
 from palimpsest.operators.intervals import lookup
 from palimpsest.operators.jobs import upload
-from palimpsest.operators.overlay import apply, write_extents
+from palimpsest.operators.overlay import apply
 from palimpsest.runtime import prepare, stored
-from palimpsest.sources import blocklog, state
+from palimpsest.sources import blocklog, payload, state
 from palimpsest.sources.cbor import dumps, loads
 
 #: Keys of control messages and events.
@@ -114,28 +113,34 @@ def resolve_misses(misses: DataFrame, extents: DataFrame, cluster_blocks: int) -
     return misses.join(found.drop("q_lo", "q_hi"), "cluster_index", "left")
 
 
-def filled_clusters(misses: DataFrame, entries: DataFrame, base: DataFrame, cluster_blocks: int, block_size: int) -> DataFrame:
-    """``cluster, data`` of the missed clusters that the log has blocks of: the base's cluster (or zeros) with those blocks in place."""
+def filled_clusters(spark: SparkSession, misses: DataFrame, folder: str, base: DataFrame, cluster_blocks: int) -> DataFrame:
+    """``cluster, data`` of the missed clusters that the log has blocks of: the base's cluster (or zeros) with those blocks in place.
+
+    Only the live map's zones of these clusters are looked at, and only the payloads that fill them are read.
+    """
+    block_size = jobs.header_of(spark, folder)["block_size"]
+    live = jobs.stored_map(spark, folder)
     asked = misses.select("cluster_index").distinct().select(F.col("cluster_index").alias("cluster"), (F.col("cluster_index") * cluster_blocks).alias("q_lo"), ((F.col("cluster_index") + 1) * cluster_blocks).alias("q_hi"))
-    met = lookup(write_extents(entries), asked, width=cluster_blocks)
-    part = slice_payload(F.col("data"), F.col("start"), F.col("ref_block"), F.col("blocks"), block_size)
-    pieces = met.select((F.col("start") * block_size).alias("offset"), (F.col("blocks") * block_size).alias("length"), part.alias("data"))
-    under = base.join(met.select("cluster").distinct(), "cluster", "left_semi").select("cluster", "data")
-    return image.from_pieces(pieces, under, cluster_blocks * block_size)
+    zone = lambda c: F.floor(c / live.zone_blocks).cast("long")
+    zones = [r["z"] for r in asked.select(F.explode(F.sequence(zone(F.col("q_lo")), zone(F.col("q_hi") - 1))).alias("z")).distinct().collect()]  # of a batch of misses
+    met = lookup(live.at(zones).where("op = 'W'"), asked, width=cluster_blocks).select("cluster", "version", "segment", "op", "start", "blocks")
+    near = payload.located(met, folder).repartition("segment").sortWithinPartitions("segment", "entry_index", "start")
+    pieces = stored(payload.fetch(near, folder).select("cluster", (F.col("start") * block_size).alias("offset"), "length", "data"), "pieces")
+    under = base.join(pieces.select("cluster").distinct(), "cluster", "left_semi").select("cluster", "data")
+    return image.from_pieces(pieces.drop("cluster"), under, cluster_blocks * block_size)
 
 
 def fill_misses(spark: SparkSession, misses: DataFrame, folder: str, base_path: str, cluster_blocks: int = 16) -> DataFrame:
     """Fill the base (a saved table of ``cluster, data``) from the log for missed clusters; ``dev_index, cluster_index, answer`` for each miss.
 
     The base is published before the answers, so a retry finds its data. A cluster that the log knows
-    nothing of is answered with ``continue``: it reads zeros.
+    nothing of is answered with ``continue``: it reads zeros. New segments are folded into the stored live map first.
     """
-    log = blocklog.versioned(blocklog.read_log(spark, folder))
-    header = blocklog.read_headers(spark, folder).orderBy("segment").first()
+    jobs.catch_up(spark, folder, blocklog.list_segments(spark, folder))
     empty = spark.createDataFrame([], "cluster long, data binary")
     saved = state.load(spark, base_path)
     base = empty if saved is None else saved
-    made = stored(filled_clusters(misses, log, base, cluster_blocks, header["block_size"]), "filled")
+    made = stored(filled_clusters(spark, misses, folder, base, cluster_blocks), "filled")
     state.save(base.join(made.select("cluster"), "cluster", "left_anti").select("cluster", "data").unionByName(made), base_path)
     found = made.select(F.col("cluster").alias("cluster_index"), F.lit("retry").alias("answer"))
     return misses.join(found, "cluster_index", "left").select("dev_index", "cluster_index", F.coalesce("answer", F.lit("continue")).alias("answer"))
