@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from palimpsest.operators.intervals import lookup
 from palimpsest.operators.overlay import live_extents, newest_runs, owners
@@ -21,10 +21,10 @@ def _rewritten(live: DataFrame, block_size: int) -> DataFrame:
     return rows
 
 
-def repack(entries: DataFrame, block_size: int, plan: str = "buckets") -> DataFrame:
+def repack(entries: DataFrame, block_size: int, plan: str = "auto") -> DataFrame:
     """Live ranges of all entries, trims and timestamps kept, payloads cut and checksums recomputed.
 
-    Rows keep ``version`` and ``start`` as their order; ``numbered`` gives sequences where a file is written.
+    Rows keep ``version`` and ``start`` as their order.
     """
     return _rewritten(live_extents(entries, plan), block_size)
 
@@ -35,8 +35,8 @@ def retire(entries: DataFrame, state: DataFrame, segments: list | DataFrame, blo
         segments = entries.sparkSession.createDataFrame([(x,) for x in segments], entries.select("segment").schema)
     chosen = entries.join(segments, "segment", "left_semi")
     own = live_extents_per_segment(chosen)
-    held = state.join(segments, "segment", "left_semi").select(F.col("segment").alias("q_segment"), F.col("start").alias("q_lo"), (F.col("start") + F.col("blocks")).alias("q_hi"))
-    live = lookup(own, held).where("segment = q_segment").drop("q_segment", "q_lo", "q_hi")
+    held = state.join(segments, "segment", "left_semi").select("segment", F.col("start").alias("q_lo"), (F.col("start") + F.col("blocks")).alias("q_hi"))
+    live = lookup(own, held, keys=["segment"]).drop("q_lo", "q_hi")
     rows = _rewritten(live, block_size)
     return rows if timestamp_ns is None else rows.withColumn("timestamp_ns", F.lit(timestamp_ns))
 
@@ -46,11 +46,6 @@ def live_extents_per_segment(entries: DataFrame) -> DataFrame:
     return newest_runs(entries, ["segment"]).drop("segment").join(owners(entries), "version")
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """``sequence`` from 0 in log order; for one segment's file, whose size is bounded by the segment limit."""
-    return rows.withColumn("sequence", (F.row_number().over(Window.orderBy("version", "start")) - 1).cast("long"))
-
-
 def next_label(label: str) -> str:
     """The label one nanosecond after ``label``."""
     from palimpsest.functions.labels import label_of, split_label

@@ -76,8 +76,8 @@ def covers(intervals: DataFrame, queries: DataFrame, width: int = BUCKET, span:
     return hits.groupBy(*queries.columns).agg(F.coalesce(F.max("__in"), F.lit(False)).alias("covered"))
 
 
-def lookup(extents: DataFrame, queries: DataFrame, width: int = BUCKET) -> DataFrame:
-    """Each query (``q_lo, q_hi``) with the parts of extents (``start, blocks``) inside it, clipped.
+def lookup(extents: DataFrame, queries: DataFrame, width: int = BUCKET, keys: list[str] = []) -> DataFrame:
+    """Each query (``q_lo, q_hi``) with the parts of extents (``start, blocks``) inside it, clipped; of the same ``keys``, where given.
 
     An overlap is reported from the bucket where it starts, so a pair that shares several buckets
     gives one row.
@@ -86,6 +86,6 @@ def lookup(extents: DataFrame, queries: DataFrame, width: int = BUCKET) -> DataF
     ext = extents.withColumn("bucket", buckets(F.col("start"), F.col("start") + F.col("blocks")))
     ask = queries.where("q_lo < q_hi").withColumn("bucket", buckets(F.col("q_lo"), F.col("q_hi")))
     lo, hi = F.greatest("start", "q_lo"), F.least(F.col("start") + F.col("blocks"), F.col("q_hi"))
-    met = ext.join(ask, "bucket").where((lo < hi) & (F.floor(lo / width) == F.col("bucket")))
-    rest = [c for c in extents.columns if c not in ("start", "blocks")]
+    met = ext.join(ask, [*keys, "bucket"]).where((lo < hi) & (F.floor(lo / width) == F.col("bucket")))
+    rest = [c for c in extents.columns if c not in ("start", "blocks", *queries.columns)]
     return met.select(*queries.columns, *rest, lo.alias("start"), (hi - lo).alias("blocks"))

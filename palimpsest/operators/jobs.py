@@ -153,8 +153,7 @@ def replay_flat(spark: SparkSession, folder: str, out: str, incremental: bool =
     header = header_of(spark, folder, include_tmp)
     index = payload.index(spark, folder, after=mark, include_tmp=include_tmp, mode="PERMISSIVE")
     if verify:
-        log = logformat.read(spark, folder, ["segment", "op", "length", "checksum", "data"], "DROPMALFORMED", include_tmp)
-        log = log if mark is None else log.where(F.col("segment") > mark)
+        log = logformat.read(spark, folder, ["segment", "op", "length", "checksum", "data"], "DROPMALFORMED", include_tmp, mark)
         counters = liveness.replay_counters(log.withColumn("ok", crc_valid(F.col("op"), F.col("data"), F.col("checksum"))), "ok").first().asDict()
     else:
         counters = liveness.replay_counters(index).first().asDict() | {"crc_errors": None}

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from palimpsest.operators.intervals import cut
 
 BUCKET = 256
+#: Blocks of an entry on the average, up to which all are opened into blocks.
+NARROW = 16
 
 
 def newest_blocks(entries: DataFrame) -> DataFrame:
@@ -56,12 +58,21 @@ def _by_block(entries: DataFrame) -> DataFrame:
     return _runs(newest_blocks(entries).select("version", F.col("blk").alias("lo"), (F.col("blk") + 1).alias("hi")), [])
 
 
-def live_extents(entries: DataFrame, plan: str = "buckets", width: int = BUCKET) -> DataFrame:
+def narrow(entries: DataFrame) -> bool:
+    """Whether opening every entry into blocks is cheap, from one aggregate: few blocks an entry, and no wide one."""
+    seen = entries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("blocks"), F.lit(0)).alias("blocks"), F.coalesce(F.max("blocks"), F.lit(0)).alias("widest")).first()
+    return seen["blocks"] <= NARROW * seen["n"] and seen["widest"] <= BUCKET
+
+
+def live_extents(entries: DataFrame, plan: str = "auto", width: int = BUCKET) -> DataFrame:
     """The live extents, trims included: ``start, blocks`` and the owning entry's columns (its block as ``ref_block``).
 
-    ``plan="explode"`` opens every entry into blocks, for logs of narrow entries alone.
+    ``plan="explode"`` opens every entry into blocks, for logs of narrow entries alone; ``"buckets"`` is the plan for any;
+    ``"auto"`` looks at the widths first.
     """
     known = entries.where(F.col("op").isin("W", "T"))  # other operations change nothing
+    if plan == "auto":
+        plan = "explode" if narrow(known) else "buckets"
     live = _by_block(known) if plan == "explode" else newest_runs(known, width=width)
     return live.join(owners(known), "version")
 
@@ -71,7 +82,7 @@ def owners(entries: DataFrame) -> DataFrame:
     return entries.select("version", *[F.col(c).alias({"block": "ref_block", "blocks": "ref_blocks"}.get(c, c)) for c in entries.columns if c != "version"])
 
 
-def write_extents(entries: DataFrame, plan: str = "buckets") -> DataFrame:
+def write_extents(entries: DataFrame, plan: str = "auto") -> DataFrame:
     """The extent map: trims remove coverage."""
     return live_extents(entries, plan).where("op = 'W'")
 

@@ -9,6 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from palimpsest.functions.labels import tai64n
+from palimpsest.runtime import prepare, scratch_path
+from palimpsest.sources import logformat
+from palimpsest.sources.files import system_of
+
 BLOCK_SIZE = 4096
 DEVICE_BLOCKS = 20_000
 #: Versions are segment * 10**10 + position.
@@ -41,6 +46,59 @@ ENTRIES_SQL = f"""entries AS (
   FROM events)"""
 
 
+#: The log of all texts: block size, and entries of a segment.
+TEXT_BLOCK, TEXT_SEGMENT = 512, 50
+
+
+def text_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of whole texts: each document a write of its text, padded to blocks, or (every eleventh) a trim of that length. Blocks overlap."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
+    n = F.octet_length("text")
+    blocks = F.greatest(F.ceil(n / TEXT_BLOCK), F.lit(1)).cast("long")
+    write = F.col("doc_id") % 11 != 0
+    return docs.select(
+        tai64n(F.floor(F.col("doc_id") / TEXT_SEGMENT).cast("long"), F.lit(0)).alias("segment"),
+        F.when(write, "W").otherwise("T").alias("op"),
+        (F.col("doc_id") * 1_000_000_000).alias("timestamp_ns"),
+        F.col("doc_id").alias("sequence"),
+        (F.col("doc_id") * 13 % 3000).alias("block"),
+        (blocks * TEXT_BLOCK).alias("length"),
+        F.when(write, F.concat("text", F.unhex(F.repeat(F.lit("00"), (blocks * TEXT_BLOCK - n).cast("int"))))).alias("data"),
+        F.lit(None).cast("long").alias("checksum"),
+    )
+
+
+def written_text_log(spark: SparkSession, sf_dir: str) -> str:
+    """``text_log`` as segments in a scratch folder; the folder."""
+    folder = scratch_path(spark, "log")
+    logformat.write_log(text_log(spark, sf_dir), folder, TEXT_BLOCK, 1 << 30)
+    return folder
+
+
+def append_bytes(segments: DataFrame, folder: str, data: bytes) -> None:
+    """Append bytes to segment files (``segment, path``), as a writer that crashed may leave them."""
+    prepare(segments.sparkSession)
+
+    def run(batches):
+        system, _ = system_of(folder)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with system.open_input_stream(path) as f:
+                    whole = f.read()
+                with system.open_output_stream(path) as f:
+                    f.write(whole + data)
+            yield batch
+
+    segments.select("path").mapInArrow(run, "path string").count()
+
+
+#: The entries of ``text_log`` in SQL (version: the document, whose order is that of labels and positions), with their bytes in hexadecimal.
+TEXT_LOG_SQL = f"""texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+entries AS (SELECT doc_id AS version, format('{{:016x}}{{:08x}}', doc_id // {TEXT_SEGMENT} + 4611686018427387904, 0) AS segment, doc_id - min(doc_id) OVER (PARTITION BY doc_id // {TEXT_SEGMENT}) AS entry_index,
+  CASE WHEN doc_id % 11 <> 0 THEN 'W' ELSE 'T' END AS op, doc_id * 13 % 3000 AS block, CAST(greatest((n + {TEXT_BLOCK - 1}) // {TEXT_BLOCK}, 1) AS BIGINT) AS blocks,
+  CAST(greatest((n + {TEXT_BLOCK - 1}) // {TEXT_BLOCK}, 1) * {TEXT_BLOCK} AS BIGINT) AS length, rpad(h, CAST(greatest((n + {TEXT_BLOCK - 1}) // {TEXT_BLOCK}, 1) * {2 * TEXT_BLOCK} AS INTEGER), '0') AS h FROM texts)"""
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshot runs from documents: ``run_index, run_bytes, sha256, prev_sha256``; every fifth run is zeros."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palimpsest.functions import checks, labels as L
 from palimpsest.functions.checks import crc_valid
-from palimpsest.operators import changes, compact, image, intervals, liveness, overlay, replay
-from palimpsest.plans.derived import BLOCK_SIZE, DEVICE_BLOCKS, ENTRIES_SQL, RUNS_SQL, ZERO_RUN_SQL, entries, runs
+from palimpsest.operators import changes, compact, image, intervals, jobs, liveness, overlay, replay
+from palimpsest.operators.livestore import LiveMap
+from palimpsest.operators.numbering import numbered, parts_of
+from palimpsest.plans.derived import BLOCK_SIZE, DEVICE_BLOCKS, ENTRIES_SQL, RUNS_SQL, TEXT_LOG_SQL, ZERO_RUN_SQL, append_bytes, entries, runs, written_text_log
+from palimpsest.runtime import scratch_path, stored
+from palimpsest.sources import logformat, payload
 from palimpsest.streaming import plane
 
 QUERIES: dict = {}
@@ -43,8 +47,8 @@ def query(sql: str | None = None):
     return add
 
 
-def _live(spark: SparkSession, sf_dir: str, width: int = overlay.BUCKET) -> DataFrame:
-    return overlay.live_extents(entries(spark, sf_dir), width=width)
+def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlay.live_extents(entries(spark, sf_dir))
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +68,7 @@ def overlay_live_extents(spark, sf_dir):
 @query(_EXT_SELECT)
 def overlay_live_extents_bucketed(spark, sf_dir):
     """With buckets of two blocks, so that most entries cover some bucket whole."""
-    return _live(spark, sf_dir, width=2).select(*EXTENT_COLUMNS)
+    return overlay.live_extents(entries(spark, sf_dir), "buckets", width=2).select(*EXTENT_COLUMNS)
 
 
 @query(_EXT_SELECT)
@@ -234,11 +238,11 @@ def aligned_lengths(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", L.align_up(n).alias("aligned"), L.block_count(n, BLOCK_SIZE).alias("blocks"), (n % BLOCK_SIZE != 0).alias("odd"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN TRUE ELSE FALSE END AS image FROM documents")
+@query("SELECT doc_id, starts_with(substr('4C42444351573200', 1, CAST(2 * (doc_id % 10) AS BIGINT)) || hex(encode(coalesce(text, ''))), '4C42444351573200') AS image FROM documents")
 def magic_sniff(spark, sf_dir):
-    """Which contents begin as an image file does; the text follows the first bytes."""
+    """Which contents begin as an image file does: texts behind none, some or all of the magic bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    head = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("4C42444351573200"))).otherwise(F.unhex(F.lit("4C42444351573201")))
+    head = F.substring(F.unhex(F.lit("4C42444351573200")), 1, (F.col("doc_id") % 10).cast("int"))
     return docs.select("doc_id", checks.is_magic(F.concat(head, F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("image"))
 
 
@@ -359,11 +363,13 @@ def parsed_sizes(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", L.parse_size(text).alias("bytes"))
 
 
-@query("SELECT CAST(day(ts) AS BIGINT) AS segment, CAST(count(*) AS BIGINT) AS entries, CAST(sum(CASE WHEN event_type <> 'error' THEN (1 + event_id % 8) * 4096 ELSE 0 END) AS BIGINT) AS bytes, CAST(sum(CASE WHEN event_type <> 'error' THEN (1 + event_id % 8) * 4096 ELSE 0 END) // 67108864 AS BIGINT) AS full_segments FROM events GROUP BY 1")
+@query(f"""WITH {ENTRIES_SQL}, b AS (SELECT *, CAST(coalesce(sum(CASE WHEN op = 'W' THEN length ELSE 0 END) OVER (ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before, row_number() OVER (ORDER BY version) - 1 AS i FROM entries)
+SELECT before // 1048576 AS part, CAST(count(*) AS BIGINT) AS entries, CAST(sum(CASE WHEN op = 'W' THEN length ELSE 0 END) AS BIGINT) AS bytes, min(i) AS first_sequence, max(segment) AS last_day FROM b GROUP BY 1""")
 def rotation_by_size(spark, sf_dir):
-    """How many full 64 MiB segments each day's log makes."""
-    bytes_ = F.sum(F.when(F.col("op") == "W", F.col("length")).otherwise(0))
-    return entries(spark, sf_dir).groupBy("segment").agg(F.count(F.lit(1)).alias("entries"), bytes_.alias("bytes"), F.floor(bytes_ / F.lit(64 << 20)).cast("long").alias("full_segments"))
+    """The whole log dealt to segments of 1 MiB of payload, in order, numbered by day without a global sort."""
+    size = F.when(F.col("op") == "W", F.col("length")).otherwise(0)
+    parts = parts_of(numbered(entries(spark, sf_dir), ["segment"], ["version"], size), 1 << 20)
+    return parts.groupBy("part").agg(F.count(F.lit(1)).alias("entries"), F.sum(size).cast("long").alias("bytes"), F.min("sequence").alias("first_sequence"), F.max("segment").alias("last_day"))
 
 
 # ---- codecs, checksums, jobs: round trips and probes over whole tables
@@ -398,10 +404,10 @@ def run_hash_probe(spark, sf_dir):
 def gc_outcome(spark, sf_dir):
     """What a collection of the log does with each segment."""
     log = entries(spark, sf_dir)
-    live = overlay.live_extents(log)
-    stats = liveness.segment_stats(liveness.segment_totals(log), live, BLOCK_SIZE)
+    live = stored(overlay.live_extents(log).select("segment", "op", "start", "blocks"), "live")  # the overlay once, for both uses
+    stats = stored(liveness.segment_stats(liveness.segment_totals(log), live, BLOCK_SIZE), "stats")
     gone = liveness.retire_candidates(stats, THRESHOLD).select("segment")
-    copied = compact.retire(log, live, gone, BLOCK_SIZE).groupBy("segment").agg(F.count(F.lit(1)).alias("copied_entries"), F.sum(F.when(F.col("op") == "W", F.col("length"))).alias("copied_bytes"))
+    copied = live.join(gone, "segment", "left_semi").groupBy("segment").agg(F.count(F.lit(1)).alias("copied_entries"), F.sum(F.when(F.col("op") == "W", F.col("blocks") * BLOCK_SIZE)).alias("copied_bytes"))
     rows = stats.select("segment").join(gone.withColumn("retired", F.lit(True)), "segment", "left").join(copied, "segment", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return rows.select("segment", F.coalesce("retired", F.lit(False)).alias("retired"), zero("copied_entries"), zero("copied_bytes"))
@@ -422,11 +428,13 @@ def utc_times(spark, sf_dir):
     return events.select("event_id", L.utc_nanos(ns).alias("time"))
 
 
-@query("SELECT doc_id, sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || coalesce(lang, '') || '\",\"source\":\"' || coalesce(source, '') || '\"}') AS json_sha256 FROM documents")
+@query("""SELECT doc_id, sha256('{"doc_id":' || doc_id || ',"lang":' || to_json(coalesce(lang, '')) || ',"source":' || to_json(coalesce(source, '')) || ',"text":' || to_json(coalesce(text, '')) || '}') AS json_sha256 FROM documents""")
 def entries_as_json(spark, sf_dir):
+    """Whole rows as JSON, texts with quotes, backslashes and control characters among them."""
     from palimpsest.operators.show import as_json
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text("lang"), text("source"), text("text"))
     rows = as_json(docs)
     return rows.select(F.get_json_object("json", "$.doc_id").cast("long").alias("doc_id"), F.sha2(F.col("json").cast("binary"), 256).alias("json_sha256"))
 
@@ -441,20 +449,91 @@ def pieces_by_cluster(spark, sf_dir):
     return intervals.cut(pieces, "lo", "hi", 1000).groupBy(F.col("bucket").alias("cluster")).agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.col("hi") - F.col("lo")).alias("bytes"))
 
 
-@query()
+@query("""WITH t AS (SELECT *, CAST(coalesce(sum(n + 7) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lo FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents)),
+b AS (SELECT (SELECT max(lo + n + 7) FROM t) // 512 AS clusters),
+p AS (SELECT lo, lo + n AS hi, h, TRUE AS own FROM t WHERE n > 0 UNION ALL SELECT lo + n + j, lo + n + j + 1, CASE WHEN lo + n + j < 256 * clusters THEN '61' ELSE '00' END, FALSE FROM t, b, range(7) r(j)),
+c AS (SELECT cluster, lo, own, substr(h, CAST(2 * (greatest(lo, cluster * 256) - lo) + 1 AS BIGINT), CAST(2 * (least(hi, cluster * 256 + 256) - greatest(lo, cluster * 256)) AS BIGINT)) AS h FROM (SELECT *, unnest(range(lo // 256, (hi - 1) // 256 + 1)) AS cluster FROM p)),
+w AS (SELECT cluster, rpad(string_agg(h, '' ORDER BY lo), 512, '0') AS h FROM c GROUP BY cluster HAVING bool_or(own) OR cluster < (SELECT clusters FROM b))
+SELECT cluster, CASE WHEN h <> repeat('0', 512) THEN sha256(unhex(h)) END AS data_sha256 FROM w""")
 def image_writes(spark, sf_dir):
-    """Every text laid over a base image of 256-byte clusters; held against a plain fold in the tests."""
+    """Every whole text, seven bytes apart, laid over a base image of 256-byte clusters that reaches half as far."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
-    pieces = docs.select((F.col("doc_id") * 40_000).alias("offset"), F.least(F.octet_length("data"), F.lit(40_000)).cast("long").alias("length"), "data").where("length > 0")
-    base = spark.range(0, 4000).select(F.col("id").alias("cluster"), F.unhex(F.repeat(F.lit("61"), 256)).alias("data"))
-    return image.from_pieces(pieces, base, 256).select("cluster", F.sha2("data", 256).alias("data_sha256"))
+    sized = docs.withColumn("length", F.octet_length("data").cast("long")).withColumn("cell", F.floor(F.col("doc_id") / 1000).cast("long"))
+    placed = stored(numbered(sized, ["cell"], ["doc_id"], F.col("length") + 7).withColumnRenamed("before", "offset"), "placed")
+    end = placed.agg(F.coalesce(F.max(F.col("offset") + F.col("length") + 7), F.lit(0)).alias("n")).first()["n"]
+    base = spark.range(0, end // 512).select(F.col("id").alias("cluster"), F.unhex(F.repeat(F.lit("61"), 256)).alias("data"))
+    return image.from_pieces(placed.where("length > 0").select("offset", "length", "data"), base, 256).select("cluster", F.sha2("data", 256).alias("data_sha256"))
+
+
+_ROTATION_SQL = """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id % 50 AS dev_index, event_id AS sequence, epoch_us(ts) * 1000 AS ns, (1 + event_id % 8) * 4096 AS size, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS i FROM events),
+r AS (SELECT dev_index, i, sequence, size, CAST(0 AS BIGINT) AS part, CAST(CASE WHEN size >= {size} THEN 1 ELSE 0 END AS BIGINT) AS next, CASE WHEN size >= {size} THEN 0 ELSE size END AS held, ns AS began FROM e WHERE i = 1
+  UNION ALL SELECT dev_index, i, sequence, size, p, p + CASE WHEN h >= {size} THEN 1 ELSE 0 END, CASE WHEN h >= {size} THEN 0 ELSE h END, CASE WHEN h >= {size} THEN ns ELSE b END
+  FROM (SELECT e.*, next + CASE WHEN held > 0 AND e.ns - began >= {age} THEN 1 ELSE 0 END AS p, CASE WHEN held > 0 AND e.ns - began >= {age} THEN 0 ELSE held END + e.size AS h, CASE WHEN held > 0 AND e.ns - began >= {age} THEN e.ns ELSE began END AS b
+        FROM r JOIN e ON e.dev_index = r.dev_index AND e.i = r.i + 1))
+SELECT dev_index, part, CAST(count(*) AS BIGINT) AS entries, CAST(sum(size) AS BIGINT) AS bytes, min(sequence) AS first_sequence FROM r GROUP BY dev_index, part""".format(size=1 << 20, age=3600 * 10**9)
 
 
-@query("SELECT user_id % 50 AS dev_index, CAST(count(*) AS BIGINT) AS entries, CAST(sum(1 + event_id % 8) * 4096 AS BIGINT) AS bytes FROM events GROUP BY 1")
+@query(_ROTATION_SQL)
 def rotated_segments(spark, sf_dir):
-    """The log of each of fifty devices dealt to segments: what they hold together; the rule is held against a fold in the tests."""
+    """The log of each of fifty devices dealt to segments, by size and age."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     size = ((1 + F.col("event_id") % 8) * BLOCK_SIZE).alias("bytes")
     log = events.select((F.col("user_id") % 50).alias("dev_index"), F.col("event_id").alias("sequence"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("timestamp_ns"), size)
-    parts = plane.rotate(log, 1 << 20, 3600).groupBy("dev_index", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
-    return parts.groupBy("dev_index").agg(F.sum("n").alias("entries"), F.sum("b").alias("bytes"))
+    return plane.rotate(log, 1 << 20, 3600).groupBy("dev_index", "part").agg(F.count(F.lit(1)).alias("entries"), F.sum("bytes").alias("bytes"), F.min("sequence").alias("first_sequence"))
+
+
+# ---- segments written and read as a Spark format
+
+_BYTES_SQL = "CASE WHEN op = 'W' THEN sha256(unhex(h)) END AS data_sha256"
+_PART_SQL = "CASE WHEN op = 'W' THEN sha256(unhex(substr(h, CAST((start - block) * 1024 + 1 AS BIGINT), CAST(l.blocks * 1024 AS BIGINT)))) END AS data_sha256"
+
+
+@query(f"WITH {TEXT_LOG_SQL} SELECT segment, entry_index, op, version AS sequence, block, length, version * 1000000000 AS timestamp_ns, {_BYTES_SQL} FROM entries")
+def log_source_entries(spark, sf_dir):
+    """Every text written as a log entry in the format ``blocklog`` and read back."""
+    log = logformat.read(spark, written_text_log(spark, sf_dir))
+    return log.select("segment", "entry_index", "op", "sequence", "block", "length", "timestamp_ns", F.sha2("data", 256).alias("data_sha256"))
+
+
+@query(f"WITH {TEXT_LOG_SQL} SELECT segment, CAST(count(*) AS BIGINT) AS entries, CAST(sum(length) FILTER (op = 'W') AS BIGINT) AS write_bytes, doc_id // 50 % 3 = 0 AS damaged FROM (SELECT *, version AS doc_id FROM entries) GROUP BY segment, doc_id // 50 % 3 = 0")
+def log_source_damaged(spark, sf_dir):
+    """A third of the segments end in bytes that are no entry: their entries and their error come in one pass."""
+    folder = written_text_log(spark, sf_dir)
+    odd = spark.createDataFrame([(label, path) for label, path, _ in logformat.list_segment_files(folder)], "segment string, path string").where((L.tai64n_seconds(F.col("segment")) % 3) == 0)
+    append_bytes(odd, folder, b"\xa1\x01\x7f")
+    rows = logformat.read(spark, folder, ["segment", "op", "length", "error"], mode="PERMISSIVE")
+    return rows.groupBy("segment").agg(F.count("op").alias("entries"), F.sum(F.when(F.col("op") == "W", F.col("length"))).alias("write_bytes"), (F.count("error") == 1).alias("damaged"))
+
+
+@query(f"WITH {TEXT_LOG_SQL}, {LIVE_SQL} SELECT l.start, l.blocks, e.segment, e.entry_index, op, {_PART_SQL} FROM live l JOIN entries e USING (version)")
+def late_payload_ranges(spark, sf_dir):
+    """What is alive of the log of all texts, its bytes read late, by their places in the segments."""
+    folder = written_text_log(spark, sf_dir)
+    near = payload.live_ranges(payload.index(spark, folder)).repartition("segment").sortWithinPartitions("segment", "entry_index", "start")
+    return payload.fetch(near, folder).select("start", "blocks", "segment", "entry_index", "op", F.sha2("data", 256).alias("data_sha256"))
+
+
+@query(f"""WITH {TEXT_LOG_SQL}, {LIVE_SQL}, l AS (SELECT l.version, l.start, l.blocks, op, block, h, row_number() OVER (ORDER BY l.version, l.start) - 1 AS sequence,
+  CAST(coalesce(sum(CASE WHEN op = 'W' THEN l.blocks * 512 ELSE 0 END) OVER (ORDER BY l.version, l.start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM live l JOIN entries e USING (version))
+SELECT CAST(dense_rank() OVER (ORDER BY before // 65536) - 1 AS BIGINT) AS part, sequence, op, start AS block, l.blocks * 512 AS length, version * 1000000000 AS timestamp_ns, {_PART_SQL} FROM l""")
+def repacked_segments(spark, sf_dir):
+    """The log of all texts repacked into segments of at most 128 KiB of payload, numbered over all of them, and read back."""
+    folder, out = written_text_log(spark, sf_dir), scratch_path(spark, "packed")
+    first = "40000000f0000000" + "0" * 8
+    jobs.repack(spark, folder, out, first, segment_bytes=1 << 17)
+    part = F.conv(F.substring("segment", 17, 8), 16, 10).cast("long")
+    return logformat.read(spark, out).select(part.alias("part"), "sequence", "op", "block", "length", "timestamp_ns", F.sha2("data", 256).alias("data_sha256"))
+
+
+@query(f"WITH {TEXT_LOG_SQL}, {LIVE_SQL} SELECT start, blocks, segment, entry_index, op FROM ext")
+def live_map_in_zones(spark, sf_dir):
+    """The log of all texts folded into a stored live map in three turns, the newest segments first."""
+    folder = written_text_log(spark, sf_dir)
+    index = payload.index(spark, folder)
+    live = LiveMap(spark, scratch_path(spark, "zones"), zone_blocks=256)
+    labels = [label for label, _, _ in logformat.list_segment_files(folder)]
+    cuts = [labels[len(labels) * i // 3] for i in range(3)]
+    for i in (2, 1, 0):
+        part = index.where(F.col("segment") >= cuts[i])
+        live.fold(part if i == 2 else part.where(F.col("segment") < cuts[i + 1]), labels[-1])
+    return live.extents().select("start", "blocks", "segment", F.col("version.entry_index").alias("entry_index"), "op")

@@ -4,8 +4,11 @@
     spark.read.format("blocklog").load(folder).where("segment > '4000...'")
     rows.write.format("blocklog").option("block_size", 4096).mode("append").save(folder)
 
-A segment is a partition. Conditions on ``segment`` choose the files before any is opened, and conditions on ``op`` leave
-payloads unread. A schema without ``data`` (``.schema(...)``, or ``option("payload", "false")``) reads no payload at all.
+A segment is a partition. The options ``after`` (a label) and ``segments`` (a JSON list of labels) choose the files before any
+is opened. A schema without ``data`` (``.schema(...)``, or ``option("payload", "false")``) reads no payload at all. With
+``option("push_filters", "true")``, conditions on ``segment`` choose files too, and conditions on ``op`` leave payloads unread.
+That is an option of a load, not the rule: Spark 4.1 keeps what was pushed last with the loaded DataFrame and reads by it
+again, so a DataFrame loaded in this way is for one set of conditions.
 Segments are read by the pull parser, a part at a time. What cannot be read ends a segment, in one pass with its entries:
 ``mode`` FAILFAST (default) raises, PERMISSIVE adds a last row whose ``error`` says why, DROPMALFORMED says nothing.
 
@@ -16,6 +19,7 @@ order; an aborted job leaves none.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -23,7 +27,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage
 
 from palimpsest.functions.checks import lz4_pack
 from palimpsest.runtime import prepare
@@ -63,23 +67,10 @@ class LogReader(DataSourceReader):
         if self.mode not in MODES:
             raise ValueError(f"mode is one of {', '.join(MODES)}")
         self.tests, self.ops = [], None
-
-    def pushFilters(self, filters):
-        """Conditions on the label choose files, those on the operation choose payloads; others stay with Spark."""
-        compare = {EqualTo: "__eq__", GreaterThan: "__gt__", GreaterThanOrEqual: "__ge__", LessThan: "__lt__", LessThanOrEqual: "__le__", StringStartsWith: "startswith"}
-        for f in filters:
-            column, kind = ".".join(f.attribute) if hasattr(f, "attribute") else None, type(f)
-            if column == "segment" and kind in compare:
-                self.tests.append((compare[kind], f.value))
-            elif column == "segment" and kind is In:
-                self.tests.append(("__in__", [v for v in f.value if v is not None]))
-            elif column == "segment" and kind is IsNotNull:
-                pass
-            elif column == "op" and kind in (EqualTo, In):
-                wanted = {f.value} if kind is EqualTo else set(f.value)
-                self.ops = wanted if self.ops is None else self.ops & wanted
-            else:
-                yield f
+        if "after" in options:
+            self.tests.append(("__gt__", options["after"]))
+        if "segments" in options:
+            self.tests.append(("__in__", json.loads(options["segments"])))
 
     def partitions(self):
         chosen = lambda label: all(label in v if how == "__in__" else getattr(label, how)(v) for how, v in self.tests)
@@ -114,6 +105,23 @@ class LogReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
 
+class PushingReader(LogReader):
+    def pushFilters(self, filters):
+        """Conditions on the label choose files, those on the operation choose payloads; others stay with Spark."""
+        compare = {EqualTo: "__eq__", GreaterThan: "__gt__", GreaterThanOrEqual: "__ge__", LessThan: "__lt__", LessThanOrEqual: "__le__", StringStartsWith: "startswith"}
+        for f in filters:
+            column, kind = ".".join(f.attribute) if hasattr(f, "attribute") else None, type(f)
+            if column == "segment" and kind in compare:
+                self.tests.append((compare[kind], f.value))
+            elif column == "segment" and kind is In:
+                self.tests.append(("__in__", [v for v in f.value if v is not None]))
+            elif column == "op" and kind in (EqualTo, In):
+                wanted = {f.value} if kind is EqualTo else set(f.value)
+                self.ops = wanted if self.ops is None else self.ops & wanted
+            else:
+                yield f
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list[tuple[str, str]]  # label, path
@@ -194,7 +202,8 @@ class BlockLog(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return LogReader(self.options, schema)
+        kind = PushingReader if self.options.get("push_filters", "false").lower() == "true" else LogReader
+        return kind(self.options, schema)
 
     def writer(self, schema, overwrite):
         return LogWriter(self.options, overwrite)
@@ -211,17 +220,21 @@ def encode(r: dict) -> bytes:
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to a session, with conditions pushed down to it."""
+    """Make the format known to a session."""
     prepare(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # for loads that ask for it
     spark.dataSource.register(BlockLog)
 
 
-def read(spark: SparkSession, folder: str, columns: list[str] | None = None, mode: str = "FAILFAST", include_tmp: bool = False) -> DataFrame:
-    """The entries of a folder's segments; payloads are read where ``columns`` (default: all) hold ``data``."""
+def read(spark: SparkSession, folder: str, columns: list[str] | None = None, mode: str = "FAILFAST", include_tmp: bool = False, after: str | None = None, segments: list[str] | None = None) -> DataFrame:
+    """The entries of a folder's segments (newer than ``after``, among ``segments``); payloads are read where ``columns`` (default: all) hold ``data``."""
     register(spark)
-    schema = SCHEMA if columns is None else T.StructType([SCHEMA[c] for c in columns])
-    return spark.read.format(NAME).schema(schema).option("mode", mode).option("include_tmp", str(include_tmp)).load(folder)
+    reader = spark.read.format(NAME).schema(SCHEMA if columns is None else T.StructType([SCHEMA[c] for c in columns])).option("mode", mode).option("include_tmp", str(include_tmp))
+    if after is not None:
+        reader = reader.option("after", after)
+    if segments is not None:
+        reader = reader.option("segments", json.dumps(segments))
+    return reader.load(folder)
 
 
 def write_log(rows: DataFrame, folder: str, block_size: int, device_size: int = 0, backing_path: str = "", mode: str = "append") -> None:

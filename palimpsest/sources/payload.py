@@ -20,16 +20,15 @@ from palimpsest.sources.files import list_segment_files, segment_name, system_of
 INDEX = ["segment", "entry_index", "op", "timestamp_ns", "sequence", "block", "length", "checksum", "compressed_size", "block_size", "data_offset"]
 #: Bytes of payload in a batch that leaves a task (one range at least).
 BATCH_BYTES = 8 << 20
-#: Segments that a condition names at most; beyond it all indexes are read.
+#: Segments that a reader is told by name at most; beyond it all indexes are read.
 MAX_NAMED = 1000
 #: Segments that a task holds open.
 OPEN_FILES = 16
 
 
-def index(spark: SparkSession, folder: str, after: str | None = None, include_tmp: bool = False, mode: str = "FAILFAST") -> DataFrame:
-    """The entries of a folder's segments (newer than ``after``) without a payload, with ``version`` and ``blocks``: no payload byte is read."""
-    rows = logformat.read(spark, folder, INDEX, "DROPMALFORMED" if mode == "PERMISSIVE" else mode, include_tmp)
-    rows = rows if after is None else rows.where(F.col("segment") > after)
+def index(spark: SparkSession, folder: str, after: str | None = None, include_tmp: bool = False, mode: str = "FAILFAST", segments: list[str] | None = None) -> DataFrame:
+    """The entries of a folder's segments (newer than ``after``, among ``segments``) without a payload, with ``version`` and ``blocks``: no payload byte is read, and no other file opened."""
+    rows = logformat.read(spark, folder, INDEX, "DROPMALFORMED" if mode == "PERMISSIVE" else mode, include_tmp, after, segments)
     blocks = F.greatest(F.floor(F.col("length") / F.col("block_size")).cast("long"), F.lit(1))
     return rows.withColumn("version", F.struct("segment", "entry_index")).withColumn("blocks", blocks)
 
@@ -49,8 +48,7 @@ def located(extents: DataFrame, folder: str) -> DataFrame:
     """
     spark = extents.sparkSession
     segments = [r["segment"] for r in extents.select("segment").distinct().limit(MAX_NAMED + 1).collect()]
-    rows = index(spark, folder)
-    rows = rows.where(F.col("segment").isin(segments)) if len(segments) <= MAX_NAMED else rows  # pushed down: other files stay closed
+    rows = index(spark, folder, segments=segments if len(segments) <= MAX_NAMED else None)
     names = {"block": "ref_block", "blocks": "ref_blocks", "length": "ref_length"}
     owner = rows.select(*[F.col(c).alias(names.get(c, c)) for c in rows.columns if c not in ("segment", "op")])
     return extents.select("version", "segment", "op", "start", "blocks", *[c for c in extents.columns if c not in ("version", "segment", "op", "start", "blocks", *owner.columns)]).join(owner, "version")

@@ -12,8 +12,8 @@ from collections.abc import Iterator
 from palimpsest.functions.checks import lz4_unpack
 from palimpsest.sources.cbor import Truncated
 
-#: Bytes read at a time.
-CHUNK = 1 << 18
+#: Bytes read at a time: few after a seek, more and more while reading on.
+LEAST_CHUNK, CHUNK = 1 << 12, 1 << 18
 #: Bytes of a string that is not a payload, and items nested in one another, at most: beyond it the segment is taken to be damaged.
 MAX_STRING, MAX_DEPTH = 1 << 24, 64
 
@@ -32,7 +32,7 @@ class Pull:
     def __init__(self, file, size: int):
         self.file, self.size = file, size
         self.buffer, self.at, self.base = b"", 0, 0  # base: the buffer's place in the file
-        self.bytes_read = 0
+        self.chunk, self.bytes_read = LEAST_CHUNK, 0
 
     @property
     def place(self) -> int:
@@ -44,7 +44,8 @@ class Pull:
         if self.at + n > len(self.buffer):
             rest = self.buffer[self.at :]
             self.base, self.at = self.place, 0
-            want = max(n - len(rest), min(CHUNK, self.size - self.base - len(rest)))
+            want = max(n - len(rest), min(self.chunk, self.size - self.base - len(rest)))
+            self.chunk = min(CHUNK, 2 * self.chunk)
             parts = [rest]
             while want > 0:
                 part = self.file.read(want)
@@ -65,8 +66,11 @@ class Pull:
         if self.at + n <= len(self.buffer):
             self.at += n
         else:
-            self.base, self.buffer, self.at = self.place + n, b"", 0
-            self.file.seek(self.base)
+            self.seek(self.place + n)
+
+    def seek(self, place: int) -> None:
+        self.base, self.buffer, self.at, self.chunk = place, b"", 0, LEAST_CHUNK
+        self.file.seek(place)
 
     def head(self) -> tuple[int, int, int]:
         """Major kind, length or value, and low bits of the next item's head."""
@@ -156,8 +160,7 @@ def read_entries(pull: Pull, payload: bool = True, ops: set[str] | None = None)
         entry = pull.fields(ENTRY_KEYS, payload and ops is None)
         if payload and ops is not None and entry["op"] in ops and entry.get("data_offset") is not None:
             end = pull.place
-            pull.base, pull.buffer, pull.at = entry["data_offset"], b"", 0
-            pull.file.seek(pull.base)
+            pull.seek(entry["data_offset"])
             entry["data"] = pull.take(entry["stored"])
             pull.skip(end - pull.place)
         stored = entry.pop("stored", None)
