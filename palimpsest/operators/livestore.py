@@ -1,69 +1,37 @@
-"""The live map as a stored table in zones of blocks, with a small file a fold in each zone that it touches.
+"""The live map as a stored table in zones of blocks.
 
 A fold looks at its own entries alone: what is newest among them goes to a delta in each touched zone, and nothing that
 is stored is read. A reader merges a zone's deltas by the newest version, so folds may come late, twice or in any order. A zone
-that has gathered many deltas is compacted to one, on its own. Which folders make up which zone is a small snapshot
-(``state``), published by a rename, with the newest folded label beside it: a fold that fails leaves the old one.
+that has gathered many deltas is compacted on its own. The newest folded label is published with the deltas.
 """
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palimpsest.operators.intervals import cut
 from palimpsest.operators.overlay import newest_runs
-from palimpsest.sources import state
+from palimpsest.sources.zones import Zones
 
 #: Blocks of a zone: 1 GiB of 4 KiB blocks.
 ZONE_BLOCKS = 1 << 18
-#: Deltas of a zone beyond which it is compacted.
-MAX_DELTAS = 8
 COLUMNS = "version struct<segment:string,entry_index:bigint>, segment string, op string, start bigint, blocks bigint"
-MANIFEST = "zone long, folder string, label string"
 
 
-@dataclass
 class LiveMap:
-    """``path`` holds ``data/`` (a folder a fold, in it a folder a zone) and ``manifest/``."""
-
-    spark: SparkSession
-    path: str
-    zone_blocks: int = ZONE_BLOCKS
+    def __init__(self, spark: SparkSession, path: str, zone_blocks: int = ZONE_BLOCKS):
+        self.zones, self.zone_blocks = Zones(spark, path, COLUMNS), zone_blocks
 
     def manifest(self) -> list[tuple[int, str, str]]:
-        """Zone, folder and newest label of each delta, in the order in which they were made."""
-        rows = state.load(self.spark, f"{self.path}/manifest")
-        return [] if rows is None else [tuple(r) for r in rows.orderBy("place").select("zone", "folder", "label").collect()]  # a row a zone and fold since its compaction
+        return self.zones.manifest()
 
     def label(self) -> str | None:
         """The newest label that was folded; none before the first fold."""
         return max((label for _, _, label in self.manifest() if label), default=None)
 
-    def _publish(self, rows: list[tuple[int, str, str]]) -> None:
-        numbered = [(i, *r) for i, r in enumerate(rows)]
-        state.save(self.spark.createDataFrame(numbered, f"place int, {MANIFEST}").coalesce(1), f"{self.path}/manifest")
-
-    def _write(self, extents: DataFrame, label: str) -> list[tuple[int, str, str]]:
-        """Write extents cut at zones as a new folder; its manifest rows."""
-        folder = f"{self.path}/data/{uuid.uuid4().hex}"
+    def _cut(self, extents: DataFrame) -> DataFrame:
         parts = cut(extents.select("version", "segment", "op", F.col("start").alias("lo"), (F.col("start") + F.col("blocks")).alias("hi")), "lo", "hi", self.zone_blocks)
-        rows = parts.select(F.col("bucket").alias("zone"), "version", "segment", "op", F.col("lo").alias("start"), (F.col("hi") - F.col("lo")).alias("blocks"))
-        rows.repartition("zone").write.partitionBy("zone").parquet(folder)
-        fs, p = state._fs(self.spark, folder)
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return [(int(n.removeprefix("zone=")), folder, label) for n in sorted(names) if n.startswith("zone=")]
-
-    def _read(self, rows: list[tuple[int, str, str]]) -> DataFrame:
-        """The stored extents of some deltas."""
-        found = None
-        for folder in dict.fromkeys(f for _, f, _ in rows):
-            zones = [f"{folder}/zone={z}" for z, f, _ in rows if f == folder]
-            part = self.spark.read.schema(COLUMNS).parquet(*zones)
-            found = part if found is None else found.unionByName(part)
-        return self.spark.createDataFrame([], COLUMNS) if found is None else found
+        return parts.select(F.col("bucket").alias("zone"), "version", "segment", "op", F.col("lo").alias("start"), (F.col("hi") - F.col("lo")).alias("blocks"))
 
     def _merged(self, stored: DataFrame) -> DataFrame:
         rows = stored.select("version", "segment", "op", F.col("start").alias("block"), "blocks")
@@ -73,32 +41,14 @@ class LiveMap:
     def fold(self, entries: DataFrame, label: str = "") -> list[int]:
         """Fold entries (``version, segment, op, block, blocks``) in; the zones that were written. ``label``: the newest segment among them."""
         new = entries.where(F.col("op").isin("W", "T")).where("blocks > 0").select("version", "segment", "op", "block", "blocks")
-        owner = new.select("version", "segment", "op")
-        own = newest_runs(new).join(owner, "version")
-        made = self._write(own, label)
-        rows = self.manifest()
-        if made or label:  # a label without entries is kept too
-            self._publish(rows + (made or [(-1, "", label)]))
-        zones = sorted({z for z, _, _ in made})
-        held: dict[int, int] = {}
-        for z, _, _ in rows + made:
-            held[z] = held.get(z, 0) + 1
-        self.compact([z for z in zones if held[z] > MAX_DELTAS])
+        own = newest_runs(new).join(new.select("version", "segment", "op"), "version")
+        zones = self.zones.append(self._cut(own), label)
+        self.compact(self.zones.crowded(zones))
         return zones
 
     def compact(self, zones: list[int]) -> None:
         """Merge the deltas of each of these zones into one; other zones' files stay as they are."""
-        rows = self.manifest()
-        old = [r for r in rows if r[0] in set(zones)]
-        if not old:
-            return
-        made = self._write(self._merged(self._read(old)), max(label for _, _, label in old))
-        gone = set(old)
-        self._publish([r for r in rows if r not in gone] + made)
-        fs, _ = state._fs(self.spark, self.path)
-        for zone, folder, _ in old:
-            if zone >= 0:
-                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/zone={zone}"), True)
+        self.zones.compact(zones, lambda rows: self._cut(self._merged(rows)))
 
     def extents(self, lo: int | None = None, hi: int | None = None) -> DataFrame:
         """``version, segment, op, start, blocks`` of the live map; with ``lo`` and ``hi``, of the zones that meet those blocks, read from those zones' files alone.
@@ -106,10 +56,9 @@ class LiveMap:
         An extent that crosses zones comes whole where it is read whole.
         """
         first, last = (None if lo is None else lo // self.zone_blocks), (None if hi is None else (hi - 1) // self.zone_blocks)
-        rows = [r for r in self.manifest() if r[0] >= 0 and (first is None or r[0] >= first) and (last is None or r[0] <= last)]
-        return self._merged(self._read(rows))
+        return self._merged(self.zones.read(self.zones.deltas(lambda z: (first is None or z >= first) and (last is None or z <= last))))
 
     def at(self, zones: list[int]) -> DataFrame:
         """As ``extents``, of the named zones alone."""
         wanted = set(zones)
-        return self._merged(self._read([r for r in self.manifest() if r[0] in wanted]))
+        return self._merged(self.zones.read(self.zones.deltas(lambda z: z in wanted)))

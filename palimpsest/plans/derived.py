@@ -59,7 +59,7 @@ def text_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         tai64n(F.floor(F.col("doc_id") / TEXT_SEGMENT).cast("long"), F.lit(0)).alias("segment"),
         F.when(write, "W").otherwise("T").alias("op"),
-        (F.col("doc_id") * 1_000_000_000).alias("timestamp_ns"),
+        ((F.col("doc_id") + 1) * 1_000_000_000).alias("timestamp_ns"),
         F.col("doc_id").alias("sequence"),
         (F.col("doc_id") * 13 % 3000).alias("block"),
         (blocks * TEXT_BLOCK).alias("length"),

@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from palimpsest.functions import checks, labels as L
 from palimpsest.functions.checks import crc_valid
 from palimpsest.operators import changes, compact, image, intervals, jobs, liveness, overlay, replay
+from palimpsest.operators.clusterstore import ClusterStore
 from palimpsest.operators.livestore import LiveMap
 from palimpsest.operators.numbering import numbered, parts_of
 from palimpsest.plans.derived import BLOCK_SIZE, DEVICE_BLOCKS, ENTRIES_SQL, RUNS_SQL, TEXT_LOG_SQL, ZERO_RUN_SQL, append_bytes, entries, runs, written_text_log
 from palimpsest.runtime import scratch_path, stored
 from palimpsest.sources import logformat, payload
-from palimpsest.streaming import plane
+from palimpsest.streaming import misses, plane, rotation, watch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -488,7 +489,7 @@ _BYTES_SQL = "CASE WHEN op = 'W' THEN sha256(unhex(h)) END AS data_sha256"
 _PART_SQL = "CASE WHEN op = 'W' THEN sha256(unhex(substr(h, CAST((start - block) * 1024 + 1 AS BIGINT), CAST(l.blocks * 1024 AS BIGINT)))) END AS data_sha256"
 
 
-@query(f"WITH {TEXT_LOG_SQL} SELECT segment, entry_index, op, version AS sequence, block, length, version * 1000000000 AS timestamp_ns, {_BYTES_SQL} FROM entries")
+@query(f"WITH {TEXT_LOG_SQL} SELECT segment, entry_index, op, version AS sequence, block, length, (version + 1) * 1000000000 AS timestamp_ns, {_BYTES_SQL} FROM entries")
 def log_source_entries(spark, sf_dir):
     """Every text written as a log entry in the format ``blocklog`` and read back."""
     log = logformat.read(spark, written_text_log(spark, sf_dir))
@@ -515,7 +516,7 @@ def late_payload_ranges(spark, sf_dir):
 
 @query(f"""WITH {TEXT_LOG_SQL}, {LIVE_SQL}, l AS (SELECT l.version, l.start, l.blocks, op, block, h, row_number() OVER (ORDER BY l.version, l.start) - 1 AS sequence,
   CAST(coalesce(sum(CASE WHEN op = 'W' THEN l.blocks * 512 ELSE 0 END) OVER (ORDER BY l.version, l.start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM live l JOIN entries e USING (version))
-SELECT CAST(dense_rank() OVER (ORDER BY before // 65536) - 1 AS BIGINT) AS part, sequence, op, start AS block, l.blocks * 512 AS length, version * 1000000000 AS timestamp_ns, {_PART_SQL} FROM l""")
+SELECT CAST(dense_rank() OVER (ORDER BY before // 65536) - 1 AS BIGINT) AS part, sequence, op, start AS block, l.blocks * 512 AS length, (version + 1) * 1000000000 AS timestamp_ns, {_PART_SQL} FROM l""")
 def repacked_segments(spark, sf_dir):
     """The log of all texts repacked into segments of at most 128 KiB of payload, numbered over all of them, and read back."""
     folder, out = written_text_log(spark, sf_dir), scratch_path(spark, "packed")
@@ -537,3 +538,32 @@ def live_map_in_zones(spark, sf_dir):
         part = index.where(F.col("segment") >= cuts[i])
         live.fold(part if i == 2 else part.where(F.col("segment") < cuts[i + 1]), labels[-1])
     return live.extents().select("start", "blocks", "segment", F.col("version.entry_index").alias("entry_index"), "op")
+
+
+@query(f"""WITH RECURSIVE {TEXT_LOG_SQL}, e AS MATERIALIZED (SELECT version AS sequence, (version + 1) * 1000000000 AS ns, CASE WHEN op = 'W' THEN length ELSE 0 END AS size, row_number() OVER (ORDER BY version) AS i FROM entries),
+r AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS sequence, CAST(0 AS BIGINT) AS ns, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS part, FALSE AS aged, FALSE AS filled, CAST(0 AS BIGINT) AS next, FALSE AS open, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS began
+  UNION ALL SELECT i, sequence, ns, size, p, aged, h + size >= 65536, p + CASE WHEN h + size >= 65536 THEN 1 ELSE 0 END, h + size < 65536, h + size, b FROM (
+    SELECT e.*, r.open AND e.ns - r.began >= 40000000000 AS aged, r.next + CASE WHEN r.open AND e.ns - r.began >= 40000000000 THEN 1 ELSE 0 END AS p,
+      CASE WHEN r.open AND e.ns - r.began < 40000000000 THEN r.held ELSE 0 END AS h, CASE WHEN r.open AND e.ns - r.began < 40000000000 THEN r.began ELSE e.ns END AS b FROM r JOIN e ON e.i = r.i + 1)),
+g AS (SELECT part, CAST(count(*) AS BIGINT) AS entries, CAST(sum(size) AS BIGINT) AS bytes, min(sequence) AS first_sequence, max(sequence) AS last_sequence, bool_or(filled) AS filled FROM r WHERE i > 0 GROUP BY part)
+SELECT part, CASE WHEN filled THEN 'size' ELSE 'age' END AS reason, entries, bytes, first_sequence, last_sequence FROM g WHERE filled OR part + 1 IN (SELECT part FROM r WHERE aged)""")
+def rotated_stream(spark, sf_dir):
+    """The log of all texts watched as a stream and rotated anew by size and age; the closed segments."""
+    folder, out = written_text_log(spark, sf_dir), scratch_path(spark, "rotated")
+    entries_ = watch.entries(watch.watch(spark, {0: folder}, 1 << 20))
+    rows = entries_.select("dev_index", F.lit("entry").alias("kind"), "sequence", "timestamp_ns", F.when(F.col("op") == "W", F.col("length")).otherwise(0).alias("bytes"))
+    stream = rotation.rotate_stream(rows, 1 << 16, 40)
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "rotated-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rotation.SEGMENTS).parquet(out).select("part", "reason", "entries", "bytes", "first_sequence", "last_sequence")
+
+
+@query(f"""WITH {TEXT_LOG_SQL}, {LIVE_SQL}, b AS (SELECT t.blk, substr(h, CAST((t.blk - block) * 1024 + 1 AS BIGINT), 1024) AS h FROM top t JOIN entries e USING (version) WHERE op = 'W'),
+c AS (SELECT cluster, string_agg(coalesce(b.h, repeat('0', 1024)), '' ORDER BY i) AS h FROM (SELECT DISTINCT blk // 16 AS cluster FROM b), range(16) r(i) LEFT JOIN b ON b.blk = cluster * 16 + i GROUP BY cluster)
+SELECT cluster, CASE WHEN h <> repeat('0', 16384) THEN sha256(unhex(h)) END AS data_sha256 FROM c""")
+def filled_misses(spark, sf_dir):
+    """Every cluster of the device missed once: what the stored live map and the log's payloads fill it with."""
+    folder = written_text_log(spark, sf_dir)
+    cluster = lambda block: F.floor(block / 16).cast("long")
+    asked = payload.index(spark, folder).select(F.explode(F.sequence(cluster(F.col("block")), cluster(F.col("block") + F.col("blocks") - 1))).alias("cluster")).distinct()
+    made = misses.filled(spark, asked, folder, ClusterStore(spark, scratch_path(spark, "base")), 16)
+    return made.select("cluster", F.sha2("data", 256).alias("data_sha256"))
