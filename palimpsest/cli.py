@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession, functions as F
 from palimpsest.functions.labels import label_of, parse_size
 from palimpsest.operators import image, jobs, replay
 from palimpsest.operators.show import as_json, described
-from palimpsest.sources import blocklog, imagefile
+from palimpsest.sources import blocklog, imagefile, imagewriter
 
 
 def now_label() -> str:
@@ -124,14 +124,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             h = imagefile.header_of(spark, a.path)
             print(replay.checksum(image.to_pieces(imagefile.read_image(spark, a.path), h.cluster).withColumnRenamed("offset", "start").repartition(1).sortWithinPartitions("start"), 1, h.virtual_size))
     elif a.command == "convert":
-        print(imagefile.write_image(a.out, imagefile.flat_clusters(a.source, 1 << image.CLUSTER_BITS), os.path.getsize(a.source)))
+        print(imagewriter.convert(spark, a.source, a.out))
     else:
         h = imagefile.header_of(spark, a.source)
         rows = imagefile.read_image(spark, a.source)
         if a.command == "extract":
             print(replay.write_flat(image.to_pieces(rows, h.cluster), a.out, h.virtual_size))
         else:
-            print(imagefile.write_image(a.out, ((r["cluster"], bytes(r["data"])) for r in image.sparse(rows).orderBy("cluster").toLocalIterator()), h.virtual_size, h.cluster_bits))
+            print(imagewriter.compact(spark, a.source, a.out))
     return 0
 
 

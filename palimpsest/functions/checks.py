@@ -15,37 +15,68 @@ from pyspark.sql.types import BinaryType, LongType
 _POLYNOMIAL = 0x82F63B78
 
 
+#: Bytes of a value that are summed up side by side with those of others, and bytes of values handled at a time.
+_STRIDE, _GROUP = 256, 16 << 20
+
+
+@lru_cache
+def _table() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, (c >> 1) ^ np.uint32(_POLYNOMIAL), c >> 1)
+    return c
+
+
 @lru_cache
-def _table() -> list[int]:
-    out = []
-    for i in range(256):
-        for _ in range(8):
-            i = (i >> 1) ^ (_POLYNOMIAL if i & 1 else 0)
-        out.append(i)
-    return out
+def _shift() -> np.ndarray:
+    """What ``_STRIDE`` zero bytes make of a state, byte of the state by byte."""
+    table = _table()
+    c = np.arange(256, dtype=np.uint32) << np.arange(0, 32, 8, dtype=np.uint32)[:, None]
+    for _ in range(_STRIDE):
+        c = table[c & 0xFF] ^ (c >> 8)
+    return c
+
+
+def crc32c_many(values: list[bytes]) -> np.ndarray:
+    """The CRC-32C of each value. A value's odd first bytes go in one by one, side by side over all values; the rest in strides that are summed up side by side, too, and then joined."""
+    table, shift = _table(), _shift()
+    lengths = np.array([len(v) for v in values], np.int64)
+    state = np.full(len(values), 0xFFFFFFFF, np.uint32)
+    data = np.frombuffer(b"".join(values), np.uint8)
+    starts, odd = np.cumsum(lengths) - lengths, lengths % _STRIDE
+    for i in range(int(odd.max()) if len(odd) else 0):
+        at = np.flatnonzero(odd > i)
+        state[at] = table[(state[at] ^ data[starts[at] + i]) & 0xFF] ^ (state[at] >> 8)
+    strides = lengths // _STRIDE
+    first = np.cumsum(strides) - strides
+    owner = np.repeat(np.arange(len(values)), strides)
+    begin = starts[owner] + odd[owner] + (np.arange(len(owner)) - first[owner]) * _STRIDE
+    sums = np.zeros(len(owner), np.uint32)
+    for i in range(_STRIDE if len(owner) else 0):
+        sums = table[(sums ^ data[begin + i]) & 0xFF] ^ (sums >> 8)
+    for k in range(int(strides.max()) if len(strides) else 0):
+        at = np.flatnonzero(strides > k)
+        c = state[at]
+        state[at] = shift[0][c & 0xFF] ^ shift[1][c >> 8 & 0xFF] ^ shift[2][c >> 16 & 0xFF] ^ shift[3][c >> 24] ^ sums[first[at] + k]
+    return ~state
 
 
 def crc32c(data: bytes) -> int:
-    table, c = _table(), 0xFFFFFFFF
-    for b in data:
-        c = table[(c ^ b) & 0xFF] ^ (c >> 8)
-    return c ^ 0xFFFFFFFF
+    return int(crc32c_many([bytes(data)])[0])
 
 
 @pandas_udf(LongType())
 def crc32c_col(data: pd.Series) -> pd.Series:
-    """CRC-32C of each value, all rows a byte at a time together."""
-    table = np.array(_table(), np.uint32)
+    """CRC-32C of each value; null of null."""
     values = [b if b is not None else b"" for b in data]
-    order = np.argsort([-len(v) for v in values], kind="stable")
-    lengths = np.array([len(values[i]) for i in order])
-    c = np.full(len(values), 0xFFFFFFFF, np.uint32)
-    for at in range(int(lengths[0]) if len(lengths) else 0):
-        n = int(np.searchsorted(-lengths, -at, side="left"))
-        b = np.fromiter((values[i][at] for i in order[:n]), np.uint32, n)
-        c[:n] = table[(c[:n] ^ b) & 0xFF] ^ (c[:n] >> 8)
-    out = np.empty(len(values), np.int64)
-    out[order] = (c ^ 0xFFFFFFFF).astype(np.int64)
+    out, a = np.empty(len(values), np.int64), 0
+    while a < len(values):
+        b, held = a + 1, len(values[a])
+        while b < len(values) and held + len(values[b]) <= _GROUP:
+            held += len(values[b])
+            b += 1
+        out[a:b] = crc32c_many(values[a:b])
+        a = b
     return pd.Series(out).where(data.notna().to_numpy()).astype("Int64")
 
 

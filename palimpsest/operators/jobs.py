@@ -14,7 +14,7 @@ from palimpsest.operators import changes, compact, image, liveness, replay
 from palimpsest.operators.livestore import LiveMap
 from palimpsest.operators.numbering import numbered, parts_of
 from palimpsest.runtime import stored
-from palimpsest.sources import blocklog, imagefile, logformat, payload, state
+from palimpsest.sources import blocklog, imagefile, imagewriter, logformat, payload, state
 from palimpsest.sources.files import list_segment_files, system_of
 from palimpsest.sources.pull import Pull, read_header
 
@@ -255,7 +255,7 @@ def scan_every(spark: SparkSession, device: str, folder: str, seconds: float, ro
 def apply_to_image(spark: SparkSession, pieces: DataFrame, path: str, virtual_size: int | None = None, cluster_bits: int = 16) -> tuple[int, int]:
     """Write and trim pieces (``offset, length, data``; null data: zeros) in an image file, new or there already, which is replaced whole by a rename.
 
-    Clusters are rebuilt in parallel; one writer lays them out in the file, in order.
+    Clusters are rebuilt, packed and written by the tasks. Returns written and zero clusters.
     """
     if os.path.exists(path):
         header = imagefile.header_of(spark, path)
@@ -263,10 +263,8 @@ def apply_to_image(spark: SparkSession, pieces: DataFrame, path: str, virtual_si
         base = imagefile.read_image(spark, path).select("cluster", "data")
     else:
         base = spark.createDataFrame([], "cluster long, data binary")
-    rows = image.sparse(image.from_pieces(pieces, base, 1 << cluster_bits)).orderBy("cluster")
-    made = imagefile.write_image(f"{path}.tmp", ((r["cluster"], r["data"]) for r in rows.toLocalIterator(prefetchPartitions=True)), virtual_size, cluster_bits)
-    os.replace(f"{path}.tmp", path)
-    return made
+    made = imagewriter.write_clusters(image.from_pieces(pieces, base, 1 << cluster_bits), path, virtual_size, cluster_bits)
+    return made["written"], made["zero"]
 
 
 def replay_image(spark: SparkSession, folder: str, path: str, include_tmp: bool = True) -> tuple[int, int]:

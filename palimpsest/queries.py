@@ -12,7 +12,8 @@ from palimpsest.operators.livestore import LiveMap
 from palimpsest.operators.numbering import numbered, parts_of
 from palimpsest.plans.derived import BLOCK_SIZE, DEVICE_BLOCKS, ENTRIES_SQL, RUNS_SQL, TEXT_LOG_SQL, ZERO_RUN_SQL, append_bytes, entries, runs, written_text_log
 from palimpsest.runtime import scratch_path, stored
-from palimpsest.sources import logformat, payload
+from palimpsest.sources import imagefile, imagewriter, logformat, payload
+from palimpsest.sources.files import system_of
 from palimpsest.streaming import misses, plane, rotation, watch
 
 QUERIES: dict = {}
@@ -450,20 +451,41 @@ def pieces_by_cluster(spark, sf_dir):
     return intervals.cut(pieces, "lo", "hi", 1000).groupBy(F.col("bucket").alias("cluster")).agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.col("hi") - F.col("lo")).alias("bytes"))
 
 
-@query("""WITH t AS (SELECT *, CAST(coalesce(sum(n + 7) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lo FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents)),
+_IMAGE_SQL = """WITH t AS (SELECT *, CAST(coalesce(sum(n + 7) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lo FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents)),
 b AS (SELECT (SELECT max(lo + n + 7) FROM t) // 512 AS clusters),
 p AS (SELECT lo, lo + n AS hi, h, TRUE AS own FROM t WHERE n > 0 UNION ALL SELECT lo + n + j, lo + n + j + 1, CASE WHEN lo + n + j < 256 * clusters THEN '61' ELSE '00' END, FALSE FROM t, b, range(7) r(j)),
 c AS (SELECT cluster, lo, own, substr(h, CAST(2 * (greatest(lo, cluster * 256) - lo) + 1 AS BIGINT), CAST(2 * (least(hi, cluster * 256 + 256) - greatest(lo, cluster * 256)) AS BIGINT)) AS h FROM (SELECT *, unnest(range(lo // 256, (hi - 1) // 256 + 1)) AS cluster FROM p)),
-w AS (SELECT cluster, rpad(string_agg(h, '' ORDER BY lo), 512, '0') AS h FROM c GROUP BY cluster HAVING bool_or(own) OR cluster < (SELECT clusters FROM b))
-SELECT cluster, CASE WHEN h <> repeat('0', 512) THEN sha256(unhex(h)) END AS data_sha256 FROM w""")
-def image_writes(spark, sf_dir):
-    """Every whole text, seven bytes apart, laid over a base image of 256-byte clusters that reaches half as far."""
+w AS (SELECT cluster, rpad(string_agg(h, '' ORDER BY lo), 512, '0') AS h FROM c GROUP BY cluster HAVING bool_or(own) OR cluster < (SELECT clusters FROM b))"""
+
+
+def _written_image(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
     sized = docs.withColumn("length", F.octet_length("data").cast("long")).withColumn("cell", F.floor(F.col("doc_id") / 1000).cast("long"))
     placed = stored(numbered(sized, ["cell"], ["doc_id"], F.col("length") + 7).withColumnRenamed("before", "offset"), "placed")
     end = placed.agg(F.coalesce(F.max(F.col("offset") + F.col("length") + 7), F.lit(0)).alias("n")).first()["n"]
     base = spark.range(0, end // 512).select(F.col("id").alias("cluster"), F.unhex(F.repeat(F.lit("61"), 256)).alias("data"))
-    return image.from_pieces(placed.where("length > 0").select("offset", "length", "data"), base, 256).select("cluster", F.sha2("data", 256).alias("data_sha256"))
+    return image.from_pieces(placed.where("length > 0").select("offset", "length", "data"), base, 256)
+
+
+@query(_IMAGE_SQL + " SELECT cluster, CASE WHEN h <> repeat('0', 512) THEN sha256(unhex(h)) END AS data_sha256 FROM w")
+def image_writes(spark, sf_dir):
+    """Every whole text, seven bytes apart, laid over a base image of 256-byte clusters that reaches half as far."""
+    return _written_image(spark, sf_dir).select("cluster", F.sha2("data", 256).alias("data_sha256"))
+
+
+@query(_IMAGE_SQL + """, f AS (SELECT cluster // 16 AS cluster, string_agg(h, '' ORDER BY part) AS h FROM (SELECT c.cluster * 16 + part AS cluster, part, coalesce(h, repeat('0', 512)) AS h FROM (SELECT DISTINCT cluster // 16 AS cluster FROM w) c CROSS JOIN range(16) r(part) LEFT JOIN w ON w.cluster = c.cluster * 16 + part) GROUP BY 1)
+SELECT cluster, sha256(unhex(h)) AS data_sha256 FROM f WHERE h <> repeat('0', 8192)""")
+def image_file_clusters(spark, sf_dir):
+    """The image of all texts written as an image file of 4 KiB clusters by many tasks, and read back."""
+    parts = _written_image(spark, sf_dir).where("data is not null")
+    whole = image.from_pieces(parts.select((F.col("cluster") * 256).alias("offset"), F.lit(256).cast("long").alias("length"), "data"), spark.createDataFrame([], "cluster long, data binary"), 4096)
+    whole = stored(whole, "clusters")
+    size = (whole.agg(F.coalesce(F.max("cluster"), F.lit(0)).alias("n")).first()["n"] + 1) * 4096
+    folder = scratch_path(spark, "image")
+    system, root = system_of(folder)
+    system.create_dir(root, recursive=True)
+    imagewriter.write_clusters(whole, f"{root}/disk.img", size, 12)
+    return imagefile.read_image(spark, f"{root}/disk.img").select("cluster", F.sha2("data", 256).alias("data_sha256"))
 
 
 _ROTATION_SQL = """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id % 50 AS dev_index, event_id AS sequence, epoch_us(ts) * 1000 AS ns, (1 + event_id % 8) * 4096 AS size, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS i FROM events),
