@@ -9,8 +9,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from palimpsest.functions.checks import crc_valid
-from palimpsest.functions.labels import label_of, log_key_of
+from palimpsest.functions.labels import label_of
 from palimpsest.operators import changes, compact, image, liveness, replay
+from palimpsest.operators import upload as uploads
 from palimpsest.operators.livestore import LiveMap
 from palimpsest.operators.numbering import numbered, parts_of
 from palimpsest.runtime import stored
@@ -45,13 +46,16 @@ def catch_up(spark: SparkSession, folder: str, labels: list[str]) -> None:
     if not labels or mark is not None and labels[-1] <= mark:
         return
     new = payload.index(spark, folder, after=mark)
-    before = state.load(spark, f"{folder}/.totals")
-    totals = liveness.segment_totals(new)
-    # totals first: a run that fails between the two adds the same rows again
-    state.save(totals if before is None else before.join(totals.select("segment"), "segment", "left_anti").unionByName(totals), f"{folder}/.totals")
+    keep_totals(spark, folder, new)  # first: a run that fails between the two adds the same rows again
     kept.fold(new, labels[-1])
 
 
+def keep_totals(spark: SparkSession, folder: str, new: DataFrame) -> None:
+    """Add the totals of new segments' entries to the stored ones; a segment counts once."""
+    before, totals = state.load(spark, f"{folder}/.totals"), liveness.segment_totals(new)
+    state.save(totals if before is None else before.join(totals.select("segment"), "segment", "left_anti").unionByName(totals), f"{folder}/.totals")
+
+
 def live_map(spark: SparkSession, folder: str, full: bool = False) -> DataFrame:
     """The live map of a folder: the stored one with newer segments folded in, vanished segments left out; ``full`` derives it from the log alone."""
     labels = blocklog.list_segments(spark, folder)
@@ -226,17 +230,9 @@ def enforce_limit(spark: SparkSession, folder: str, limit: int, delete: bool = T
 
 
 def upload(spark: SparkSession, folder: str, store: str, prefix: str, volume: str, labels: list[str] | None = None) -> list[str]:
-    """Copy segments (all, or those of ``labels``) to ``store`` under their keys; what is there already stays. The keys written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(store).getFileSystem(spark._jsc.hadoopConfiguration())
-    out = []
-    for label, source, size in blocklog.segment_files(spark, folder):
-        key = log_key_of(prefix, volume, label)
-        target = path(f"{store}/{key}")
-        if (labels is None or label in labels) and not (fs.exists(target) and fs.getFileStatus(target).getLen() == size):
-            blocklog.copy_segment(spark, source, f"{store}/{key}")
-            out.append(key)
-    return out
+    """Copy segments (all, or those of ``labels``) to ``store`` under their keys, by many tasks; what is there already stays. The keys written; failures are left to the next call."""
+    done = uploads.upload(spark, folder, store, prefix, volume, labels).where("error is null")
+    return sorted(r["key"] for r in done.select("key").collect())  # a row a new segment
 
 
 def scan_every(spark: SparkSession, device: str, folder: str, seconds: float, rounds: int | None = None) -> list[dict]:

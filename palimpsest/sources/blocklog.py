@@ -176,15 +176,3 @@ def segment_files(spark: SparkSession, folder: str, include_tmp: bool = False) -
 def list_segments(spark: SparkSession, folder: str, include_tmp: bool = False) -> list[str]:
     """Segment labels in name order."""
     return [label for label, _, _ in segment_files(spark, folder, include_tmp)]
-
-
-def copy_segment(spark: SparkSession, source: str, target: str) -> None:
-    """Copy one file between any two file systems that Spark knows; the target appears whole, by a rename."""
-    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
-    a, b, part = path(source), path(target), path(target + ".part")
-    fs = b.getFileSystem(conf)
-    if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, fs, part, False, True, conf):
-        raise OSError(f"cannot copy {source}")
-    fs.delete(b, False)
-    if not fs.rename(part, b):
-        raise OSError(f"cannot publish {target}")

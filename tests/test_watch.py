@@ -217,3 +217,29 @@ def test_a_base_is_compacted(spark, tmp_path):
     assert sum(z == 0 for z, _, _ in base.zones.manifest()) < 9
     assert {r["cluster"] for r in base.of(spark.createDataFrame([(9,), (2,), (77,)], "cluster long")).collect()} == {2, 9}
     assert ClusterStore(spark, str(tmp_path / "none")).clusters().count() == 0
+
+
+def test_a_disk_runs(spark, tmp_path):
+    """Rotations fold and upload; a collection afterwards goes on from the same map."""
+    from palimpsest.operators import jobs, upload
+    from palimpsest.sources import blocklog
+    from palimpsest.streaming import daemon
+
+    from test_log import image_of
+
+    logs, store = tmp_path / "logs", tmp_path / "store"
+    logs.mkdir(), store.mkdir()
+    write(logs, "a1", [w(0, 8, "A"), t(20, 4)])
+    write(logs, "a2", [w(0, 6, "B")])
+    q, = daemon.run(spark, str(logs), str(tmp_path / "cp"), str(store), "p/", "v", segments_per_batch=1, processingTime="0 seconds")
+    try:
+        q.processAllAvailable()
+        write(logs, "a3", [w(30, 1, "C")])
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert blocklog.list_segments(spark, str(store / "p" / "v")) == ["a1", "a2", "a3"] and upload.manifest(spark, str(store), "p/", "v").count() == 3
+    assert jobs.stored_map(spark, str(logs)).label() == "a3"
+    before = image_of(logs)
+    result = jobs.gc(spark, str(logs), 60)
+    assert result.retired == ["a1"] and image_of(logs) == before
