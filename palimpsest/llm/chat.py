@@ -28,7 +28,8 @@ class Layout:
     """A layout: the field paths that identify it, those that may be missing, and where its turns are.
 
     ``each`` names an array by its path (empty: the root), the role's and the text's field within;
-    a text field ``content[].text`` joins its parts. ``parts`` lists (role, fields) for layouts with
+    a text field ``content[].text`` joins its parts, and a turn of a record in which it is a string, or holds strings among
+    its parts, keeps those. ``lead`` names a text beside the array that becomes a first system turn unless empty. ``parts`` lists (role, fields) for layouts with
     one field a turn; several fields join with a blank line. Roles are mapped by ``ROLES`` unless ``verbatim``.
     """
 
@@ -36,6 +37,7 @@ class Layout:
     paths: tuple[str, ...]
     optional: tuple[tuple[str, ...], ...] = ()
     each: tuple[str, str, str] | None = None
+    lead: str = ""
     parts: tuple[tuple[str, tuple[str, ...]], ...] = ()
     verbatim: bool = False
 
@@ -47,15 +49,16 @@ class Layout:
 
 def _listed(name: str, array: str, role: str, text: str, **options) -> Layout:
     fields = tuple(f"{array}[].{f}" for f in (role, text)) + ((f"{array}[].{text.split('[]')[0]}",) if "[]" in text else ())
-    return Layout(name, (array,) if array else fields, ((fields,) if array else ()), each=(array, role, text), **options)
+    lead = ((options["lead"],),) if "lead" in options else ()
+    return Layout(name, (array,) if array else fields, (((fields,) if array else ()) + lead), each=(array, role, text), **options)
 
 
 LAYOUTS = [
-    _listed("messages", "messages", "role", "content"),
-    _listed("conversations", "conversations", "from", "value"),
+    _listed("messages", "messages", "role", "content", lead="system"),
+    _listed("conversations", "conversations", "from", "value", lead="system"),
     _listed("turn list", "", "role", "content"),
     _listed("text list", "", "role", "text"),
-    _listed("content parts", "messages", "role", "content[].text"),
+    _listed("content parts", "messages", "role", "content[].text", lead="system"),
     _listed("wrapped messages", "data.messages", "role", "content"),
     _listed("speaker turns", "turns", "speaker", "said", verbatim=True),
     Layout("prompt", ("completion", "prompt"), parts=(("user", ("prompt",)), ("assistant", ("completion",)))),
@@ -132,12 +135,29 @@ def _mapped(layout: Layout, record: Column) -> Column:
     if layout.each:
         path, role, text = layout.each
         field, _, part = text.partition("[].")
-        kind = f"array<struct<`{part}`:string>>" if part else "string"
-        array = F.from_json(record, _ddl([*_steps(path), "[]"], f"struct<`{role}`:string,`{field}`:{kind}>"), JSON)
-        for x in _steps(path):
-            array = array[x]
-        told = (lambda m: F.array_join(F.transform(m[field], lambda x: F.coalesce(x[part], F.lit(""))), "")) if part else (lambda m: m[field])
-        return F.transform(array, lambda m: F.struct(_role(m[role], layout).alias("role"), F.coalesce(told(m), F.lit("")).alias("text")))
+
+        def array_of(kind: str, record: Column = record) -> Column:
+            array = F.from_json(record, _ddl([*_steps(path), "[]"], f"struct<`{role}`:string,`{field}`:{kind}>"), JSON)
+            for x in _steps(path):
+                array = array[x]
+            return array
+
+        def turn(m: Column, text: Column) -> Column:
+            return F.struct(_role(m[role], layout).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+
+        if part:
+            # a field that is no array is null as one; in the skeleton, an element that is a string is empty and an object is not
+            parts, bones, alone = array_of("array<string>"), array_of("array<string>", skeleton(record)), array_of("string")
+            one = lambda x, bone: F.coalesce(F.when(F.startswith(bone, F.lit("{")), F.from_json(x, f"`{part}` string", JSON)[part]).otherwise(x), F.lit(""))
+            joined = lambda m, i: F.array_join(F.zip_with(m[field], F.get(bones, i)[field], one), "")
+            turns = F.transform(parts, lambda m, i: turn(m, F.when(m[field].isNotNull(), joined(m, i)).otherwise(F.get(alone, i)[field])))
+        else:
+            turns = F.transform(array_of("string"), lambda m: turn(m, m[field]))
+        if not layout.lead:
+            return turns
+        lead = F.coalesce(F.from_json(record, f"`{layout.lead}` string", JSON)[layout.lead], F.lit(""))
+        first = F.when(lead != "", F.array(F.struct(F.lit("system").alias("role"), lead.alias("text")))).otherwise(F.array().cast(TURNS))
+        return F.concat(first, turns.cast(TURNS))
     names = sorted({f for _, fields in layout.parts for f in fields})
     row = F.from_json(record, ", ".join(f"`{n}` string" for n in names), JSON)
     parts = [F.struct(F.lit(role).alias("role"), F.array_join(F.filter(F.array(*[row[f] for f in fields]), lambda x: x != ""), "\n\n").alias("text")) for role, fields in layout.parts]
