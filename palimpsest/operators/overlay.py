@@ -112,11 +112,16 @@ def apply(state: DataFrame, entries: DataFrame, width: int = BUCKET) -> DataFram
     Commutative and idempotent, so redelivered or late segments do no harm.
     """
     new = entries.where(F.col("op").isin("W", "T")).select("version", "segment", "op", "block", "blocks")
-    buckets = lambda lo, n: F.explode(F.sequence(F.floor(lo / width).cast("long"), F.floor((lo + n - 1) / width).cast("long")))
-    touched = new.where("blocks > 0").select(buckets(F.col("block"), F.col("blocks")).alias("bucket")).distinct().withColumn("hit", F.lit(True))
-    spread = state.select("*", buckets(F.col("start"), F.col("blocks")).alias("bucket")).join(touched, "bucket", "left")
-    old = spread.groupBy("version", "segment", "op", "start", "blocks").agg(F.coalesce(F.max("hit"), F.lit(False)).alias("hit"))
+    bucket = lambda at: F.floor(at / width).cast("long")
+    first, last = bucket(F.col("start")), bucket(F.col("start") + F.col("blocks") - 1)
+    touched = new.where("blocks > 0").select(F.explode(F.sequence(bucket(F.col("block")), bucket(F.col("block") + F.col("blocks") - 1))).alias("bucket")).distinct().withColumn("hit", F.lit(True))
+    columns = ["version", "segment", "op", "start", "blocks"]
+    # an extent within one bucket is asked for once; only wide ones are opened into buckets and brought together again
+    narrow = state.select(*columns).where(first == last).withColumn("bucket", first).join(touched, "bucket", "left").select(*columns, F.coalesce("hit", F.lit(False)).alias("hit"))
+    wide = state.select(*columns).where(first != last).select(*columns, F.explode(F.sequence(first, last)).alias("bucket")).join(touched, "bucket", "left")
+    wide = wide.groupBy(*columns).agg(F.coalesce(F.max("hit"), F.lit(False)).alias("hit"))
+    old = narrow.unionByName(wide)
     rows = old.where("hit").select("version", "segment", "op", F.col("start").alias("block"), "blocks").unionByName(new)
     owner = rows.groupBy("version").agg(F.first("segment").alias("segment"), F.first("op").alias("op"))
-    folded = newest_runs(rows, width=width).join(owner, "version").select("version", "segment", "op", "start", "blocks")
-    return old.where("not hit").select("version", "segment", "op", "start", "blocks").unionByName(folded)
+    folded = newest_runs(rows, width=width).join(owner, "version").select(*columns)
+    return old.where("not hit").select(*columns).unionByName(folded)
