@@ -33,16 +33,18 @@ class LiveMap:
         parts = cut(extents.select("version", "segment", "op", F.col("start").alias("lo"), (F.col("start") + F.col("blocks")).alias("hi")), "lo", "hi", self.zone_blocks)
         return parts.select(F.col("bucket").alias("zone"), "version", "segment", "op", F.col("lo").alias("start"), (F.col("hi") - F.col("lo")).alias("blocks"))
 
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        """The newest runs of ``version, segment, op, block, blocks``. The owner rides on the version, which it does not reorder, so the rows are read once."""
+        owned = rows.select(F.struct("version", "segment", "op").alias("version"), "block", "blocks")
+        return newest_runs(owned).select("version.version", "version.segment", "version.op", "start", "blocks")
+
     def _merged(self, stored: DataFrame) -> DataFrame:
-        rows = stored.select("version", "segment", "op", F.col("start").alias("block"), "blocks")
-        owner = rows.groupBy("version").agg(F.first("segment").alias("segment"), F.first("op").alias("op"))
-        return newest_runs(rows).join(owner, "version").select("version", "segment", "op", "start", "blocks")
+        return self._newest(stored.select("version", "segment", "op", F.col("start").alias("block"), "blocks"))
 
     def fold(self, entries: DataFrame, label: str = "") -> list[int]:
         """Fold entries (``version, segment, op, block, blocks``) in; the zones that were written. ``label``: the newest segment among them."""
         new = entries.where(F.col("op").isin("W", "T")).where("blocks > 0").select("version", "segment", "op", "block", "blocks")
-        own = newest_runs(new).join(new.select("version", "segment", "op"), "version")
-        zones = self.zones.append(self._cut(own), label)
+        zones = self.zones.append(self._cut(self._newest(new)), label)
         self.compact(self.zones.crowded(zones))
         return zones
 

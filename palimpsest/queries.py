@@ -552,13 +552,10 @@ def repacked_segments(spark, sf_dir):
 def live_map_in_zones(spark, sf_dir):
     """The log of all texts folded into a stored live map in three turns, the newest segments first."""
     folder = written_text_log(spark, sf_dir)
-    index = payload.index(spark, folder)
     live = LiveMap(spark, scratch_path(spark, "zones"), zone_blocks=256)
     labels = [label for label, _, _ in logformat.list_segment_files(folder)]
-    cuts = [labels[len(labels) * i // 3] for i in range(3)]
     for i in (2, 1, 0):
-        part = index.where(F.col("segment") >= cuts[i])
-        live.fold(part if i == 2 else part.where(F.col("segment") < cuts[i + 1]), labels[-1])
+        live.fold(payload.index(spark, folder, segments=labels[len(labels) * i // 3 : len(labels) * (i + 1) // 3]), labels[-1])
     return live.extents().select("start", "blocks", "segment", F.col("version.entry_index").alias("entry_index"), "op")
 
 

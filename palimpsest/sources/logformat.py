@@ -4,7 +4,7 @@
     spark.read.format("blocklog").load(folder).where("segment > '4000...'")
     rows.write.format("blocklog").option("block_size", 4096).mode("append").save(folder)
 
-A segment is a partition. The options ``after`` (a label) and ``segments`` (a JSON list of labels) choose the files before any
+A segment is a partition; with ``option("partition_bytes", n)`` neighbours that hold ``n`` bytes together at most share one. The options ``after`` (a label) and ``segments`` (a JSON list of labels) choose the files before any
 is opened. A schema without ``data`` (``.schema(...)``, or ``option("payload", "false")``) reads no payload at all. With
 ``option("push_filters", "true")``, conditions on ``segment`` choose files too, and conditions on ``op`` leave payloads unread.
 That is an option of a load, not the rule: Spark 4.1 keeps what was pushed last with the loaded DataFrame and reads by it
@@ -43,14 +43,14 @@ SCHEMA = T.StructType([
 ])
 #: Rows and bytes of payload of a batch at most (one row at least).
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+#: Bytes of small segments that ``read`` gives to one task.
+PARTITION_BYTES = 32 << 20
 MODES = ("FAILFAST", "PERMISSIVE", "DROPMALFORMED")
 
 
 @dataclass
-class Segment(InputPartition):
-    label: str
-    path: str
-    size: int
+class Segments(InputPartition):
+    files: list[tuple[str, str, int]]  # label, path, bytes
 
 
 class LogReader(DataSourceReader):
@@ -66,7 +66,7 @@ class LogReader(DataSourceReader):
         self.mode = options.get("mode", "FAILFAST").upper()
         if self.mode not in MODES:
             raise ValueError(f"mode is one of {', '.join(MODES)}")
-        self.tests, self.ops = [], None
+        self.tests, self.ops, self.partition_bytes = [], None, int(options.get("partition_bytes", 0))
         if "after" in options:
             self.tests.append(("__gt__", options["after"]))
         if "segments" in options:
@@ -74,22 +74,32 @@ class LogReader(DataSourceReader):
 
     def partitions(self):
         chosen = lambda label: all(label in v if how == "__in__" else getattr(label, how)(v) for how, v in self.tests)
-        # a folder without segments still needs a partition
-        return [Segment(*f) for f in list_segment_files(self.folder, self.include_tmp) if chosen(f[0])] or [Segment("", "", -1)]
+        out: list[Segments] = []
+        held = 0
+        for f in list_segment_files(self.folder, self.include_tmp):
+            if not chosen(f[0]):
+                continue
+            if not out or held + f[2] > self.partition_bytes:
+                out.append(Segments([]))
+                held = 0
+            out[-1].files.append(f)
+            held += f[2]
+        return out or [Segments([])]  # a folder without segments still needs a partition
 
     def read(self, partition):
-        if partition.size < 0:
-            return
+        for label, path, size in partition.files:
+            yield from self._entries(label, path, size)
+
+    def _entries(self, label: str, path: str, size: int):
         arrow = pa.schema([(f.name, pa.string() if f.dataType == _S else pa.int64() if f.dataType == _L else pa.binary()) for f in self.schema])
         rows, held, error = [], 0, None
-        system, path = system_of(self.folder)[0], partition.path
-        with system.open_input_file(path) as file:
-            pull, i = Pull(file, partition.size), 0
+        with system_of(self.folder)[0].open_input_file(path) as file:
+            pull, i = Pull(file, size), 0
             try:
                 header = read_header(pull)
                 for entry in read_entries(pull, self.payload, self.ops):
                     if self.ops is None or entry["op"] in self.ops:
-                        rows.append(entry | {"segment": partition.label, "entry_index": i, "block_size": header["block_size"]})
+                        rows.append(entry | {"segment": label, "entry_index": i, "block_size": header["block_size"]})
                         held += len(entry["data"] or b"")
                     i += 1
                     if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
@@ -97,10 +107,10 @@ class LogReader(DataSourceReader):
                         rows, held = [], 0
             except (Truncated, Damaged, ValueError, OSError) as e:
                 if self.mode == "FAILFAST":
-                    raise ValueError(f"segment {partition.label}: {e}") from e
+                    raise ValueError(f"segment {label}: {e}") from e
                 error = str(e) or type(e).__name__
         if error and self.mode == "PERMISSIVE" and self.ops is None and "error" in arrow.names:
-            rows.append({"segment": partition.label, "entry_index": i, "entry_offset": pull.place, "error": error})
+            rows.append({"segment": label, "entry_index": i, "entry_offset": pull.place, "error": error})
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
@@ -229,7 +239,7 @@ def register(spark: SparkSession) -> None:
 def read(spark: SparkSession, folder: str, columns: list[str] | None = None, mode: str = "FAILFAST", include_tmp: bool = False, after: str | None = None, segments: list[str] | None = None) -> DataFrame:
     """The entries of a folder's segments (newer than ``after``, among ``segments``); payloads are read where ``columns`` (default: all) hold ``data``."""
     register(spark)
-    reader = spark.read.format(NAME).schema(SCHEMA if columns is None else T.StructType([SCHEMA[c] for c in columns])).option("mode", mode).option("include_tmp", str(include_tmp))
+    reader = spark.read.format(NAME).schema(SCHEMA if columns is None else T.StructType([SCHEMA[c] for c in columns])).option("mode", mode).option("include_tmp", str(include_tmp)).option("partition_bytes", PARTITION_BYTES)
     if after is not None:
         reader = reader.option("after", after)
     if segments is not None:
