@@ -34,10 +34,12 @@ def test_payload_crc32c_and_image_writes(spark):
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     got = {r["doc_id"]: r["checksum"] for r in QUERIES["payload_crc32c"](spark, SF).collect()}
     assert got == {i: crc32c(t) for i, t in texts.items()}
-    content = bytearray(b"a" * (4000 * 256)) + bytes(max(texts) * 40_000 + 80_000)
-    for i, t in texts.items():
-        t = t[:40_000]
-        content[i * 40_000 : i * 40_000 + len(t)] = t
+    total = sum(len(t) + 7 for t in texts.values())
+    content = bytearray(b"a" * (total // 512 * 256)).ljust(-(-total // 256) * 256, b"\0")
+    at = 0
+    for _, t in sorted(texts.items()):  # whole texts, seven bytes apart
+        content[at : at + len(t)] = t
+        at += len(t) + 7
     rows = {r["cluster"]: r["data_sha256"] for r in QUERIES["image_writes"](spark, SF).collect()}
     for c in range(len(content) // 256):
         part = bytes(content[c * 256 : (c + 1) * 256])
