@@ -225,3 +225,17 @@ def test_query_equals_sql(spark, name):
     got = QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(names)
     assert sorted(str(tuple(r[c] for c in names)) for r in got.collect()) == sorted(map(str, cursor.fetchall()))
+
+
+def test_texts_of_megabytes(spark, items, tmp_path):
+    """Longer than a piece of the automaton and than a block of the index; one of them has a word of two megabytes."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(1_500_000)), "the w1 " + "z" * 2_000_000 + " w2 w2", "w1 w2 the"]
+    assert len(texts[0]) > words.PIECE
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [tuple(r) for r in items.collect()]
+    got = lexical.search(lexical.index(docs, str(tmp_path / "i"), block_bytes=1 << 20), items)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == ranked(list(enumerate(texts)), rows)
+    assert sorted(str(tuple(r)) for r in resample.resample(docs, items, percent=50).collect()) == drawn(list(enumerate(texts)), [t for _, t in rows], 50, 2024)
+    sizes = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in slots.shard(docs, shards=2).collect()}
+    assert sizes == {i: (len(t) + 8, zlib.crc32(t.encode())) for i, t in enumerate(texts)}
