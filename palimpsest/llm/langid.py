@@ -163,7 +163,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
 
     Null text, or text without a letter: ``und`` with score 0. A model that learned from no rows
     says ``und`` to all. Rows are scored alone, so repeated rows agree. Ties of votes go to the
-    larger sum of margins, then to the first language by name.
+    larger sum of margins, then to the first language by name. An empty table gives no rows. A very long text is
+    counted whole by one task. The added columns replace input columns of the same names.
     """
 
     def start():

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from palimpsest.llm.batches import LOWER_TABLE, SPACE_TABLE, append_columns, flat, groups, mix, shingle_hashes, span_hashes, spans
+from palimpsest.llm.batches import LOWER_TABLE, SPACE_TABLE, append_columns, flat, fresh, groups, mix, shingle_hashes, span_hashes, spans
 from palimpsest.runtime import Scratch, prepare, stored
 
 #: 24 bands of 6: two sets of similarity 0.85 share no band with chance 1.2e-5, of 0.8 with 7e-4 at 24 and 2e-5 at 36.
@@ -360,7 +360,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, similarity: int = 85, id_
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept: one of each component (its smallest id, then digest of the text), and all without an id.
 
-    Only rows that are equal in id and text become one; an id beside several unlike texts keeps them all.
+    Only rows that are equal in id and text become one; an id beside several unlike texts keeps them all. Texts without
+    words (null, empty) are linked with nothing and stay. An empty table stays empty. Other columns stay, whatever their
+    names. Very long texts are sketched whole, one at a time.
     """
     prepare(docs.sparkSession)
     scratch, rows = Scratch(docs.sparkSession), keyed(docs, id_col, text_col)
@@ -370,6 +372,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: int = 80, id_col: st
     chosen = known.where("n_shingles > 0").join(of_class, "digest").groupBy("label").agg(F.min(F.struct("doc_id", "body")).alias("one")).select("one.*")
     keys = stored(chosen.union(known.where("n_shingles = 0").select("doc_id", "body")).select(F.col("doc_id").alias("__id"), F.col("body").alias("__body")), "kept")
     scratch.drop()
-    own = docs.withColumn("__own", F.coalesce(F.unhex(F.md5(docs[text_col].cast("binary"))), F.lit(b"")))
-    left = own.join(keys, (own[id_col].cast("long") == keys["__id"]) & (own["__own"] == keys["__body"]), "left_semi").dropDuplicates([id_col, "__own"])
-    return left.union(own.where(F.col(id_col).isNull())).drop("__own")
+    digest = fresh(docs, "__own")
+    own = docs.withColumn(digest, F.coalesce(F.unhex(F.md5(docs[text_col].cast("binary"))), F.lit(b"")))
+    left = own.join(keys, (own[id_col].cast("long") == keys["__id"]) & (own[digest] == keys["__body"]), "left_semi").dropDuplicates([id_col, digest])
+    return left.union(own.where(F.col(id_col).isNull())).drop(digest)

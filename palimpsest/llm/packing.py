@@ -76,7 +76,9 @@ def harmonic_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
     """One row per piece: id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
 
     Null or empty text: its end id alone. Repeated rows and null ids are packed as documents of
-    their own. An empty table gives no rows. Only the two named columns are read; others are ignored.
+    their own. An empty table gives no rows. Only the two named columns are read; others are ignored. A very long text
+    is encoded whole by one task, whose memory follows its length, and cut into pieces. Pieces of equal length go to their class's open
+    bin in the order of their rows in a task.
     """
     prepare(docs.sparkSession)
     id_field = docs.schema[id_col]

@@ -530,7 +530,9 @@ def personal_data(docs: DataFrame, model: Field, text_col: str = "text", keep: l
     """``docs`` with counts of base spans, ``base_sha256`` and ``spans``.
 
     Null and empty texts have no spans (the digest of an empty string). Spans are code points, end
-    exclusive. Rows are searched alone: repeated rows agree, an empty table gives no rows.
+    exclusive. Rows are searched alone: repeated rows agree, an empty table gives no rows. A very long text is
+    searched whole by one task, whose memory follows its length. The added columns replace input columns of
+    the same names.
     """
 
     def start():
@@ -550,7 +552,11 @@ def personal_data(docs: DataFrame, model: Field, text_col: str = "text", keep: l
 
 
 def redact(docs: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
-    """``docs`` with each span replaced by its kind in brackets; overlapping spans become one. Null stays null."""
+    """``docs`` with each span replaced by its kind in brackets; overlapping spans become one. Null stays null.
+
+    All other columns stay, whatever their names; repeated rows stay repeated, and an empty table stays empty. A very
+    long text is redacted whole by one task.
+    """
 
     def clean(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
         if not spans:

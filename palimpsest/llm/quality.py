@@ -243,8 +243,8 @@ def quality_rules(docs: DataFrame, model: tuple[Trees, float], text_col: str = "
     """``docs`` with exact counts, ``base_failed``, ``quality_score`` and ``kept``.
 
     Null and empty texts have no words and fail. Rows are scored alone: repeated rows get equal
-    verdicts, ties with the cut are kept, an empty table gives no rows. The added columns replace
-    input columns of the same names.
+    verdicts, ties with the cut are kept, an empty table gives no rows. A very long text is
+    counted whole by one task, whose memory follows its length. The added columns replace input columns of the same names.
     """
     trees, cut = model
 
