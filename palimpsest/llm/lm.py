@@ -2,12 +2,12 @@
 
 Words are counted over the whole training corpus. The whole vocabulary is factored into classes
 within classes of ``WAYS`` each: the frequent words by equal shares of their mass, so a word of
-share p lies about log16(1/p) classes deep; all rarer words (and those met fewer than ``LEAST`` times,
-which tell how the unknown come) behind one class, by the digits of their hash, as deep as their
-number asks for. Each choice of a class is a softmax over hashed n-gram and
-skip features (the word before, the pair before, the last very frequent word within a reach),
-started at the counts' shares. At the end of the digits a rare word has its add-one share, as does
-one unknown word, so the model is a distribution. The hashed tables grow with the corpus. Each task
+share p lies about log16(1/p) classes deep; all rarer words behind one class, by the digits of their
+hash, as deep as their number asks for. Each choice of a class is a softmax over hashed n-gram and
+skip features (the word before, the one before that, the last very frequent word within a reach,
+the pair before), started at the counts' shares. At the end of the digits a rare word has its add-one share, as does
+one unknown word, so the model is a distribution. The hashed tables have a row for about 16 tokens, up
+to 2^18 rows a feature (what a task holds and sends); from there on more text fills them better. Each task
 runs AdaGrad over the documents it reads from the common start; each table row is averaged over the
 tasks that moved it, by how often they did. Scoring is numpy over sparse feature rows. The counts of
 the ``known`` most frequent words travel with the code (a bound, not a cap): rarer words get theirs
@@ -30,17 +30,15 @@ from palimpsest.runtime import prepare, stored
 WAYS = 16
 #: Frequent words whose counts are sent to every task.
 KNOWN = 1 << 17
-#: Occurrences of a word with classes of its own, at least.
-LEAST = 4
 #: Words that contexts tell apart (others: 256 groups), and very frequent ones that a skip may look back to.
 CONTEXT, ANCHORS = 4096, 128
 #: Tokens that a skip looks back at most, and tokens whose choices are laid out at a time.
 LOOK, PIECE = 32, 1 << 15
-#: Bits of a feature's table: least, most.
-BITS = 10, 17
+#: Bits of a feature's table: least, most (four tables of the most: 67 MB a copy), tokens a row by powers of two.
+BITS, TOKENS_A_ROW = (10, 18), 4
 #: The end token's stand-in among word hashes.
 END = np.uint64(0x5EED0FE11D)
-FEATURES, FIRST_BATCH, MINIBATCH, RATE = 3, 512, 1 << 14, 0.2
+FEATURES, FIRST_BATCH, MINIBATCH, RATE = 4, 512, 1 << 14, 0.2
 #: Blocks of the parameters, and tasks whose updates are added at a time.
 BLOCKS, FAN = 32, 64
 #: Levels of hash digits of rare words at most.
@@ -233,7 +231,7 @@ class Model:
         here = mix(node.astype(np.uint64) + np.uint64(0x51))
         shift = np.uint64(64 - self.bits)
         kind = np.uint16 if self.bits <= 16 else np.uint32
-        cells = [(mix((v * np.uint64(8) + np.uint64(f))[token] ^ here) >> shift).astype(kind) for f, v in enumerate((back[0], anchor, pair))]
+        cells = [(mix((v * np.uint64(8) + np.uint64(f))[token] ^ here) >> shift).astype(kind) for f, v in enumerate((back[0], back[1], anchor, pair))]
         return rank, token, node, digit, np.stack(cells, axis=1)
 
     def forward(self, node: np.ndarray, digit: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -371,8 +369,7 @@ def fit(docs: DataFrame, text_col: str = "text", known: int = KNOWN) -> tuple[Mo
     words, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(-n, kind="stable")
     words, n = words[order], n[order]
-    # words met a few times are like those never met: they share digits with the unknown one
-    own = int((n >= LEAST).sum())
+    own = len(words)
     # the mass of rare words by hash digits: all words' less those of their own classes
     levels = int(np.clip(np.ceil(np.log(max(1, int(total["v"]) - own) / 256) / np.log(WAYS)), 0, DIGITS))
     rare = np.ones(WAYS**levels)
@@ -384,7 +381,7 @@ def fit(docs: DataFrame, text_col: str = "text", known: int = KNOWN) -> tuple[Mo
         np.subtract.at(rare, (words[:own] >> lead).astype(np.int64), n[:own] + 1)
     else:
         rare[0] += int(total["n"]) + int(total["v"]) - int((n[:own] + 1).sum())
-    bits = int(np.clip(np.ceil(np.log2(max(2, int(total["n"]))) / 2) + 1, *BITS))
+    bits = int(np.clip(np.ceil(np.log2(max(2, int(total["n"])))) - TOKENS_A_ROW, *BITS))
     return train(docs, Model.start(words, n, own, int(total["n"]), int(total["v"]), rare, bits), text_col), counts
 
 
