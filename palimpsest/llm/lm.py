@@ -6,8 +6,9 @@ share p lies about log16(1/p) classes deep; all rarer words behind one class, by
 hash, as deep as their number asks for. Each choice of a class is a softmax over hashed n-gram and
 skip features (the word before, the one before that, the last very frequent word within a reach,
 the pair before), started at the counts' shares. At the end of the digits a rare word has its add-one share, as does
-one unknown word, so the model is a distribution. The hashed tables have a row for about 16 tokens, up
-to 2^18 rows a feature (what a task holds and sends); from there on more text fills them better. Each task
+one unknown word, so the model is a distribution. The hashed tables have a row for about
+``TOKENS`` tokens, up to 2^18 rows a feature (what a task holds and sends); from there on more text fills
+them better. A task learns from ``TASK_TOKENS`` tokens a row or more, so that updates are in proportion to the texts. Each task
 runs AdaGrad over the documents it reads from the common start; each table row is averaged over the
 tasks that moved it, by how often they did. Scoring is numpy over sparse feature rows. The counts of
 the ``known`` most frequent words travel with the code (a bound, not a cap): rarer words get theirs
@@ -34,8 +35,10 @@ KNOWN = 1 << 17
 CONTEXT, ANCHORS = 4096, 128
 #: Tokens that a skip looks back at most, and tokens whose choices are laid out at a time.
 LOOK, PIECE = 32, 1 << 15
-#: Bits of a feature's table: least, most (four tables of the most: 67 MB a copy), tokens a row by powers of two.
-BITS, TOKENS_A_ROW = (10, 18), 4
+#: Bits of a feature's table: least, most (four tables of the most: 67 MB a copy).
+BITS = 10, 18
+#: Tokens for each row of a table, in all and in one task.
+TOKENS, TASK_TOKENS = 128, 16
 #: The end token's stand-in among word hashes.
 END = np.uint64(0x5EED0FE11D)
 FEATURES, FIRST_BATCH, MINIBATCH, RATE = 4, 512, 1 << 14, 0.2
@@ -344,7 +347,8 @@ def train(docs: DataFrame, model: Model, text_col: str) -> Model:
         return pa.table({"block": table.column("block")[:1], "task": table.column("task")[:1], "weight": pa.array([weight.astype(np.float32).tobytes()], pa.binary()), "moved": pa.array([total.astype(np.float16).tobytes()], pa.binary())})
 
     schema = "block int, task long, weight binary, moved binary"
-    source = docs.select(docs[text_col].cast("string"))
+    # small partitions are read together, without an exchange
+    source = docs.select(docs[text_col].cast("string")).coalesce(max(1, model.total // (TASK_TOKENS * size)))
     rows, left = source.mapInArrow(run, schema), source.rdd.getNumPartitions()
     while True:  # a tree of sums: no task meets more than ``FAN`` updates of a block
         left = -(-left // FAN)
@@ -381,7 +385,7 @@ def fit(docs: DataFrame, text_col: str = "text", known: int = KNOWN) -> tuple[Mo
         np.subtract.at(rare, (words[:own] >> lead).astype(np.int64), n[:own] + 1)
     else:
         rare[0] += int(total["n"]) + int(total["v"]) - int((n[:own] + 1).sum())
-    bits = int(np.clip(np.ceil(np.log2(max(2, int(total["n"])))) - TOKENS_A_ROW, *BITS))
+    bits = int(np.clip(np.ceil(np.log2(max(1, int(total["n"]) / TOKENS))), *BITS))
     return train(docs, Model.start(words, n, own, int(total["n"]), int(total["v"]), rare, bits), text_col), counts
 
 
