@@ -32,8 +32,8 @@ ITEMS, ITEM_BYTES = 4096, 8 << 20
 STEP = 4096
 #: Parts that an item's results are merged in before they meet.
 MERGE_PARTS = 64
-#: Rows of a row group of the index in bytes, so that a reader holds few blocks at a time.
-ROW_GROUP = 16 << 20
+#: Blocks of a row group of the index: writers and readers hold a row group whole, and Parquet looks at its bytes only every hundred rows.
+GROUP_BLOCKS = 1
 
 _INTS = T.ArrayType(T.IntegerType())
 
@@ -114,7 +114,7 @@ def index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         yield from made()
 
     made = docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(run, schema)
-    made.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    made.write.option("parquet.block.row.count.limit", GROUP_BLOCKS).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

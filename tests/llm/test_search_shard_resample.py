@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,14 @@ def test_search_equals_every_score(spark, docs, items, tmp_path, block, monkeypa
     assert sorted((tuple(r) for r in got.collect()), key=str) == want
 
 
+def test_no_reader_meets_two_blocks_of_the_index_at_once(spark, docs, tmp_path):
+    """A row group is read whole, so one that holds a task's blocks grows with the input."""
+    lexical.index(docs.coalesce(1), str(tmp_path / "i"), block_bytes=3000)
+    files = [pq.read_metadata(f) for f in (tmp_path / "i").glob("*.parquet")]
+    sizes = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert len(sizes) > 10 and set(sizes) == {1}
+
+
 def test_search_stops_early_and_ends_right(monkeypatch):
     """Bounds end a block before its last posting; the scores are whole."""
     rng = random.Random(5)
