@@ -60,8 +60,9 @@ def parse_size_c(text: Column) -> Column:
 
 def utc_nanos(ns: Column) -> Column:
     """``2024-01-02 03:04:05.000000006`` of nanoseconds since 1970."""
-    seconds = F.floor(ns / F.lit(1_000_000_000)).cast("long")
-    return F.concat(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss"), F.lit("."), F.lpad((ns % 1_000_000_000).cast("string"), 9, "0"))
+    rest = F.pmod(ns, F.lit(1_000_000_000))
+    seconds = F.call_function("div", ns, F.lit(1_000_000_000)) - F.when(ns % 1_000_000_000 < 0, 1).otherwise(0)  # whole numbers, as a double drops nanoseconds
+    return F.concat(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss"), F.lit("."), F.lpad(rest.cast("string"), 9, "0"))
 
 
 def align_up(n: Column, to: int = 4096) -> Column:

@@ -160,3 +160,10 @@ def test_functions(spark):
     assert one(L.label_from_path(F.lit("/a/disk.4000.log"))) == "4000"
     assert one(L.log_key("p/", "v", F.lit("7"))) == "p/v/disk.7.log"
     assert one(image.is_zero(F.lit(bytes(9)))) and not one(image.is_zero(F.lit(b"\0\1")))
+
+
+def test_times_keep_their_second(spark):
+    """The last nanoseconds of a second, where doubles round up to the next, and times before 1970."""
+    made = [(1_700_000_000_999_999_999, "2023-11-14 22:13:20.999999999"), (1_706_659_199_999_999_900, "2024-01-30 23:59:59.999999900"), (-1, "1969-12-31 23:59:59.999999999"), (-1_000_000_000, "1969-12-31 23:59:59.000000000"), (0, "1970-01-01 00:00:00.000000000")]
+    rows = spark.createDataFrame(made, "ns long, want string").select(L.utc_nanos(F.col("ns")).alias("got"), "want").collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]
