@@ -461,10 +461,11 @@ w AS (SELECT cluster, rpad(string_agg(h, '' ORDER BY lo), 512, '0') AS h FROM c
 def _written_image(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
     sized = docs.withColumn("length", F.octet_length("data").cast("long")).withColumn("cell", F.floor(F.col("doc_id") / 1000).cast("long"))
-    placed = stored(numbered(sized, ["cell"], ["doc_id"], F.col("length") + 7).withColumnRenamed("before", "offset"), "placed")
-    end = placed.agg(F.coalesce(F.max(F.col("offset") + F.col("length") + 7), F.lit(0)).alias("n")).first()["n"]
+    end = sized.agg(F.coalesce(F.sum(F.col("length") + 7), F.lit(0)).alias("n")).first()["n"]
+    parts = image.parts_for(end)
+    placed = stored(numbered(sized.repartition(parts, "cell"), ["cell"], ["doc_id"], F.col("length") + 7).withColumnRenamed("before", "offset"), "placed")
     base = spark.range(0, end // 512).select(F.col("id").alias("cluster"), F.unhex(F.repeat(F.lit("61"), 256)).alias("data"))
-    return image.from_pieces(placed.where("length > 0").select("offset", "length", "data"), base, 256)
+    return image.from_pieces(placed.where("length > 0").select("offset", "length", "data"), base, 256, parts=parts)
 
 
 @query(_IMAGE_SQL + " SELECT cluster, CASE WHEN h <> repeat('0', 512) THEN sha256(unhex(h)) END AS data_sha256 FROM w")

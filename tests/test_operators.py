@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import labels as L
 from palimpsest.functions.checks import crc32c, crc32c_col, lz4_compress, lz4_decompress
 from palimpsest.operators import changes, image, intervals, overlay
+from palimpsest.queries import _written_image
 
 
 def fold(ops):
@@ -146,6 +147,16 @@ def test_layers_and_pieces(spark):
     assert got == {0: ("primary", b"pppp"), 1: ("base", b"bbbb"), 3: ("trimmed", bytes(4))}
 
 
+def test_no_task_holds_more_of_a_larger_image(spark, tmp_path, monkeypatch):
+    """Partitions follow the bytes of the texts, not the session's setting."""
+    monkeypatch.setattr(image, "PART_BYTES", 1 << 14)
+    for n in (200, 800):
+        spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("é1"), 200 + (F.col("id") % 7).cast("int")).alias("text")).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        made = _written_image(spark, f"{tmp_path}/{n}")
+        held = [r["n"] for r in made.groupBy(F.spark_partition_id()).agg(F.sum(F.coalesce(F.length("data"), F.lit(0))).alias("n")).collect()]
+        assert sum(held) > n * 600 and max(held) < 3 << 14
+
+
 def test_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
     assert crc32c(b"123456789") == 0xE3069283
