@@ -478,8 +478,8 @@ def image_writes(spark, sf_dir):
 SELECT cluster, sha256(unhex(h)) AS data_sha256 FROM f WHERE h <> repeat('0', 8192)""")
 def image_file_clusters(spark, sf_dir):
     """The image of all texts written as an image file of 4 KiB clusters by many tasks, and read back."""
-    parts = _written_image(spark, sf_dir).where("data is not null")
-    whole = image.from_pieces(parts.select((F.col("cluster") * 256).alias("offset"), F.lit(256).cast("long").alias("length"), "data"), spark.createDataFrame([], "cluster long, data binary"), 4096)
+    small = stored(_written_image(spark, sf_dir).where("data is not null"), "small")
+    whole = image.from_pieces(image.to_pieces(small, 256), spark.createDataFrame([], "cluster long, data binary"), 4096, parts=image.parts_for(small.count() * 256))
     whole = stored(whole, "clusters")
     size = (whole.agg(F.coalesce(F.max("cluster"), F.lit(0)).alias("n")).first()["n"] + 1) * 4096
     folder = scratch_path(spark, "image")

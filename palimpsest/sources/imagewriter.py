@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 from palimpsest.functions.checks import crc32c, lz4_pack
+from palimpsest.operators.image import parts_for
 from palimpsest.runtime import Scratch, prepare
 from palimpsest.sources.imagefile import ALIGN, PACKED, TRAILER, new_header
 
@@ -82,7 +83,8 @@ def write_clusters(clusters: DataFrame, path: str, virtual_size: int, cluster_bi
         f.truncate(at)
 
     before = F.coalesce(F.sum("size").over(Window.partitionBy("table").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.join(cells.select("table", "cell", before.alias("before")), ["table", "cell"]).repartition("table", "cell").sortWithinPartitions("table", "cell", "cluster")
+    dealt = rows.repartition(parts_for(counters["stored_bytes"]), "table", "cell")
+    placed = dealt.join(cells.select("table", "cell", before.alias("before")), ["table", "cell"]).sortWithinPartitions("table", "cell", "cluster")
     entries = h.entries
 
     def write(batches):
