@@ -35,6 +35,8 @@ KNOWN = 1 << 17
 CONTEXT, ANCHORS = 4096, 128
 #: Tokens that a skip looks back at most, and tokens whose choices are laid out at a time.
 LOOK, PIECE = 32, 1 << 15
+#: Choices worked on at a time: 256 KB, which stay in a core's cache.
+NEAR = 1 << 12
 #: Bits of a feature's table: least, most (four tables of the most: 67 MB a copy).
 BITS = 10, 18
 #: Tokens for each row of a table, in all and in one task.
@@ -135,6 +137,23 @@ class Lookup:
         return out
 
 
+class Space:
+    """Rows of ``WAYS`` numbers to work in, by name, used again and again: new ones of megabytes cost a page fault every 4 KB."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, rows: int, like: np.ndarray) -> np.ndarray:
+        held = self.held.get(name)
+        if held is None or len(held) < rows or held.shape[1:] != like.shape[1:] or held.dtype != like.dtype:
+            held = self.held[name] = np.empty((rows + rows // 8, *like.shape[1:]), like.dtype)
+        return held[:rows]
+
+    def take(self, name: str, table: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """``table[index]``; every index lies in the table (``clip`` only spares numpy a copy)."""
+        return table.take(index, axis=0, out=self(name, len(index), table), mode="clip")
+
+
 def factored(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes within classes of words by equal shares of ``mass`` (descending): each word's nodes and digits (-1 behind its last), each node's log shares."""
     n = len(mass)
@@ -192,6 +211,7 @@ class Model:
         # rare words are the last of the frequent ones' classes, as one word
         self.nodes, self.digits, self.bias = factored(np.append(self.counts[: self.own] + 1.0, self.rare.sum()))
         self.depth = (self.nodes >= 0).sum(axis=1)
+        self.packed = (self.nodes.astype(np.int64) * WAYS + self.digits).ravel()
         base, mass = [len(self.bias)], self.rare
         tables = []
         for _ in range(self.levels):
@@ -202,22 +222,25 @@ class Model:
             self.first.append(base[-1])
             base.append(base[-1] + len(table))
             self.bias = np.concatenate([self.bias, np.log(table).astype(np.float32)])
+        self.bias -= self.bias.max(axis=1, keepdims=True)  # so that exponentials need no other care, as a rule
+        self.space = Space()
         return self
 
     def choices(self, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
         """Ranks (-1: rare), and of each choice of a class: its token, node, digit and hashed features (one column a feature)."""
         rank = self.lookup(hashes)
         word = np.where((rank >= 0) & (rank < self.own), rank, self.own)
-        depth = self.depth[word] + np.where(word == self.own, self.levels, 0)
+        behind = np.flatnonzero(word == self.own)  # these go on by their hash digits
+        depth = self.depth.take(word)
+        depth[behind] += self.levels
+        after = np.cumsum(depth)
+        n = int(after[-1]) if len(after) else 0
         token = np.repeat(np.arange(len(hashes)), depth)
-        level = np.arange(len(token)) - np.repeat(np.cumsum(depth) - depth, depth)
-        word = word[token]
-        inner = level - self.depth[word]  # of hash digits
-        at = np.minimum(level, self.nodes.shape[1] - 1)
-        node, digit = self.nodes[word, at], self.digits[word, at].astype(np.int64)
+        packed = self.packed.take(np.repeat(word * self.nodes.shape[1] - after + depth, depth) + np.arange(n), mode="clip")
+        node, digit = packed // WAYS, packed % WAYS
         for l in range(self.levels):
-            deep = np.flatnonzero(inner == l)
-            head = (hashes[token[deep]] >> np.uint64(64 - 4 * (l + 1))).astype(np.int64)
+            deep = after[behind] - self.levels + l
+            head = (hashes[behind] >> np.uint64(64 - 4 * (l + 1))).astype(np.int64)
             node[deep], digit[deep] = self.first[l] + head // WAYS, head % WAYS
         # contexts: a rare word counts as one of 256 groups
         seen = np.where((rank >= 0) & (rank < CONTEXT), rank, (CONTEXT + (hashes >> np.uint64(56)).astype(np.int64))).astype(np.uint64) + np.uint64(1)
@@ -231,22 +254,42 @@ class Model:
         last = np.concatenate([[-1], last[:-1]])
         anchor = np.where((last >= 0) & (place - last <= LOOK) & (rows[last] == rows), seen[last], 0).astype(np.uint64)
         pair = back[0] * np.uint64(1 << 20) + back[1]
-        here = mix(node.astype(np.uint64) + np.uint64(0x51))
+        here = mix(node.view(np.uint64) + np.uint64(0x51))
         shift = np.uint64(64 - self.bits)
         kind = np.uint16 if self.bits <= 16 else np.uint32
-        cells = [(mix((v * np.uint64(8) + np.uint64(f))[token] ^ here) >> shift).astype(kind) for f, v in enumerate((back[0], back[1], anchor, pair))]
-        return rank, token, node, digit, np.stack(cells, axis=1)
+        cells = [(mix(np.repeat(v * np.uint64(8) + np.uint64(f), depth) ^ here) >> shift).astype(kind) for f, v in enumerate((back[0], back[1], anchor, pair))]
+        return rank, token, node, digit, np.stack(cells).T  # each feature's column in one piece
 
-    def forward(self, node: np.ndarray, digit: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Natural log probability of each choice, and the probabilities of all classes there."""
-        z = self.bias.take(node, axis=0)
+    def _logits(self, node: np.ndarray, cells: np.ndarray, out: np.ndarray) -> np.ndarray:
+        self.bias.take(node, axis=0, out=out, mode="clip")
         for f in range(FEATURES):
-            z += self.tables[f].take(cells[:, f], axis=0)
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        s = p.sum(axis=1, keepdims=True)
-        p /= s
-        return z[np.arange(len(digit)), digit] - np.log(s[:, 0]), p
+            out += self.space.take("row", self.tables[f], cells[:, f])
+        return out
+
+    def odds(self, node: np.ndarray, digit: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Natural log probability of each choice, the odds of all classes there (in the model's own space, until the next call) and their sums."""
+        n = len(node)
+        odds, sums, value = self.space("odds", n, self.bias), np.empty(n, np.float32), np.empty(n, np.float32)
+        for a in range(0, n, NEAR):
+            part = slice(a, min(a + NEAR, n))
+            z = self._logits(node[part], cells[part], odds[part])
+            at = np.arange(0, z.size, WAYS) + digit[part]
+            chosen = z.ravel().take(at)
+            with np.errstate(over="ignore"):
+                s = np.einsum("ij->i", np.exp(z, out=z))
+            if not (s.min() > 1e-30 and s.max() < 1e30):  # weights far out: from each row's greatest
+                z = self._logits(node[part], cells[part], z)
+                z -= z.max(axis=1, keepdims=True)
+                chosen = z.ravel().take(at)
+                s = np.einsum("ij->i", np.exp(z, out=z))
+            sums[part], value[part] = s, chosen - np.log(s)
+        return value, odds, sums
+
+    def forward(self, node: np.ndarray, digit: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log probability of each choice, and the probabilities of all classes there (until the next call)."""
+        value, p, s = self.odds(node, digit, cells)
+        p /= s[:, None]
+        return value, p
 
     def log_probabilities(self, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks and natural log probabilities of tokens (a rare one's: of its digits), piece by piece, contexts whole."""
@@ -254,56 +297,88 @@ class Model:
         for a in range(0, len(hashes), PIECE):
             lo, hi = max(0, a - LOOK), min(a + PIECE, len(hashes))
             rank, token, node, digit, cells = self.choices(hashes[lo:hi], rows[lo:hi])
-            value = np.concatenate([self.forward(node[b : b + MINIBATCH], digit[b : b + MINIBATCH], cells[b : b + MINIBATCH])[0] for b in range(0, len(node), MINIBATCH)])
+            value = np.concatenate([self.odds(node[b : b + MINIBATCH], digit[b : b + MINIBATCH], cells[b : b + MINIBATCH])[0] for b in range(0, len(node), MINIBATCH)])
             ranks[a:hi], values[a:hi] = rank[a - lo :], np.bincount(token, value, hi - lo)[a - lo :]
         return ranks, values
 
     def learn(self, node: np.ndarray, digit: np.ndarray, cells: np.ndarray, squares: list[np.ndarray], moved: list[np.ndarray]) -> None:
         """One AdaGrad step; ``moved`` counts the choices of each row."""
+        near = _by_row(cells[:, 0])  # choices of one row of the first feature, so of one node, lie together: fewer places in memory
+        node, digit, cells = node.take(near), digit.take(near), np.stack([c.take(near) for c in cells.T]).T
         _, p = self.forward(node, digit, cells)
-        p[np.arange(len(digit)), digit] -= 1
+        p.ravel()[np.arange(0, p.size, WAYS) + digit] -= 1
         for f in range(FEATURES):
-            _update(self.tables[f], squares[f], moved[f], cells[:, f], p)
+            _update(self.tables[f], squares[f], moved[f], cells[:, f], p, self.space)
 
 
-def _update(table: np.ndarray, square: np.ndarray, moved: np.ndarray, index: np.ndarray, grad: np.ndarray) -> None:
-    """Adds each choice's gradient to its feature row: sort by row (radix), sum runs, scale by row."""
-    order = np.argsort(index, kind="stable")
-    rows = index[order]
-    fresh = np.concatenate([[True], rows[1:] != rows[:-1]])
-    sums, first = _run_sums(grad, order, fresh)
-    at = rows[first]
-    square[at] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
-    sums *= (RATE / np.sqrt(square[at]))[:, None]
-    table[at] = table.take(at, axis=0) - sums
-    starts = np.flatnonzero(fresh)
-    moved[rows[starts]] += np.diff(starts, append=len(rows))
+def _by_row(index: np.ndarray) -> np.ndarray:
+    """The stable order of table rows. Numpy sorts 16 bits by radix, more by merges: so in two passes."""
+    if (index[1:] >= index[:-1]).all():
+        return np.arange(len(index))
+    low = np.argsort(index.astype(np.uint16), kind="stable")
+    return low if index.dtype == np.uint16 else low.take(np.argsort((index >> 16).astype(np.uint16).take(low), kind="stable"))
 
 
-def _run_sums(values: np.ndarray, source: np.ndarray, fresh: np.ndarray, piece: int = 16) -> tuple[np.ndarray, np.ndarray]:
+def _update(table: np.ndarray, square: np.ndarray, moved: np.ndarray, index: np.ndarray, grad: np.ndarray, space: Space) -> None:
+    """Adds each choice's gradient to its feature row: sort by row (radix), sum runs, scale by row."""
+    order = _by_row(index)
+    rows = index.take(order)
+    fresh = np.concatenate([[True], rows[1:] != rows[:-1]])
+    sums, first = _run_sums(grad, order, fresh, space=space)
+    at = rows.take(first).astype(np.int64)
+    squared = square.take(at) + np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
+    square[at] = squared
+    sums *= (RATE / np.sqrt(squared))[:, None]
+    now = space.take("now", table, at)
+    now -= sums
+    whole = f"V{table.itemsize * table.shape[1]}"  # a row as one item
+    table.view(whole)[:, 0][at] = now.view(whole)[:, 0]
+    np.add.at(moved, rows.astype(np.int64), 1)
+
+
+def _run_sums(values: np.ndarray, source: np.ndarray, fresh: np.ndarray, piece: int = 16, space: Space | None = None, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the rows ``source`` of ``values`` by run (``fresh``: a run's first), and where each run starts.
 
     Runs are cut into pieces; the pieces, longest first, add up their j-th rows together for each j,
     whole rows at a time. Pieces of one run are summed likewise. Runs come in no set order.
     """
+    space = space or Space()
     starts = np.flatnonzero(fresh)
-    place = np.arange(len(source)) - np.repeat(starts, np.diff(starts, append=len(source)))
-    cuts = np.flatnonzero(place % piece == 0)
-    lengths = np.diff(cuts, append=len(source))
-    order = np.argsort((piece - lengths).astype(np.uint16), kind="stable")
-    longest_first = cuts[order]
-    sums = values.take(source[longest_first], axis=0)
+    cuts, lengths = starts, np.diff(starts, append=len(source))
+    long = np.flatnonzero(lengths > piece)
+    if len(long):
+        more = (lengths[long] - 1) // piece
+        place = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+        cut = fresh.copy()
+        cut[np.repeat(starts[long], more) + piece * place] = True
+        cuts = np.flatnonzero(cut)
+        lengths = np.diff(cuts, append=len(source))
+    order = np.argsort((piece - lengths).astype(np.uint8), kind="stable")
+    longest_first = cuts.take(order)
+    sums = space.take(f"sums {level}", values, source.take(longest_first))
     longer = np.cumsum(np.bincount(lengths, minlength=piece + 1)[::-1])[::-1]  # pieces of j rows or more
     for j in range(1, piece):
         if not (n := longer[j + 1]):
             break
-        sums[:n] += values.take(source[longest_first[:n] + j], axis=0)
+        sums[:n] += space.take("more", values, source.take(longest_first[:n] + j))
     if len(cuts) == len(starts):
         return sums, longest_first
     where = np.empty(len(cuts), np.int64)
     where[order] = np.arange(len(cuts))
-    sums, first = _run_sums(sums, where, fresh[cuts], piece)
-    return sums, cuts[first]
+    sums, first = _run_sums(sums, where, fresh.take(cuts), piece, space, level + 1)
+    return sums, cuts.take(first)
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers by zstd, without loss: the first bytes of all of them, then the second ones, which are more alike."""
+    planes = np.ascontiguousarray(numbers.reshape(-1, 1).view(np.uint8).T)
+    return pa.compress(planes.ravel(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, kind: type, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=n * size, codec="zstd"), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def train(docs: DataFrame, model: Model, text_col: str) -> Model:
@@ -331,20 +406,21 @@ def train(docs: DataFrame, model: Model, text_col: str) -> Model:
                         own.learn(node[b:c], digit[b:c], cells[b:c], squares, moved)
                         at, seen = at + n, seen + n
         if any(m.any() for m in moved):
-            weight = np.concatenate(moved).astype(np.float32).reshape(BLOCKS, step)
-            change = np.concatenate([t - z for t, z in zip(own.tables, base.tables)]).astype(np.float16).reshape(BLOCKS, -1)
             context = TaskContext.get()
             task = context.partitionId() if context else 0
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([task] * BLOCKS, pa.int64()), pa.array([w.tobytes() for w in weight], pa.binary()), pa.array([c.tobytes() for c in change], pa.binary())], names=["block", "task", "weight", "moved"])
+            for block in range(BLOCKS):
+                f, a = divmod(block * step, size)
+                weight, change = moved[f][a : a + step].astype(np.float32), (own.tables[f][a : a + step] - base.tables[f][a : a + step]).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([task], pa.int64()), pa.array([packed(weight)], pa.binary()), pa.array([packed(change)], pa.binary())], names=["block", "task", "weight", "moved"])
 
     def average(table: pa.Table) -> pa.Table:
         weight, total = np.zeros(step), np.zeros((step, WAYS))
         for w, m in zip(table.column("weight"), table.column("moved")):
-            w = np.frombuffer(w.as_py(), np.float32).astype(np.float64)
-            total += w[:, None] * np.frombuffer(m.as_py(), np.float16).reshape(step, WAYS)
+            w = unpacked(w.as_py(), np.float32, step).astype(np.float64)
+            total += w[:, None] * unpacked(m.as_py(), np.float16, step * WAYS).reshape(step, WAYS)
             weight += w
         total /= np.maximum(weight, 1)[:, None]
-        return pa.table({"block": table.column("block")[:1], "task": table.column("task")[:1], "weight": pa.array([weight.astype(np.float32).tobytes()], pa.binary()), "moved": pa.array([total.astype(np.float16).tobytes()], pa.binary())})
+        return pa.table({"block": table.column("block")[:1], "task": table.column("task")[:1], "weight": pa.array([packed(weight.astype(np.float32))], pa.binary()), "moved": pa.array([packed(total.astype(np.float16))], pa.binary())})
 
     schema = "block int, task long, weight binary, moved binary"
     # small partitions are read together, without an exchange
@@ -359,7 +435,7 @@ def train(docs: DataFrame, model: Model, text_col: str) -> Model:
     sent.unpersist()
     if not rows:
         return model
-    moved = np.concatenate([np.frombuffer(r["moved"], np.float16) for r in rows]).astype(np.float32).reshape(FEATURES, size, WAYS)
+    moved = np.concatenate([unpacked(r["moved"], np.float16, step * WAYS) for r in rows]).astype(np.float32).reshape(FEATURES, size, WAYS)
     return Model(model.words, model.counts, model.own, model.total, model.distinct, model.rare, model.bits, [t + m for t, m in zip(model.tables, moved)])
 
 

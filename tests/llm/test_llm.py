@@ -5,6 +5,7 @@ import json
 import math
 import os
 import random
+import tracemalloc
 import re
 import time
 import zlib
@@ -167,6 +168,55 @@ def test_lm_learns_by_the_gradient():
             assert (up - loss()) / 2e-2 == pytest.approx(-change[f][row, c] / lm.RATE * 1e6, abs=2e-2)
 
 
+def test_lm_learns_in_the_same_space():
+    """Once it has learned from as many choices, a step makes no new array of their classes."""
+    rng = np.random.default_rng(4)
+    model = lm.Model.start(rng.integers(0, 1 << 63, 500).astype(np.uint64), np.arange(500, 0, -1), 500, 125250, 500, np.ones(1), 17).ready()
+    _, _, node, digit, cells = model.choices(model.words[rng.integers(0, 500, 20_000)], np.zeros(20_000, int))
+    squares, moved = [np.ones(1 << 17, np.float32) for _ in model.tables], [np.zeros(1 << 17, np.int64) for _ in model.tables]
+    model.learn(node, digit, cells, squares, moved)
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    try:
+        model.learn(node, digit, cells, squares, moved)
+        peak = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert peak < 2 * len(node) * lm.WAYS * 4  # indexes, but neither logits, probabilities, gathered rows nor sums
+
+
+@pytest.mark.parametrize("bits", [10, 16, 17, 18])
+def test_lm_rows_are_sorted_stably(bits):
+    index = np.random.default_rng(bits).integers(0, 1 << bits, 50_000).astype(np.uint16 if bits <= 16 else np.uint32)
+    assert (lm._by_row(index) == np.argsort(index, kind="stable")).all()
+    assert (lm._by_row(np.sort(index)) == np.arange(len(index))).all()
+
+
+@pytest.mark.parametrize("far", [1.0, 60.0, 300.0])
+def test_lm_weights_far_out(far):
+    """Log probabilities by plain computation, where exponentials leave float32 too."""
+    rng = np.random.default_rng(5)
+    model = lm.Model.start(rng.integers(0, 1 << 63, 300).astype(np.uint64), np.arange(300, 0, -1), 300, 45150, 300, np.ones(1), 10)
+    for shift in (-far, far):
+        model.tables = [(rng.normal(size=t.shape) + shift).astype(np.float32) for t in model.tables]
+        model.ready()
+        _, _, node, digit, cells = model.choices(model.words[rng.integers(0, 300, 6000)], np.zeros(6000, int))
+        z = model.bias[node].astype(float) + sum(model.tables[f][cells[:, f]].astype(float) for f in range(lm.FEATURES))
+        z -= z.max(axis=1, keepdims=True)
+        want = z[np.arange(len(z)), digit] - np.log(np.exp(z).sum(axis=1))
+        value, p = model.forward(node, digit, cells)
+        assert np.allclose(value, want, atol=2e-3) and np.allclose(p.sum(axis=1), 1, atol=1e-5)
+
+
+def test_lm_updates_are_packed_without_loss():
+    """What a task sends: rarely moved rows, small changes. Each number comes back, in fewer bytes."""
+    rng = np.random.default_rng(6)
+    weight, change = rng.zipf(1.5, 4096).clip(0, 1 << 20).astype(np.float32), (rng.normal(size=4096 * lm.WAYS) / 8).astype(np.float16)
+    for numbers in (weight, change, np.array([0.0, -0.0, np.inf, 1e-7], np.float16), np.zeros(4096, np.float32)):
+        assert lm.unpacked(lm.packed(numbers), numbers.dtype, len(numbers)).tobytes() == numbers.tobytes()
+    assert len(lm.packed(weight)) + len(lm.packed(change)) < 0.9 * (weight.nbytes + change.nbytes)
+
+
 @pytest.mark.parametrize("n,distinct", [(1, 1), (5000, 3), (4000, 900), (700, 700), (4096, 1)])
 def test_run_sums(n, distinct):
     rng = np.random.default_rng(n)
